@@ -61,7 +61,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     """sizes (no_source, name, source_size) with turn and target: share of all words by weight, at most `most` times a source's size.
 
     Sharing what the full sources leave until none is above its limit ends where every source has
-    min(its limit, weight * level); the level is found by one pass over sources ordered by limit / weight.
+    min(its limit, weight * level); with the sources in order of limit / weight, the level is that of the first source
+    that its share doesn't fill.
     """
     by_name = Window.orderBy("no_source", "name")
     by_ratio = Window.orderBy("ratio", "turn")
@@ -78,7 +79,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     level = (budget - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     return (
         ranked.withColumn("level", level)
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
+        .withColumn("rank", F.row_number().over(by_ratio))
+        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("rank", "level"))).over(everything)["level"])
         .withColumn("target", F.least("limit", F.coalesce(F.col("weight") * F.col("level"), F.col("limit"))))
         .select("no_source", "name", "source_size", "turn", "target")
     )
@@ -168,7 +170,7 @@ w AS (SELECT *, {_CYCLE}[(turn % {len(WEIGHTS)} + 1)::BIGINT]::DOUBLE AS weight,
 x AS (SELECT *, most / weight AS ratio,
         ({SHARE}::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER b, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0)) AS level
       FROM w WINDOW b AS (ORDER BY most / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT no_source, name, source_size, least(most, coalesce(weight * min(CASE WHEN level <= ratio THEN level END) OVER (), most)) AS target FROM x),
+t AS (SELECT no_source, name, source_size, least(most, coalesce(weight * (SELECT level FROM x WHERE level <= ratio ORDER BY ratio, turn LIMIT 1), most)) AS target FROM x),
 p AS (SELECT s.*, sum(size) OVER (PARTITION BY no_source, name ORDER BY hash, size ROWS UNBOUNDED PRECEDING) - size AS start FROM s)
 SELECT doc_id, size, source_size, target,
        (greatest(0, least(size, floor(target + 1e-6)::BIGINT - start)) + greatest(0, least(size, floor(target + 1e-6)::BIGINT - start - source_size)))::BIGINT AS taken

@@ -4,8 +4,8 @@ A word enters as the embedding of its hash and the mean embedding of its charact
 every STRIDE words, overlap and cover the whole text; each is read forwards and backwards by gated recurrent units,
 pooled by attention and scored by a logistic unit. A document's score is that of its most toxic window.
 
-The network is trained in numpy on the driver, on a bounded sample of labelled documents: at most PER_LABEL of each
-label, those of smallest hash. As only documents are labelled, all windows of a toxic document count as toxic at first,
+The network is trained in numpy on the driver, on a bounded sample of labelled documents: at most PER_LABEL of
+each label, those of smallest hash. As only documents are labelled, all windows of a toxic document count as toxic at first,
 and then only those that the network finds most toxic. Scoring is a map over all documents without shuffle, with the
 network (some hundred KB, whatever the corpus) as a broadcast.
 
@@ -29,9 +29,14 @@ from folio.llm.langid import bounded_sample, third
 WINDOW, STRIDE = 32, 24
 WORD_BUCKETS, GRAM_BUCKETS = 8192, 4096
 WORD_SIZE, GRAM_SIZE, HIDDEN = 12, 8, 8
-PER_LABEL = 700
-EPOCHS, BATCH, RATE = 6, 128, 0.01
-CHUNK = 4096
+#: Documents of a label in the training sample: toxic ones, others.
+PER_LABEL = {1: 700, 0: 1800}
+EPOCHS, BATCH, RATE = 4, 128, 0.01
+#: Small samples are gone through until so many steps are made.
+LEAST_STEPS = 400
+#: Share of word embeddings that a step leaves out, so that a word of one document isn't learned by heart, and their decay a step.
+DROPPED, DECAY = 0.5, 0.002
+CHUNK = 1024
 TOXIC_AT = 0.7
 _EDGES = ".,;:!?\"'()[]|#*$%&"
 
@@ -66,7 +71,7 @@ class Network:
     """Parameters, training by Adam, and the projections that scoring uses."""
 
     def __init__(self, seed: int = 11):
-        rng = np.random.default_rng(seed)
+        self.rng = rng = np.random.default_rng(seed)
         d, h = WORD_SIZE + GRAM_SIZE, HIDDEN
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         self.p = {
@@ -124,6 +129,8 @@ class Network:
         """One step on windows of ids (B, T) into words, whose first is the padding."""
         used, local = np.unique(ids, return_inverse=True)
         x, at, grams, n = self.inputs([words[k] for k in used])
+        stays = (self.rng.random(len(used)) >= DROPPED).astype(np.float32)[:, None]
+        x[:, :WORD_SIZE] *= stays
         local = local.reshape(ids.shape).T
         mask = ids.T > 0
         traces = {"f": [], "b": []}
@@ -158,7 +165,7 @@ class Network:
             grads[f"u{side}"], grads[f"w{side}"], grads[f"c{side}"] = d_u, x.T @ flat, flat.sum(axis=0)
             d_x += flat @ self.p[f"w{side}"].T
         grads["words"], grads["grams"] = np.zeros_like(self.p["words"]), np.zeros_like(self.p["grams"])
-        np.add.at(grads["words"], at, d_x[:, :WORD_SIZE])
+        np.add.at(grads["words"], at, d_x[:, :WORD_SIZE] * stays)
         np.add.at(grads["grams"], grams, np.repeat(d_x[:, WORD_SIZE:] / n[:, None], n, axis=0))
         self._adam(grads)
 
@@ -166,6 +173,8 @@ class Network:
         self.steps += 1
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         scale = min(1.0, 1.0 / max(norm, 1e-9))
+        for k in ("words", "grams"):
+            self.p[k] *= 1 - DECAY
         for k, g in grads.items():
             m, v = self.moments[k]
             m += 0.1 * (g * scale - m)
@@ -252,27 +261,29 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
     ids, owner, y = np.concatenate(cut), np.concatenate(owner), np.array(labels, np.float32)
     words, toxic, network = list(place), y[owner] > 0, Network(seed)
     chosen = np.ones(len(ids), bool)
-    for epoch in range(epochs):
+    epoch = 0
+    while epoch < epochs or network.steps < LEAST_STEPS:
         if epoch:
             scorer = Scorer(network)
             scorer._project(words[1:], 1)
             got = scorer.score_windows(ids)
             best = np.zeros(len(y))
             np.maximum.at(best, owner, got)
-            chosen = ~toxic & ((got > 0.05) | (rng.random(len(ids)) < 0.3)) | toxic & (got >= 0.9 * best[owner])
+            chosen = ~toxic & ((got > 0.05) | (rng.random(len(ids)) < 0.15)) | toxic & (got >= 0.9 * best[owner])
         rows = rng.permutation(np.flatnonzero(chosen))
         share = toxic[rows].mean()
         weight = np.where(toxic[rows], 0.5 / max(share, 0.02), 0.5 / max(1 - share, 0.02)).astype(np.float32)
         for at in range(0, len(rows), BATCH):
             own = rows[at : at + BATCH]
             network.train(ids[own], words, y[owner[own]], weight[at : at + BATCH])
+        epoch += 1
     return network
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, most: int = PER_LABEL) -> tuple[list[str], list[int]]:
+def training_rows(documents: DataFrame, labels: DataFrame, most: dict[int, int] = PER_LABEL) -> tuple[list[str], list[int]]:
     """Texts and labels of the bounded sample, in a fixed order; held-out rows never are among them."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~third())
-    chosen = bounded_sample(usable, "toxic", "doc_id", most)  # 2 * most rows
+    chosen = bounded_sample(usable.filter("toxic = 1"), "toxic", "doc_id", most[1]).union(bounded_sample(usable.filter("toxic = 0"), "toxic", "doc_id", most[0]))
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.trim("text") != "").collect()
     rows = [r for r in rows if r["text"].split()]
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))

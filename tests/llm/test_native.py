@@ -123,6 +123,26 @@ def test_mixing_matches_sql(spark, corpus):
         assert target <= 2 * source_size and sum(taken) == int(target + 1e-6)
 
 
+def plain_targets(sizes, weights=(5, 2, 1)):
+    total, full = 1.5 * sum(sizes), set()
+    while True:
+        left = total - sum(2 * sizes[i] for i in full)
+        share = sum(weights[i % 3] for i in range(len(sizes)) if i not in full)
+        out = [2.0 * s if i in full else left * weights[i % 3] / share for i, s in enumerate(sizes)]
+        over = {i for i, s in enumerate(sizes) if i not in full and out[i] > 2 * s}
+        if not over:
+            return out
+        full |= over
+
+
+def test_targets_are_reshared_until_none_is_above(spark):
+    for n in (1, 3, 20, 21):
+        sizes = [RNG.choice([0, 5, 100, 1000, 30000]) + 1 for _ in range(n)]
+        df = spark.createDataFrame([(False, f"s{i:02}", s) for i, s in enumerate(sizes)], "no_source boolean, name string, source_size long")
+        got = [r["target"] for r in mixing.targets(df).orderBy("name").collect()]
+        assert got == pytest.approx(plain_targets(sizes))
+
+
 def test_mix_orders_by_time_and_keeps_columns(spark):
     rows = [(i, prose(5 + i % 7), f"s{i % 3}", 0) for i in range(300)] + [(None, "x y", None, 1), (7, prose(12), "s1", 2), (8, None, "s0", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, position int")
