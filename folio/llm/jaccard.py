@@ -9,11 +9,15 @@ Steps, each a Spark job over slim rows:
 
 1. Documents with equal sets are one class, represented by the smallest doc_id.
 2. Classes with identical prefixes and set size are one group; only groups are joined.
-3. Every shingle's groups are first paired with one centre each (per class of sizes), which is linear. Verified pairs
-   give components.
+3. In each of a few rounds, every shingle's groups are paired with one centre (per class of sizes), which is linear.
+   Verified pairs give components. The centre is drawn by a hash of the group and of a few salts, so a group meets
+   several centres of a large set of near copies.
 4. What remains are groups, expanded to classes, that share a prefix shingle and lie in different components: all pairs
-   within the size and position filters are verified too. So no link between components is lost, while the inside of a
-   large set of near copies is never expanded into all pairs.
+   that pass the filters are verified too. So no link between components is lost, while the inside of a large set of
+   near copies is never expanded into all pairs.
+
+Pairs are filtered by sizes, by the places of the shared shingle, and by parity: of two bitmaps that hold for each of
+BITS buckets of shingles whether their number is odd, the bits that differ are at most the shingles that differ.
 
 Texts are shingled anew where they are needed, rather than sets being stored: a set takes more bytes than its text.
 Shingles are identified by 64-bit hashes and classes by 128-bit ones.
@@ -45,6 +49,12 @@ NO_ID = -(2**63)
 #: A counter of this much or more puts its shingles behind all others.
 FREQUENT = 32
 
+#: Salts of each round of pairing with centres.
+SALTS = (4, 32)
+#: Bits of a set's parity map.
+BITS = 1024
+_BIT_COLUMNS = [f"b{k}" for k in range(BITS // 64)]
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)
@@ -97,15 +107,20 @@ def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return int(_signed(a)), int(_signed(b))
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each document (doc_id, n, fp_a, fp_b), and the task's part of the sketch as compressed chunks."""
+    """A row for each document (doc_id, n, fp_a, fp_b and its parity map), and the task's part of the sketch as compressed chunks."""
     shingler, sketch, seen = Shingler(), np.zeros(SKETCH, np.uint32), set()
     for batch in batches:
-        rows = []
-        low = []
+        rows, low, bits = [], [], np.zeros((len(batch), len(_BIT_COLUMNS)), np.int64)
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
             shingles = shingler(text)
             print_ = _fingerprint(shingles)
+            bits[len(rows)] = _parity(shingles)
             rows.append((doc_id, len(shingles), *print_))
             if print_ not in seen:
                 seen.add(print_)
@@ -115,10 +130,12 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             places, n = np.unique(places, return_counts=True)
             sketch[places] += n.astype(np.uint32)
         out = pd.DataFrame(rows, columns=["doc_id", "n", "fp_a", "fp_b"])
+        out[_BIT_COLUMNS] = bits
         out["chunk"], out["counts"] = -1, None
         yield out
-    parts = [(0, 0, 0, 0, k, zlib.compress(part.tobytes(), 1)) for k in range(SKETCH // CHUNK) if (part := sketch[k * CHUNK : (k + 1) * CHUNK]).any()]
-    yield pd.DataFrame(parts, columns=["doc_id", "n", "fp_a", "fp_b", "chunk", "counts"])
+    none = [0] * (4 + len(_BIT_COLUMNS))
+    parts = [(*none, k, zlib.compress(part.tobytes(), 1)) for k in range(SKETCH // CHUNK) if (part := sketch[k * CHUNK : (k + 1) * CHUNK]).any()]
+    yield pd.DataFrame(parts, columns=["doc_id", "n", "fp_a", "fp_b", *_BIT_COLUMNS, "chunk", "counts"])
 
 
 def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,6 +219,12 @@ def _fits(n1, pos1, n2, pos2):
     return (5 * small >= 4 * large) & (9 * rest >= 4 * (n1 + n2))
 
 
+def _may_link(x: str, y: str):
+    """Whether two sets may link by the parity maps of the aliases x and y."""
+    differ = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in _BIT_COLUMNS), F.lit(0))
+    return 9 * differ <= F.col(f"{x}.n") + F.col(f"{y}.n")
+
+
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shingler, last, ours = Shingler(), None, None
     for batch in batches:
@@ -243,62 +266,69 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "component")
 
 
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members with comp, their representative's component."""
+    return members.join(found, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
+
+
+def _inside(members: DataFrame, heads: DataFrame) -> DataFrame:
+    """Each group's head with the group's other classes."""
+    x, y = heads.alias("x"), members.alias("y")
+    pairs = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.rep") != F.col("y.rep")) & _may_link("x", "y"))
+    return staged(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "jaccard-pairs")
+
+
+def _around(shared: DataFrame, placed: DataFrame, heads: DataFrame, turn: int) -> DataFrame:
+    """Heads of groups with those of their shingles' centres, if these lie in other components."""
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
+    draw = F.xxhash64("grp", F.pmod("token", F.lit(SALTS[turn])), F.lit(turn))
+    lists = shared.join(placed, "grp").withColumn("size_class", size_class)
+    lists = lists.withColumn("c", F.min(F.struct(draw, "grp", "n", "pos", "comp")).over(Window.partitionBy("token", "size_class")))
+    met = lists.filter((F.col("c.comp") != F.col("comp")) & _fits(F.col("c.n"), F.col("c.pos"), F.col("n"), F.col("pos"))).select(F.col("c.grp").alias("centre"), "grp").distinct()
+    x, y = heads.alias("x"), heads.alias("y")
+    pairs = met.join(x, F.col("centre") == F.col("x.grp")).join(y, (met["grp"] == F.col("y.grp")) & _may_link("x", "y"))
+    return staged(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).filter("a <> b").distinct(), "jaccard-pairs")
+
+
 def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = documents.sparkSession
     source = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
     docs = source.filter(F.col("doc_id") != NO_ID)
-    counted = staged(source.mapInPandas(_counted, "doc_id long, n long, fp_a long, fp_b long, chunk int, counts binary"), "jaccard-counted")
+    bit_schema = ", ".join(f"{b} long" for b in _BIT_COLUMNS)
+    counted = staged(source.mapInPandas(_counted, f"doc_id long, n long, fp_a long, fp_b long, {bit_schema}, chunk int, counts binary"), "jaccard-counted")
     rows = counted.filter("chunk < 0").select("doc_id", "n", "fp_a", "fp_b")
     levels = spark.sparkContext.broadcast(_levels(counted))  # SKETCH bytes
-    classes = rows.filter((F.col("n") > 0) & (F.col("doc_id") != NO_ID)).groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    known = counted.filter((F.col("chunk") < 0) & (F.col("n") > 0) & (F.col("doc_id") != NO_ID))
+    classes = staged(known.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.first(b).alias(b) for b in _BIT_COLUMNS)), "jaccard-classes")
     raw = staged(docs.mapInPandas(_postings(levels), "token long, grp long, n int, pos int, fp_b long"), "jaccard-postings")
-    members = staged(
-        raw.filter("pos < 0").select(F.col("token").alias("fp_a"), "fp_b", "grp", "n").distinct().join(classes, ["fp_a", "fp_b"]).select("grp", "n", "rep"), "jaccard-members"
-    )
-    by_size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    list_ = Window.partitionBy("token", "size_class").orderBy("n", "grp", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    members = staged(raw.filter("pos < 0").select(F.col("token").alias("fp_a"), "fp_b", "grp", "n").distinct().join(classes, ["fp_a", "fp_b"]).select("grp", "n", "rep", *_BIT_COLUMNS), "jaccard-members")
     token = Window.partitionBy("token")
-    shared = staged(
-        raw.filter("pos >= 0")
-        .select("token", "grp", "n", "pos", by_size.alias("size_class"))
-        .withColumn("centre", F.first(F.struct("grp", "n", "pos")).over(list_))
-        .withColumn("low", F.min("grp").over(token))
-        .withColumn("high", F.max("grp").over(token))
-        .filter("low <> high OR size_class < 0")
-        .select("token", "grp", "n", "pos", "centre"),
-        "jaccard-shared",
-    )
+    apart = lambda df, column: df.withColumn("low", F.min(column).over(token)).withColumn("high", F.max(column).over(token)).filter("low <> high").drop("low", "high")
+    shared = staged(apart(raw.filter("pos >= 0").select("token", "grp", "n", "pos"), "grp"), "jaccard-shared")
     discard(raw)
-    # linear pairs: a group's representative with its other classes, and with the centres of its shingles
-    heads = members.groupBy("grp").agg(F.min("rep").alias("head"))
-    inside = members.join(heads, "grp").filter("head <> rep").select(F.col("head").alias("a"), F.col("rep").alias("b"))
-    starred = shared.filter((F.col("centre.grp") != F.col("grp")) & _fits(F.col("centre.n"), F.col("centre.pos"), F.col("n"), F.col("pos"))).select(F.col("centre.grp").alias("centre"), "grp").distinct()
-    around = (
-        starred.join(heads.select(F.col("grp").alias("centre"), F.col("head").alias("a")), "centre").join(heads.select("grp", F.col("head").alias("b")), "grp").select("a", "b")
-    )
-    first = _links(staged(inside.union(around).filter("a <> b").distinct(), "jaccard-pairs"), docs)
-    found = components(first)
+    first = F.row_number().over(Window.partitionBy("grp").orderBy("rep"))
+    heads = staged(members.withColumn("_n", first).filter("_n = 1").drop("_n"), "jaccard-heads")
+    links, found = _links(_inside(members, heads), docs), None
+    for turn in range(len(SALTS)):
+        at = heads.select("grp", F.col("rep").alias("comp")) if found is None else _placed(heads, found).select("grp", "comp")
+        more = _links(_around(shared, at, heads, turn), docs)
+        links = links.union(more)
+        found = components(links)
     # the rest: classes that share a prefix shingle across components
-    placed = members.join(found, F.col("rep") == F.col("node"), "left").select("grp", "rep", F.coalesce("component", "rep").alias("comp"))
-    lists = (
-        shared.select("token", "grp", "n", "pos")
-        .join(placed, "grp")
-        .withColumn("low", F.min("comp").over(token))
-        .withColumn("high", F.max("comp").over(token))
-        .filter("low <> high")
-        .select("token", "rep", "comp", "n", "pos")
-    )
+    lists = staged(apart(shared.join(_placed(members, found).drop("n"), "grp"), "comp").select("token", "rep", "comp", "n", "pos", *_BIT_COLUMNS), "jaccard-lists")
     x, y = lists.alias("x"), lists.alias("y")
     across = x.join(
         y,
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.comp") != F.col("y.comp"))
         & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep"))))
-        & _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")),
+        & _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+        & _may_link("x", "y"),
     ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     second = _links(staged(across.distinct(), "jaccard-pairs"), docs)
-    final = found if second.isEmpty() else components(first.union(second))
+    discard(lists)
+    final = found if second.isEmpty() else components(links.union(second))
     labelled = classes.join(final, F.col("rep") == F.col("node"), "left").filter("copies > 1 OR node IS NOT NULL").select("fp_a", "fp_b", F.coalesce("component", "rep").alias("component"))
     known = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     own = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
