@@ -5,8 +5,7 @@ lengths; each group is packed in a task of its own. A document longer than a seq
 one rest. Pieces of a group, longest first, go to the leftmost sequence with room, which the tree finds in log n steps.
 
 Texts are split at white space first, as the tokenizer itself drops it, and each distinct stretch is encoded once; a
-text in which Python and the tokenizer disagree about white space is encoded whole. The ids are those of encoding the
-whole text.
+text in which Python and the tokenizer may disagree is encoded whole. The ids are those of encoding the whole text.
 
 Null and empty texts are the single end token. A null doc_id counts as a document (of one group with the others).
 Repeated rows are documents of their own. An empty table gives an empty result. Extra columns are not read.
@@ -15,8 +14,12 @@ Repeated rows are documents of their own. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import string
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,53 +34,74 @@ GROUP = 4096
 NO_ID = -(2**63)
 TOKENIZER = "word_bpe_49k.json"
 
-#: White space to Python alone, and strings that the tokenizer takes out of a text before it splits it.
-_APART = re.compile("[\x1c-\x1f]|<\\|startoftext\\|>|<\\|endoftext\\|>")
+#: White space to Python alone, a letter whose lower case depends on its place, and strings that the tokenizer takes out
+#: of a text before it splits it.
+_APART = re.compile("[\x1c-\x1fΣ]|<\\|startoftext\\|>|<\\|endoftext\\|>")
+
+
+#: Marks that the tokenizer parts from letters wherever they stand; the apostrophe isn't one, as it makes contractions.
+_MARKS = string.punctuation.replace("'", "")
+
+
+def _byte_letters() -> list[str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for 256 and so on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(k if k in plain else next(others)) for k in range(256)]
 
 
 class Encoder:
-    """Texts to arrays of ids; remembers the ids of stretches between white space."""
+    """Texts to arrays of ids; remembers the ids of words and of their letters.
+
+    A word of letters with marks around it is the marks' ids and the letters' own, which the model gives without the
+    steps before it; any other stretch between white space goes through the whole tokenizer.
+    """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.pool, self.used = np.empty(1 << 20, np.uint32), 0
-        self.start, self.length = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-
-    def _learn(self, stretches: list[str]) -> None:
-        for stretch, got in zip(stretches, self.tokenizer.encode_batch(stretches, add_special_tokens=False)):
-            ids = got.ids
-            k = len(self.place)
-            if k == len(self.start):
-                self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.start[k], self.length[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.place[stretch] = k
+        self.tokenizer, self.most, self.letters = Tokenizer.from_file(path), most, _byte_letters()
+        self.model = self.tokenizer.model
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.cores: dict[str, tuple[int, ...]] = {}
+        self.numbers: dict[int, int] = {}
+
+    def _whole(self, stretch: str) -> tuple[int, ...]:
+        return tuple(self.tokenizer.encode(stretch, add_special_tokens=False).ids) if stretch else ()
+
+    def _core(self, core: str) -> tuple[int, ...]:
+        spelt = core if core.isascii() else "".join(map(self.letters.__getitem__, core.encode()))
+        same = self.numbers
+        ids = self.cores[core] = tuple(same.setdefault(t.id, t.id) for t in self.model.tokenize(spelt))
+        return ids
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        core = word.strip(_MARKS)
+        if not core.isalpha():
+            return self._whole(word)
+        low = core.lower()
+        ids = self.cores.get(low) or self._core(low)
+        if len(core) == len(word):
+            return ids
+        at = word.index(core)
+        marks = self.cores
+        head, tail = word[:at], word[at + len(core) :]
+        for part in (head, tail):
+            if part not in marks:
+                marks[part] = self._whole(part)
+        return marks[head] + ids + marks[tail]
 
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if _APART.search(text):
+        if _APART.search(text) or not unicodedata.is_normalized("NFC", text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        stretches = text.split()
-        if len(self.place) > self.most:
-            self._forget()
-        missing = list(dict.fromkeys(s for s in stretches if s not in self.place))
-        if missing:
-            self._learn(missing)
-        at = np.fromiter(map(self.place.__getitem__, stretches), np.int64, len(stretches))
-        length = self.length[at]
-        ends = np.cumsum(length)
-        if not len(ends):
-            return np.empty(0, np.uint32)
-        return self.pool[np.repeat(self.start[at] - (ends - length), length) + np.arange(ends[-1])]
+        if len(self.words) > self.most:
+            self.words, self.cores = {}, {}
+        words = text.split()
+        known = self.words
+        for word in set(words).difference(known):
+            known[word] = self._word(word)
+        return np.frombuffer(array("I", chain.from_iterable(map(known.__getitem__, words))), np.uint32)
 
 
 class Tournament:
