@@ -19,7 +19,6 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -57,39 +56,35 @@ class Encoder:
     steps before it; any other stretch between white space goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.letters = Tokenizer.from_file(path), most, _byte_letters()
         self.model = self.tokenizer.model
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.cores: dict[str, tuple[int, ...]] = {}
-        self.numbers: dict[int, int] = {}
+        self.words: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
+        self.cores: dict[str, bytes] = {}
 
-    def _whole(self, stretch: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(stretch, add_special_tokens=False).ids) if stretch else ()
+    def _whole(self, stretch: str) -> bytes:
+        return np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _core(self, core: str) -> tuple[int, ...]:
+    def _core(self, core: str) -> bytes:
         spelt = core if core.isascii() else "".join(map(self.letters.__getitem__, core.encode()))
-        same = self.numbers
-        ids = self.cores[core] = tuple(same.setdefault(t.id, t.id) for t in self.model.tokenize(spelt))
+        ids = self.cores[core] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return ids
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
+        if word.isalpha():
+            low = word.lower()
+            return self.cores.get(low) or self._core(low)
         core = word.strip(_MARKS)
         if not core.isalpha():
             return self._whole(word)
-        low = core.lower()
-        ids = self.cores.get(low) or self._core(low)
-        if len(core) == len(word):
-            return ids
-        at = word.index(core)
+        head, _, tail = word.partition(core)
         marks = self.cores
-        head, tail = word[:at], word[at + len(core) :]
         for part in (head, tail):
             if part not in marks:
                 marks[part] = self._whole(part)
-        return marks[head] + ids + marks[tail]
+        return marks[head] + self._word(core) + marks[tail]
 
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
@@ -101,7 +96,15 @@ class Encoder:
         known = self.words
         for word in set(words).difference(known):
             known[word] = self._word(word)
-        return np.frombuffer(array("I", chain.from_iterable(map(known.__getitem__, words))), np.uint32)
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder: a worker keeps what it has learned from task to task."""
+    return _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
 
 
 class Tournament:
@@ -148,11 +151,11 @@ def pieces(documents: DataFrame, groups: int, path: str | None = None, doc_id: s
     where = path or public_tokenizers.path(TOKENIZER)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(where)
+        encode = encoder(where)
         for batch in batches:
             rows = []
             for key, grp, body in zip(batch["doc_id"], batch["grp"], batch["text"]):
-                ids = np.append(encoder(body), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encode(body), np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), capacity):
                     own = ids[start : start + capacity]
                     rows.append((key, start, len(own), zlib.crc32(own.tobytes()), len(ids), grp, *([own.astype(np.int32)] if with_ids else [])))
