@@ -1,5 +1,8 @@
-"""All queries of the engine by name."""
+"""All queries of the engine by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "daily_query_stats"
+from folio.plans import analytics, records, retrieval, streams  # noqa: F401  (they register their queries)
+from folio.plans.register import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "hybrid_rrf_pages"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
