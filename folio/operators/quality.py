@@ -48,7 +48,7 @@ def judged(m: Column) -> Column:
     """score, flags and quarantined of a struct of measures."""
     short, long = m["tokens"] < LEAST_TOKENS, m["tokens"] > MOST_TOKENS
     pairs = F.coalesce(m["pairs"], F.lit(1.0))
-    information = F.coalesce(F.least(m["triples"] / 0.8, F.lit(1.0)), F.lit(0.0))
+    information = F.when(m["triples"].isNull(), F.lit(0.0)).otherwise(F.least(m["triples"] / 0.8, F.lit(1.0)))
     scores = {
         "length": F.when(short, F.lit(0.0)).when(long, F.lit(0.5)).otherwise(F.lit(1.0)),
         "density": F.least(m["density"] / 0.6, F.lit(1.0)),

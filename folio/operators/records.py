@@ -27,10 +27,10 @@ def insert_missing(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def merge(old: DataFrame, new: DataFrame, key: list[str], change: dict[str, Column]) -> DataFrame:
-    """Upsert in which columns of rows that both hold are computed from o.* and n.*; other columns of theirs stay old."""
-    both = old.alias("o").join(new.alias("n"), key, "full_outer")
-    in_both = F.col(f"o.{key[0]}").isNotNull() & F.col(f"n.{key[0]}").isNotNull()
-    rest = [F.when(in_both, change.get(c, F.col(f"o.{c}"))).otherwise(F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}"))).alias(c) for c in old.columns if c not in key]
+    """Upsert in which columns of rows that both hold are computed from stored.* and fresh.*; other columns of theirs stay stored."""
+    both = old.alias("stored").join(new.alias("fresh"), key, "full_outer")
+    in_both = F.col(f"stored.{key[0]}").isNotNull() & F.col(f"fresh.{key[0]}").isNotNull()
+    rest = [F.when(in_both, change.get(c, F.col(f"stored.{c}"))).otherwise(F.coalesce(F.col(f"stored.{c}"), F.col(f"fresh.{c}"))).alias(c) for c in old.columns if c not in key]
     return both.select(*key, *rest).select(*old.columns)
 
 

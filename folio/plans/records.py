@@ -170,7 +170,7 @@ def _open_and_seen(spark, d):
 def inconsistency_upsert(spark, d):
     """One open record a resource and type: seen again it counts a retry and takes the new severity."""
     key, opened, seen = _open_and_seen(spark, d)
-    return records.merge(opened, seen, key, {"severity": F.col("n.severity"), "retry_count": F.col("o.retry_count") + 1})
+    return records.merge(opened, seen, key, {"severity": F.col("fresh.severity"), "retry_count": F.col("stored.retry_count") + 1})
 
 
 @query(sql("di", then="SELECT id, CASE WHEN status = 'open' AND healthy THEN 'resolved' ELSE status END AS status, CASE WHEN status = 'open' AND healthy THEN 'auto' END AS note FROM (SELECT *, resource_url IN (SELECT 'u/' || user_id FROM events WHERE event_type = 'purchase' AND value > 18) AS healthy FROM di)"))
@@ -266,7 +266,7 @@ def session_list(spark, d):
 @query(sql("ql", then="SELECT id, CASE WHEN id % 9 = 0 THEN 'positive' ELSE feedback END AS feedback FROM ql"))
 def feedback_update(spark, d):
     logs = t.query_logs(spark, d).select("id", "feedback")
-    return records.merge(logs, logs.filter("id % 9 = 0").withColumn("feedback", F.lit("positive")), ["id"], {"feedback": F.col("n.feedback")})
+    return records.merge(logs, logs.filter("id % 9 = 0").withColumn("feedback", F.lit("positive")), ["id"], {"feedback": F.col("fresh.feedback")})
 
 
 @query("SELECT text, min(doc_id) AS id, nullif(min_by(source, doc_id), 'src0') AS source FROM documents WHERE lang IN ('en', 'fr') GROUP BY text")

@@ -61,7 +61,7 @@ _SCORED = _CHUNKS + rf""", m AS (SELECT id, chunk_index, chunk_text AS x, {_W.fo
       string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s,
       CASE WHEN len(w) >= 2 THEN len(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) / (len(w) - 1)::DOUBLE END AS pairs,
       CASE WHEN len(w) >= 3 THEN len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) / (len(w) - 2)::DOUBLE END AS triples FROM m),
-    g AS (SELECT *, len(list_filter(s, lambda v: len({_W.format(x='v')}) >= 3)) / len(s)::DOUBLE AS coherence, coalesce(least(triples / 0.8::DOUBLE, 1.0), 0.0) AS info, coalesce(pairs, 1.0) AS uniq FROM f),
+    g AS (SELECT *, len(list_filter(s, lambda v: len({_W.format(x='v')}) >= 3)) / len(s)::DOUBLE AS coherence, CASE WHEN triples IS NULL THEN 0.0 ELSE least(triples / 0.8::DOUBLE, 1.0) END AS info, coalesce(pairs, 1.0) AS uniq FROM f),
     sc AS (SELECT id, chunk_index, 0.15::DOUBLE * CASE WHEN tokens < 30 THEN 0.0 WHEN tokens > 1200 THEN 0.5 ELSE 1.0 END + 0.25::DOUBLE * least(density / 0.6::DOUBLE, 1.0) + 0.2::DOUBLE * greatest(1.0 - junk * 10, 0.0)
         + 0.15::DOUBLE * coherence + 0.1::DOUBLE * uniq + 0.15::DOUBLE * info AS score,
       list_filter([CASE WHEN tokens < 30 THEN 'too_short' WHEN tokens > 1200 THEN 'too_long' END, CASE WHEN density < 0.3 THEN 'low_density' END, CASE WHEN junk > 0.05 THEN 'ocr_artifacts' END,

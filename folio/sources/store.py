@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What a delimited file is tried as, in order.
-ENCODINGS = ("utf-8", "latin-1", "cp1252")
+ENCODINGS = ("utf-8", "iso-8859-1")
 SEPARATORS = (";", ",", "\t")
 
 
@@ -34,7 +34,7 @@ def delimited(spark: SparkSession, path: str) -> DataFrame:
             named = sum(not c.startswith("_c") and bool(c.strip()) and "�" not in c for c in df.columns)
             if named > most:
                 best, most = df, named
-    return best if best is not None else spark.read.csv(path, header=True, sep=";", encoding="latin-1", mode="DROPMALFORMED")
+    return best if best is not None else spark.read.csv(path, header=True, sep=";", encoding="iso-8859-1", mode="DROPMALFORMED")
 
 
 def sitemap(spark: SparkSession, path: str, prefix: str) -> DataFrame:

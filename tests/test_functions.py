@@ -53,7 +53,7 @@ def test_table_tools(contracts):
     assert a["big"] == ["1", "2", " total "] and a["ended"] == ["3"]
     assert a["down"][1:] == ["total", "2", "1", "3"] and a["down"][0] == "4"  # what isn't a number stands first
     assert a["cell"] == "R$ 250.000,00" and a["total"] == ["TOTAL", "", "R$ 500.000,00", ""]
-    assert (b["n"], b["sum"], b["cell"]) == (0, None, None)
+    assert (b["n"], b["sum"], b["cell"]) == (0, Decimal(0), None)
 
 
 def test_table_verdicts(spark):
@@ -158,7 +158,7 @@ def test_records(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(records.upsert(old, new, ["k"])) == [(1, "a", 0), (2, "B", 0), (3, "c", 0)]
     assert rows(records.insert_missing(old, new, ["k"])) == [(1, "a", 0), (2, "b", 0), (3, "c", 0)]
-    assert rows(records.merge(old, new, ["k"], {"n": F.col("o.n") + 1})) == [(1, "a", 0), (2, "b", 1), (3, "c", 0)]
+    assert rows(records.merge(old, new, ["k"], {"n": F.col("stored.n") + 1})) == [(1, "a", 0), (2, "b", 1), (3, "c", 0)]
     assert rows(records.delete(old, new, ["k"])) == [(1, "a", 0)]
 
 
