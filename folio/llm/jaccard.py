@@ -9,9 +9,9 @@ Steps, each a Spark job over slim rows:
 
 1. Documents with equal sets are one class, represented by the smallest doc_id.
 2. Classes with identical prefixes and set size are one group; only groups are joined.
-3. In each of a few rounds, every shingle's groups are paired with one centre (per class of sizes), which is linear.
-   Verified pairs give components. The centre is drawn by a hash of the group and of a few salts, so a group meets
-   several centres of a large set of near copies.
+3. Every shingle's groups are paired with one centre (per class of sizes), which is linear. Verified pairs give
+   components. The centre is drawn by a hash of the group and of one of a few salts, so a group meets several centres of
+   a large set of near copies.
 4. What remains are groups, expanded to classes, that share a prefix shingle and lie in different components: all pairs
    that pass the filters are verified too. So no link between components is lost, while the inside of a large set of
    near copies is never expanded into all pairs.
@@ -30,7 +30,8 @@ An empty table gives an empty result. Extra columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -49,8 +50,10 @@ NO_ID = -(2**63)
 #: A counter of this much or more puts its shingles behind all others.
 FREQUENT = 32
 
-#: Salts of each round of pairing with centres.
-SALTS = (4, 32)
+#: Salts by which centres are drawn: about so many of them does a group in a large set of near copies meet.
+SALTS = 12
+#: Documents that are shingled at once.
+BATCH = 256
 #: Bits of a set's parity map.
 BITS = 1024
 _BIT_COLUMNS = [f"b{k}" for k in range(BITS // 64)]
@@ -71,66 +74,95 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Texts to sorted arrays of distinct 64-bit shingle hashes; remembers the hashes of words."""
 
-    def __init__(self, most_words: int = 300_000):
+    def __init__(self, most_words: int = 600_000):
         self.most_words, self.seen = most_words, {}
 
-    def _word(self, word: bytes) -> int:
-        h = zlib.crc32(word) << 32 | zlib.crc32(word, 0x5BD1E995) ^ len(word)
-        self.seen[word] = h
-        return h
+    def many(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """The set of each text; the arithmetic is done on all of them at once."""
+        if len(self.seen) > self.most_words:
+            self.seen = {}
+        seen, split = self.seen, []
+        for text in texts:
+            words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+            for word in set(words).difference(seen):
+                seen[word] = zlib.crc32(word) << 32 | zlib.crc32(word, 0x5BD1E995) ^ len(word)
+            split.append(words)
+        n = np.array([len(w) for w in split], np.int64)
+        h = _mix(np.fromiter(map(seen.__getitem__, chain.from_iterable(split)), np.uint64, int(n.sum())))
+        windows = self._rolled(h, WORDS)
+        ends = np.cumsum(n)
+        out = []
+        for end, k in zip(ends.tolist(), n.tolist()):
+            own = windows[end - k : end - WORDS + 1] if k >= WORDS else self._rolled(h[end - k : end], k)
+            own = np.sort(own)
+            fresh = np.ones(len(own), bool)
+            fresh[1:] = own[1:] != own[:-1]
+            out.append(own[fresh])
+        return out
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
+        return self.many([text])[0]
+
+    @staticmethod
+    def _rolled(h: np.ndarray, size: int) -> np.ndarray:
+        """A hash of each run of size words."""
+        if not size or len(h) < size:
             return np.empty(0, np.uint64)
-        if len(self.seen) > self.most_words:
-            self.seen = {}
-        get, add = self.seen.get, self._word
-        h = np.fromiter((get(w) or add(w) for w in words), np.uint64, len(words))
-        h = _mix(h)
-        n = min(WORDS, len(words))
-        whole = np.full(len(words) - n + 1, np.uint64(n))
-        for k in range(n):
-            whole = (whole * _MULTIPLIER) ^ h[k : len(words) - n + 1 + k]
-            whole = _mix(whole) if k == n - 1 else whole ^ (whole >> _HALF)
-        return np.unique(whole)
+        runs = len(h) - size + 1
+        whole = np.full(runs, np.uint64(size))
+        for k in range(size):
+            whole = (whole * _MULTIPLIER) ^ h[k : k + runs]
+            whole = _mix(whole) if k == size - 1 else whole ^ (whole >> _HALF)
+        return whole
 
 
 def _signed(x: np.ndarray | np.uint64):
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        a = np.add.reduce(_mix(shingles ^ np.uint64(1)), dtype=np.uint64) if len(shingles) else np.uint64(0)
-        b = np.bitwise_xor.reduce(_mix(shingles * _MULTIPLIER)) if len(shingles) else np.uint64(0)
-    return int(_signed(a)), int(_signed(b))
+def _prints(sets: list[np.ndarray]) -> np.ndarray:
+    """Two numbers (sets, 2) that stand for each set."""
+    out = np.zeros((len(sets), 2), np.int64)
+    full = [k for k, s in enumerate(sets) if len(s)]
+    if full:
+        flat = np.concatenate([sets[k] for k in full])
+        starts = np.cumsum([0] + [len(sets[k]) for k in full])[:-1]
+        out[full, 0] = _signed(np.add.reduceat(_mix(flat ^ np.uint64(1)), starts))
+        out[full, 1] = _signed(np.bitwise_xor.reduceat(_mix(flat * _MULTIPLIER), starts))
+    return out
 
 
-def _parity(shingles: np.ndarray) -> np.ndarray:
-    odd = np.bincount((shingles & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """The parity maps (sets, BITS / 64)."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = (np.concatenate(sets) & np.uint64(BITS - 1)).astype(np.int64) if sets else np.empty(0, np.int64)
+    odd = np.bincount(owner * BITS + place, minlength=len(sets) * BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sets), BITS // 64)
+
+
+def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    shingler = Shingler()
+    for batch in batches:
+        for at in range(0, len(batch), BATCH):
+            rows = batch.iloc[at : at + BATCH]
+            yield rows, shingler.many(rows["text"])
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row for each document (doc_id, n, fp_a, fp_b and its parity map), and the task's part of the sketch as compressed chunks."""
-    shingler, sketch, seen = Shingler(), np.zeros(SKETCH, np.uint32), set()
-    for batch in batches:
-        rows, low, bits = [], [], np.zeros((len(batch), len(_BIT_COLUMNS)), np.int64)
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            shingles = shingler(text)
-            print_ = _fingerprint(shingles)
-            bits[len(rows)] = _parity(shingles)
-            rows.append((doc_id, len(shingles), *print_))
-            if print_ not in seen:
-                seen.add(print_)
+    sketch, seen = np.zeros(SKETCH, np.uint32), set()
+    for rows, sets in _shingled(batches):
+        prints = _prints(sets)
+        low = []
+        for shingles, key in zip(sets, map(tuple, prints.tolist())):
+            if key not in seen:
+                seen.add(key)
                 low.append(shingles[: np.searchsorted(shingles, _LIMIT)])
         if low:
-            places = (np.concatenate(low) // _WIDTH).astype(np.int64)
-            places, n = np.unique(places, return_counts=True)
+            places, n = np.unique((np.concatenate(low) // _WIDTH).astype(np.int64), return_counts=True)
             sketch[places] += n.astype(np.uint32)
-        out = pd.DataFrame(rows, columns=["doc_id", "n", "fp_a", "fp_b"])
-        out[_BIT_COLUMNS] = bits
+        out = pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "n": [len(x) for x in sets], "fp_a": prints[:, 0], "fp_b": prints[:, 1]})
+        out[_BIT_COLUMNS] = _parities(sets)
         out["chunk"], out["counts"] = -1, None
         yield out
     none = [0] * (4 + len(_BIT_COLUMNS))
@@ -178,17 +210,13 @@ def _postings(levels):
     """Rows (token, grp, n, pos) once a group and task, and rows with pos -1 that name a class of a group."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, table = Shingler(), levels.value
+        table = levels.value
         groups, classes = set(), set()
-        for batch in batches:
+        for _, sets in _shingled(batches):
             tokens, grps, sizes, places, prints = [], [], [], [], []
-            for text in batch["text"]:
-                shingles = shingler(text)
+            for shingles, (fp_a, fp_b) in zip(sets, _prints(sets).tolist()):
                 n = len(shingles)
-                if not n:
-                    continue
-                fp_a, fp_b = _fingerprint(shingles)
-                if (fp_a, fp_b) in classes:
+                if not n or (fp_a, fp_b) in classes:
                     continue
                 classes.add((fp_a, fp_b))
                 prefix = ordered(shingles, table)[: prefix_length(n)]
@@ -229,13 +257,14 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shingler, last, ours = Shingler(), None, None
     for batch in batches:
         links = []
-        for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
-            if a != last:
-                last, ours = a, shingler(text_a)
-            theirs = shingler(text_b)
-            common = len(np.intersect1d(ours, theirs, assume_unique=True))
-            if 100 * common >= 80 * (len(ours) + len(theirs) - common):
-                links.append((a, b))
+        for at in range(0, len(batch), BATCH):
+            rows = batch.iloc[at : at + BATCH]
+            for a, b, text_a, theirs in zip(rows["a"], rows["b"], rows["text_a"], shingler.many(rows["text_b"])):
+                if a != last:
+                    last, ours = a, shingler(text_a)
+                common = len(np.intersect1d(ours, theirs, assume_unique=True))
+                if 100 * common >= 80 * (len(ours) + len(theirs) - common):
+                    links.append((a, b))
         yield pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
@@ -275,19 +304,19 @@ def _inside(members: DataFrame, heads: DataFrame) -> DataFrame:
     """Each group's head with the group's other classes."""
     x, y = heads.alias("x"), members.alias("y")
     pairs = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.rep") != F.col("y.rep")) & _may_link("x", "y"))
-    return staged(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "jaccard-pairs")
+    return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
-def _around(shared: DataFrame, placed: DataFrame, heads: DataFrame, turn: int) -> DataFrame:
-    """Heads of groups with those of their shingles' centres, if these lie in other components."""
+def _around(shared: DataFrame, heads: DataFrame) -> DataFrame:
+    """Heads of groups with those of their shingles' centres."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    draw = F.xxhash64("grp", F.pmod("token", F.lit(SALTS[turn])), F.lit(turn))
-    lists = shared.join(placed, "grp").withColumn("size_class", size_class)
-    lists = lists.withColumn("c", F.min(F.struct(draw, "grp", "n", "pos", "comp")).over(Window.partitionBy("token", "size_class")))
-    met = lists.filter((F.col("c.comp") != F.col("comp")) & _fits(F.col("c.n"), F.col("c.pos"), F.col("n"), F.col("pos"))).select(F.col("c.grp").alias("centre"), "grp").distinct()
+    draw = F.xxhash64("grp", F.pmod("token", F.lit(SALTS)))
+    lists = shared.withColumn("size_class", size_class)
+    lists = lists.withColumn("c", F.min(F.struct(draw, "grp", "n", "pos")).over(Window.partitionBy("token", "size_class")))
+    met = lists.filter((F.col("c.grp") != F.col("grp")) & _fits(F.col("c.n"), F.col("c.pos"), F.col("n"), F.col("pos"))).select(F.col("c.grp").alias("centre"), "grp").distinct()
     x, y = heads.alias("x"), heads.alias("y")
     pairs = met.join(x, F.col("centre") == F.col("x.grp")).join(y, (met["grp"] == F.col("y.grp")) & _may_link("x", "y"))
-    return staged(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).filter("a <> b").distinct(), "jaccard-pairs")
+    return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).filter("a <> b")
 
 
 def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -309,12 +338,8 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     discard(raw)
     first = F.row_number().over(Window.partitionBy("grp").orderBy("rep"))
     heads = staged(members.withColumn("_n", first).filter("_n = 1").drop("_n"), "jaccard-heads")
-    links, found = _links(_inside(members, heads), docs), None
-    for turn in range(len(SALTS)):
-        at = heads.select("grp", F.col("rep").alias("comp")) if found is None else _placed(heads, found).select("grp", "comp")
-        more = _links(_around(shared, at, heads, turn), docs)
-        links = links.union(more)
-        found = components(links)
+    links = _links(staged(_inside(members, heads).union(_around(shared, heads)).distinct(), "jaccard-pairs"), docs)
+    found = components(links)
     # the rest: classes that share a prefix shingle across components
     lists = staged(apart(shared.join(_placed(members, found).drop("n"), "grp"), "comp").select("token", "rep", "comp", "n", "pos", *_BIT_COLUMNS), "jaccard-lists")
     x, y = lists.alias("x"), lists.alias("y")
