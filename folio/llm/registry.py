@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op3_ngram_jaccard_join": jaccard.ORACLE,
+    "op5_secret_scans": secrets.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }

@@ -31,28 +31,33 @@ MARGIN = 0.35
 SAMPLES = 4000
 
 
+VERBS = "get set find load read write make parse build check update remove open close start stop send fetch print merge".split()
+NOUNS = "user name file path token count index value config server client record message request response buffer table column order status session document".split()
+
+
 def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     """n random strings (label 1: base64 and hexadecimal digests) and n identifiers (label 0), from a rule.
 
     n is the documented bound of the training sample.
     """
-    verbs = "get set find load read write make parse build check update remove open close start stop send fetch print merge".split()
-    nouns = "user name file path token count index value config server client record message request response buffer table column order status session document language address".split()
     ids = spark.range(n)
+    i = F.col("id")
 
-    def pick(items: list[str], salt: int) -> Column:
-        return F.get(F.array(*map(F.lit, items)), F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(len(items))).cast("int"))
+    def pick(items: list[str], at: Column) -> Column:
+        return F.get(F.array(*map(F.lit, items)), F.pmod(at, F.lit(len(items))).cast("int"))
 
-    a, b, c = pick(verbs, 1), pick(nouns, 2), pick(nouns, 3)
-    camel = F.concat(a, F.initcap(b), F.initcap(c))
+    a, b, c = pick(VERBS, i), pick(NOUNS, F.floor(i / len(VERBS))), pick(NOUNS, F.floor(i / 3))
     snake = F.concat_ws("_", a, b, c, b)
-    kebab = F.concat_ws("-", a, b, c)
-    path = F.concat_ws("/", F.lit("src"), b, c, snake)
-    numbered = F.concat(F.upper(F.concat_ws("_", b, c)), F.lit("_"), F.pmod(F.col("id"), F.lit(100)))
-    plain = F.concat(a, b, c)
-    shape = F.pmod(F.col("id"), F.lit(6))
-    ordinary = F.when(shape == 0, camel).when(shape == 1, snake).when(shape == 2, kebab).when(shape == 3, path).when(shape == 4, numbered).otherwise(plain)
-    digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
+    shape = F.pmod(i, F.lit(6))
+    ordinary = (
+        F.when(shape == 0, F.concat(a, F.initcap(b), F.initcap(c)))
+        .when(shape == 1, snake)
+        .when(shape == 2, F.concat_ws("-", a, b, c))
+        .when(shape == 3, F.concat_ws("/", F.lit("src"), b, c, snake))
+        .when(shape == 4, F.concat(F.upper(F.concat_ws("_", b, c)), F.lit("_"), F.pmod(i, F.lit(100))))
+        .otherwise(F.concat(a, b, c))
+    )
+    digest = F.sha2(F.concat(F.lit("sample"), i.cast("string")), 256)
     random = F.when(shape < 4, F.base64(F.unhex(digest))).when(shape == 4, F.substring(digest, 1, 40)).otherwise(F.upper(F.substring(digest, 1, 40)))
     return ids.select(ordinary.alias("text"), F.lit(0).alias("label")).union(ids.select(random.alias("text"), F.lit(1).alias("label")))
 
@@ -173,3 +178,41 @@ def op5_secret_scans(spark, sf_dir: str) -> DataFrame:
         F.sha2(_joined(F.filter("secrets", lambda x: x["rank"] < 3)), 256).alias("base_sha256"),
         _joined(F.col("secrets")).alias("spans"),
     )
+
+
+def _found_sql(name: str, pattern: str, group: int = 0) -> str:
+    """Matches of a pattern with their places, as a named subquery."""
+    quoted = pattern.replace("'", "''")
+    return f"""{name} AS (
+  SELECT rid, v, (till - length(m))::BIGINT AS s, till::BIGINT AS e FROM (
+    SELECT rid, ms[k] AS m, vs[k] AS v, sum(length(gaps[k]) + length(ms[k])) OVER (PARTITION BY rid ORDER BY k) AS till FROM (
+      SELECT rid, ms, vs, gaps, unnest(range(1, len(ms) + 1)) AS k FROM (
+        SELECT rid, regexp_extract_all(body, '{quoted}', 0) AS ms, regexp_extract_all(body, '{quoted}', {group}) AS vs, string_split_regex(body, '{quoted}') AS gaps
+        FROM t WHERE regexp_matches(body, '{quoted}')))))"""
+
+
+_NAMED = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+ORACLE = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
+words AS (SELECT i, {VERBS!r}[i % {len(VERBS)} + 1] AS a, {NOUNS!r}[i // {len(VERBS)} % {len(NOUNS)} + 1] AS b, {NOUNS!r}[i // 3 % {len(NOUNS)} + 1] AS c, sha256('sample' || i) AS d FROM range({SAMPLES}) r(i)),
+samples AS (
+  SELECT 0 AS label, CASE i % 6 WHEN 0 THEN a || upper(b[1]) || b[2:] || upper(c[1]) || c[2:] WHEN 1 THEN a || '_' || b || '_' || c || '_' || b WHEN 2 THEN a || '-' || b || '-' || c
+    WHEN 3 THEN 'src/' || b || '/' || c || '/' || a || '_' || b || '_' || c || '_' || b WHEN 4 THEN upper(b || '_' || c) || '_' || (i % 100) ELSE a || b || c END AS x FROM words
+  UNION ALL SELECT 1, CASE WHEN i % 6 < 4 THEN to_base64(unhex(d)) WHEN i % 6 = 4 THEN d[1:40] ELSE upper(d[1:40]) END FROM words),
+counted AS (SELECT label, instr('{ALPHABET}', x[j]) AS a, instr('{ALPHABET}', x[j + 1]) AS b, count(*) AS n FROM (SELECT label, x, unnest(range(1, length(x))) AS j FROM samples) GROUP BY ALL),
+grid AS (SELECT l.i AS label, p.i AS a, q.i AS b, 1.0::DOUBLE + coalesce(n, 0) AS n FROM range(2) l(i), range(1, {len(ALPHABET) + 1}) p(i), range(1, {len(ALPHABET) + 1}) q(i) LEFT JOIN counted c ON c.label = l.i AND c.a = p.i AND c.b = q.i),
+share AS (SELECT label, a, b, ln(n / sum(n) OVER (PARTITION BY label, a)) AS p FROM grid),
+ratio AS (SELECT x.a, x.b, x.p - y.p AS r FROM share x JOIN share y ON x.a = y.a AND x.b = y.b AND x.label = 1 AND y.label = 0),
+{_found_sql('f0', ASSIGN, 2)},
+{_found_sql('f1', ACCESS)},
+{_found_sql('f2', LONG_HEX)},
+{_found_sql('f3', CANDIDATE)},
+base AS (SELECT rid, s, e, 0 AS kind FROM f0 WHERE length(v) >= 8 UNION ALL SELECT rid, s, e, 1 FROM f1 WHERE length(v) >= 16 UNION ALL SELECT rid, s, e, 2 FROM f2),
+letters AS (SELECT rid, s, e, v, unnest(range(1, length(v))) AS j FROM f3 WHERE regexp_matches(v, '[0-9]')),
+scored AS (SELECT rid, s, e, avg(r) AS r FROM letters JOIN ratio ON a = instr('{ALPHABET}', v[j]) AND b = instr('{ALPHABET}', v[j + 1]) GROUP BY rid, s, e),
+spans AS (SELECT * FROM base UNION ALL SELECT rid, s, e, 3 FROM scored x WHERE r > {MARGIN} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = x.rid AND b.s < x.e AND x.s < b.e)),
+g AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg({_NAMED}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg({_NAMED}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g USING (rid)
+"""
