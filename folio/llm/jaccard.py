@@ -12,9 +12,9 @@ Steps, each a Spark job over slim rows:
 3. Every shingle's groups are paired with one centre (per class of sizes), which is linear. Verified pairs give
    components. The centre is drawn by a hash of the group and of one of a few salts, so a group meets several centres of
    a large set of near copies.
-4. What remains are groups, expanded to classes, that share a prefix shingle and lie in different components: all pairs
-   that pass the filters are verified too. So no link between components is lost, while the inside of a large set of
-   near copies is never expanded into all pairs.
+4. What remains are classes that share a prefix shingle or a group and lie in different components: all pairs that
+   pass the filters are verified too. So no link between components is lost, while the inside of a large set of near
+   copies is never expanded into all pairs.
 
 Pairs are filtered by sizes, by the places of the shared shingle, and by parity: of two bitmaps that hold for each of
 BITS buckets of shingles whether their number is odd, the bits that differ are at most the shingles that differ.
@@ -341,7 +341,11 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     links = _links(staged(_inside(members, heads).union(_around(shared, heads)).distinct(), "jaccard-pairs"), docs)
     found = components(links)
     # the rest: classes that share a prefix shingle across components
-    lists = staged(apart(shared.join(_placed(members, found).drop("n"), "grp"), "comp").select("token", "rep", "comp", "n", "pos", *_BIT_COLUMNS), "jaccard-lists")
+    placed = _placed(members, found)
+    columns = ["token", "rep", "comp", "n", "pos", *_BIT_COLUMNS]
+    by_token = shared.join(placed.drop("n"), "grp").select(*columns)
+    by_group = placed.withColumn("_n", F.count("*").over(Window.partitionBy("grp"))).filter("_n > 1").select(F.col("grp").alias("token"), F.lit(0).alias("pos"), *(c for c in columns if c not in ("token", "pos"))).select(*columns)
+    lists = staged(apart(by_token.union(by_group), "comp"), "jaccard-lists")
     x, y = lists.alias("x"), lists.alias("y")
     across = x.join(
         y,

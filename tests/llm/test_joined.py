@@ -94,6 +94,34 @@ def test_join_with_repeated_rows(spark):
     assert sorted(tuple(r)[::2] for r in jaccard.join(df).collect()) == [(2, 2), (4, 4), (4, 4), (9, 4)]
 
 
+def test_join_links_classes_of_one_group_past_its_head(spark):
+    shingle = jaccard.Shingler()
+
+    def key(words):
+        s = shingle(" ".join(words))
+        return len(s), s[: jaccard.prefix_length(len(s))].tolist()
+
+    def changed(words, n):
+        out = list(words)
+        for _ in range(n):
+            for _ in range(2000):
+                new = list(out)
+                new[RNG.randrange(len(new))] = prose(1)
+                if new != out and key(new) == key(out):
+                    out = new
+                    break
+        return out
+
+    base = prose(80).split()
+    head, x = changed(base, 5), changed(base, 5)
+    y = changed(x, 1)
+    rows = [(i, " ".join(w)) for i, w in enumerate((head, x, y), 1)]
+    want = brute_components(rows)
+    assert key(head) == key(x) == key(y) and [c for _, _, c in want] == [1, 2, 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.join(df).collect())) == want
+
+
 def test_prefix_is_long_enough():
     for n in range(1, 60):
         # a partner of size m >= n with the least overlap allowed meets the first prefix_length(n)
