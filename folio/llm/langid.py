@@ -82,17 +82,31 @@ class Classifier:
         return presence_matrix(texts) @ self.weights
 
 
-def bounded_sample(df: DataFrame, label: str, key: str, most: int) -> DataFrame:
-    """At most `most` rows of each label, those whose key has the smallest hash; label and key only."""
-    first = Window.partitionBy(label).orderBy(F.xxhash64(F.lit("sample"), key), key)
-    return df.select(label, key).withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= most).drop("_rank")
+def bounded_sample(df: DataFrame, label: str, key: str, most: dict) -> DataFrame:
+    """At most most[x] rows of each label x, those whose key has the smallest hash; label and key only.
+
+    A first cut by hash leaves each label little more than it needs, whatever the table's size, so the ranking that
+    follows is of a bounded number of rows.
+    """
+    counts = {r[label]: r["count"] for r in df.filter(F.col(label).isin(list(most))).groupBy(label).count().collect()}
+    draw = F.xxhash64(F.lit("sample"), key)
+    share, bound = F.lit(None).cast("long"), F.lit(None).cast("int")
+    for name, k in most.items():
+        parts = 1_000_000 if counts.get(name, 0) <= 2 * k + 1000 else 1_000_000 * (2 * k + 1000) // counts[name] + 1
+        share = F.when(F.col(label) == name, F.lit(parts)).otherwise(share)
+        bound = F.when(F.col(label) == name, F.lit(k)).otherwise(bound)
+    near = df.select(label, key).filter(F.pmod(draw, F.lit(1_000_000)) < share)
+    first = Window.partitionBy(label).orderBy(draw, key)
+    return near.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= bound).drop("_rank")
 
 
 def training_rows(documents: DataFrame, held_out: Column, most: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """Texts and languages of the bounded sample, in a fixed order."""
     allowed = documents.filter(~held_out & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     common = [r["lang"] for r in allowed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    ids = bounded_sample(allowed.filter(F.col("lang").isin(common)), "lang", "doc_id", most).select("doc_id").distinct()
+    if not common:
+        return [], []
+    ids = bounded_sample(allowed, "lang", "doc_id", {x: most for x in common}).select("doc_id").distinct()
     rows = allowed.join(F.broadcast(ids), "doc_id").filter(F.col("text").isNotNull() & F.col("lang").isin(common)).select("doc_id", "text", "lang").collect()  # most * MOST_LANGUAGES ids at most
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     rows = [r for r in rows if r["text"].strip()]

@@ -283,7 +283,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
 def training_rows(documents: DataFrame, labels: DataFrame, most: dict[int, int] = PER_LABEL) -> tuple[list[str], list[int]]:
     """Texts and labels of the bounded sample, in a fixed order; held-out rows never are among them."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~third())
-    chosen = bounded_sample(usable.filter("toxic = 1"), "toxic", "doc_id", most[1]).union(bounded_sample(usable.filter("toxic = 0"), "toxic", "doc_id", most[0]))
+    chosen = bounded_sample(usable, "toxic", "doc_id", most)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.trim("text") != "").collect()
     rows = [r for r in rows if r["text"].split()]
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
