@@ -120,3 +120,30 @@ def suggestions(pages: DataFrame, k: int = 4) -> DataFrame:
     """Up to k page titles to go on with, of each category."""
     n = F.row_number().over(Window.partitionBy("category").orderBy("depth", "id"))
     return pages.withColumn("n", n).filter(F.col("n") <= k).select("category", "n", "title")
+
+
+MOST_ROUNDS = 5
+
+
+def analyse(tables: DataFrame, plan: Callable[[list[tuple]], tuple[str, dict] | list[int] | None], rounds: int = MOST_ROUNDS) -> tuple[list[tuple], list[int]]:
+    """A planner's loop over tools: it sees the results so far and names a tool and arguments, or the tables to show.
+
+    Tables are accepted only after a tool was called; None ends the loop. tables is the short list of an answer.
+    """
+    seen: list[tuple] = []
+    for _ in range(rounds):
+        step = plan(seen)
+        if step is None:
+            break
+        if isinstance(step, list):
+            if seen:
+                return seen, step
+            continue
+        name, args = step
+        seen.append((name, args, [tuple(r) for r in call_tool(tables, name, args).collect()]))
+    return seen, []
+
+
+def embed_text(caption: Column, headers: Column, rows: Column) -> Column:
+    """What a table is embedded by: caption, headers and first five rows."""
+    return F.concat_ws(" ", caption, F.array_join(headers, " "), F.array_join(F.flatten(F.slice(rows, 1, 5)), " "))

@@ -97,3 +97,32 @@ def fuse(lists: DataFrame, key: str = "id", constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of (list, key, pos) rows: score is the sum of 1 / (constant + pos + 1); first_seen orders ties."""
     seen = F.col("list") * F.lit(1_000_000) + F.col("pos")
     return lists.groupBy(key).agg(F.sum(1.0 / (constant + F.col("pos") + 1)).alias("score"), F.min(seen).alias("first_seen"))
+
+
+#: Fewer results than this make a search widen its question.
+FEW = 3
+
+
+def lists_of(parts: list[DataFrame], number: int) -> DataFrame | None:
+    """Result lists (id, pos) one after another as list `number`: places run on, as if they were one list."""
+    out, shift = None, 0
+    for part in parts:
+        rows = part.select("id", (F.col("pos") + shift).alias("pos"), F.lit(number).alias("list"))
+        out, shift = rows if out is None else out.union(rows), shift + part.count()  # result lists are of bounded length
+    return out
+
+
+def hybrid(words: list[DataFrame], vectors: list[DataFrame], k: int) -> DataFrame:
+    """The k best of word hits and vector hits by reciprocal rank; without vectors, as when no embedder answers, the word hits alone."""
+    both = [x for x in (lists_of(words, 0), lists_of(vectors, 1)) if x is not None]
+    rows = both[0] if len(both) == 1 else both[0].unionByName(both[1])
+    fused = fuse(rows).orderBy(F.desc("score"), "first_seen", "id").limit(k)
+    return fused.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "first_seen", "id")) - 1)
+
+
+def widened(found: DataFrame, search_again, k: int) -> DataFrame:
+    """found, or if it has fewer than FEW rows, its fusion with what search_again gives: (word hits, vector hits) of the wider question."""
+    if found.count() >= FEW:
+        return found
+    words, vectors = search_again()
+    return hybrid([found, words], [vectors] if vectors is not None else [], k)

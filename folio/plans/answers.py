@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folio.functions import text
 from folio.functions.core import strings
 from folio.operators import answer, enrich, search
 from folio.plans.records import _CHUNKS, document_chunks
 from folio.plans.register import query
 from folio.plans.retrieval import _SIM, page_hits, similar
+from folio.sources import store
 from folio.sources import tables as t
 from folio.sources.tables import with_tables as sql
 
@@ -87,3 +89,30 @@ def url_year_match(spark, d):
     url = F.when(F.col("doc_id") % 5 == 0, F.lit("http://x/2024/a")).otherwise(F.lit("http://x/2023/a"))
     by_year = F.exists(strings(["%2024%", "%2025%"]), lambda p: F.ilike(url, p))
     return t.raw(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.lower("text").contains("trash"), "words").when(by_year, "year").otherwise("none").alias("found_by"))
+
+
+@query(sql("ct", then="SELECT id, caption || ' ' || array_to_string(headers, ' ') || ' ' || array_to_string(flatten(rows[1:5]), ' ') AS content FROM ct"))
+def table_embed_text(spark, d):
+    return t.customer_tables(spark, d).select("id", answer.embed_text(F.col("caption"), F.col("headers"), F.col("rows")).alias("content"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN length(text) > 500 THEN CASE WHEN contains(substr(text, 1, 500), ' ') THEN regexp_extract(substr(text, 1, 500), '(?s)^(.*) ', 1) ELSE substr(text, 1, 500) END || '...' ELSE text END AS summary FROM documents")
+def content_summaries(spark, d):
+    return t.raw(spark, d, "documents").select(F.col("doc_id").alias("id"), text.summary(F.col("text")).alias("summary"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION SELECT 's' || s_suppkey, 'n' || (s_suppkey % 25) FROM supplier),
+    w AS (SELECT 'r0' AS url, 0 AS depth UNION SELECT target, depth + 1 FROM w JOIN e ON source = url WHERE depth < 7) SELECT url, min(depth) AS depth FROM w GROUP BY url"""
+)
+def crawl_depths(spark, d):
+    """How far pages are from the start, over links with cycles."""
+    nation, supplier = t.raw(spark, d, "nation"), t.raw(spark, d, "supplier")
+    name = lambda letter, column: F.concat(F.lit(letter), column.cast("string"))
+    edges = (
+        nation.select(name("r", F.col("n_regionkey")).alias("source"), name("n", F.col("n_nationkey")).alias("target"))
+        .union(supplier.select(name("n", F.col("s_nationkey")), name("s", F.col("s_suppkey"))))
+        .union(supplier.select(name("s", F.col("s_suppkey")), name("n", F.col("s_suppkey") % 25)))
+        .distinct()
+    )
+    return store.crawl_order(edges, spark.createDataFrame([("r0",)], "url string"))

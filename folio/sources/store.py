@@ -48,15 +48,20 @@ def export_json(df: DataFrame, path: str) -> None:
 
 
 def crawl_order(edges: DataFrame, roots: DataFrame, deepest: int = 7) -> DataFrame:
-    """url and depth of all pages that links (source, target) lead to from roots (url): one frontier join a level."""
+    """url and depth of all pages that links (source, target) lead to from roots (url): one frontier join a level.
+
+    With a checkpoint folder each level is written there, so plans stay short; levels end when nothing new is found.
+    """
     spark = edges.sparkSession
-    seen = roots.select("url").distinct().withColumn("depth", F.lit(0))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        spark.sparkContext.setCheckpointDir(folder)
+    cut = lambda df: df.checkpoint() if folder else df
+    frontier = seen = cut(roots.select("url").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, deepest + 1):
-        frontier = seen.filter(F.col("depth") == depth - 1)
         found = edges.join(frontier, F.col("source") == F.col("url"), "left_semi").select(F.col("target").alias("url")).distinct()
-        fresh = found.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.union(fresh)
-        if spark.conf.get("spark.checkpoint.dir", None):
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-            seen = seen.checkpoint()
+        frontier = cut(found.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = cut(seen.union(frontier))
+        if folder and frontier.isEmpty():
+            break
     return seen

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import cells, text
-from folio.operators import blocks, chunking, enrich, pages, quality, records, search
+from folio.operators import answer, blocks, chunking, enrich, pages, quality, records, search
 from folio.sources import store
 from folio.streaming import daily
 
@@ -188,3 +188,33 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         daily.ingest(stream, f"{tmp_path}/out", f"{tmp_path}/cp", ["ts", "user_id"]).awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 300
+
+
+def test_hybrid_without_vectors_and_widened(spark):
+    hits = spark.createDataFrame([(5, 0), (6, 1)], "id int, pos int")
+    near = spark.createDataFrame([(6, 0), (7, 1)], "id int, pos int")
+    assert [r["id"] for r in search.hybrid([hits], [], 10).collect()] == [5, 6]
+    both = search.hybrid([hits], [near], 10)
+    assert [r["id"] for r in both.collect()] == [6, 5, 7]
+    assert search.widened(both, lambda: 1 / 0, 10) is both
+    wide = search.widened(search.hybrid([hits], [], 10), lambda: (near, None), 10).collect()
+    assert {r["id"] for r in wide} == {5, 6, 7} and wide[0]["id"] == 6
+
+
+def test_batches(spark):
+    got = one(spark, [5, 5, 5, 20, 1], lambda c: answer.batches(c, most_texts=2, most_tokens=10), "array<int>")
+    assert got == [0, 0, 1, 2, 3]
+    assert one(spark, [], answer.batches, "array<int>") == []
+
+
+def test_planner_loop(spark):
+    tables = spark.createDataFrame([(1, ["A", "Valor"], [["x", "1,5"], ["y", "2"], ["TOTAL", "3,5"]])], "id int, headers array<string>, rows array<array<string>>")
+    steps = iter([[0], ("sum_column", {"column": "valor"}), ("nothing", {}), [0]])
+    seen, shown = answer.analyse(tables, lambda seen: next(steps))
+    assert shown == [0] and seen[0][2] == [(1, "3,50", None)] and seen[1][2] == [(1, None, "unknown tool: nothing")]
+    assert answer.analyse(tables, lambda seen: ("count_rows", {}))[0][-1][2] == [(1, "2", None)]
+
+
+def test_replies(spark):
+    assert one(spark, '```json\n[{"page_id": 3, "tags": ["ata"]}]\n```', answer.parse_reply)[0]["tags"] == ["ata"]
+    assert one(spark, "none", answer.parse_reply) is None
