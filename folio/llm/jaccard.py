@@ -17,7 +17,8 @@ Steps, each a Spark job over slim rows:
    copies is never expanded into all pairs.
 
 Pairs are filtered by sizes, by the places of the shared shingle, and by parity: of two bitmaps that hold for each of
-BITS buckets of shingles whether their number is odd, the bits that differ are at most the shingles that differ.
+BITS buckets of shingles whether their number is odd, the bits that differ are at most the shingles that differ. Large
+sets are filtered by what their prefixes share: they can't have more in common than that and the longer rest.
 
 Texts are shingled anew where they are needed, rather than sets being stored: a set takes more bytes than its text.
 Shingles are identified by 64-bit hashes and classes by 128-bit ones.
@@ -52,6 +53,8 @@ FREQUENT = 32
 
 #: Salts by which centres are drawn: about so many of them does a group in a large set of near copies meet.
 SALTS = 12
+#: Sets larger than this are filtered by the number of prefix shingles that they share, as a parity map of theirs is full.
+WIDE = 1000
 #: Documents that are shingled at once.
 BATCH = 256
 #: Bits of a set's parity map.
@@ -140,8 +143,18 @@ def _parities(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sets), BITS // 64)
 
 
+_own: list[Shingler] = []
+
+
+def _shingler() -> Shingler:
+    """This process's shingler: a worker keeps the words that it has met from task to task."""
+    if not _own:
+        _own.append(Shingler())
+    return _own[0]
+
+
 def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    shingler = Shingler()
+    shingler = _shingler()
     for batch in batches:
         for at in range(0, len(batch), BATCH):
             rows = batch.iloc[at : at + BATCH]
@@ -220,7 +233,7 @@ def _postings(levels):
                     continue
                 classes.add((fp_a, fp_b))
                 prefix = ordered(shingles, table)[: prefix_length(n)]
-                grp = int(_signed(_mix(np.bitwise_xor.reduce(_mix(prefix ^ np.uint64(7))) ^ np.uint64(n))))
+                grp = int(_signed(_mix(np.bitwise_xor.reduce(_mix(prefix ^ np.uint64(7)), keepdims=True) ^ np.uint64(n)))[0])
                 tokens.append(np.array([fp_a], np.int64))
                 grps.append(np.array([grp], np.int64))
                 sizes.append(np.array([n], np.int32))
@@ -254,7 +267,7 @@ def _may_link(x: str, y: str):
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shingler, last, ours = Shingler(), None, None
+    shingler, last, ours = _shingler(), None, None
     for batch in batches:
         links = []
         for at in range(0, len(batch), BATCH):
@@ -313,7 +326,9 @@ def _around(shared: DataFrame, heads: DataFrame) -> DataFrame:
     draw = F.xxhash64("grp", F.pmod("token", F.lit(SALTS)))
     lists = shared.withColumn("size_class", size_class)
     lists = lists.withColumn("c", F.min(F.struct(draw, "grp", "n", "pos")).over(Window.partitionBy("token", "size_class")))
-    met = lists.filter((F.col("c.grp") != F.col("grp")) & _fits(F.col("c.n"), F.col("c.pos"), F.col("n"), F.col("pos"))).select(F.col("c.grp").alias("centre"), "grp").distinct()
+    met = lists.filter((F.col("c.grp") != F.col("grp")) & _fits(F.col("c.n"), F.col("c.pos"), F.col("n"), F.col("pos")))
+    # what links with a set of n meets it at n / 9 shingles or more, a salt's share of which stands here; the rest is left to the last step
+    met = met.groupBy(F.col("c.grp").alias("centre"), "grp", "n").count().filter(F.col("count") * 36 * SALTS >= F.col("n")).select("centre", "grp")
     x, y = heads.alias("x"), heads.alias("y")
     pairs = met.join(x, F.col("centre") == F.col("x.grp")).join(y, (met["grp"] == F.col("y.grp")) & _may_link("x", "y"))
     return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).filter("a <> b")
@@ -342,20 +357,25 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     found = components(links)
     # the rest: classes that share a prefix shingle across components
     placed = _placed(members, found)
-    columns = ["token", "rep", "comp", "n", "pos", *_BIT_COLUMNS]
-    by_token = shared.join(placed.drop("n"), "grp").select(*columns)
-    by_group = placed.withColumn("_n", F.count("*").over(Window.partitionBy("grp"))).filter("_n > 1").select(F.col("grp").alias("token"), F.lit(0).alias("pos"), *(c for c in columns if c not in ("token", "pos"))).select(*columns)
+    columns = ["token", "rep", "comp", "n", "pos", "whole", *_BIT_COLUMNS]
+    by_token = shared.join(placed.drop("n"), "grp").withColumn("whole", F.lit(False)).select(*columns)
+    one_group = placed.withColumn("_n", F.count("*").over(Window.partitionBy("grp"))).filter("_n > 1")
+    by_group = one_group.withColumns({"token": F.col("grp"), "pos": F.lit(0), "whole": F.lit(True)}).select(*columns)
     lists = staged(apart(by_token.union(by_group), "comp"), "jaccard-lists")
     x, y = lists.alias("x"), lists.alias("y")
-    across = x.join(
+    fits = _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+    met = x.join(
         y,
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.comp") != F.col("y.comp"))
         & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep"))))
-        & _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+        & (5 * F.col("x.n") >= 4 * F.col("y.n"))
+        & (fits | (F.col("x.n") > WIDE))
         & _may_link("x", "y"),
-    ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    second = _links(staged(across.distinct(), "jaccard-pairs"), docs)
+    ).groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+    most = F.col("shared") + F.ceil(F.greatest("n", "m") * 4 / 5) - 1
+    across = met.agg(F.count("*").alias("shared"), F.max(fits).alias("fits"), F.max("x.whole").alias("whole")).filter(F.col("fits") & (F.col("whole") | (F.col("n") <= WIDE) | (9 * most >= 4 * (F.col("n") + F.col("m"))))).select("a", "b")
+    second = _links(staged(across, "jaccard-pairs"), docs)
     discard(lists)
     final = found if second.isEmpty() else components(links.union(second))
     labelled = classes.join(final, F.col("rep") == F.col("node"), "left").filter("copies > 1 OR node IS NOT NULL").select("fp_a", "fp_b", F.coalesce("component", "rep").alias("component"))

@@ -78,9 +78,9 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("frequent", [32, 3])
-def test_join_finds_all_links(spark, monkeypatch, frequent):
-    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+@pytest.mark.parametrize("wide", [jaccard.WIDE, 0])
+def test_join_finds_all_links(spark, monkeypatch, wide):
+    monkeypatch.setattr(jaccard, "WIDE", wide)  # 0: all pairs are filtered by what their prefixes share
     rows = near_copies() + [(None, prose(9)), (None, None)]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, component_id int").repartition(3)
     got = jaccard.join(df).collect()
