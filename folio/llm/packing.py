@@ -56,7 +56,7 @@ class Encoder:
     steps before it; any other stretch between white space goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 550_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.letters = Tokenizer.from_file(path), most, _byte_letters()
