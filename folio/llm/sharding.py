@@ -21,13 +21,15 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.shared import running_start, staged
+from folio.llm.shared import discard, running_start, staged
 
 MOST_SHARDS = 4096
 NEW_SHARDS = 40
 OLD_SHARDS = 24
 BUCKETS = 128
 OVERHEAD = 16
+#: The column in which a plan carries whole documents.
+DOCUMENT = "document"
 
 
 def even_capacities(total: int, shards: int) -> list[int]:
@@ -108,6 +110,11 @@ def measured(df: DataFrame, old_shard: Column, doc_id: str = "doc_id", text: str
     return df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + OVERHEAD).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32"), old_shard.cast("int").alias("old_shard"), F.pmod(key, F.lit(buckets)).cast("int").alias("bucket"), *keep)
 
 
+def whole(documents: DataFrame) -> list[Column]:
+    """What `measured` keeps so that a plan carries the documents themselves, for `rewrite_affected`."""
+    return [F.struct(*documents.columns).alias(DOCUMENT)]
+
+
 def reshard(rows: DataFrame, n_old: int, capacities=None, shards: int = NEW_SHARDS) -> DataFrame:
     """rows (as of `measured`, a staged table) with shard and slot.
 
@@ -160,14 +167,32 @@ def _slotted(rows: DataFrame) -> DataFrame:
 def rewrite_affected(documents: DataFrame, plan: DataFrame, path: str, doc_id: str = "doc_id") -> list[int]:
     """Writes documents of those shards whose rows change into path/shard=N, and returns their numbers.
 
-    A shard is affected if a row enters or leaves it; the files of the others stay as they are. doc_id must be unique.
+    A shard is affected if a row enters or leaves it; the files of the others stay as they are, and the folder of one
+    that is left without rows goes. path may be the layout that documents are read from, as rows are staged first.
+    A plan that was measured with keep=whole(documents) carries the rows themselves; any other is joined by doc_id,
+    and refused if that is null or repeated.
     """
+    spark = documents.sparkSession
     change = plan.filter("shard <> old_shard")
     affected = change.select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
     numbers = sorted(r["shard"] for r in affected.collect())
-    rows = plan.filter(F.col("shard").isin(numbers)).select(F.col("doc_id").alias(doc_id), "shard", "slot")
-    out = documents.join(rows, doc_id).repartition("shard", F.pmod("slot", F.lit(16))).sortWithinPartitions("shard", "slot")
-    out.write.mode("overwrite").partitionBy("shard").parquet(path)
+    if not numbers:
+        return numbers
+    rows = plan.filter(F.col("shard").isin(numbers))
+    if DOCUMENT in plan.columns:
+        out = rows.select(*(F.col(DOCUMENT)[c].alias(c) for c in documents.columns if c not in ("shard", "slot")), "shard", "slot")
+    else:
+        if not plan.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+            raise ValueError("doc_id is null or repeated: measure with keep=whole(documents)")
+        out = documents.drop("shard", "slot").join(rows.select(F.col("doc_id").alias(doc_id), "shard", "slot"), doc_id)
+    out = staged(out, "shard-rewritten")
+    filled = {r["shard"] for r in out.select("shard").distinct().collect()}  # a row a shard
+    dealt = out.repartition("shard", F.pmod("slot", F.lit(16))).sortWithinPartitions("shard", "slot")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for number in set(numbers) - filled:  # dynamic mode leaves folders that get no row
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={number}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    discard(out)
     return numbers
 
 

@@ -204,6 +204,26 @@ def test_rewrite_only_affected(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == plan.filter("shard > 0").count()
 
 
+@pytest.mark.parametrize("room", [lambda s: [s[0], s[1] - 60, s[2] + 60], lambda s: [s[0], 0, s[1] + s[2]]])
+def test_rewrite_in_place_keeps_every_row(spark, tmp_path, room):
+    path = f"{tmp_path}/layout"
+    rows = [(None if i % 10 == 7 else i // 2 * 2 % 40, "x" * (20 if i < 30 else 4), i, i % 3) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, n int, shard int").write.partitionBy("shard").parquet(path)
+    docs = spark.read.parquet(path)
+    files = sorted((f.name, f.read_bytes()) for f in (tmp_path / "layout/shard=0").iterdir())
+    measured = sharding.staged(sharding.measured(docs, F.col("shard"), keep=sharding.whole(docs)), "t")
+    sizes = [r["n"] for r in measured.groupBy("old_shard").agg(F.sum("size").alias("n")).orderBy("old_shard").collect()]
+    plan = sharding.reshard(measured, 3, room(sizes))
+    want = sorted((r["n"], r["shard"]) for r in plan.select("document.n", "shard").collect())
+    assert sharding.rewrite_affected(docs, plan, path) == [1, 2]
+    out = spark.read.parquet(path).collect()
+    assert sorted((r["n"], r["shard"]) for r in out) == want
+    assert sorted((r["n"], r["doc_id"], r["text"]) for r in out if r["doc_id"] is not None) == sorted((n, i, t) for i, t, n, _ in rows if i is not None)
+    assert sorted((f.name, f.read_bytes()) for f in (tmp_path / "layout/shard=0").iterdir()) == files
+    with pytest.raises(ValueError):
+        sharding.rewrite_affected(docs, plan.drop("document"), f"{tmp_path}/other")
+
+
 @pytest.mark.parametrize("query", [sharding.op1_sharding, secrets.op5_secret_scans, quality.op6_quality_rules, mixing.op9_mixing])
 def test_empty_table(spark, corpus, query):
     assert query(spark, corpus([])).count() == 0
