@@ -24,7 +24,8 @@ Texts are shingled anew where they are needed, rather than sets being stored: a
 Shingles are identified by 64-bit hashes and classes by 128-bit ones.
 
 Null, empty and blank texts have an empty set, no links and themselves as component. Rows with a null doc_id take no
-part and get a null component. Rows of one doc_id are one node: what any of them links with is in its component.
+part and get a null component. Rows of one doc_id are one node: what any of them links with is in its component, and
+n_shingles is each row's own.
 An empty table gives an empty result. Extra columns are not read.
 """
 
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -88,7 +90,7 @@ class Shingler:
         for text in texts:
             words = (text or "").encode("utf-8", "surrogatepass").lower().split()
             for word in set(words).difference(seen):
-                seen[word] = zlib.crc32(word) << 32 | zlib.crc32(word, 0x5BD1E995) ^ len(word)
+                seen[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
             split.append(words)
         n = np.array([len(w) for w in split], np.int64)
         h = _mix(np.fromiter(map(seen.__getitem__, chain.from_iterable(split)), np.uint64, int(n.sum())))
@@ -267,14 +269,14 @@ def _may_link(x: str, y: str):
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shingler, last, ours = _shingler(), None, None
+    shingler, last, ours = _shingler(), None, None  # last: the left text, as a doc_id may have several
     for batch in batches:
         links = []
         for at in range(0, len(batch), BATCH):
             rows = batch.iloc[at : at + BATCH]
             for a, b, text_a, theirs in zip(rows["a"], rows["b"], rows["text_a"], shingler.many(rows["text_b"])):
-                if a != last:
-                    last, ours = a, shingler(text_a)
+                if ours is None or text_a != last:
+                    last, ours = text_a, shingler(text_a)
                 common = len(np.intersect1d(ours, theirs, assume_unique=True))
                 if 100 * common >= 80 * (len(ours) + len(theirs) - common):
                     links.append((a, b))
@@ -308,6 +310,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "component")
 
 
+def _one_node(known: DataFrame, several: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the representatives of all classes that share a doc_id of several."""
+    own = known.join(several, "doc_id", "left_semi").select("doc_id", "fp_a", "fp_b").distinct()
+    reps = staged(own.join(classes.select("fp_a", "fp_b", "rep"), ["fp_a", "fp_b"]).select("doc_id", "rep").distinct(), "jaccard-reps")
+    least = reps.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return staged(reps.join(least, "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "jaccard-one-node")
+
+
 def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
     """members with comp, their representative's component."""
     return members.join(found, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
@@ -354,6 +364,11 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     first = F.row_number().over(Window.partitionBy("grp").orderBy("rep"))
     heads = staged(members.withColumn("_n", first).filter("_n = 1").drop("_n"), "jaccard-heads")
     links = _links(staged(_inside(members, heads).union(_around(shared, heads)).distinct(), "jaccard-pairs"), docs)
+    prints = F.struct("fp_a", "fp_b")
+    several = staged(rows.filter(F.col("doc_id") != NO_ID).groupBy("doc_id").agg(F.min(prints).alias("low"), F.max(prints).alias("high")).filter("low <> high").select("doc_id"), "jaccard-several")
+    repeated = not several.isEmpty()
+    if repeated:
+        links = links.union(_one_node(known, several, classes))
     found = components(links)
     # the rest: classes that share a prefix shingle across components
     placed = _placed(members, found)
@@ -380,8 +395,12 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     final = found if second.isEmpty() else components(links.union(second))
     labelled = classes.join(final, F.col("rep") == F.col("node"), "left").filter("copies > 1 OR node IS NOT NULL").select("fp_a", "fp_b", F.coalesce("component", "rep").alias("component"))
     known = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
-    own = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    own = F.coalesce(F.when(F.col("n") > 0, F.col("component")), "doc_id")
     out = rows.join(labelled, ["fp_a", "fp_b"], "left")
+    if repeated:  # an empty row follows the other texts of its doc_id
+        others = rows.filter("n > 0").join(several, "doc_id", "left_semi").join(labelled, ["fp_a", "fp_b"]).groupBy("doc_id").agg(F.min("component").alias("others"))
+        out = out.join(others, "doc_id", "left").withColumn("component", F.coalesce("component", "others"))
+        own = F.coalesce("component", "doc_id")
     return out.select(known.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(known.isNotNull(), own).alias("component_id"))
 
 

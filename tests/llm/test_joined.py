@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -122,6 +123,28 @@ def test_join_links_classes_of_one_group_past_its_head(spark):
     assert sorted(map(tuple, jaccard.join(df).collect())) == want
 
 
+def test_rows_of_one_doc_id_are_one_node(spark):
+    t = [prose(60) for _ in range(6)]
+    rows = [(1, t[0]), (1, t[1]), (2, edited(t[1], 1)), (3, t[2]), (4, t[2]), (4, t[3]), (5, t[3]), (6, t[4]), (5, ""), (7, ""), (8, t[5]), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r["doc_id"], r["component_id"]) for r in jaccard.join(df).collect()) == sorted((i, c) for i, _, c in brute_components(rows))
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7, 8: 8}
+
+
+def test_links_are_verified_with_each_text_of_a_doc_id():
+    a, b = prose(60), prose(60)
+    for texts in ((a, b), (b, a)):
+        batch = pd.DataFrame({"a": [1, 1], "b": [2, 2], "text_a": texts, "text_b": [edited(b, 1)] * 2})
+        assert pd.concat(jaccard._verified(iter([batch]))).values.tolist() == [[1, 2]]
+
+
+def test_word_hashes_are_64_bits():
+    # the two words have one crc32, whatever it starts with
+    shingler = jaccard.Shingler()
+    shingler.many(["plumless buckeroo"])
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo") and len(set(shingler.seen.values())) == 2
+
+
 def test_prefix_is_long_enough():
     for n in range(1, 60):
         # a partner of size m >= n with the least overlap allowed meets the first prefix_length(n)
