@@ -1,13 +1,13 @@
 """Packing: first-fit decreasing with a tournament tree of bin capacities, in randomised groups of documents.
 
-Documents are dealt to groups by a hash of doc_id, so no key makes a large group and every group is a fair sample of
-lengths; each group is packed in a task of its own. A document longer than a sequence is cut into full sequences and
+Documents are dealt to groups by a hash of doc_id and text, and those that a task has met before by their number too, so
+no key makes a large group and every group is a fair sample of lengths; each group is packed in a task of its own. A document longer than a sequence is cut into full sequences and
 one rest. Pieces of a group, longest first, go to the leftmost sequence with room, which the tree finds in log n steps.
 
 Texts are split at white space first, as the tokenizer itself drops it, and each distinct stretch is encoded once; a
 text in which Python and the tokenizer may disagree is encoded whole. The ids are those of encoding the whole text.
 
-Null and empty texts are the single end token. A null doc_id counts as a document (of one group with the others).
+Null and empty texts are the single end token. A null doc_id counts as a document.
 Repeated rows are documents of their own. An empty table gives an empty result. Extra columns are not read.
 """
 
@@ -18,11 +18,13 @@ import string
 import unicodedata
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +75,8 @@ class Encoder:
         return ids
 
     def _word(self, word: str) -> bytes:
+        if "\u0130" in word:  # the one letter whose lower case has a mark, at which the tokenizer parts the word
+            return self._whole(word)
         if word.isalpha():
             low = word.lower()
             return self.cores.get(low) or self._core(low)
@@ -151,10 +155,13 @@ def pieces(documents: DataFrame, groups: int, path: str | None = None, doc_id: s
     where = path or public_tokenizers.path(TOKENIZER)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(where)
+        encode, met, task = encoder(where), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             rows = []
-            for key, grp, body in zip(batch["doc_id"], batch["grp"], batch["text"]):
+            for key, dealt_by, body in zip(batch["doc_id"].tolist(), batch["dealt_by"].tolist(), batch["text"]):
+                met[dealt_by] += 1
+                again = met[dealt_by] - 1
+                grp = (zlib.crc32(f"{dealt_by} {again} {task}".encode()) if again else dealt_by) % groups
                 ids = np.append(encode(body), np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), capacity):
                     own = ids[start : start + capacity]
@@ -162,7 +169,7 @@ def pieces(documents: DataFrame, groups: int, path: str | None = None, doc_id: s
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp", *(["ids"] if with_ids else [])])
 
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
-    dealt = documents.select(key.alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.lit("packing"), key), F.lit(groups)).alias("grp"))
+    dealt = documents.select(key.alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.lit("packing"), key, F.col(text)).alias("dealt_by"))
     return dealt.mapInPandas(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 

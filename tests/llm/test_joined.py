@@ -165,6 +165,22 @@ def test_encoder_gives_the_tokenizers_ids():
         assert encode(text).tolist() == plain.encode(text or "", add_special_tokens=False).ids
 
 
+def test_encoder_of_the_letter_whose_lower_case_has_a_mark():
+    from tokenizers import Tokenizer
+
+    path = packing.public_tokenizers.path(packing.TOKENIZER)
+    encode, plain = packing.Encoder(path), Tokenizer.from_file(path)
+    for text in ["İstanbul", "DİYARBAKIR'da (İzmir), İ! İİ x.İ", *(prose(3, [*"İiIıa'.,-(", "\u0307", "Kİ"]) for _ in range(200)), *("".join(RNG.choices("İiIıA'.,-( ", k=9)) for _ in range(500))]:
+        assert encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_groups_of_null_and_repeated_ids_are_small(spark):
+    rows = [(None, f"text {i}") for i in range(400)] + [(7, f"text {i}") for i in range(400)] + [(8, "same")] * 400 + [(None, None)] * 400
+    cut = packing.pieces(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 16)
+    sizes = [r["count"] for r in cut.groupBy("grp").count().collect()]
+    assert sum(sizes) == 1600 and len(sizes) == 16 and max(sizes) < 200
+
+
 def test_tournament_is_first_fit():
     for _ in range(20):
         lengths = np.array([RNG.randint(1, 50) for _ in range(200)])
