@@ -19,13 +19,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest doc_id. Documents without doc_id aren't compared and stay."""
-    found = staged(jaccard.join(docs).filter("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "component_id"), "pipeline-groups")
-    kept = docs.join(found.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if not again.isEmpty():  # rows of one doc_id are copies of each other too
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    """One document of each group of copies stays, that of the smallest doc_id; null ones come last.
+
+    If a doc_id is null or repeated, rows are compared by keys of their own, in a staged copy: different texts of one
+    doc_id stay, and copies without doc_id go. Of copies of one doc_id the one whose columns hash least stays.
+    """
+    if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        found = staged(jaccard.join(docs).filter("doc_id <> component_id").select("doc_id"), "pipeline-copies")
+        return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    keyed = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-keyed")
+    groups = jaccard.join(keyed, "_row").filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "_row")
+    ranked = staged(groups.join(keyed.select("_row", rank.alias("_rank")), "_row"), "pipeline-groups")
+    first = ranked.groupBy("_group").agg(F.min("_rank").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    go = ranked.join(first, "_group").filter("_rank <> _first").select("_row")
+    return keyed.join(go, "_row", "left_anti").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

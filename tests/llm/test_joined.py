@@ -416,6 +416,16 @@ def test_pipeline_against_stages(spark, corpus):
     assert check_packing(corpus_pipeline.run(spark, folder).collect(), want) > 0.5
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    a, b, c, d, e = (prose(60) for _ in range(5))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (None, e), (None, e), (None, edited(a, 1)), (None, None), (None, ""), (4, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    want = [(1, a), (2, b), (3, c), (3, d), (None, e), (None, None), (None, ""), (4, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("query", [packing.op4_packing, langid.op7_language_id, jaccard.op3_ngram_jaccard_join, pii.op8_surrogates, corpus_pipeline.run])
 def test_empty_table(spark, corpus, query):
     assert query(spark, corpus([])).count() == 0
