@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from folio.llm import jaccard, langid, neighbours, packing, pii, secrets, toxicity
+from folio.llm import jaccard, langid, neighbours, packing, pii, toxicity
 from folio.llm.shared import staged
 
 RNG = random.Random(5)
@@ -394,7 +394,3 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
 @pytest.mark.parametrize("query", [packing.op4_packing, langid.op7_language_id, jaccard.op3_ngram_jaccard_join, pii.op8_surrogates, corpus_pipeline.run])
 def test_empty_table(spark, corpus, query):
     assert query(spark, corpus([])).count() == 0
-
-
-def test_secret_model_is_small(spark):
-    assert len(secrets.train(secrets.labelled_samples(spark, 60))) == len(secrets.ALPHABET) ** 2

@@ -60,6 +60,25 @@ def test_quality_keeps_columns_and_prose(spark):
     assert out.columns == df.columns and [r["doc_id"] for r in out.collect()] == [1]
 
 
+LANGUAGES = {
+    "ru": "Мы долго шли по дороге и не знали, что будет за поворотом, но солнце светило и птицы пели на ветках, а с поля дул тёплый ветер.",
+    "el": "Το χωριό είναι μικρό και ήσυχο, με σπίτια από πέτρα, και το πρωί οι άνθρωποι πηγαίνουν στα χωράφια για να δουλέψουν ως το βράδυ, όλοι μαζί.",
+    "tr": "Küçük bir köyde yaşayan yaşlı bir adam ve karısı vardı, bu adam her sabah erken kalkar da tarlaya gider, akşam için odun toplar ve eve dönerdi.",
+    "pl": "Nad rzeką stał stary młyn i nikt nie wiedział, że w nim mieszka ktoś jeszcze, bo na progu rosła trawa, a okna były zabite deskami od lat.",
+    "ja": " ".join(["昔々", "ある", "ところ", "に", "おじいさん", "と", "おばあさん", "が", "住んで", "いました"] * 1 + [f"山{i}" for i in range(15)]),
+    "quoted": "“The house,” (and) “the garden,” *of* _that_ family, “and” the road: to a mill! (in) a valley; is it that? for “the” old people; on sundays.",
+}
+
+
+def test_quality_keeps_other_languages(spark, corpus):
+    folder = corpus([(i, t, "a") for i, t in enumerate(LANGUAGES.values())] + [(90, "lexicon basket orange window " * 2 + " ".join(f"brick{k}" for k in range(30)), "a")])
+    got = {r["doc_id"]: r["kept"] for r in quality.op6_quality_rules(spark, folder).collect()}
+    assert got == {i: i < 90 for i in got}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    assert got == {r[0]: r[7] for r in con.execute(quality.ORACLE).fetchall()}
+
+
 def base_spans(text):
     text = text or ""
     kinds = (
@@ -89,14 +108,53 @@ def test_secrets_match_brute_force(spark, corpus):
     assert len(out) == len(ROWS)
 
 
-def test_markov_separates_random_strings_from_identifiers(spark):
-    model = secrets.train(secrets.labelled_samples(spark, 2000))
-    rows = [(hashlib.md5(str(i).encode()).hexdigest()[:24].upper(), 1) for i in range(200)]
-    rows += [("".join(RNG.choice(secrets.ALPHABET[:62]) for _ in range(24)), 1) for _ in range(200)]
-    rows += [(f"{RNG.choice(WORDS)}_{RNG.choice(WORDS)}_handler_{RNG.choice(WORDS)}_index{i}", 0) for i in range(400)]
-    df = spark.createDataFrame(rows, "s string, y int").withColumn("hit", secrets.log_ratio(F.col("s"), model) > secrets.MARGIN)
-    n = {(r["y"], r["hit"]): r["count"] for r in df.groupBy("y", "hit").count().collect()}
-    assert n.get((0, True), 0) == 0 and n.get((1, True), 0) >= 380
+def test_secrets_match_sql(spark, corpus):
+    joined = [(20 + i, f"{prose(12)} {x} {prose(6)}", "b") for i, x in enumerate(SECRETS + ORDINARY)]
+    folder = corpus(ROWS + joined + [(i, prose(30), "c") for i in range(100, 130)])
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, secrets.op5_secret_scans(spark, folder).collect()), key=repr)
+    assert got == sorted(con.execute(secrets.ORACLE).fetchall(), key=repr) and sum(r[5].count("markov") for r in got) >= len(SECRETS)
+
+
+def random_string(letters, n):
+    return "".join(RNG.choice(letters) for _ in range(n))
+
+
+SECRETS = [random_string(secrets.ALPHABET[:62], n) for n in (16, 19, 24, 40)] + [random_string(secrets.ALPHABET[:52], 32), random_string(secrets.ALPHABET[26:62], 32), hashlib.md5(b"y").hexdigest()[:30].upper()]
+SECRETS += [f"src/user/config/get_file_path_file/{random_string(secrets.ALPHABET[:62], 24)}", f"{random_string(secrets.ALPHABET[:62], 30)}/src/user/config/server/client/message/{random_string(secrets.ALPHABET[:62], 30)}"]
+ORDINARY = ["123e4567-e89b-12d3-a456-426614174000", "-" * 40, "=" * 40, "aaaaaaaaaaaaaaaaaaaa", "4952935900253052", "2024-01-15T10-30-00", "src/user/config/get_file_path_file", "getUserNameFileConfig2024", "UPDATE_TABLE_COLUMN_ORDER", "+--------+--------+", "the_of_and_to_shorethin_index12"]
+
+
+def stretches_of(spark, values, model):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return {r["i"]: r["x"] for r in df.select("i", secrets.stretches(F.col("v"), model).alias("x")).collect()}
+
+
+def test_markov_parts_random_strings_from_ordinary_ones(spark):
+    docs = spark.createDataFrame([(i, prose(60)) for i in range(300)], "doc_id long, text string")
+    model = secrets.train(secrets.samples(docs))
+    got = stretches_of(spark, SECRETS + ORDINARY, model)
+    assert [len(got[i]) for i in range(len(got))] == [1] * (len(SECRETS) - 1) + [2] + [0] * len(ORDINARY)
+    assert got[7][0][1] == 59 and 25 <= got[7][0][0] <= 35  # the piece behind the path, whole
+    strings = [random_string(secrets.ALPHABET[:62], RNG.randint(16, 40)) for _ in range(300)] + ["/".join(RNG.choice(WORDS) for _ in range(9)) + "_" + RNG.choice(WORDS) for _ in range(300)]
+    hits = [bool(x) for _, x in sorted(stretches_of(spark, strings, model).items())]
+    assert sum(hits[:300]) >= 290 and sum(hits[300:]) == 0
+
+
+def test_long_runs_and_texts(spark):
+    # a run of half a million characters, a match of as many, and as many short texts in one
+    model = secrets.train(secrets.labelled_samples(spark, 500))
+    texts = [random_string(secrets.ALPHABET[:62], 500_000), "token=" + "z" * 500_000, "a=1 " * 120_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.mask(df, model=model).collect()}
+    assert got == {0: "[SECRET]", 1: "token=[SECRET]", 2: texts[2]}
+
+
+def test_scans_keep_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "password=abcdefgh1234", 7, "x", "y", "z")], "doc_id long, text string, at int, body string, base string, draw string")
+    assert secrets.mask(df).collect() == [(1, "password=[SECRET]", 7, "x", "y", "z")]
+    assert secrets.scan(df).drop("secrets").collect() == df.collect()
 
 
 def test_mask_hides_every_span(spark):
