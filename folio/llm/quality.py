@@ -4,6 +4,10 @@ RULES is data: each row names a metric, the bounds it must keep, and why. `verdi
 expression over a struct of metrics, so adding a rule changes no code. All work stays in the JVM; a row is judged by
 itself, so there is no shuffle, and repeated rows get equal results.
 
+The stop-word rule knows the languages of STOP_WORDS, 28 of Latin, Cyrillic or Greek script; marks around a word don't
+matter. Texts that are mainly of other scripts (OTHER_SCRIPT of their characters) aren't judged by it. Running text of a
+Latin, Cyrillic or Greek language that isn't listed may fail it: give rules of your own then.
+
 Nulls and empty texts have no words: all counts are 0, base_failed is true and kept is false. Very long texts take time
 in proportion to n log n, only where windows do repeat. Extra columns, also with the names of ours, pass `judge` by.
 """
@@ -36,12 +40,22 @@ RULES = (
 )
 #: Checked in whole numbers besides: 100 * n_repeat_words may not exceed 30 * n_words.
 BASE_RULES = (Rule("n_words", 20, None, "long enough to judge"),)
-#: Frequent function words of English, German, French and Spanish.
+#: Marks that don't belong to the word that they stand at.
+MARKS = ".,;:!?()[]{}*_\"'«»„“”‘’…-"
+#: Share of characters of other scripts from which the stop-word rule doesn't judge, and these characters.
+OTHER_SCRIPT = 0.25
+OTHER_LETTER = r"[\x{530}-\x{1DFF}\x{2C00}-\x{D7FF}\x{F900}-\x{10FFFF}]"
+#: The most frequent function words of English, German, French and Spanish, then of other languages: Italian,
+#: Portuguese, Dutch, Swedish, Danish, Norwegian, Finnish, Polish, Czech, Slovak, Hungarian, Romanian, Turkish, Croatian,
+#: Slovene, Estonian, Latvian, Lithuanian, Indonesian, Vietnamese, Russian, Ukrainian, Bulgarian, Greek.
 STOP_WORDS = (
     "the of and to a in is it that for on with as was be by are this from at or an not have "
     "der die das und ist nicht ein eine zu von mit den dem im für auf auch sich des als "
     "le la les et est un une de du des en que pour dans sur pas avec par au qui "
-    "el los las y es una del se con por para no lo su al como más"
+    "el los las y es una del se con por para no lo su al como más "
+    "il di che e non per è o da do em um os het een van niet och att som är på og det til af ikke å "
+    "ja on ei että oli w z i na nie to się v že je s a az és hogy egy și cu nu care ve bir bu da için "
+    "u su za ki pa ne un ar ir tai yang dan ini và là của có и в не на что с і у та що от за се και το η της"
 ).split()
 
 
@@ -79,6 +93,7 @@ def _repeated_words(tokens: Column) -> Column:
 def metrics(text: Column) -> Column:
     """A struct of all counts and ratios of a text."""
     body = F.coalesce(text, F.lit(""))
+    n_other = F.regexp_count(body, F.lit(OTHER_LETTER))
     n_symbols = F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long")
     lines = F.filter(F.split(body, "\n"), lambda x: F.regexp_replace(x, BLANKS, "") != "")
 
@@ -86,7 +101,7 @@ def metrics(text: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.aggregate(w, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x)).alias("word_chars"),
-            F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+            F.size(F.filter(w, lambda x: F.btrim(F.lower(x), F.lit(MARKS)).isin(sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
             _repeated_words(w).alias("n_repeat_words"),
         )
 
@@ -104,7 +119,7 @@ def metrics(text: Column) -> Column:
                 w["n_repeat_words"].alias("n_repeat_words"),
                 (w["word_chars"] / F.greatest(w["n_words"], F.lit(1))).alias("mean_word_chars"),
                 (n_symbols / F.greatest(w["n_words"], F.lit(1))).alias("symbols_per_word"),
-                (w["n_stop_words"] / F.greatest(w["n_words"], F.lit(1))).alias("stop_word_ratio"),
+                F.when(n_other > OTHER_SCRIPT * w["word_chars"], 1.0).otherwise(w["n_stop_words"] / F.greatest(w["n_words"], F.lit(1))).alias("stop_word_ratio"),
                 (x["n_dup_lines"] / F.greatest(x["n_lines"], F.lit(1))).alias("dup_line_ratio"),
             ),
         )
@@ -147,7 +162,8 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(F.col(m + c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "quality.base_failed", "quality.kept")
 
 
-_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+_MARKS = MARKS.replace("'", "''")
 ORACLE = rf"""
 WITH t AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body,
@@ -164,12 +180,12 @@ m AS (
          (length(body) - length(translate(body, '#*$%&|<>', '')))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         len(list_filter(w, lambda x: lower(x) IN ({_STOPS}))) AS n_stop
+         len(list_filter(w, lambda x: trim(lower(x), '{_MARKS}') IN ({_STOPS}))) AS n_stop, length(regexp_replace(body, '[^{OTHER_LETTER[1:]}', '', 'g')) AS n_other
   FROM t LEFT JOIN cover USING (rid)),
 f AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND word_chars::DOUBLE / greatest(n_words, 1) BETWEEN 1.5 AND 30.0
-        AND n_symbols::DOUBLE / greatest(n_words, 1) <= 0.25 AND n_stop::DOUBLE / greatest(n_words, 1) >= 0.05
+        AND n_symbols::DOUBLE / greatest(n_words, 1) <= 0.25 AND (n_other > {OTHER_SCRIPT} * word_chars OR n_stop::DOUBLE / greatest(n_words, 1) >= 0.05)
         AND n_dup_lines::DOUBLE / greatest(n_lines, 1) <= 0.5) AS kept
 FROM f
 """
