@@ -327,7 +327,7 @@ def test_neighbours_exact_and_recall(spark):
     queries = df.filter("vec_id % 20 = 0")
     want = exact([(i, v) for i, v, _ in rows], [(i, v) for i, v, _ in rows if i % 20 == 0], 20)
     for factor, least in ((1.0, 1.0), (neighbours.FACTOR, 0.9)):
-        out = neighbours.search(df, queries, factor=factor, shard=300, block=30).collect()
+        out = neighbours.search(df, queries, factor=factor, shard=300, per_task=30).collect()
         got = defaultdict(dict)
         for r in out:
             got[r["query_id"]][r["rank"]] = r
