@@ -3,15 +3,19 @@
 Given old shards and the capacities of new ones, the bytes that each old shard sends to each new one are the flow of
 least cost in a bipartite network: a byte that stays in the shard of the same number costs 0, one that moves costs 1.
 The network has a node a shard, never a node a document, so the driver solves it whatever the rows' number. The flow
-cuts every old shard's line of bytes (documents in order of bucket and doc_id) into stretches, one a target. Documents
+cuts every old shard's line of bytes (documents in order of a hash) into stretches, one a target. Documents
 inside a stretch follow it; the few that lie across a cut (at most one a cut) are placed largest first where most room
 is left, which keeps the sizes within about one document of each other.
 
-The running sums are two-level, so an old shard that holds a third of the bytes is no hot task. Old shards are numbered
-from 0 and few (at most MOST_SHARDS); buckets are a parameter.
+The running sums are two-level, and slots are counted in cells of CELL bytes, so neither an old shard that holds a third
+of the bytes nor a document that makes a third of the rows is a hot task. Old shards are numbered from 0 and few (at most
+MOST_SHARDS).
 
 Null text has no bytes and the checksum of an empty one; a null doc_id counts as a document; repeated rows are
-documents of their own; an empty table gives an empty result. Columns that are asked for by `keep` pass by.
+documents of their own and stand side by side; an empty table gives an empty result. Equal free room (a tie) goes to the
+shard of the smaller number. A very long text is one document, in one shard, whatever its capacity; texts are only
+measured, never moved but by `rewrite_affected`. Columns that are asked for by `keep` pass by; as struct
+(`whole`) they may have any names.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ from folio.llm.shared import discard, running_start, staged
 MOST_SHARDS = 4096
 NEW_SHARDS = 40
 OLD_SHARDS = 24
-BUCKETS = 128
 OVERHEAD = 16
+#: Bytes of an old shard's line whose slots are counted in one task: no more than CELL / OVERHEAD rows.
+CELL = 1 << 26
 #: The column in which a plan carries whole documents.
 DOCUMENT = "document"
 
@@ -103,16 +108,17 @@ def _stretches(supplies: list[int], capacities: list[int]) -> list[tuple[int, in
     return out
 
 
-def measured(df: DataFrame, old_shard: Column, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, keep=()) -> DataFrame:
-    """Slim rows: doc_id, size, text_crc32, old_shard and bucket."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    key = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    return df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + OVERHEAD).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32"), old_shard.cast("int").alias("old_shard"), F.pmod(key, F.lit(buckets)).cast("int").alias("bucket"), *keep)
+def measured(df: DataFrame, old_shard: Column, doc_id: str = "doc_id", text: str = "text", keep=()) -> DataFrame:
+    """Slim rows: doc_id, size, text_crc32, old_shard, the hash by which they stand in line, and the part that wrote them."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    size, crc = (F.octet_length(body) + OVERHEAD).cast("long"), F.crc32(body).cast("long")
+    line = F.md5(F.concat_ws("|", F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), size.cast("string"), crc.cast("string")))
+    return df.select(F.col(f"`{doc_id}`").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), old_shard.cast("int").alias("old_shard"), line.alias("line"), F.spark_partition_id().alias("part"), *keep)
 
 
 def whole(documents: DataFrame) -> list[Column]:
     """What `measured` keeps so that a plan carries the documents themselves, for `rewrite_affected`."""
-    return [F.struct(*documents.columns).alias(DOCUMENT)]
+    return [F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias(DOCUMENT)]
 
 
 def reshard(rows: DataFrame, n_old: int, capacities=None, shards: int = NEW_SHARDS) -> DataFrame:
@@ -128,7 +134,7 @@ def reshard(rows: DataFrame, n_old: int, capacities=None, shards: int = NEW_SHAR
         supplies[row["old_shard"]] = row["n"]
     room = capacities(sum(supplies)) if callable(capacities) else capacities or even_capacities(sum(supplies), shards)
     cuts = _stretches(supplies, room)
-    lined = staged(running_start(rows, ["old_shard"], "bucket", ["doc_id", "size", "text_crc32"], "size", "start"), "shard-lines")
+    lined = staged(running_start(rows, ["old_shard"], ["line"], "size", "start").drop("line", "part"), "shard-lines")
     table = spark.createDataFrame([(i, a, b, j) for i, a, b, j in cuts], "old_shard int, from long, to long, target int")
     inside = (F.col("start") >= F.col("from")) & (F.col("start") < F.col("to"))
     aimed = lined.join(F.broadcast(table), "old_shard").filter(inside)  # proven small: a row a unit of flow between shards
@@ -155,13 +161,14 @@ def reshard(rows: DataFrame, n_old: int, capacities=None, shards: int = NEW_SHAR
 
 
 def _slotted(rows: DataFrame) -> DataFrame:
-    """Adds slot: the gapless place in the shard, by old shard, bucket and start."""
-    cell = ["shard", "old_shard", "bucket"]
+    """Adds slot: the gapless place in the shard, by old shard and start."""
+    cell = ["shard", "old_shard", "_cell"]
+    rows = rows.withColumn("_cell", F.floor(F.col("start") / CELL))
     counts = rows.groupBy(*cell).count()
-    before = Window.partitionBy("shard").orderBy("old_shard", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("shard").orderBy("old_shard", "_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     place = F.row_number().over(Window.partitionBy(*cell).orderBy("start"))
-    return rows.withColumn("_place", place).join(offsets, cell).withColumn("slot", (F.col("_offset") + F.col("_place") - 1).cast("long")).drop("_offset", "_place")
+    return rows.withColumn("_place", place).join(offsets, cell).withColumn("slot", (F.col("_offset") + F.col("_place") - 1).cast("long")).drop("_offset", "_place", "_cell")
 
 
 def rewrite_affected(documents: DataFrame, plan: DataFrame, path: str, doc_id: str = "doc_id") -> list[int]:
