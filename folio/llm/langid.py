@@ -6,8 +6,10 @@ K(x, landmarks) K(landmarks, landmarks)^-1/2; on it, kernel ridge regression is
 against the rest. As a kernel value is an inner product of presence vectors, the landmarks and the ridge coefficients
 fold into one matrix (n-gram bucket x language), and a batch of texts is scored by one product of its presence matrix.
 
-The training sample is bounded: at most PER_LANGUAGE texts of a language, those of smallest hash, LANDMARKS of which
-are landmarks. The driver sees that sample alone. Scoring is a map over all documents without shuffle.
+All languages are learned. The training sample is bounded: at most PER_LANGUAGE texts of a language, those of smallest
+hash, LANDMARKS of which are landmarks; with many languages fewer of each, so that there are ALL_TEXTS and ALL_LANDMARKS
+or one a language. Texts of over MOST_BYTES aren't drawn. The driver sees that sample alone, and one task ranks the
+sample's rows of a language. Scoring is a map over all documents without shuffle.
 
 Null texts and texts without a letter get `und` and score 0. Ties go to the language first by code point. A training set
 without labelled texts gives `und` everywhere. Very long texts are read whole, in memory in proportion. Repeated rows
@@ -16,6 +18,7 @@ get equal results; extra columns are not read.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +26,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.llm.shared import WORD
+
 GRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
-PER_LANGUAGE = 150
-LANDMARKS = 40
-#: Languages beyond these, by number of labelled rows, aren't learned.
-MOST_LANGUAGES = 200
+PER_LANGUAGE, ALL_TEXTS = 150, 30_000
+LANDMARKS, ALL_LANDMARKS = 40, 4_000
+#: Longer texts aren't drawn into training samples.
+MOST_BYTES = 1 << 20
 RIDGE = 1e-2
 BATCH = 64
 UNKNOWN = "und"
@@ -66,14 +71,17 @@ class Classifier:
         self.languages = sorted(set(languages))
         rows = presence_matrix(texts)
         # the same number of landmarks from each language, in the sample's order
-        chosen = [k for name in self.languages for k in [i for i, x in enumerate(languages) if x == name][:LANDMARKS]]
+        most, own = max(1, min(LANDMARKS, ALL_LANDMARKS // len(self.languages))), defaultdict(list)
+        for k, name in enumerate(languages):
+            own[name].append(k)
+        chosen = [k for name in self.languages for k in own[name][:most]]
         marks = rows[chosen]
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         keep = values > 1e-6 * values[-1]
         half = (vectors[:, keep] / np.sqrt(values[keep])) @ vectors[:, keep].T
         features = (rows @ marks.T).astype(np.float64) @ half
         wanted = np.where(np.array(languages)[:, None] == np.array(self.languages)[None, :], 1.0, -1.0)
-        share = np.array([1 / languages.count(x) for x in languages])  # each language weighs the same
+        share = np.array([1 / len(own[x]) for x in languages])  # each language weighs the same
         gram = features.T @ (features * share[:, None]) + RIDGE / len(self.languages) * np.eye(features.shape[1])
         ridge = np.linalg.solve(gram, features.T @ (wanted * share[:, None]))
         self.weights = (marks.T @ (half @ ridge)).astype(np.float32)
@@ -82,34 +90,31 @@ class Classifier:
         return presence_matrix(texts) @ self.weights
 
 
-def bounded_sample(df: DataFrame, label: str, key: str, most: dict) -> DataFrame:
-    """At most most[x] rows of each label x, those whose key has the smallest hash; label and key only.
+def bounded_sample(df: DataFrame, label: str, key: list[str], most: dict, keep=()) -> DataFrame:
+    """At most most[x] rows of each label x, those whose key has the smallest hash; label, key and keep only.
 
     A first cut by hash leaves each label little more than it needs, whatever the table's size, so the ranking that
-    follows is of a bounded number of rows.
+    follows, a task a label, is of a bounded number of rows.
     """
-    counts = {r[label]: r["count"] for r in df.filter(F.col(label).isin(list(most))).groupBy(label).count().collect()}
-    draw = F.xxhash64(F.lit("sample"), key)
-    share, bound = F.lit(None).cast("long"), F.lit(None).cast("int")
-    for name, k in most.items():
-        parts = 1_000_000 if counts.get(name, 0) <= 2 * k + 1000 else 1_000_000 * (2 * k + 1000) // counts[name] + 1
-        share = F.when(F.col(label) == name, F.lit(parts)).otherwise(share)
-        bound = F.when(F.col(label) == name, F.lit(k)).otherwise(bound)
-    near = df.select(label, key).filter(F.pmod(draw, F.lit(1_000_000)) < share)
-    first = Window.partitionBy(label).orderBy(draw, key)
-    return near.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= bound).drop("_rank")
+    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # a row a label
+    rows = [(x, k, 1_000_000 if counts[x] <= 2 * k + 1000 else 1_000_000 * (2 * k + 1000) // counts[x] + 1) for x, k in most.items() if counts.get(x)]
+    draw, kind = F.xxhash64(F.lit("sample"), *key), df.schema[label].dataType.simpleString()
+    bounds = F.broadcast(df.sparkSession.createDataFrame(rows, f"{label} {kind}, _most int, _parts long"))
+    near = df.select(label, *key, *keep).join(bounds, label).filter(F.pmod(draw, F.lit(1_000_000)) < F.col("_parts"))
+    first = Window.partitionBy(label).orderBy(draw, *key)
+    return near.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= F.col("_most")).select(label, *key, *keep)
 
 
 def training_rows(documents: DataFrame, held_out: Column, most: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """Texts and languages of the bounded sample, in a fixed order."""
-    allowed = documents.filter(~held_out & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    common = [r["lang"] for r in allowed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    if not common:
+    allowed = documents.filter(~held_out & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
+    languages = [r["lang"] for r in allowed.select("lang").distinct().collect()]  # a row a language
+    if not languages:
         return [], []
-    ids = bounded_sample(allowed, "lang", "doc_id", {x: most for x in common}).select("doc_id").distinct()
-    rows = allowed.join(F.broadcast(ids), "doc_id").filter(F.col("text").isNotNull() & F.col("lang").isin(common)).select("doc_id", "text", "lang").collect()  # most * MOST_LANGUAGES ids at most
+    per_language = max(1, min(most, ALL_TEXTS // len(languages)))
+    usable = allowed.filter(F.col("text").rlike(WORD) & (F.octet_length("text") <= MOST_BYTES))
+    rows = bounded_sample(usable, "lang", ["doc_id", "text"], {x: per_language for x in languages}).collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
-    rows = [r for r in rows if r["text"].strip()]
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 

@@ -5,12 +5,13 @@ every STRIDE words, overlap and cover the whole text; each is read forwards and
 pooled by attention and scored by a logistic unit. A document's score is that of its most toxic window.
 
 The network is trained in numpy on the driver, on a bounded sample of labelled documents: at most PER_LABEL of
-each label, those of smallest hash. As only documents are labelled, all windows of a toxic document count as toxic at first,
+each label, those of smallest hash, and at most ROWS_PER_ID rows of a doc_id; texts of over MOST_BYTES aren't drawn. One
+task ranks the sample's ids of a label, some thousands whatever the table. As only documents are labelled, all windows of a toxic document count as toxic at first,
 and then only those that the network finds most toxic. Scoring is a map over all documents without shuffle, with the
 network (some hundred KB, whatever the corpus) as a broadcast.
 
 Null, empty and blank texts score 0. Rows of `labels` without doc_id or label aren't used; without labels of both kinds
-every score is 0. Several labels of a doc_id count as toxic if one is. Repeated rows get equal scores; very long texts
+every score is 0. Equal scores (ties) stay equal. Several labels of a doc_id count as toxic if one is. Repeated rows get equal scores; very long texts
 are read whole, in chunks of windows. Extra columns are not read.
 """
 
@@ -21,16 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.langid import bounded_sample, third
+from folio.llm.langid import MOST_BYTES, bounded_sample, third
+from folio.llm.shared import WORD
 
 WINDOW, STRIDE = 32, 24
 WORD_BUCKETS, GRAM_BUCKETS = 8192, 4096
 WORD_SIZE, GRAM_SIZE, HIDDEN = 12, 8, 8
 #: Documents of a label in the training sample: toxic ones, others.
 PER_LABEL = {1: 700, 0: 1800}
+ROWS_PER_ID = 3
 EPOCHS, BATCH, RATE = 4, 128, 0.01
 #: Small samples are gone through until so many steps are made.
 LEAST_STEPS = 400
@@ -283,9 +286,10 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
 def training_rows(documents: DataFrame, labels: DataFrame, most: dict[int, int] = PER_LABEL) -> tuple[list[str], list[int]]:
     """Texts and labels of the bounded sample, in a fixed order; held-out rows never are among them."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~third())
-    chosen = bounded_sample(usable, "toxic", "doc_id", most)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.trim("text") != "").collect()
-    rows = [r for r in rows if r["text"].split()]
+    chosen = bounded_sample(usable, "toxic", ["doc_id"], most)
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.col("text").rlike(WORD) & (F.octet_length("text") <= MOST_BYTES))
+    few = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    rows = rows.withColumn("_n", few).filter(F.col("_n") <= ROWS_PER_ID).drop("_n").collect()  # ROWS_PER_ID * sum(most) at most
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
