@@ -12,18 +12,24 @@ Steps, each a Spark job over slim rows:
 3. Every shingle's groups are paired with one centre (per class of sizes), which is linear. Verified pairs give
    components. The centre is drawn by a hash of the group and of one of a few salts, so a group meets several centres of
    a large set of near copies.
-4. What remains are classes that share a prefix shingle or a group and lie in different components: all pairs that
-   pass the filters are verified too. So no link between components is lost, while the inside of a large set of near
-   copies is never expanded into all pairs.
+4. What remains are groups that share a prefix shingle and don't lie whole in one component: all pairs of them that pass
+   the filters are expanded into their classes, and the classes of different components are filtered and verified too;
+   so are those of one group. So no link between components is lost, while the inside of a large set of near copies is
+   never expanded into all pairs.
 
 Pairs are filtered by sizes, by the places of the shared shingle, and by parity: of two bitmaps that hold for each of
 BITS buckets of shingles whether their number is odd, the bits that differ are at most the shingles that differ. Large
 sets are filtered by what their prefixes share: they can't have more in common than that and the longer rest.
 
+Sets of up to three shingles link with equal sets alone, so they have no prefixes. Classes of many copies (at least
+HOT_SHARE of all documents, which bounds their number) are joined with their documents by broadcast; other skewed joins
+are left to adaptive execution.
+
 Texts are shingled anew where they are needed, rather than sets being stored: a set takes more bytes than its text.
 Shingles are identified by 64-bit hashes and classes by 128-bit ones.
 
-Null, empty and blank texts have an empty set, no links and themselves as component. Rows with a null doc_id take no
+A very long text is shingled whole, in memory in proportion. Equal texts (ties) have one component, named by the smallest
+doc_id. Null, empty and blank texts have an empty set, no links and themselves as component. Rows with a null doc_id take no
 part and get a null component. Rows of one doc_id are one node: what any of them links with is in its component, and
 n_shingles is each row's own.
 An empty table gives an empty result. Extra columns are not read.
@@ -50,8 +56,12 @@ SKETCH_PART = 0.3
 CHUNK = 1 << 18
 #: Stands for a null doc_id inside pandas batches.
 NO_ID = -(2**63)
-#: A counter of this much or more puts its shingles behind all others.
+#: A counter of this much or more, and of twice the usual one, puts its shingles behind all others.
 FREQUENT = 32
+#: Sets up to this size have no link but equal sets.
+ALONE = 3
+#: Share of documents from which a class is joined by broadcast, and the copies that it has at least.
+HOT_SHARE, HOT_COPIES = 1e-4, 4096
 
 #: Salts by which centres are drawn: about so many of them does a group in a large set of near copies meet.
 SALTS = 12
@@ -186,13 +196,14 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The chunks' sums as one byte a counter: 0 below FREQUENT, else the number of bits."""
+    """The chunks' sums as one byte a counter: 0 if not frequent, else the number of bits."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, counts in zip(batch["chunk"], batch["counts"]):
             part = np.frombuffer(zlib.decompress(counts), np.uint32)
             sums[k] = sums[k] + part if k in sums else part.astype(np.uint64)
-    rows = [(k, np.where(s < FREQUENT, 0, np.ceil(np.log2(s + 1.0))).astype(np.uint8).tobytes()) for k, s in sums.items()]
+    # in a large table every counter is shared by many rare shingles: their usual sum says nothing
+    rows = [(k, np.where(s < max(FREQUENT, 2 * np.median(s)), 0, np.ceil(np.log2(s + 1.0))).astype(np.uint8).tobytes()) for k, s in sums.items()]
     yield pd.DataFrame(rows, columns=["chunk", "levels"])
 
 
@@ -231,7 +242,7 @@ def _postings(levels):
             tokens, grps, sizes, places, prints = [], [], [], [], []
             for shingles, (fp_a, fp_b) in zip(sets, _prints(sets).tolist()):
                 n = len(shingles)
-                if not n or (fp_a, fp_b) in classes:
+                if n <= ALONE or (fp_a, fp_b) in classes:
                     continue
                 classes.add((fp_a, fp_b))
                 prefix = ordered(shingles, table)[: prefix_length(n)]
@@ -344,6 +355,47 @@ def _around(shared: DataFrame, heads: DataFrame) -> DataFrame:
     return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).filter("a <> b")
 
 
+def _across(shared: DataFrame, placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a prefix shingle or a group and pass all filters.
+
+    A group is named by its smallest class. One of a single class has that one's parity map, so its pairs need no
+    further filter; others are expanded.
+    """
+    groups = placed.groupBy("grp").agg(F.first("n").alias("n"), F.min("rep").alias("head"), F.min("comp").alias("comp"), (F.min("comp") != F.max("comp")).alias("mixed"), (F.count("*") > 1).alias("many"), *(F.first(b).alias(b) for b in _BIT_COLUMNS))
+    groups = staged(groups, "jaccard-groups")
+    columns = ["token", "head", "comp", "mixed", "many", "n", "pos", *_BIT_COLUMNS]
+    token = Window.partitionBy("token")
+    lists = shared.drop("n").join(groups, "grp").select(*columns)
+    lists = staged(lists.withColumn("low", F.min("comp").over(token)).withColumn("high", F.max("comp").over(token)).withColumn("any", F.max("mixed").over(token)).filter("low <> high OR any").drop("low", "high", "any"), "jaccard-lists")
+    x, y = lists.alias("x"), lists.alias("y")
+    fits = _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+    met = x.join(
+        y,
+        (F.col("x.token") == F.col("y.token"))
+        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.head") < F.col("y.head"))))
+        & ((F.col("x.comp") != F.col("y.comp")) | F.col("x.mixed") | F.col("y.mixed"))
+        & (5 * F.col("x.n") >= 4 * F.col("y.n"))
+        & (fits | (F.col("x.n") > WIDE))
+        & (F.col("x.many") | F.col("y.many") | _may_link("x", "y")),
+    ).groupBy(F.col("x.head").alias("a"), F.col("y.head").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), (F.col("x.many") | F.col("y.many")).alias("many"))
+    most = F.col("shared") + F.ceil(F.greatest("n", "m") * 4 / 5) - 1
+    pairs = met.agg(F.count("*").alias("shared"), F.max(fits).alias("fits")).filter(F.col("fits") & ((F.col("n") <= WIDE) | (9 * most >= 4 * (F.col("n") + F.col("m")))))
+    pairs = staged(pairs.select("a", "b", "many"), "jaccard-group-pairs")
+    discard(lists)
+    out = pairs.filter(~F.col("many")).select("a", "b")
+    several = groups.filter("many").select("grp", "head", "mixed")
+    if several.isEmpty():
+        return out
+    members = placed.join(groups.select("grp", "head", "mixed"), "grp")
+    left, right = members.alias("x"), members.alias("y")
+    apart = (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y")
+    ends = [F.col("x.rep").alias("a"), F.col("y.rep").alias("b")]
+    opened = pairs.filter("many").join(left, F.col("a") == F.col("x.head")).join(right, (F.col("b") == F.col("y.head")) & apart).select(*ends)
+    inside = members.filter("mixed")
+    inside = inside.alias("x").join(inside.alias("y"), (F.col("x.grp") == F.col("y.grp")) & (F.col("x.rep") < F.col("y.rep")) & apart).select(*ends)
+    return out.union(opened).union(inside).distinct()
+
+
 def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = documents.sparkSession
@@ -370,33 +422,18 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     if repeated:
         links = links.union(_one_node(known, several, classes))
     found = components(links)
-    # the rest: classes that share a prefix shingle across components
-    placed = _placed(members, found)
-    columns = ["token", "rep", "comp", "n", "pos", "whole", *_BIT_COLUMNS]
-    by_token = shared.join(placed.drop("n"), "grp").withColumn("whole", F.lit(False)).select(*columns)
-    one_group = placed.withColumn("_n", F.count("*").over(Window.partitionBy("grp"))).filter("_n > 1")
-    by_group = one_group.withColumns({"token": F.col("grp"), "pos": F.lit(0), "whole": F.lit(True)}).select(*columns)
-    lists = staged(apart(by_token.union(by_group), "comp"), "jaccard-lists")
-    x, y = lists.alias("x"), lists.alias("y")
-    fits = _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
-    met = x.join(
-        y,
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.comp") != F.col("y.comp"))
-        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep"))))
-        & (5 * F.col("x.n") >= 4 * F.col("y.n"))
-        & (fits | (F.col("x.n") > WIDE))
-        & _may_link("x", "y"),
-    ).groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
-    most = F.col("shared") + F.ceil(F.greatest("n", "m") * 4 / 5) - 1
-    across = met.agg(F.count("*").alias("shared"), F.max(fits).alias("fits"), F.max("x.whole").alias("whole")).filter(F.col("fits") & (F.col("whole") | (F.col("n") <= WIDE) | (9 * most >= 4 * (F.col("n") + F.col("m"))))).select("a", "b")
-    second = _links(staged(across, "jaccard-pairs"), docs)
-    discard(lists)
+    # the rest: groups that share a prefix shingle across components
+    second = _links(staged(_across(shared, _placed(members, found)), "jaccard-pairs"), docs)
+    for table in (shared, members):
+        discard(table)
     final = found if second.isEmpty() else components(links.union(second))
-    labelled = classes.join(final, F.col("rep") == F.col("node"), "left").filter("copies > 1 OR node IS NOT NULL").select("fp_a", "fp_b", F.coalesce("component", "rep").alias("component"))
+    labelled = staged(classes.join(final, F.col("rep") == F.col("node"), "left").filter("copies > 1 OR node IS NOT NULL").select("fp_a", "fp_b", "copies", F.coalesce("component", "rep").alias("component")), "jaccard-labelled")
     known = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     own = F.coalesce(F.when(F.col("n") > 0, F.col("component")), "doc_id")
-    out = rows.join(labelled, ["fp_a", "fp_b"], "left")
+    hot = F.col("copies") >= max(HOT_COPIES, int(rows.count() * HOT_SHARE))
+    large = F.broadcast(labelled.filter(hot).drop("copies"))  # 1 / HOT_SHARE rows at most
+    out = rows.join(large, ["fp_a", "fp_b"]).union(rows.join(large, ["fp_a", "fp_b"], "left_anti").join(labelled.filter(~hot).drop("copies"), ["fp_a", "fp_b"], "left"))
+    labelled = labelled.drop("copies")
     if repeated:  # an empty row follows the other texts of its doc_id
         others = rows.filter("n > 0").join(several, "doc_id", "left_semi").join(labelled, ["fp_a", "fp_b"]).groupBy("doc_id").agg(F.min("component").alias("others"))
         out = out.join(others, "doc_id", "left").withColumn("component", F.coalesce("component", "others"))
