@@ -100,10 +100,12 @@ def extract_value(rows: Column, find_at: Column, value: str, take_at: Column) ->
 
 
 def total_row(headers: Column, rows: Column) -> Column:
-    """TOTAL, and under each header of money the sum of its column."""
+    """The sum under each header of money whose column holds a number, TOTAL in the first cell unless that is one; null if there is none."""
     money = lambda h: F.exists(F.array(*map(F.lit, MONEY_HEADERS)), lambda w: F.lower(h).contains(w))
-    cells = F.transform(headers, lambda h, i: F.when(i == 0, F.lit("TOTAL")).when(money(h), F.concat(F.lit("R$ "), brl(sum_column(rows, i)))).otherwise(F.lit("")))
-    return cells
+    known = lambda i: F.exists(body_rows(rows), lambda r: number(F.get(r, i)).isNotNull())
+    sums = F.transform(headers, lambda h, i: F.when(money(h) & known(i), F.concat(F.lit("R$ "), brl(sum_column(rows, i)))))
+    row = lambda s: F.transform(s, lambda x, i: F.coalesce(x, F.when(i == 0, "TOTAL").otherwise("")))
+    return bind(sums, lambda s: F.when(F.exists(s, lambda x: x.isNotNull()), row(s)))
 
 
 def verdict(headers: Column, rows: Column) -> Column:

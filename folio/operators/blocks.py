@@ -1,5 +1,7 @@
-"""Semantic chunks: blocks of a text told apart as headings, tables and paragraphs, and packed under the last heading.
+"""Semantic chunks: blocks of plain text or HTML told apart as headings, tables, lists and paragraphs, and packed.
 
+A heading names the section of what follows; a table is a chunk of its own; paragraphs and lists join up to MOST tokens
+and carry the section of their last block; a chunk of fewer than LEAST tokens joins the one before it if both fit.
 Packing is a state machine over a document's blocks, so it runs in Python, a document at a time inside batches; Spark
 spreads the documents.
 """
@@ -8,97 +10,223 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+# Limits in tokens, of headings and of tables, and what a heading and a sentence's end look like.
 MOST, LEAST = 800, 100
-HEADING_WORDS, HEADING_CHARS = 12, 100
-_NUMBERED = re.compile(r"^(?:\d+(?:\.\d+)*[.)]?\s+\S|[IVXLC]+\s*[-.–]\s*\S)")
+LIST_MOST = 300
+HEADING_WORDS, HEADING_CHARS = 12, 80
+SHORTEST_PARAGRAPH = 20
+TABLE_ROWS = 50
+TABLE_CUT = "... (tabela truncada)"
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÁÉÍÓÚÂÊÎÔÛÀÃÕÇ"
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 CHUNK = "chunk_index int, section_title string, chunk_text string, token_count int, has_table boolean"
 
+HIDDEN = {"script", "style", "nav", "head", "footer"}
+OPENED = {"div", "section", "article", "main", "body", "span", "td", "li"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+class Block(NamedTuple):
+    text: str
+    section: str | None
+    table: bool = False
+
 
 def tokens(text: str) -> int:
     return max(1, int(len(text.split()) * 1.3))
 
 
+# --- plain text ------------------------------------------------------------------------------------------------------
+
+
 def is_heading(block: str) -> bool:
-    """One short line, in capitals or numbered, that doesn't end like a sentence."""
-    text = block.strip()
-    if "\n" in text or not text or len(text) >= HEADING_CHARS or len(text.split()) > HEADING_WORDS or text[-1] in ".:,;":
+    """One line of at most 12 words and 80 characters that begins with a capital or digit and holds no sentence mark."""
+    line = block.strip()
+    if not line or len(line.splitlines()) != 1 or len(line) > HEADING_CHARS or len(line.split()) > HEADING_WORDS:
         return False
-    letters = [c for c in text if c.isalpha()]
-    return bool(_NUMBERED.match(text)) or bool(letters) and all(c.isupper() for c in letters)
+    return (line[0] in _CAPITALS or line[0].isdecimal()) and line[-1] not in ":,;" and not any(c in ".!?" for c in line[1:])
 
 
 def is_table(block: str) -> bool:
-    lines = [x for x in block.split("\n") if x.strip()]
-    piped = sum(x.count("|") >= 2 for x in lines)
-    return piped >= 2 and piped > len(lines) / 2
-
-
-def _parts(text: str, pieces: list[str], joint: str, most: int) -> list[str]:
-    """Pieces joined up to `most` tokens; a single piece that is longer is halved by words."""
-    out, line = [], []
-    for piece in pieces:
-        if line and tokens(joint.join([*line, piece])) > most:
-            out.append(joint.join(line))
-            line = []
-        line.append(piece)
-    out.append(joint.join(line))
-    if len(out) == 1 and tokens(text) > most:
-        words = text.split()
-        half = len(words) // 2
-        return [p for side in (words[:half], words[half:]) for p in (_parts(" ".join(side), [" ".join(side)], joint, most) if side else [])]
-    return out
-
-
-def chunks(text: str | None, most: int = MOST, least: int = LEAST) -> list[tuple[int, str | None, str, int, bool]]:
-    """(index, section, text, tokens, is a table) of each chunk."""
-    section: str | None = None
-    out: list[list] = []  # section, text, table
-    open_: list[str] = []
-    opened: str | None = None
-
-    def close():
-        nonlocal open_
-        if open_:
-            out.append([opened, "\n\n".join(open_), False])
-            open_ = []
-
-    for block in (b.strip() for b in re.split(r"\n\s*\n", text or "")):
-        if not block:
-            continue
+    """More than half of the lines, and two at least, hold a bar."""
+    lines = block.splitlines()
+    barred = sum("|" in x for x in lines)
+    return barred >= 2 and 2 * barred > len(lines)
+
+
+def _labelled(breadcrumb: str | None, heading: str) -> str:
+    return f"{breadcrumb} > {heading}" if breadcrumb else heading
+
+
+def text_blocks(text: str | None, breadcrumb: str | None = None) -> Iterator[Block]:
+    section = breadcrumb
+    for block in re.split(r"\n\s*\n", (text or "").strip()):
+        block = block.strip()
         if is_heading(block):
-            close()
-            section = block
-        elif is_table(block):
-            close()
-            out += [[section, part, True] for part in _parts(block, block.split("\n"), "\n", most)]
+            section = _labelled(breadcrumb, block)
+        elif block:
+            yield Block(block, section, is_table(block))
+
+
+# --- HTML ------------------------------------------------------------------------------------------------------------
+
+
+class _Tree(HTMLParser):
+    """Elements as [tag, children], children being elements and texts."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = ["", []]
+        self.open = [self.root]
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, []]
+        self.open[-1][1].append(node)
+        if tag not in VOID:
+            self.open.append(node)
+
+    def handle_startendtag(self, tag, attrs):
+        self.open[-1][1].append([tag, []])
+
+    def handle_endtag(self, tag):
+        at = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k][0] == tag), 0)
+        if at:
+            del self.open[at:]
+
+    def handle_data(self, data):
+        self.open[-1][1].append(data)
+
+
+def _elements(node: list) -> Iterator[list]:
+    """A node's elements in document order, hidden ones left out; without recursion, as pages may nest deeply."""
+    waiting = [node]
+    while waiting:
+        own = waiting.pop()
+        yield own
+        waiting += [c for c in reversed(own[1]) if not isinstance(c, str) and c[0] not in HIDDEN]
+
+
+def _text(node: list) -> str:
+    """Texts below a node, each trimmed, joined by blanks."""
+    out, waiting = [], [node]
+    while waiting:
+        own = waiting.pop()
+        if isinstance(own, str):
+            if own.strip():
+                out.append(own.strip())
+        elif own[0] not in HIDDEN:
+            waiting += reversed(own[1])
+    return " ".join(out)
+
+
+def _table_text(table: list) -> str:
+    rows = []
+    for row in _elements(table):
+        if row[0] != "tr":
+            continue
+        cells = [_text(c) for c in _elements(row) if c[0] in ("td", "th")]
+        if cells:
+            rows.append(" | ".join(cells))
+        if len(rows) == TABLE_ROWS:
+            rows.append(TABLE_CUT)
+            break
+    return "\n".join(rows)
+
+
+def html_blocks(html: str | None, breadcrumb: str | None = None) -> Iterator[Block]:
+    """Blocks of the body of a page; a page without body has none."""
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.close()
+    body = next((e for e in _elements(tree.root) if e[0] == "body"), None)
+    headings: list[str] = []
+    waiting = [body] if body else []
+    while waiting:
+        node = waiting.pop()
+        tag, section = node[0], _labelled(breadcrumb, headings[-1]) if headings else breadcrumb
+        if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
+            if title := _text(node):
+                headings = [*headings[: int(tag[1]) - 1], title]
+        elif tag == "p":
+            if len(text := _text(node)) > SHORTEST_PARAGRAPH:
+                yield Block(text, section)
+        elif tag == "table":
+            if text := _table_text(node):
+                yield Block(text, section, True)
+        elif tag in ("ul", "ol"):
+            items = [f"• {x}" for c in node[1] if not isinstance(c, str) and c[0] == "li" and (x := _text(c))]
+            whole = "\n".join(items)
+            yield from (Block(x, section) for x in ([whole] if tokens(whole) <= LIST_MOST else items))
+        elif tag in OPENED:
+            waiting += [c for c in reversed(node[1]) if not isinstance(c, str) and c[0] not in HIDDEN]
+
+
+# --- packing ---------------------------------------------------------------------------------------------------------
+
+
+def _lines(text: str, most: int) -> Iterator[str]:
+    """A table's lines joined up to most tokens."""
+    held: list[str] = []
+    for line in text.splitlines():
+        if held and tokens("\n".join([*held, line])) > most:
+            yield "\n".join(held)
+            held = []
+        held.append(line)
+    yield "\n".join(held)
+
+
+def _sentences(text: str) -> list[str]:
+    """The sentences of a long block, or its halves if it is one."""
+    parts = [p.strip() for p in _SENTENCE.split(text) if p.strip()]
+    words = text.split()
+    return parts if len(parts) > 1 else [" ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])]
+
+
+def packed(blocks: Iterator[Block], most: int = MOST) -> Iterator[Block]:
+    held: Block | None = None
+    for block in blocks:
+        joined = f"{held.text}\n\n{block.text}" if held and not block.table else block.text
+        if not block.table and tokens(joined) <= most:
+            held = Block(joined, block.section)
+            continue
+        if held:
+            yield held
+        held = None
+        if tokens(block.text) <= most and not block.table:
+            held = block
+        elif block.table:
+            yield from (Block(part, block.section, True) for part in (_lines(block.text, most) if tokens(block.text) > most else [block.text]))
         else:
-            for part in _parts(block, _SENTENCE.split(block), " ", most) if tokens(block) > most else [block]:
-                if open_ and tokens("\n\n".join([*open_, part])) > most:
-                    close()
-                opened = section
-                open_.append(part)
-    close()
-    merged: list[list] = []
-    for chunk in out:
-        if merged and not chunk[2] and not merged[-1][2] and tokens(chunk[1]) < least:
-            merged[-1][1] += "\n\n" + chunk[1]
+            yield from (Block(part, block.section) for part in _sentences(block.text) if part)
+    if held:
+        yield held
+
+
+def chunks(blocks: Iterator[Block], most: int = MOST, least: int = LEAST) -> list[tuple[int, str | None, str, int, bool]]:
+    """(index, section, text, tokens, holds a table) of each chunk."""
+    out: list[Block] = []
+    for block in packed(blocks, most):
+        if out and tokens(block.text) < least and tokens(out[-1].text) + tokens(block.text) <= most:
+            out[-1] = Block(f"{out[-1].text}\n\n{block.text}", out[-1].section, out[-1].table or block.table)
         else:
-            merged.append(chunk)
-    return [(k, s, t, tokens(t), table) for k, (s, t, table) in enumerate(merged)]
+            out.append(block)
+    return [(k, b.section, b.text, tokens(b.text), b.table) for k, b in enumerate(out)]
 
 
-def semantic_chunks(df: DataFrame, key: str, text: str, most: int = MOST, least: int = LEAST) -> DataFrame:
-    """key and the chunks of each text."""
+def semantic_chunks(df: DataFrame, key: str, text: str, html: bool = False, breadcrumb: str | None = None, most: int = MOST, least: int = LEAST) -> DataFrame:
+    """key and the chunks of each text or page; breadcrumb names the column with the path of a page."""
+    cut = html_blocks if html else text_blocks
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, *c) for k, t in zip(batch["key"], batch["text"]) for c in chunks(t, most, least)]
+            rows = [(k, *c) for k, t, b in zip(batch["key"], batch["text"], batch["breadcrumb"]) for c in chunks(cut(t, b), most, least)]
             yield pd.DataFrame(rows, columns=[key, "chunk_index", "section_title", "chunk_text", "token_count", "has_table"])
 
-    slim = df.selectExpr(f"`{key}` AS key", f"`{text}` AS text")
+    slim = df.selectExpr(f"`{key}` AS key", f"`{text}` AS text", f"`{breadcrumb}` AS breadcrumb" if breadcrumb else "CAST(NULL AS STRING) AS breadcrumb")
     return slim.mapInPandas(run, f"`{key}` {slim.schema['key'].dataType.simpleString()}, {CHUNK}")

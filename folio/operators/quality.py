@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.core import bind
-from folio.functions.text import LEXEME, normal_hash, tokens
+from folio.functions.text import normal_hash, tokens
 
 # Limits in tokens, and the weights of the scores.
 LEAST_TOKENS, MOST_TOKENS = 30, 1200
@@ -15,26 +15,30 @@ LETTERS = "a-záéíóúãõâêîôûàç"
 PASSING = 0.5
 
 
-def _distinct_share(words: Column, n: int) -> Column:
-    """Distinct n-grams of words over all; null if there is none."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, bind(grams, lambda g: F.size(F.array_distinct(g)) / F.size(g)))
+#: Ends of lines, as universal newlines have them.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+WORD_OF_LETTERS = rf"(?<![\p{{L}}\p{{N}}_])[{LETTERS}]{{3,}}(?![\p{{L}}\p{{N}}_])"
+
+
+def _distinct_share(hashes: Column, n: int) -> Column:
+    """Distinct n-grams over all, by hashes of words; null if there is none."""
+    grams = F.transform(F.sequence(F.lit(0), F.size(hashes) - n), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(n))))
+    return F.when(F.size(hashes) >= n, bind(grams, lambda g: F.size(F.array_distinct(g)) / F.size(g)))
 
 
 def measured(text: Column) -> Column:
     """A struct of the raw measures of a text."""
     body = F.coalesce(text, F.lit(""))
-    words = F.filter(F.regexp_extract_all(F.lower(body), F.lit(LEXEME), F.lit(0)), lambda w: w.rlike(f"^[{LETTERS}]{{3,}}$"))
     junk = F.regexp_count(body, F.lit(r"[^\p{L}\p{N}_\s.,;:()\-/]"))
     sentences = F.split(F.regexp_replace(body, r"^\s+|\s+$", ""), r"(?<=[.!?])\s+")
-    lines = F.split(body, "\n")
+    lines = F.split(body, LINE_END)
     repeated = bind(lines, lambda x: F.exists(F.transform(x, lambda a, i: (F.length(a) >= 20) & F.coalesce(F.get(x, i + 1) == a, F.lit(False))), lambda b: b))
-    good = bind(sentences, lambda s: F.size(F.filter(s, lambda x: F.size(tokens(x)) >= 3)) / F.size(s))
+    good = bind(sentences, lambda s: F.size(F.filter(s, lambda x: x.rlike(r"\S\s+\S+\s+\S"))) / F.size(s))
     return bind(
-        tokens(body),
+        F.transform(tokens(body), lambda w: F.xxhash64(w)),
         lambda w: F.struct(
             F.floor(F.size(w) * F.lit(1.3)).cast("int").alias("tokens"),
-            (F.size(words) / F.greatest(F.floor(F.size(w) * F.lit(1.3)), F.lit(1))).alias("density"),
+            (F.regexp_count(F.lower(body), F.lit(WORD_OF_LETTERS)) / F.greatest(F.floor(F.size(w) * F.lit(1.3)), F.lit(1))).alias("density"),
             (junk / F.greatest(F.length(body), F.lit(1))).alias("junk"),
             good.alias("coherence"),
             repeated.alias("repeated"),

@@ -258,9 +258,11 @@ def session_history(spark, d):
     return t.raw(spark, d, "conversations").withColumn("n", last).filter("n <= 3").select("conv_id", "turn", "role")
 
 
-@query("SELECT conv_id, count(*) AS message_count, max(turn) AS last_turn, min_by(substr(text, 1, 60), turn) AS title FROM conversations GROUP BY 1 ORDER BY message_count DESC, conv_id LIMIT 20")
+@query("SELECT conv_id, count(*) AS message_count, max(turn) AS last_turn, min_by(substr(text, 1, 60), turn) AS title FROM conversations GROUP BY 1 ORDER BY last_turn DESC, conv_id LIMIT 20")
 def session_list(spark, d):
-    return t.raw(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("message_count"), F.max("turn").alias("last_turn"), F.min_by(F.substring("text", 1, 60), "turn").alias("title")).orderBy(F.desc("message_count"), "conv_id").limit(20)
+    """The sessions that were active last; the turn stands for the time of a message."""
+    sessions = t.raw(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("message_count"), F.max("turn").alias("last_turn"), F.min_by(F.substring("text", 1, 60), "turn").alias("title"))
+    return sessions.orderBy(F.desc("last_turn"), "conv_id").limit(20)
 
 
 @query(sql("ql", then="SELECT id, CASE WHEN id % 9 = 0 THEN 'positive' ELSE feedback END AS feedback FROM ql"))

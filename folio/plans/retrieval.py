@@ -18,12 +18,12 @@ from folio.sources.tables import with_tables as sql
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _CLEAN = r"array_to_string(list_filter(string_split_regex(lower(regexp_replace({x}, '[^\p{L}\p{N}_\s]', ' ', 'g')), '\s+'), lambda w: w <> '' AND NOT list_contains({stop}, w)), ' ')"
 #: A question made of a message, with question words and a keyword by turns.
-_ASKED = "'Quais são as ' || (['diárias', 'licitações', 'tabela', 'isso', 'menu', 'pdf'])[(turn % 6 + 1)::INTEGER] || ' de ' || substr(text, 1, 40) || '?'"
+_ASKED = "'Quais são as ' || (['diárias', 'licitações', 'tabela', 'isso', 'menu', 'pdf'])[(turn % 6 + 1)::INTEGER] || ' de ' || text || '?'"
 
 
 def _questions(spark, d):
     key = F.get(F.array(*map(F.lit, ("diárias", "licitações", "tabela", "isso", "menu", "pdf"))), (F.col("turn") % 6).cast("int"))
-    return t.raw(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("Quais são as "), key, F.lit(" de "), F.substring("text", 1, 40), F.lit("?")).alias("q"))
+    return t.raw(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("Quais são as "), key, F.lit(" de "), F.col("text"), F.lit("?")).alias("q"))
 
 
 @query(f"SELECT conv_id, turn, {_CLEAN.replace('{x}', 'q').replace('{stop}', _LIST(text.QUESTION_WORDS))} AS cleaned FROM (SELECT conv_id, turn, {_ASKED} AS q FROM conversations)")
@@ -95,9 +95,10 @@ def flag_counts(spark, d):
 _HASHED = rf"SELECT id, chunk_index, sha256(array_to_string({_W.format(x='lower(chunk_text)')}, ' ')) AS h FROM ch"
 
 
-@query(f"WITH {_CHUNKS} SELECT id, chunk_index::INTEGER AS chunk_index, first_id FROM (SELECT *, first_value(id) OVER o AS first_id, row_number() OVER o AS n FROM ({_HASHED}) WINDOW o AS (PARTITION BY h ORDER BY id, chunk_index)) WHERE n > 1")
+@query(f"WITH {_SCORED} SELECT id, chunk_index::INTEGER AS chunk_index, first_id FROM (SELECT *, first_value(id) OVER o AS first_id, row_number() OVER o AS n FROM ({_HASHED}) JOIN (SELECT id, chunk_index FROM sc WHERE score >= 0.5) USING (id, chunk_index) WINDOW o AS (PARTITION BY h ORDER BY id, chunk_index)) WHERE n > 1")
 def exact_duplicates(spark, d):
-    return quality.duplicates(document_chunks(spark, d), ["id", "chunk_index"], "chunk_text").select("id", "chunk_index", "first_id")
+    """Later copies among the chunks that aren't quarantined."""
+    return quality.duplicates(_scored(spark, d).filter("NOT quarantined"), ["id", "chunk_index"], "chunk_text").select("id", "chunk_index", "first_id")
 
 
 @query(f"WITH {_SCORED} SELECT id, chunk_index::INTEGER AS chunk_index, array_to_string(list_sort(list_distinct(list_append(flags, 'duplicate'))), ',') AS flags FROM sc JOIN (SELECT id, chunk_index, row_number() OVER (PARTITION BY h ORDER BY id, chunk_index) AS n FROM ({_HASHED})) USING (id, chunk_index) WHERE n > 1")
@@ -412,31 +413,27 @@ _PAGE_EN = "pe AS (SELECT * FROM en WHERE id IN (SELECT page_id FROM pages))"
 
 @query(f"WITH {_ENTITIES}, {_PAGE_EN} SELECT a.id, a.entity_type, a.entity_value, count(DISTINCT b.id) AS n_peers, min(b.id) AS first_peer FROM pe a JOIN pe b ON a.entity_type = b.entity_type AND a.entity_value = b.entity_value AND a.id <> b.id GROUP BY ALL")
 def entity_peers(spark, d):
-    """By entity rather than by pair: each group of pages is formed once and opened for its members."""
-    rows = _page_entities(spark, d)
-    groups = rows.groupBy("entity_type", "entity_value").agg(F.array_sort(F.collect_set("id")).alias("ids")).filter(F.size("ids") > 1)
-    opened = groups.select("entity_type", "entity_value", "ids", F.explode("ids").alias("id"))
-    others = F.filter("ids", lambda x: x != F.col("id"))
-    return opened.select("id", "entity_type", "entity_value", F.size(others).cast("long").alias("n_peers"), F.get(others, F.lit(0)).alias("first_peer"))
+    return enrich.peers(_page_entities(spark, d))
 
 
 _RELATED = f"""{_ENTITIES}, {_PAGE_EN}, er AS (SELECT DISTINCT a.id AS source_id, b.id AS target_id, CASE a.entity_type WHEN 'contract' THEN 'origina' WHEN 'pregao' THEN 'origina' ELSE 'referencia' END AS relation_type,
       a.entity_value AS entity_key, 0.9::DOUBLE AS confidence FROM pe a JOIN pe b ON a.entity_type = b.entity_type AND a.entity_value = b.entity_value AND a.id <> b.id)"""
 
 
-@query(f"WITH {_RELATED} SELECT source_id, target_id, relation_type, entity_key, confidence FROM er")
+@query(f"WITH {_RELATED} SELECT source_id, min(target_id) AS target_id, relation_type, entity_key, confidence FROM er GROUP BY ALL HAVING min(target_id) < source_id")
 def entity_relations(spark, d):
+    """A star for each entity: every page's edge to the smallest page that holds it."""
     return enrich.entity_relations(_page_entities(spark, d))
 
 
 @query(f"WITH {_RELATED} SELECT relation_type, count(*) AS n FROM er GROUP BY 1")
 def relation_counts(spark, d):
-    return enrich.entity_relations(_page_entities(spark, d)).groupBy("relation_type").agg(F.count("*").alias("n"))
+    return enrich.relation_counts(_page_entities(spark, d))
 
 
 @query(f"WITH {_RELATED} SELECT source_id, target_id, relation_type, entity_key FROM er WHERE source_id = 7 OR target_id = 7 ORDER BY confidence DESC, source_id, target_id, relation_type, entity_key LIMIT 10")
 def related_pages(spark, d):
-    return enrich.related(enrich.entity_relations(_page_entities(spark, d)), 7).select("source_id", "target_id", "relation_type", "entity_key")
+    return enrich.related(_page_entities(spark, d), 7).select("source_id", "target_id", "relation_type", "entity_key")
 
 
 _HREF = r"""lk AS (SELECT DISTINCT page_id AS source_id, target FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) WHERE NOT regexp_matches(lower(trim(target)), '^(?:#|javascript:|mailto:|tel:)') AND trim(target) <> '')"""
@@ -525,6 +522,6 @@ def semantic_chunks_text(spark, d):
 
 @query()
 def semantic_chunks_html(spark, d):
-    """Headings of a page stand alone between blank lines, so the text chunker sees them as blocks."""
-    texts = t.raw(spark, d, "pages").select(F.col("page_id").alias("id"), F.replace(pages.extract("html")["text"], F.lit("\n"), F.lit("\n\n")).alias("text"))
-    return blocks.semantic_chunks(texts, "id", "text")
+    """Chunks of pages, under the page's category as breadcrumb."""
+    rows = t.raw(spark, d, "pages").select(F.col("page_id").alias("id"), "html", F.regexp_extract("url", t.PATH_PART, 1).alias("category"))
+    return blocks.semantic_chunks(rows, "id", "html", html=True, breadcrumb="category")

@@ -126,8 +126,13 @@ def test_entities(spark):
     df = spark.createDataFrame([(1, "Em 01/02/2024 o Contrato nº 12/2024 e o contrato nº 12/2024; R$ 1.234,56. Pregão Eletrônico nº 5/2023, CNPJ 12.345.678/0001-90, processo 0001234-56.2024.6.18.0000")], "id int, t string")
     got = sorted((r["entity_type"], r["entity_value"]) for r in enrich.entities(df, "id", "t").collect())
     assert got == [("contract_number", "Contrato nº 12/2024"), ("cpf_cnpj", "12.345.678/0001-90"), ("date_range", "01/02/2024"), ("monetary_value", "R$ 1.234,56"), ("pregao", "Pregão Eletrônico nº 5/2023"), ("process_number", "0001234-56.2024.6.18.0000")]
-    kinds = enrich.entity_relations(spark.createDataFrame([(1, "pregao", "p"), (2, "pregao", "p"), (3, "contract_number", "c"), (1, "contract_number", "c")], "id long, entity_type string, entity_value string")).collect()
-    assert sorted((r["source_id"], r["target_id"], r["relation_type"]) for r in kinds) == [(1, 2, "origina"), (1, 3, "referencia"), (2, 1, "origina"), (3, 1, "referencia")]
+    pairs = [(1, "pregao", "p"), (2, "pregao", "p"), (9, "pregao", "p"), (3, "contract_number", "c"), (1, "contract_number", "c"), (5, "pregao", "q")]
+    rows = spark.createDataFrame(pairs, "id long, entity_type string, entity_value string")
+    edges = lambda df: sorted((r["source_id"], r["target_id"], r["relation_type"]) for r in df.collect())
+    assert edges(enrich.entity_relations(rows)) == [(2, 1, "origina"), (3, 1, "referencia"), (9, 1, "origina")]
+    assert edges(enrich.relations_of(rows, 2)) == [(1, 2, "origina"), (2, 1, "origina"), (2, 9, "origina"), (9, 2, "origina")]
+    assert sorted(map(tuple, enrich.relation_counts(rows).collect())) == [("origina", 6), ("referencia", 2)]
+    assert sorted(map(tuple, enrich.peers(rows).filter("entity_value = 'p'").collect())) == [(1, "pregao", "p", 2, 2), (2, "pregao", "p", 2, 1), (9, "pregao", "p", 2, 1)]
 
 
 def test_html(spark):
@@ -140,16 +145,75 @@ def test_html(spark):
     assert one(spark, "http://a/b.PDF?x", pages.content_kind) == "pdf"
 
 
-def test_blocks():
-    assert blocks.is_heading("RECEITAS 2024") and not blocks.is_heading("Total:") and blocks.is_heading("1. Objeto") and not blocks.is_heading("Um texto comum")
-    table = "a | b | c\nd | e | f"
-    assert blocks.is_table(table) and not blocks.is_table("a | b | c\nplain\nplain")
-    body = "RECEITAS 2024\n\n" + "Palavra. " * 150 + "\n\n" + table + "\n\nfim."
-    got = blocks.chunks(body)
-    assert [c[0] for c in got] == list(range(len(got))) and any(c[4] for c in got) and all(c[1] == "RECEITAS 2024" for c in got)
-    long = " ".join(f"w{k}" for k in range(3000))
-    assert " ".join(c[2] for c in blocks.chunks(long)).split() == long.split()
-    assert blocks.chunks("") == blocks.chunks(None) == []
+def test_block_rules():
+    for line in ("Receitas e despesas", "RECEITAS 2024", "2024 em números", "Órgãos"):
+        assert blocks.is_heading(line)
+    for line in ("Total:", "1. Objeto", "fim", "Uma frase.", "Duas\nLinhas", "A " * 13, "A" * 81, "", "Quem? Eu"):
+        assert not blocks.is_heading(line)
+    assert blocks.is_table("a | b\nd | e") and blocks.is_table("x\na|b\nc|d") and not blocks.is_table("a | b | c") and not blocks.is_table("a|b\nc|d\nx\ny")
+
+
+def chunks_of(text, breadcrumb=None, **limits):
+    return blocks.chunks(blocks.text_blocks(text, breadcrumb), **limits)
+
+
+def test_text_chunks():
+    paragraph = "Palavra comum aqui. " * 50  # 195 tokens
+    body = f"Receitas\n\n{paragraph}\n\nDespesas\n\n{paragraph}\n\na | b\nc | d\n\nfim"
+    got = chunks_of(body, "Portal")
+    assert [(c[0], c[1], c[3], c[4]) for c in got] == [(0, "Portal > Despesas", 399, True)]  # the table and the end are small: they join
+    alone = chunks_of(body, least=0)
+    assert [(c[1], c[4]) for c in alone] == [("Despesas", False), ("Despesas", True), ("Despesas", False)] and alone[1][2] == "a | b\nc | d"
+    many = chunks_of("\n\n".join(["Um texto de teste com oito palavras iguais. " * 30] * 5))
+    assert [c[3] for c in many] == [624, 624, 312]
+    long = "Uma frase curta. " * 400
+    assert [c[3] for c in chunks_of(long, least=0)] == [3] * 400 and all(c[3] <= 800 for c in chunks_of(long))
+    word = " ".join(f"w{k}" for k in range(1000))
+    assert [c[3] for c in chunks_of(word)] == [650, 650]
+    table = "\n".join(f"linha {k} | valor" for k in range(400))
+    assert all(c[4] and c[3] <= 800 for c in chunks_of(table)) and "\n".join(c[2] for c in chunks_of(table)) == table
+    assert chunks_of("") == chunks_of(None) == chunks_of(" \n ") == []
+
+
+def test_html_chunks():
+    items = "".join(f"<li>item {k}</li>" for k in range(3))
+    many = "".join(f"<li>item número {k} da lista</li>" for k in range(60))
+    rows = "".join(f"<tr><th>{k}</th><td>v <b>x</b></td></tr>" for k in range(60))
+    html = f"<html><head><title>t</title></head><body><nav><p>um menu que não conta aqui</p></nav><h1>Um</h1><div><p>curto</p><p>Um parágrafo <b>com</b> mais de vinte</p></div><h3>Fundo</h3><ul>{items}</ul><h2>Dois</h2><table>{rows}</table><ol>{many}</ol><script>x()</script><blockquote><p>fora das regras, mesmo longo</p></blockquote></body></html>"
+    got = list(blocks.html_blocks(html, "Portal"))
+    assert got[0] == ("Um parágrafo com mais de vinte", "Portal > Um", False)
+    assert got[1] == ("• item 0\n• item 1\n• item 2", "Portal > Fundo", False)
+    assert got[2].table and got[2].section == "Portal > Dois" and got[2].text.split("\n")[::50] == ["0 | v x", blocks.TABLE_CUT]
+    assert [b.text for b in got[3:]] == [f"• item número {k} da lista" for k in range(60)]
+    assert list(blocks.html_blocks("<p>sem corpo, mas um texto longo</p>")) == list(blocks.html_blocks(None)) == []
+    assert list(blocks.html_blocks("<body>" + "<div>" * 5000 + "<p>um texto fundo na árvore</p>"))[0].text == "um texto fundo na árvore"
+
+
+def test_chunks_of_tables_and_columns(spark):
+    df = spark.createDataFrame([(1, "Título\n\n" + "uma palavra " * 90, "a > b"), (2, None, None)], "id long, body string, trail string")
+    got = blocks.semantic_chunks(df, "id", "body", breadcrumb="trail").collect()
+    assert [(r["id"], r["section_title"]) for r in got] == [(1, "a > b > Título")]
+
+
+def test_total_rows(spark):
+    cases = [
+        (["item", "valor"], [["a", "10,00"], ["TOTAL", "99"]], ["TOTAL", "R$ 10,00"]),
+        (["valor", "item"], [["10,00", "a"], ["1,50", "b"]], ["R$ 11,50", ""]),
+        (["item", "valor", "custo"], [["a", "x", "3"]], ["TOTAL", "", "R$ 3,00"]),
+        (["item", "nota"], [["a", "1"]], None),
+        (["item", "valor"], [["a", "x"]], None),
+        (["item", "valor"], [], None),
+    ]
+    df = spark.createDataFrame([(i, h, r) for i, (h, r, _) in enumerate(cases)], "i int, h array<string>, r array<array<string>>")
+    got = {r["i"]: r["t"] for r in df.select("i", cells.total_row(F.col("h"), F.col("r")).alias("t")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, _, want in cases]
+
+
+def test_repeated_lines_of_any_ending(spark):
+    line = "uma linha de mais de vinte letras"
+    for end in ("\n", "\r\n", "\r", "\u2028", "\x0b"):
+        assert one(spark, f"{line}{end}{line}{end}fim", quality.measured)["repeated"]
+    assert not one(spark, f"{line}\nx\n{line}", quality.measured)["repeated"]
 
 
 def test_records(spark):
