@@ -141,3 +141,13 @@ def relevant_section(content: Column, question: str, most: int = 40_000) -> Colu
         return body.substr(F.greatest(best, F.lit(0)) + 1, F.lit(most))
 
     return bind(text, cut)
+
+
+def years(question: Column) -> Column:
+    """The years of this century that a question names, each once."""
+    return F.array_distinct(F.regexp_extract_all(question, F.lit(r"\b(20\d{2})\b"), F.lit(1)))
+
+
+def names_year(url: Column, question: Column) -> Column:
+    """Whether a URL holds a year of the question."""
+    return F.coalesce(F.exists(years(question), lambda y: url.contains(y)), F.lit(False))

@@ -37,10 +37,18 @@ def batches(sizes: Column, most_texts: int = MOST_TEXTS, most_tokens: int = MOST
     return F.aggregate(sizes, start, step, lambda acc: acc["out"])
 
 
+_LOOSE = r'"page_id"\s*:\s*([0-9]+)\s*,\s*"tags"\s*:\s*(\[[^\]]*\])'
+
+
 def parse_reply(reply: Column) -> Column:
-    """A model's JSON list, with or without code fences around it; null if there is none."""
+    """A model's JSON list, with or without code fences around it; else the pages and tags that a broken one holds; null if none."""
     bare = F.trim(F.regexp_replace(reply, r"(?m)^```[a-z]*\s*$", ""))
-    return F.from_json(F.regexp_extract(bare, r"(?s)(\[.*\])", 1), REPLY)
+    whole = F.from_json(F.regexp_extract(bare, r"(?s)(\[.*\])", 1), REPLY, {"mode": "PERMISSIVE"})
+    ids, tags = (F.regexp_extract_all(reply, F.lit(_LOOSE), F.lit(g)) for g in (1, 2))
+    loose = F.zip_with(ids, tags, lambda i, t: F.struct(i.try_cast("bigint").alias("page_id"), F.from_json(t, "array<string>").alias("tags"), F.lit(None).cast("string").alias("periodo_referencia")))
+    loose = F.filter(loose, lambda x: x["page_id"].isNotNull() & x["tags"].isNotNull())
+    sound = F.exists(whole, lambda x: x["page_id"].isNotNull() | x["tags"].isNotNull())
+    return F.when(sound, whole).otherwise(F.when(F.size(loose) > 0, loose))
 
 
 def asked(df: DataFrame, key: str, text: str, ask: Callable[[list[str]], list[str]], at_once: int = 20) -> DataFrame:
@@ -147,3 +155,21 @@ def analyse(tables: DataFrame, plan: Callable[[list[tuple]], tuple[str, dict] |
 def embed_text(caption: Column, headers: Column, rows: Column) -> Column:
     """What a table is embedded by: caption, headers and first five rows."""
     return F.concat_ws(" ", caption, F.array_join(headers, " "), F.array_join(F.flatten(F.slice(rows, 1, 5)), " "))
+
+
+def with_total(headers: Column, rows: Column) -> Column:
+    """A table's rows for an answer: those that are no totals, and the total row if there is one to compute."""
+    total = cells.total_row(headers, rows)
+    return bind(F.struct(cells.body_rows(rows).alias("body"), total.alias("total")), lambda x: F.when(x["total"].isNotNull(), F.concat(x["body"], F.array(x["total"]))).otherwise(x["body"]))
+
+
+def assembled(tables: DataFrame, metrics: DataFrame, citations: DataFrame, suggested: DataFrame) -> DataFrame:
+    """One row with all parts of an answer, each a short list: tables (id, caption, headers, rows), metrics (label, value),
+    citations (url, score) and up to four suggestions (title), in order."""
+    listed = lambda df, order: df.agg(F.array_sort(F.collect_list(F.struct(*order))).alias("x"))
+    shown = listed(tables.withColumn("rows", with_total(F.col("headers"), F.col("rows"))), ["id", "caption", "headers", "rows"]).withColumnRenamed("x", "tables")
+    parts = [listed(metrics, ["label", "value"]).withColumnRenamed("x", "metrics"), listed(citations.withColumn("_far", -F.col("score")), ["_far", "url"]).select(F.transform("x", lambda c: F.struct(c["url"].alias("url"), (-c["_far"]).alias("score"))).alias("citations"))]
+    parts.append(listed(suggested.limit(4), ["title"]).select(F.transform("x", lambda c: c["title"]).alias("suggestions")))
+    for part in parts:
+        shown = shown.crossJoin(part)  # one row each
+    return shown

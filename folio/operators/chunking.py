@@ -32,3 +32,10 @@ def fixed_windows(text: Column, size: int = 500, overlap: int = 50) -> Column:
 def chunked(df: DataFrame, key: str, text: str, size: int = 500, overlap: int = 50) -> DataFrame:
     """A row for each chunk; texts without words have none."""
     return df.select(key, F.explode(fixed_windows(F.col(text), size, overlap)).alias("c")).select(key, "c.*")
+
+
+def rechunk_counts(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """key, before, after: chunks of each document that has any, as stored and as cut anew."""
+    counted = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    both = counted(old, "before").join(counted(new, "after"), key, "full_outer")
+    return both.select(key, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("before", "after")))

@@ -104,9 +104,12 @@ def is_internal_page(url: Column, domain: str) -> Column:
     return ~a_file & (host.contains(domain) | url.startswith("/"))
 
 
-def related(entity_rows: DataFrame, page: int, k: int = 10) -> DataFrame:
-    """Edges of a page in either direction, surest first."""
-    return relations_of(entity_rows, page).orderBy(F.desc("confidence"), "source_id", "target_id", "relation_type", "entity_key").limit(k)
+def related(entity_rows: DataFrame, page: int, k: int = 10, kinds: list[str] | None = None) -> DataFrame:
+    """Edges of a page in either direction, surest first; of some kinds of relation if they are given."""
+    edges = relations_of(entity_rows, page)
+    if kinds is not None:
+        edges = edges.filter(F.col("relation_type").isin(kinds))
+    return edges.orderBy(F.desc("confidence"), "source_id", "target_id", "relation_type", "entity_key").limit(k)
 
 
 def valid_tags(tags: Column) -> Column:

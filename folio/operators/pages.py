@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SKIPPED = {"script", "style", "nav", "footer", "header"}
@@ -32,8 +32,104 @@ def content_kind(url: Column) -> Column:
     )
 
 
-def slug_title(slug: Column) -> Column:
-    return F.initcap(F.regexp_replace(slug, "[-_]", " "))
+# Names of sections by slug.
+SLUGS = {
+    "gestao-de-pessoas": "Gestão de Pessoas",
+    "licitacoes-e-contratos": "Licitações, Contratos e Instrumentos de Cooperação",
+    "governanca": "Gestão e Governança",
+    "gestao-orcamentaria-e-financeira": "Gestão Orçamentária e Financeira",
+    "planos-de-auditoria-interna": "Auditoria",
+    "audiencias-publicas": "Audiências e Sessões",
+    "colegiados": "Colegiados",
+    "contabilidade": "Contabilidade",
+    "estatistica-processual": "Estatística Processual",
+    "gestao-patrimonial-e-infraestrutura": "Gestão Patrimonial e Infraestrutura",
+    "lei-de-acesso-a-informacao-declaracao-anual": "Lei de Acesso à Informação",
+    "lgpd-lei-geral-de-protecao-de-dados": "LGPD - Proteção de Dados",
+    "ouvidoria": "Ouvidoria",
+    "prestacao-de-constas-da-gestao": "Prestação de Contas da Gestão",
+    "sei": "SEI - Sistema Eletrônico de Informações",
+    "servico-de-informacoes-ao-cidadao-sic": "Serviço de Informação ao Cidadão (SIC)",
+    "sustentabililidade_acessibilidade_inclusao": "Sustentabilidade, Acessibilidade e Inclusão",
+    "tecnologia-da-informacao-e-comunicacao-1": "Tecnologia da Informação",
+    "transparencia-cnj": "Transparência CNJ",
+    "relatorios-cnj": "Relatórios CNJ",
+}
+# Names of categories as they are found, and the ones that they stand for.
+CATEGORIES = {
+    "Orcamento E Despesas": "Gestão Orçamentária e Financeira",
+    "Despesas": "Gestão Orçamentária e Financeira",
+    "Receitas": "Gestão Orçamentária e Financeira",
+    "Tecnologia Da Informacao E Comunicacao": "Tecnologia da Informação",
+    "Contratos": "Licitações, Contratos e Instrumentos de Cooperação",
+    "Convenios": "Licitações, Contratos e Instrumentos de Cooperação",
+    "Instrumentos De Cooperacao": "Licitações, Contratos e Instrumentos de Cooperação",
+    "Gestao De Pessoas": "Gestão de Pessoas",
+    "Servidores": "Gestão de Pessoas",
+    "Estagiarios": "Gestão de Pessoas",
+    "Planejamento E Gestao": "Planejamento e Gestão",
+    "Prestacao De Contas": "Prestação de Contas",
+    "Auditorias": "Auditoria e Correição",
+    "Corregedoria": "Auditoria e Correição",
+    "Institucional": "Informações Institucionais",
+    "Composicao": "Informações Institucionais",
+    "Legislacao": "Legislação e Normas",
+    "Resolucoes": "Legislação e Normas",
+    "Eleicoes": "Processo Eleitoral",
+}
+
+
+def _named(names: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), key)
+
+
+def slug_title(slug: Column, names: dict[str, str] = SLUGS) -> Column:
+    """The section's name, else the slug with every run of letters capitalised."""
+    runs = F.regexp_extract_all(F.translate(slug, "-_", "  "), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.coalesce(_named(names, slug), F.array_join(F.transform(runs, F.initcap), ""))
+
+
+def canonical_category(name: Column, names: dict[str, str] = CATEGORIES) -> Column:
+    """The name that a category stands for; null if it is none of the known ones."""
+    return _named(names, name)
+
+
+def absolute(base: Column, target: Column) -> Column:
+    """A link's URL, seen from the page at base: with scheme, from the host, from the root or from the page's folder.
+
+    Steps upwards (..) stay as they are.
+    """
+    scheme, root = F.regexp_extract(base, r"^([a-z][a-z0-9+.-]*:)", 1), F.regexp_extract(base, r"^([a-z][a-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^(.*://.*/)", 1)
+    link = F.trim(target)
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), link))
+        .otherwise(F.concat(F.when(F.length(folder) > F.length(root) + 1, folder).otherwise(F.concat(root, F.lit("/"))), link))
+    )
+
+
+def candidate(url: Column, domain: str, prefix: str) -> Column:
+    """The URL to crawl of an absolute link: pages of the domain below prefix without query, files of the domain; else null."""
+    host, path = F.regexp_extract(url, r"://([^/?#]*)", 1), F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1)
+    clean = F.regexp_extract(url, r"^([^?#]*)", 1)
+    return F.when(host.contains(domain), F.when(path.contains(prefix), clean).when(path.contains("@@display-file") | path.rlike(r"\.(?:pdf|csv|xlsx|xls)$"), url))
+
+
+def resolved(targets: DataFrame, pages: DataFrame) -> DataFrame:
+    """targets (target) with the page_id of the page (id, url) that has that URL, else of one whose URL ends with it, the smallest id.
+
+    Ends are compared by equality, for the few lengths that unresolved targets have.
+    """
+    exact = pages.groupBy(F.col("url").alias("target")).agg(F.min("id").alias("exact"))
+    first = targets.join(exact, "target", "left")
+    rest = first.filter("exact IS NULL AND target <> ''").select("target").distinct()
+    sizes = rest.select(F.length("target").alias("size")).distinct()  # as many rows as URLs have lengths
+    ends = pages.join(F.broadcast(sizes), F.length("url") >= F.col("size")).select(F.expr("right(url, size)").alias("target"), "id")
+    by_end = ends.join(rest, "target", "left_semi").groupBy("target").agg(F.min("id").alias("ending"))
+    return first.join(by_end, "target", "left").withColumn("page_id", F.coalesce("exact", "ending")).drop("exact", "ending")
 
 
 class _Reader(HTMLParser):

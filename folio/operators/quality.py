@@ -92,3 +92,9 @@ def duplicates(df: DataFrame, key: list[str], text: str) -> DataFrame:
 def flagged(flags: Column, flag: str) -> Column:
     """flags with flag, each once."""
     return F.array_sort(F.array_distinct(F.concat(flags, F.array(F.lit(flag)))))
+
+
+def score_pending(chunks: DataFrame, text: str, stored: str = "quality_score") -> DataFrame:
+    """chunks (with columns stored, flags and quarantined) as they are to be written back: those without a score get one."""
+    fresh = scored(chunks.filter(F.col(stored).isNull()).drop(stored, "flags", "quarantined"), text).withColumnRenamed("score", stored)
+    return chunks.filter(F.col(stored).isNotNull()).unionByName(fresh)

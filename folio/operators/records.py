@@ -81,3 +81,14 @@ def ingested(documents: DataFrame, chunks: Column, status: Column, message: Colu
     failed = (status >= 400) | message.isNotNull()
     outcome = F.when(failed, failure_kind(status, message)).when(chunks == 0, F.struct(F.lit("empty_content").alias("kind"), F.lit("critical").alias("severity")))
     return documents.withColumn("_o", outcome).withColumns({"next_status": F.when(F.col("_o").isNull(), "done").otherwise("error"), "kind": F.col("_o.kind"), "severity": F.col("_o.severity")}).drop("_o")
+
+
+def saved_messages(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """sessions (session_id, message_count, last_active, title) after messages (session_id, sent, text) were saved; new ones are created."""
+    new = messages.groupBy("session_id").agg(F.count("*").alias("n"), F.max("sent").alias("sent"), F.min_by(F.substring("text", 1, 60), "sent").alias("first"))
+    return sessions.join(new, "session_id", "full_outer").select(
+        "session_id",
+        (F.coalesce("message_count", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("message_count"),
+        F.greatest("last_active", "sent").alias("last_active"),
+        F.coalesce("title", "first").alias("title"),
+    )

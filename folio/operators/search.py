@@ -126,3 +126,16 @@ def widened(found: DataFrame, search_again, k: int) -> DataFrame:
         return found
     words, vectors = search_again()
     return hybrid([found, words], [vectors] if vectors is not None else [], k)
+
+
+# Kinds of sources that a vector search knows, and those whose rows have a category to filter by.
+KINDS = ("chunk", "page", "page_chunk", "page_summary", "question", "section")
+WITH_CATEGORY = ("chunk", "page", "page_summary")
+
+
+def semantic(vectors: DataFrame, kind: str, query: list[float], k: int, category: str | None = None) -> DataFrame:
+    """The k nearest vectors of a kind of source; none for an unknown kind. Only some kinds heed the category."""
+    rows = vectors.filter(F.col("source_type") == kind) if kind in KINDS else vectors.limit(0)
+    if category is not None and kind in WITH_CATEGORY:
+        rows = rows.filter(F.col("category") == category)
+    return top(similar(rows, query), "similarity", k, "source_id")

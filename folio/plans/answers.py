@@ -15,7 +15,13 @@ from folio.sources import tables as t
 from folio.sources.tables import with_tables as sql
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_CHUNKS}, s AS MATERIALIZED (SELECT id, row_number() OVER (PARTITION BY id ORDER BY chunk_index) AS r, greatest(1, length(chunk_text) // 4)::BIGINT AS n FROM ch),
+    w AS (SELECT id, r, n AS total, 1 AS held, 0 AS k FROM s WHERE r = 1 UNION ALL
+      SELECT id, r, CASE WHEN ends THEN n ELSE total + n END, CASE WHEN ends THEN 1 ELSE held + 1 END, CASE WHEN ends THEN k + 1 ELSE k END
+      FROM (SELECT s.id, s.r, s.n, w.total, w.held, w.k, w.held >= {answer.MOST_TEXTS} OR w.total + s.n > {answer.MOST_TOKENS} AS ends FROM w JOIN s ON s.id = w.id AND s.r = w.r + 1))
+    SELECT id, count(*)::INTEGER AS n_chunks, (max(k) + 1)::INTEGER AS n_batches FROM w GROUP BY id"""
+)
 def token_batches(spark, d):
     """Chunks of each document in batches of at most 100 texts and 15,000 tokens, by estimate of four characters each."""
     sizes = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", F.greatest(F.lit(1), F.floor(F.length("chunk_text") / 4)).alias("n")))), lambda x: x["n"])
@@ -32,7 +38,7 @@ def parse_replies(spark, d):
     return t.raw(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_join(enrich.valid_tags(parsed["tags"]), ",").alias("tags"))
 
 
-@query()
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest([CASE WHEN contains(text, ' en ') THEN 'receita' END, CASE WHEN contains(text, ' de ') THEN 'despesa' END, CASE WHEN contains(text, ' la ') THEN 'contrato' END]) AS tag FROM documents) WHERE tag IS NOT NULL GROUP BY tag")
 def model_tags(spark, d):
     """Tags that the stand-in model gives, of which only valid ones stay."""
     replies = answer.asked(t.raw(spark, d, "documents").withColumnRenamed("doc_id", "id"), "id", "text", answer.keyword_tags)

@@ -71,6 +71,12 @@ def document_chunks(spark, d):
     return chunking.chunked(t.raw(spark, d, "documents").withColumnRenamed("doc_id", "id"), "id", "text")
 
 
+def page_chunks(spark, d):
+    """Chunks of the pages' content, by page."""
+    texts = t.pages(spark, d).filter("main_content IS NOT NULL").select("id", "main_content")
+    return chunking.chunked(texts, "id", "main_content")
+
+
 @query(f"WITH {_CHUNKS} SELECT id, chunk_index::INTEGER AS chunk_index, chunk_text, token_count FROM ch")
 def fixed_window_chunks(spark, d):
     return document_chunks(spark, d)
@@ -116,16 +122,6 @@ def empty_pages_split(spark, d):
     return t.pages(spark, d).select("id", "url", F.when(empty, "empty").otherwise("kept").alias("state"))
 
 
-_NAMES = {"en": "english", "fr": "french", "de": "german"}
-
-
-@query(sql("pg", then="SELECT id, category, coalesce(c.name, category) AS canonical, c.name IS NULL AS unmapped FROM pg LEFT JOIN (VALUES ('en', 'english'), ('fr', 'french'), ('de', 'german')) c(k, name) ON k = category"))
-def normalize_categories(spark, d):
-    table = F.create_map(*(F.lit(x) for kv in _NAMES.items() for x in kv))
-    name = F.try_element_at(table, F.col("category"))
-    return t.pages(spark, d, content=False).select("id", "category", F.coalesce(name, "category").alias("canonical"), name.isNull().alias("unmapped"))
-
-
 @query("SELECT page_id AS id, url, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM pages UNION ALL SELECT 1000000 + page_id, url || '/new', 'new' FROM pages WHERE page_id % 50 = 0")
 def page_upsert(spark, d):
     pages = t.raw(spark, d, "pages").select(F.col("page_id").alias("id"), "url")

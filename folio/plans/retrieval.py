@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import cells, text
 from folio.operators import blocks, enrich, pages, quality, search
 from folio.plans.analytics import DAMAGED, VERDICT_SQL, damaged_tables
-from folio.plans.records import _CHUNKS, document_chunks
+from folio.plans.records import _CHUNKS, document_chunks, page_chunks
 from folio.plans.register import query
 from folio.sources import tables as t
 from folio.sources.tables import with_tables as sql
@@ -77,9 +77,11 @@ def chunk_quality_scores(spark, d):
     return _scored(spark, d).select("id", "chunk_index", F.round("score", 6).alias("score"), F.array_join("flags", ",").alias("flags"), "quarantined")
 
 
-@query(f"WITH {_SCORED} SELECT id % 2 AS part, count(*) AS n, count(*) FILTER (score < 0.5) AS quarantined FROM sc GROUP BY 1")
+@query(f"WITH {_SCORED} SELECT part, count(*) AS n, count(*) FILTER (score < 0.5) AS quarantined FROM (SELECT 'document' AS part, score FROM sc UNION ALL SELECT 'page', score FROM sc WHERE id IN (SELECT page_id FROM pages)) GROUP BY 1")
 def quality_report(spark, d):
-    return _scored(spark, d).groupBy((F.col("id") % 2).alias("part")).agg(F.count("*").alias("n"), F.count_if("quarantined").alias("quarantined"))
+    """Totals over the chunks of documents and those of pages."""
+    both = document_chunks(spark, d).withColumn("part", F.lit("document")).unionByName(page_chunks(spark, d).withColumn("part", F.lit("page")))
+    return quality.scored(both, "chunk_text").groupBy("part").agg(F.count("*").alias("n"), F.count_if("quarantined").alias("quarantined"))
 
 
 @query(f"WITH {_SCORED} SELECT floor(round(score, 4) * 10) / 10 AS bucket, count(*) AS n FROM sc GROUP BY 1")
@@ -186,7 +188,12 @@ def search_like(spark, d):
     return t.raw(spark, d, "documents").filter(F.lower("text").contains("trash")).select(F.col("doc_id").alias("id"))
 
 
-@query()
+@query(
+    sql(
+        "pg",
+        then=rf", {_PAGE_HITS}, h AS (SELECT ph.id, list_filter(string_split_regex(coalesce(title, ''), '\s+'), lambda w: w <> '') AS w FROM (SELECT * FROM ph ORDER BY rank DESC, id LIMIT 20) ph JOIN pg ON pg.id = ph.id), m AS (SELECT id, w, list_transform(w, lambda x: list_has_any({_LEX.format(x='x')}, ['the', 'of'])) AS hit FROM h), f AS (SELECT *, greatest(coalesce(list_position(hit, true), 1), 1) AS first FROM m) SELECT id, array_to_string(list_transform(range(first, least(first + 20, len(w) + 1)), lambda i: CASE WHEN hit[i] THEN '<b>' || w[i] || '</b>' ELSE w[i] END), ' ') AS highlight FROM f",
+    )
+)
 def search_highlights(spark, d):
     hits = page_hits(spark, d)
     return hits.select("id", search.highlight(F.col("title"), SEARCHED).alias("highlight"))

@@ -79,13 +79,13 @@ def inconsistencies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    """source_id, source_type (chunk, page, page_chunk, question, section by turns), category and embedding."""
+    """source_id, source_type (those of EMBEDDED by turns), category and embedding."""
     kinds = F.array(*map(F.lit, EMBEDDED))
     e = raw(spark, folder, "embeddings")
     return e.select(F.col("vec_id").alias("source_id"), F.get(kinds, (F.col("vec_id") % len(EMBEDDED)).cast("int")).alias("source_type"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"), "embedding")
 
 
-EMBEDDED = ("chunk", "page", "page_chunk", "question", "section")
+EMBEDDED = ("chunk", "page", "page_chunk", "question", "section", "page_summary")
 
 
 def customer_tables(spark: SparkSession, folder: str) -> DataFrame:

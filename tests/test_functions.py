@@ -282,3 +282,31 @@ def test_planner_loop(spark):
 def test_replies(spark):
     assert one(spark, '```json\n[{"page_id": 3, "tags": ["ata"]}]\n```', answer.parse_reply)[0]["tags"] == ["ata"]
     assert one(spark, "none", answer.parse_reply) is None
+
+
+def test_broken_replies(spark):
+    parsed = lambda x: one(spark, x, answer.parse_reply)
+    broken = 'Claro: [{"page_id": 7, "tags": ["ata"], {"page_id": 8, "tags": ["receita", "x"]'
+    assert [(r["page_id"], r["tags"]) for r in parsed(broken)] == [(7, ["ata"]), (8, ["receita", "x"])]
+    assert parsed("nada") is None and parsed(None) is None
+    assert [r["page_id"] for r in parsed('```json\n[{"page_id": 1, "tags": ["ata"]}]\n```')] == [1]
+
+
+def test_links_seen_from_a_page(spark):
+    base = "https://a.org/x/y?q=1"
+    cases = {"z": "https://a.org/x/z", "/z": "https://a.org/z", "//b.org/z": "https://b.org/z", "http://c/z": "http://c/z", "?p": "https://a.org/x/y?p"}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, want string")
+    assert df.filter(pages.absolute(F.lit(base), F.col("t")) != F.col("want")).count() == 0
+    assert one(spark, "z", lambda c: pages.absolute(F.lit("https://a.org"), c)) == "https://a.org/z"
+
+
+def test_related_kinds(spark):
+    rows = spark.createDataFrame([(1, "pregao", "p"), (2, "pregao", "p"), (3, "date_range", "d"), (1, "date_range", "d")], "id long, entity_type string, entity_value string")
+    assert {r["relation_type"] for r in enrich.related(rows, 1, kinds=["origina"]).collect()} == {"origina"}
+    assert enrich.related(rows, 1).count() == 4
+
+
+def test_semantic_of_unknown_kind(spark):
+    vectors = spark.createDataFrame([(1, "page", "c", [1.0, 0.0])], "source_id long, source_type string, category string, embedding array<float>")
+    assert search.semantic(vectors, "video", [1.0, 0.0], 3).count() == 0
+    assert search.semantic(vectors, "page", [1.0, 0.0], 3, "other").count() == 0 and search.semantic(vectors, "page", [1.0, 0.0], 3).count() == 1
