@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import lexemes, plain_lexemes
+from folio.functions.text import LEXEME, fold, lexemes, plain_lexemes
 from folio.functions.vectors import cosine
 
 WEIGHT_A, WEIGHT_B, WEIGHT_C, UNWEIGHTED = 1.0, 0.4, 0.2, 0.1
@@ -20,11 +20,27 @@ def _count(words: Column, lexeme: str) -> Column:
     return F.size(F.filter(words, lambda w: w == lexeme))
 
 
+def _may_hold(columns: list[Column], lexeme: str) -> Column:
+    """Whether a column's text holds the letters of a lexeme anywhere: cheap, and true wherever the lexeme stands."""
+    found = F.lit(False)
+    for c in columns:
+        found = found | fold(F.coalesce(c, F.lit(""))).contains(lexeme)
+    return found
+
+
+def _holds(text: Column, lexeme: str) -> Column:
+    """Whether a text has a lexeme, without cutting it into words."""
+    folded = fold(F.coalesce(text, F.lit("")))
+    return folded.contains(lexeme) & folded.rlike(rf"(?<![\p{{L}}\p{{N}}_]){lexeme}(?![\p{{L}}\p{{N}}_])")
+
+
 def matching(df: DataFrame, question: str, fields: dict[str, float]) -> DataFrame:
     """Rows that hold every lexeme of question in one of the fields (text column: weight), with rank."""
     wanted = plain_lexemes(question)
     if not wanted:
         return df.limit(0).withColumn("rank", F.lit(0.0))
+    for lexeme in wanted:
+        df = df.filter(_may_hold([F.col(c) for c in fields], lexeme))
     held = df.withColumns({f"_l_{c}": lexemes(F.col(c)) for c in fields})
     for lexeme in wanted:
         found = F.lit(False)
@@ -56,9 +72,14 @@ def highlight(text: Column, question: str, width: int = 20) -> Column:
 def bm25(df: DataFrame, key: str, text: str, question: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k rows of best BM25 score that hold any word of at least two letters of question."""
     wanted = [w for w in plain_lexemes(question) if len(w) >= 2]
-    words = df.select(key, lexemes(F.col(text)).alias("w")).select(key, F.size("w").alias("len"), *(_count(F.col("w"), q).alias(f"tf{i}") for i, q in enumerate(wanted)))
-    stats = words.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
-    joined = words.filter(F.greatest(F.lit(0), F.lit(0), *(F.col(f"tf{i}") for i in range(len(wanted)))) > 0).crossJoin(F.broadcast(stats))  # stats is one row
+    body = F.col(text)
+    stats = df.agg(
+        F.count("*").alias("n"),
+        F.avg(F.regexp_count(F.coalesce(body, F.lit("")), F.lit(LEXEME))).alias("mean"),
+        *(F.count_if(_holds(body, q)).alias(f"df{i}") for i, q in enumerate(wanted)),
+    )
+    words = df.filter(F.greatest(F.lit(False), F.lit(False), *(_holds(body, q) for q in wanted))).select(key, lexemes(body).alias("w"))
+    joined = words.select(key, F.size("w").alias("len"), *(_count(F.col("w"), q).alias(f"tf{i}") for i, q in enumerate(wanted))).crossJoin(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)
     for i in range(len(wanted)):
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))

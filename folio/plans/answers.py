@@ -61,7 +61,7 @@ def semantic_chunks_joined(spark, d):
     best = search.top(owned, "similarity", 10).select("id", "similarity")
     docs = t.documents(spark, d).select("id", "page_id", "document_url", "document_title")
     labels = t.raw(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
-    pages = t.pages(spark, d).select(F.col("id").alias("page_id"), "title")
+    pages = t.pages(spark, d, content=False, title=True).select(F.col("id").alias("page_id"), "title")
     joined = best.join(docs, "id").join(labels, "id", "left").join(pages, "page_id", "left")
     return joined.select("id", "document_url", F.coalesce("title", "document_title").alias("title"), "quality", F.round("similarity", 6).alias("similarity"))
 
@@ -75,7 +75,7 @@ def tool_calls(spark, d):
 
 @query(sql("pg", then="SELECT category, n, title FROM (SELECT category, title, row_number() OVER (PARTITION BY category ORDER BY depth, id)::INTEGER AS n FROM pg) WHERE n <= 4"))
 def suggestions(spark, d):
-    return answer.suggestions(t.pages(spark, d))
+    return answer.suggestions(t.pages(spark, d, content=False, title=True))
 
 
 @query()

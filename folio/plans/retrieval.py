@@ -501,7 +501,7 @@ def metric_items(spark, d):
 
 @query(sql("pg", then="SELECT category, string_agg(title, chr(10) ORDER BY id) AS section FROM (SELECT category, id, '- ' || title AS title FROM pg WHERE depth = 0) GROUP BY category"))
 def markdown_export(spark, d):
-    rows = t.pages(spark, d).filter("depth = 0").groupBy("category").agg(F.array_sort(F.collect_list(F.struct("id", F.concat(F.lit("- "), "title").alias("t")))).alias("x"))
+    rows = t.pages(spark, d, content=False, title=True).filter("depth = 0").groupBy("category").agg(F.array_sort(F.collect_list(F.struct("id", F.concat(F.lit("- "), "title").alias("t")))).alias("x"))
     return rows.select("category", F.array_join(F.transform("x", lambda s: s["t"]), "\n").alias("section"))
 
 

@@ -55,7 +55,7 @@ def documents_by_year(spark, d):
 @query(sql("pg", then=f", {_CHUNKS} SELECT pg.id, chunk_index::INTEGER AS chunk_index, title, token_count FROM ch JOIN pg ON pg.id = ch.id WHERE depth = 1"))
 def page_chunks_joined(spark, d):
     """Chunks of pages with their page."""
-    own = t.pages(spark, d).filter("depth = 1").select("id", "title")
+    own = t.pages(spark, d, content=False, title=True).filter("depth = 1").select("id", "title")
     return page_chunks(spark, d).join(own, "id").select("id", "chunk_index", "title", "token_count")
 
 
@@ -87,7 +87,7 @@ _NEAR = "(SELECT source_type, source_id, {sim} AS sim FROM em WHERE source_type
 def semantic_pages_joined(spark, d):
     """Nearest pages and summaries with their page, nearest page chunks with chunk and page: vectors are cut to k first."""
     vector, vectors = _query_vector(spark, d), t.embeddings(spark, d)
-    own = t.pages(spark, d).select("id", "title")
+    own = t.pages(spark, d, content=False, title=True).select("id", "title")
     first = page_chunks(spark, d).filter("chunk_index = 0").select("id", "chunk_index")
     out = None
     for kind in ("page", "page_summary", "page_chunk"):
@@ -106,7 +106,7 @@ def questions_resolved(spark, d):
     """The nearest stored questions, each with the page or document that it was made of."""
     near = search.semantic(t.embeddings(spark, d), "question", _query_vector(spark, d), 30)
     q = near.select(F.when(F.col("source_id") % 2 == 0, "page").otherwise("document").alias("kind"), F.floor(F.col("source_id") / 20).cast("long").alias("target"), F.round("similarity", 6).alias("similarity"))
-    titles = t.pages(spark, d).select(F.lit("page").alias("kind"), F.col("id").alias("target"), "title").union(t.documents(spark, d).select(F.lit("document"), "id", "document_title"))
+    titles = t.pages(spark, d, content=False, title=True).select(F.lit("page").alias("kind"), F.col("id").alias("target"), "title").union(t.documents(spark, d).select(F.lit("document"), "id", "document_title"))
     return titles.join(F.broadcast(q), ["kind", "target"]).select("kind", "target", "title", "similarity")  # q: 30 rows
 
 
@@ -144,7 +144,7 @@ def tables_with_total(spark, d):
 @query()
 def assembled_answer(spark, d):
     tables = t.customer_tables(spark, d).orderBy("id").limit(2)
-    titles = t.pages(spark, d).filter("depth = 0").orderBy("id").limit(6).select("title")
+    titles = t.pages(spark, d, content=False, title=True).filter("depth = 0").orderBy("id").limit(6).select("title")
     return answer.assembled(tables, metric_items(spark, d).orderBy("label").limit(5), citations(spark, d).orderBy(F.desc("score"), "url").limit(5), titles)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,17 +10,39 @@ ENCODINGS = ("utf-8", "iso-8859-1")
 SEPARATORS = (";", ",", "\t")
 
 
-def rewrite(df: DataFrame, path: str) -> None:
-    """Replaces the table at path by df, which may have been read from it: written beside, then renamed."""
-    spark = df.sparkSession
-    fresh, old = f"{path}-{uuid.uuid4().hex}", f"{path}-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
+def _files(spark: SparkSession, path: str):
     make = spark._jvm.org.apache.hadoop.fs.Path
-    fs = make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(make(path)):
-        fs.rename(make(path), make(old))
-    fs.rename(make(fresh), make(path))
-    fs.delete(make(old), True)
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The finished versions of a table, oldest first."""
+    fs, make = _files(spark, path)
+    if not fs.exists(make(path)):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(make(path))]
+    numbers = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+    return sorted(k for k in numbers if fs.exists(make(f"{path}/version={k}/_SUCCESS")))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """A table's newest finished version."""
+    return spark.read.parquet(f"{path}/version={versions(spark, path)[-1]}")
+
+
+def rewrite(df: DataFrame, path: str, kept: int = 2) -> int:
+    """Writes df, which may have been read from the table, as the table's next version; readers find it once it is finished.
+
+    The last `kept` versions stay, so plans that read the one before go on. Single writer.
+    """
+    spark = df.sparkSession
+    known = versions(spark, path)
+    number = known[-1] + 1 if known else 0
+    df.write.mode("overwrite").parquet(f"{path}/version={number}")  # what an unfinished write left goes
+    fs, make = _files(spark, path)
+    for old in [*known, number][:-kept]:
+        fs.delete(make(f"{path}/version={old}"), True)
+    return number
 
 
 def delimited(spark: SparkSession, path: str) -> DataFrame:

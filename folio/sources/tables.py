@@ -17,8 +17,11 @@ def raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def pages(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
-    """id, url, category, subcategory, content_type, depth; with content also title and main_content."""
+def pages(spark: SparkSession, folder: str, content: bool = True, title: bool | None = None) -> DataFrame:
+    """id, url, category, subcategory, content_type, depth; with title (as with content) the title, with content also main_content.
+
+    Contents are joined, so a plan that wants titles alone should say content=False, title=True.
+    """
     p = raw(spark, folder, "pages")
     kind = F.when(F.col("page_id") % 10 == 0, "pdf").when(F.col("page_id") % 10 == 1, "csv").otherwise("page")
     out = p.select(
@@ -28,7 +31,7 @@ def pages(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
         F.concat(F.lit("s"), F.col("page_id") % 5).alias("subcategory"),
         kind.alias("content_type"),
         (F.col("page_id") % 4).alias("depth"),
-        *([F.regexp_extract("html", TITLE, 1).alias("title")] if content else []),
+        *([F.regexp_extract("html", TITLE, 1).alias("title")] if (content if title is None else title) else []),
     )
     if not content:
         return out

@@ -228,10 +228,13 @@ def test_records(spark):
 
 def test_store(spark, tmp_path):
     path = f"{tmp_path}/t"
-    spark.range(5).write.parquet(path)
-    store.rewrite(spark.read.parquet(path).filter("id > 1"), path)
-    store.rewrite(spark.read.parquet(path).filter("id > 2"), path)
-    assert sorted(r[0] for r in spark.read.parquet(path).collect()) == [3, 4]
+    assert store.rewrite(spark.range(5), path) == 0
+    before = store.current(spark, path)
+    assert store.rewrite(before.filter("id > 1"), path) == 1
+    assert before.count() == 5  # a reader of the version before goes on
+    (tmp_path / "t/version=2").mkdir()  # an unfinished write
+    assert store.versions(spark, path) == [0, 1] and store.rewrite(store.current(spark, path).filter("id > 2"), path) == 2
+    assert sorted(r[0] for r in store.current(spark, path).collect()) == [3, 4] and store.versions(spark, path) == [1, 2]
     (tmp_path / "f.csv").write_bytes("Número;Valor\n1;2,5\n3;4\n".encode("latin-1"))
     got = store.delimited(spark, f"{tmp_path}/f.csv")
     assert got.columns == ["Número", "Valor"] and got.count() == 2
