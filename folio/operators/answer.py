@@ -173,3 +173,31 @@ def assembled(tables: DataFrame, metrics: DataFrame, citations: DataFrame, sugge
     for part in parts:
         shown = shown.crossJoin(part)  # one row each
     return shown
+
+
+# A question that users ask of each category, and those that stand for an unknown portal.
+FREQUENT = {
+    "Gestão de Pessoas": "Remuneração dos servidores",
+    "Licitações, Contratos e Instrumentos de Cooperação": "Licitações em andamento",
+    "Licitações e Contratos": "Licitações em andamento",
+    "Orçamento e Finanças": "Execução orçamentária",
+    "Prestação de Contas": "Relatório de gestão",
+    "LGPD": "LGPD e proteção de dados",
+    "Tecnologia da Informação": "Contratos de TI",
+    "Auditoria": "Plano de auditoria interna",
+    "Dados Abertos": "Dados abertos disponíveis",
+    "Acesso à Informação": "Serviço de Informação ao Cidadão",
+    "Responsabilidade Socioambiental": "Ações socioambientais",
+    "Gestão e Governança": "Estrutura organizacional",
+}
+FALLBACK = ["Licitações em andamento", "Remuneração dos servidores", "Relatório de gestão", "LGPD e proteção de dados", "Contratos de TI", "Prestação de contas"]
+
+
+def frequent_questions(categories: DataFrame, k: int = 6) -> DataFrame:
+    """place, question: of categories (category, n), largest first, the first k different questions; FALLBACK if none is known."""
+    spark = categories.sparkSession
+    table = spark.createDataFrame(list(FREQUENT.items()), "category string, question string")
+    known = categories.join(F.broadcast(table), "category").groupBy("question").agg(F.min(F.struct((-F.col("n")).alias("n"), "category")).alias("first"))  # table: a dozen rows
+    rows = known.withColumn("place", F.row_number().over(Window.orderBy("first"))).filter(F.col("place") <= k).select("place", "question")
+    spare = spark.createDataFrame(list(enumerate(FALLBACK, 1)), "place int, question string")
+    return rows.union(spare.join(rows.limit(1).select(F.lit(True).alias("any")), F.lit(True), "left_anti"))

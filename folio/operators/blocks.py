@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from folio.functions.html import Element, parsed
+
 # Limits in tokens, of headings and of tables, and what a heading and a sentence's end look like.
 MOST, LEAST = 800, 100
 LIST_MOST = 300
@@ -29,7 +30,6 @@ CHUNK = "chunk_index int, section_title string, chunk_text string, token_count i
 
 HIDDEN = {"script", "style", "nav", "head", "footer"}
 OPENED = {"div", "section", "article", "main", "body", "span", "td", "li"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 class Block(NamedTuple):
@@ -77,60 +77,12 @@ def text_blocks(text: str | None, breadcrumb: str | None = None) -> Iterator[Blo
 # --- HTML ------------------------------------------------------------------------------------------------------------
 
 
-class _Tree(HTMLParser):
-    """Elements as [tag, children], children being elements and texts."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = ["", []]
-        self.open = [self.root]
-
-    def handle_starttag(self, tag, attrs):
-        node = [tag, []]
-        self.open[-1][1].append(node)
-        if tag not in VOID:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.open[-1][1].append([tag, []])
-
-    def handle_endtag(self, tag):
-        at = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k][0] == tag), 0)
-        if at:
-            del self.open[at:]
-
-    def handle_data(self, data):
-        self.open[-1][1].append(data)
-
-
-def _elements(node: list) -> Iterator[list]:
-    """A node's elements in document order, hidden ones left out; without recursion, as pages may nest deeply."""
-    waiting = [node]
-    while waiting:
-        own = waiting.pop()
-        yield own
-        waiting += [c for c in reversed(own[1]) if not isinstance(c, str) and c[0] not in HIDDEN]
-
-
-def _text(node: list) -> str:
-    """Texts below a node, each trimmed, joined by blanks."""
-    out, waiting = [], [node]
-    while waiting:
-        own = waiting.pop()
-        if isinstance(own, str):
-            if own.strip():
-                out.append(own.strip())
-        elif own[0] not in HIDDEN:
-            waiting += reversed(own[1])
-    return " ".join(out)
-
-
-def _table_text(table: list) -> str:
+def _table_text(table: Element) -> str:
     rows = []
-    for row in _elements(table):
-        if row[0] != "tr":
+    for row in table.below(HIDDEN):
+        if row.tag != "tr":
             continue
-        cells = [_text(c) for c in _elements(row) if c[0] in ("td", "th")]
+        cells = [c.text(hidden=HIDDEN) for c in row.below(HIDDEN) if c.tag in ("td", "th")]
         if cells:
             rows.append(" | ".join(cells))
         if len(rows) == TABLE_ROWS:
@@ -141,30 +93,28 @@ def _table_text(table: list) -> str:
 
 def html_blocks(html: str | None, breadcrumb: str | None = None) -> Iterator[Block]:
     """Blocks of the body of a page; a page without body has none."""
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    body = next((e for e in _elements(tree.root) if e[0] == "body"), None)
+    body = next((e for e in parsed(html).below(HIDDEN) if e.tag == "body"), None)
     headings: list[str] = []
     waiting = [body] if body else []
     while waiting:
         node = waiting.pop()
-        tag, section = node[0], _labelled(breadcrumb, headings[-1]) if headings else breadcrumb
+        tag, section = node.tag, _labelled(breadcrumb, headings[-1]) if headings else breadcrumb
+        inner = [c for c in node.children if isinstance(c, Element) and c.tag not in HIDDEN]
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            if title := _text(node):
+            if title := node.text(hidden=HIDDEN):
                 headings = [*headings[: int(tag[1]) - 1], title]
         elif tag == "p":
-            if len(text := _text(node)) > SHORTEST_PARAGRAPH:
+            if len(text := node.text(hidden=HIDDEN)) > SHORTEST_PARAGRAPH:
                 yield Block(text, section)
         elif tag == "table":
             if text := _table_text(node):
                 yield Block(text, section, True)
         elif tag in ("ul", "ol"):
-            items = [f"• {x}" for c in node[1] if not isinstance(c, str) and c[0] == "li" and (x := _text(c))]
+            items = [f"• {x}" for c in inner if c.tag == "li" and (x := c.text(hidden=HIDDEN))]
             whole = "\n".join(items)
             yield from (Block(x, section) for x in ([whole] if tokens(whole) <= LIST_MOST else items))
         elif tag in OPENED:
-            waiting += [c for c in reversed(node[1]) if not isinstance(c, str) and c[0] not in HIDDEN]
+            waiting += reversed(inner)
 
 
 # --- packing ---------------------------------------------------------------------------------------------------------

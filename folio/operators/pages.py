@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.html import parsed
+
 SKIPPED = {"script", "style", "nav", "footer", "header"}
 HEADINGS = {f"h{k}" for k in range(1, 7)}
 BLOCKS = {"p", "li", "td", "th", "div", "article", "section", "tr", "table", "ul", "ol", *HEADINGS}
@@ -198,6 +203,57 @@ def extract(html: Column | str) -> Column:
     return F.pandas_udf(_read_all, EXTRACT)(html)
 
 
+PAGE = "title string, description string, breadcrumb array<struct<title:string,url:string>>, main_content string, content_summary string, documents array<struct<url:string,title:string>>, links array<struct<url:string,title:string>>, tags array<string>, last_modified timestamp"
+DOCUMENT_ENDS = (".pdf", ".csv", ".xlsx", ".xls")
+
+
+def _moment(text: str | None) -> datetime | None:
+    try:
+        return datetime.fromisoformat(text) if text else None
+    except ValueError:
+        return None
+
+
+def _page(html: str | None, url: str | None, domain: str) -> tuple:
+    root, url = parsed(html), url or ""
+    meta = lambda name: next((e.attrs.get("content") or "" for e in root.below() if e.tag == "meta" and e.attrs.get("name") == name), None)
+    heading, titled, described = root.first("h1", **{"class": "documentFirstHeading"}), root.first("title"), root.first("div", **{"class": "documentDescription"})
+    title = heading.text("") if heading else titled.text("").split("—")[0].strip() if titled else ""
+    trail = root.first("ol", id="portal-breadcrumbs") or root.first("nav", **{"class": "breadcrumb"})
+    breadcrumb = []
+    for item in (e for e in trail.below() if e.tag == "li") if trail else ():
+        link = item.first("a")
+        if link or item.text(""):
+            breadcrumb.append(((link or item).text(""), urljoin(url, link.attrs.get("href") or "") if link else url))
+    core = root.first("div", id="content-core") or root.first("article") or root.first("div", id="content")
+    hidden = {"script", "style", "nav", "footer"}
+    content = core.text("\n", hidden) if core else None
+    files, links = [], []
+    for link in (e for e in core.below(hidden) if e.tag == "a" and e.attrs.get("href")) if core else ():
+        target, name = urljoin(url, link.attrs["href"]), link.text("")
+        if domain in target and name:
+            (files if target.lower().endswith(DOCUMENT_ENDS) or "@@display-file" in target else links).append((target, name))
+    tags = [k.strip() for k in (meta("keywords") or "").split(",") if k.strip()]
+    return title, described.text("") if described else meta("description"), breadcrumb, content, None if content is None else _summary(content), files, links, tags, _moment(meta("DC.date.modified"))
+
+
+def extract_page(html: Column | str, url: Column | str, domain: str) -> Column:
+    """A struct of all that a page of a portal says of itself: PAGE. Links and files are those of domain that have a text."""
+
+    def run(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_page(h, u, domain) for h, u in zip(pages, urls)], columns=[f.split()[0] for f in re.split(r", (?![^<]*>)", PAGE)])
+
+    return F.pandas_udf(run, PAGE)(html, url)
+
+
+def path_category(url: Column, anchor: str, place: int = 0) -> Column:
+    """The name of the section that stands behind anchor in a URL's path, or of the one behind that (place 1); null if there is none."""
+    parts = F.split(F.regexp_extract(url, r"^[^?#]*?://[^/?#]*([^?#]*)", 1), "/")
+    at = F.array_position(parts, anchor)
+    slug = F.get(parts, (at + place).cast("int"))
+    return F.when((at > 0) & slug.isNotNull(), slug_title(slug))
+
+
 def wanted_link(target: Column) -> Column:
     """Not an anchor, script, mail or phone link."""
     return ~F.lower(F.trim(target)).rlike(r"^(?:#|javascript:|mailto:|tel:)") & (F.trim(target) != "")

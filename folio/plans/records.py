@@ -98,7 +98,7 @@ def chunk_counts_per_document(spark, d):
         "pg",
         then=r"""SELECT id, k AS chunk_index, len(w[k * 269 + 1:k * 269 + 307]) AS n_words FROM (SELECT id, w, unnest(range(0, 1 + greatest(0, ceil((len(w) - 307) / 269.0)::BIGINT)))::INTEGER AS k FROM
       (SELECT id, list_filter(string_split_regex(main_content, '\s+'), lambda x: x <> '') AS w FROM pg
-      WHERE length(main_content) >= 2000 AND id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 5 = 2)) WHERE len(w) > 0)""",
+      WHERE length(main_content) >= 2000 AND id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 6 = 2)) WHERE len(w) > 0)""",
     )
 )
 def page_chunk_backfill(spark, d):

@@ -159,3 +159,22 @@ def crawl_candidates(spark, d):
     href = F.get(F.array(*map(F.lit, ("c?x=1", "/a/d", "//cdn.example.org/a/f.pdf", "https://www.example.org/z/g.csv?v=2", "mailto:x@y", "?q=1", "http://other.com/a/b"))), (i % 7).cast("int"))
     rows = t.raw(spark, d, "pages").select(i.alias("source_id"), F.concat(F.lit("https://www.example.org/a/b/"), i.cast("string")).alias("base"), href.alias("href")).filter(pages.wanted_link(F.col("href")))
     return rows.select("source_id", pages.candidate(pages.absolute(F.col("base"), F.col("href")), "example.org", "/a/").alias("url")).filter("url IS NOT NULL").distinct()
+
+
+@query()
+def page_fields(spark, d):
+    """All that pages say of themselves, with the section of their path."""
+    url = F.concat(F.lit("https://www.example.org/portal/"), F.get(F.array(*map(F.lit, pages.SLUGS)), (F.col("page_id") % 25).cast("int")), F.lit("/outra-pagina"))
+    rows = t.raw(spark, d, "pages").select(F.col("page_id").alias("id"), F.coalesce(url, "url").alias("url"), "html")
+    x = pages.extract_page("html", "url", "example.org")
+    return rows.select("id", "url", x.alias("x")).select("id", "x.title", "x.description", F.size("x.documents").alias("n_documents"), F.size("x.links").alias("n_links"), F.array_join("x.tags", ",").alias("tags"), pages.path_category(F.col("url"), "portal").alias("category"), pages.path_category(F.col("url"), "portal", 1).alias("subcategory"))
+
+
+_FREQUENT_SQL = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in answer.FREQUENT.items()) + ") f(category, question)"
+
+
+@query(sql("pg", then=f", c AS (SELECT coalesce(({_LIST(answer.FREQUENT)})[(id % 20 + 1)::INTEGER], category) AS category, count(*) AS n FROM pg GROUP BY 1) SELECT row_number() OVER (ORDER BY first)::INTEGER AS place, question FROM (SELECT question, min({{'n': -n, 'category': category}}) AS first FROM c JOIN {_FREQUENT_SQL} USING (category) GROUP BY question) ORDER BY place LIMIT 6"))
+def frequent_questions(spark, d):
+    """Questions of the largest categories."""
+    name = F.coalesce(F.get(F.array(*map(F.lit, answer.FREQUENT)), (F.col("id") % 20).cast("int")), F.col("category"))
+    return answer.frequent_questions(t.pages(spark, d, content=False).groupBy(name.alias("category")).agg(F.count("*").alias("n")))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What a delimited file is tried as, in order.
-ENCODINGS = ("utf-8", "iso-8859-1")
-SEPARATORS = (";", ",", "\t")
+ENCODINGS = ("utf-8", "iso-8859-1")  # what the latter reads, windows-1252 does too, but for 27 marks; Spark takes no such charset
+SEPARATORS = (",", ";", "\t")
 
 
 def _files(spark: SparkSession, path: str):
@@ -57,6 +57,13 @@ def delimited(spark: SparkSession, path: str) -> DataFrame:
     return best if best is not None else spark.read.csv(path, header=True, sep=";", encoding="iso-8859-1", mode="DROPMALFORMED")
 
 
+def tabular(spark: SparkSession, path: str) -> DataFrame:
+    """A file of a kind that the engine reads, by its name's end; others are an error."""
+    if path.lower().endswith(".csv"):
+        return delimited(spark, path)
+    raise ValueError(f"can't read {path}: PDF and spreadsheet files need libraries that aren't there")
+
+
 def sitemap(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     """url and lastmod of a sitemap's entries below prefix."""
     rows = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)

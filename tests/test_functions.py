@@ -313,3 +313,30 @@ def test_semantic_of_unknown_kind(spark):
     vectors = spark.createDataFrame([(1, "page", "c", [1.0, 0.0])], "source_id long, source_type string, category string, embedding array<float>")
     assert search.semantic(vectors, "video", [1.0, 0.0], 3).count() == 0
     assert search.semantic(vectors, "page", [1.0, 0.0], 3, "other").count() == 0 and search.semantic(vectors, "page", [1.0, 0.0], 3).count() == 1
+
+
+def test_page_fields(spark):
+    html = """<html><head><title>Título — Portal</title><meta name="description" content="Uma descrição"><meta name="keywords" content="ata, , receita">
+      <meta name="DC.date.modified" content="2024-03-01T10:00:00"></head><body><ol id="portal-breadcrumbs"><li><a href="/">Início</a></li><li>Aqui</li></ol>
+      <div id="content-core"><nav>fora</nav><p>Texto <b>forte</b></p><a href="a.pdf">Arquivo</a><a href="/b">Página</a><a href="http://other.net/c">Fora</a><a href="/d"></a></div></body></html>"""
+    df = spark.createDataFrame([(html, "https://example.org/x/y"), (None, None), ("<h1 class='k documentFirstHeading'>Cabeça</h1><div class='documentDescription'>D</div>", "https://example.org/")], "html string, url string")
+    a, b, c = (r["x"] for r in df.select(pages.extract_page("html", "url", "example.org").alias("x")).collect())
+    assert (a["title"], a["description"], a["tags"], str(a["last_modified"])[:10]) == ("Título", "Uma descrição", ["ata", "receita"], "2024-03-01")
+    assert [tuple(x) for x in a["breadcrumb"]] == [("Início", "https://example.org/"), ("Aqui", "https://example.org/x/y")]
+    assert a["main_content"] == a["content_summary"] == "Texto\nforte\nArquivo\nPágina\nFora"
+    assert [tuple(x) for x in a["documents"]] == [("https://example.org/x/a.pdf", "Arquivo")] and [tuple(x) for x in a["links"]] == [("https://example.org/b", "Página")]
+    assert (b["title"], b["main_content"], b["links"]) == ("", None, []) and (c["title"], c["description"]) == ("Cabeça", "D")
+    category = lambda url, place=0: one(spark, url, lambda c: pages.path_category(c, "portal", place))
+    assert category("https://a.org/portal/governanca/planos-2024?x") == "Gestão e Governança" and category("https://a.org/portal/governanca/planos-2024", 1) == "Planos 2024"
+    assert category("https://a.org/outro/governanca") is None
+
+
+def test_questions_fall_back(spark):
+    known = spark.createDataFrame([("LGPD", 3), ("Licitações e Contratos", 5), ("Licitações, Contratos e Instrumentos de Cooperação", 9), ("x", 99)], "category string, n long")
+    assert [r["question"] for r in answer.frequent_questions(known).orderBy("place").collect()] == ["Licitações em andamento", "LGPD e proteção de dados"]
+    assert [r["question"] for r in answer.frequent_questions(known.filter("n > 50")).orderBy("place").collect()] == answer.FALLBACK
+
+
+def test_unknown_files(spark):
+    with pytest.raises(ValueError):
+        store.tabular(spark, "x.pdf")
