@@ -65,6 +65,31 @@ def asked(df: DataFrame, key: str, text: str, ask: Callable[[list[str]], list[st
     return slim.mapInPandas(run, f"`{key}` {slim.schema['key'].dataType.simpleString()}, reply string")
 
 
+def embedded(df: DataFrame, key: str, text: str, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """key and embedding of each text: an embedder gets batches of at most MOST_TEXTS texts and about MOST_TOKENS tokens of four letters."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            vectors, held, size = [], [], 0
+            for x in part["text"]:
+                n = max(1, len(x or "") // 4)
+                if held and (len(held) >= MOST_TEXTS or size + n > MOST_TOKENS):
+                    vectors += embed(held)
+                    held, size = [], 0
+                held.append(x or "")
+                size += n
+            vectors += embed(held) if held else []
+            yield pd.DataFrame({key: part["key"], "embedding": vectors})
+
+    slim = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return slim.mapInPandas(run, f"`{key}` {slim.schema['key'].dataType.simpleString()}, embedding array<double>")
+
+
+def letter_vectors(texts: list[str]) -> list[list[float]]:
+    """Stand-in for an embedder: shares of eight letters."""
+    return [[x.count(c) / max(1, len(x)) for c in "aeinorst"] for x in texts]
+
+
 def keyword_tags(texts: list[str]) -> list[str]:
     """Stand-in for a model that tags pages: names a tag for each keyword it finds, in the model's form of reply."""
     words = {"en": "receita", "de": "despesa", "la": "contrato"}

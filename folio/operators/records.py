@@ -39,6 +39,22 @@ def replace_all(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return upsert(old, new, key)
 
 
+def upsert_with_children(old: dict[str, DataFrame], new: dict[str, DataFrame], key: str, owner: str) -> dict[str, DataFrame]:
+    """Tables after an upsert of parents: the table owner by key; of every other table (children by the parent's key) the rows of
+    parents that come anew are replaced by the new ones."""
+    fresh = new[owner].select(key)
+    out = {owner: upsert(old[owner], new[owner], [key])}
+    for name in old.keys() - {owner}:
+        kept = old[name].join(fresh, key, "left_anti")
+        out[name] = kept.unionByName(new[name]) if name in new else kept
+    return out
+
+
+def delete_with_children(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:
+    """All tables without the rows of the keys that go, parents and children alike."""
+    return {name: delete(df, gone, [key]) for name, df in tables.items()}
+
+
 def delete(old: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     return old.join(gone.select(*key), key, "left_anti")
 

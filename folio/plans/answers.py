@@ -80,9 +80,9 @@ def suggestions(spark, d):
 
 @query()
 def prompt_context(spark, d):
-    """The context of one question: pages by words, chunks by meaning, and a table."""
+    """The context of one question: five pages by words, three chunks by meaning, and a table."""
     pages = search.ranked(page_hits(spark, d, 5), "rank", "id").select("id", "pos", F.col("title").alias("text"))
-    near = search.ranked(search.top(similar(spark, d, "chunk"), "similarity", 5), "similarity", "id").select("id", "pos")
+    near = search.ranked(search.top(similar(spark, d, "chunk"), "similarity", 3), "similarity", "id").select("id", "pos")
     texts = document_chunks(spark, d).filter("chunk_index = 0").select("id", F.left("chunk_text", F.lit(300)).alias("text"))
     chunks = near.join(texts, "id").withColumn("document", F.concat(F.lit("d"), "id"))
     tables = t.customer_tables(spark, d).orderBy("id").limit(1).select("id", F.lit(0).alias("pos"), answer.markdown(F.col("headers"), F.col("rows")).alias("text"), F.lit("d0").alias("document"))

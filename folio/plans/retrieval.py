@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folio.functions import cells, text
-from folio.operators import blocks, enrich, pages, quality, search
+from folio.operators import answer, blocks, enrich, pages, quality, search
 from folio.plans.analytics import DAMAGED, VERDICT_SQL, damaged_tables
 from folio.plans.records import _CHUNKS, document_chunks, page_chunks
 from folio.plans.register import query
@@ -165,10 +165,16 @@ def search_chunks_union(spark, d):
     return search.top(chunk_hits(spark, d), "rank", 30).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query(sql("ct", then="SELECT id, caption FROM ct WHERE (caption ILIKE '%cliente%' OR headers::VARCHAR ILIKE '%cliente%' OR array_to_string(flatten(rows), ' ') ILIKE '%cliente%') AND (caption ILIKE '%urgent%' OR array_to_string(headers, ' ') ILIKE '%urgent%' OR array_to_string(flatten(rows), ' ') ILIKE '%urgent%') ORDER BY id LIMIT 10"))
+_TABLE_TEXTS = ("caption", "array_to_string(headers, ' ')", "array_to_string(flatten(rows), ' ')", "caption || ' ' || array_to_string(headers, ' ') || ' ' || array_to_string(flatten(rows[1:5]), ' ')", "'https://example.org/tabelas/' || id || '.csv'")
+_EACH_TERM = " AND ".join("(" + " OR ".join(f"({x}) ILIKE '%{term}%'" for x in _TABLE_TEXTS) + ")" for term in ("cliente", "urgent", "tabelas/"))
+
+
+@query(sql("ct", then=f"SELECT id, caption FROM ct WHERE {_EACH_TERM} ORDER BY id LIMIT 10"))
 def search_tables_ilike(spark, d):
-    columns = [F.col("caption"), F.array_join("headers", " "), F.array_join(F.flatten("rows"), " ")]
-    return search.table_search(t.customer_tables(spark, d), ["cliente", "urgent", "de"], columns).select("id", "caption").orderBy("id").limit(10)
+    """Every term in the caption, the headers, the rows, the search text or the URL of a table."""
+    url = F.concat(F.lit("https://example.org/tabelas/"), F.col("id").cast("string"), F.lit(".csv"))
+    columns = [F.col("caption"), F.array_join("headers", " "), F.array_join(F.flatten("rows"), " "), answer.embed_text(F.col("caption"), F.col("headers"), F.col("rows")), url]
+    return search.table_search(t.customer_tables(spark, d), ["cliente", "urgent", "de", "tabelas/"], columns).select("id", "caption").orderBy("id").limit(10)
 
 
 @query(

@@ -178,3 +178,28 @@ def frequent_questions(spark, d):
     """Questions of the largest categories."""
     name = F.coalesce(F.get(F.array(*map(F.lit, answer.FREQUENT)), (F.col("id") % 20).cast("int")), F.col("category"))
     return answer.frequent_questions(t.pages(spark, d, content=False).groupBy(name.alias("category")).agg(F.count("*").alias("n")))
+
+
+@query("SELECT doc_id AS id, 'chunk' AS source_type, 'letters' AS model, sha256(text) AS text_hash, 8 AS dimensions, doc_id % 3 <> 2 AS refreshed FROM documents")
+def incremental_embedding(spark, d):
+    """Documents without a vector, or whose text has changed since, are embedded anew and upserted by source, kind and model."""
+    docs = t.raw(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.sha2("text", 256).alias("text_hash"))
+    key = ["id", "source_type", "model"]
+    named = lambda df: df.withColumns({"source_type": F.lit("chunk"), "model": F.lit("letters")})
+    known = named(docs.filter("id % 3 <> 0")).select(*key, F.when(F.col("id") % 3 == 1, "stale").otherwise(F.col("text_hash")).alias("text_hash"), F.array_repeat(F.lit(0.5), 8).alias("embedding"), F.lit(False).alias("refreshed"))
+    todo = docs.join(known.select("id", F.col("text_hash").alias("known")), "id", "left").filter(~F.col("text_hash").eqNullSafe(F.col("known")))
+    fresh = named(answer.embedded(todo, "id", "text", answer.letter_vectors).join(todo.select("id", "text_hash"), "id")).withColumn("refreshed", F.lit(True))
+    return records.upsert(known, fresh.select(known.columns), key).select(*key, "text_hash", F.size("embedding").alias("dimensions"), "refreshed")
+
+
+@query("""WITH c AS (SELECT page_id AS id, unnest(range(page_id % 3)) AS n FROM pages)
+    SELECT page_id AS id, CASE WHEN page_id % 4 = 0 THEN 'new' ELSE 'old' END AS version, CASE WHEN page_id % 4 = 0 THEN 1 ELSE page_id % 3 END AS n_links FROM pages WHERE page_id % 11 <> 0""")
+def pages_with_children(spark, d):
+    """Pages that come anew bring their links along; pages that go take theirs with them."""
+    ids = t.raw(spark, d, "pages").select(F.col("page_id").alias("id"))
+    links = ids.select("id", F.explode(F.expr("CASE WHEN id % 3 > 0 THEN sequence(1, id % 3) ELSE array() END")).alias("n"))
+    fresh = ids.filter("id % 4 = 0")
+    tables = records.upsert_with_children({"pages": ids.withColumn("version", F.lit("old")), "links": links}, {"pages": fresh.withColumn("version", F.lit("new")), "links": fresh.withColumn("n", F.lit(9).cast("long"))}, "id", "pages")
+    left = records.delete_with_children(tables, ids.filter("id % 11 = 0"), "id")
+    counted = left["links"].groupBy("id").agg(F.count("*").alias("n_links"))
+    return left["pages"].join(counted, "id", "left").select("id", "version", F.coalesce("n_links", F.lit(0)).alias("n_links"))
