@@ -16,7 +16,7 @@ many as can ever be asked for), so a vector that a third of all rows hold costs
 
 Vectors that are null, zero or hold a null or non-finite component take no part; so do rows without vec_id, and vectors
 of another length than the most frequent one. Rows of one vec_id and equal vectors count once, others of one vec_id
-each. Ties go to the smaller vec_id. Empty tables give empty results; extra columns are not read.
+each. Ties go to the smaller vec_id. Vectors of any length of the table's own are read whole. Empty tables give empty results; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -1,14 +1,15 @@
 """Packing: first-fit decreasing with a tournament tree of bin capacities, in randomised groups of documents.
 
 Documents are dealt to groups by a hash of doc_id and text, and those that a task has met before by their number too, so
-no key makes a large group and every group is a fair sample of lengths; each group is packed in a task of its own. A document longer than a sequence is cut into full sequences and
-one rest. Pieces of a group, longest first, go to the leftmost sequence with room, which the tree finds in log n steps.
+no key makes a large group and every group is a fair sample of lengths; each group is packed in a task of its own. A
+document longer than a sequence is cut into full sequences and one rest. Pieces of a group, longest first, go to the leftmost sequence with room, which the tree finds in log n steps.
 
 Texts are split at white space first, as the tokenizer itself drops it, and each distinct stretch is encoded once; a
 text in which Python and the tokenizer may disagree is encoded whole. The ids are those of encoding the whole text.
 
-Null and empty texts are the single end token. A null doc_id counts as a document.
-Repeated rows are documents of their own. An empty table gives an empty result. Extra columns are not read.
+Null and empty texts are the single end token. A null doc_id counts as a document. Repeated rows are documents of their own.
+Pieces of equal length (ties) stand by doc_id, start and checksum. A very long text is encoded whole and cut into as many
+pieces as it needs. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
