@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by largest inner product: vantage-point trees per shard.
 
 A vector x of length at most M becomes the point (x, sqrt(M^2 - |x|^2)) and a query q the point (q, 0): among points of
-equal length, the nearest is the one of largest inner product, so a metric tree serves. Cells gather the vectors that are nearest to one of at most MOST_PIVOTS pivots, a bounded sample; every vector is
-indexed. A cell is dealt to shards of about SHARD vectors by a hash of vec_id, so a cell that holds a third of all vectors is many
-shards. Each shard's tree is built once and staged. It splits at the median distance to a vantage point; a search enters
+equal length, the nearest is the one of largest inner product, so a metric tree serves. Cells gather the vectors that are
+nearest to one of at most MOST_PIVOTS pivots, a bounded sample; every vector is indexed. A cell is dealt to shards of
+about SHARD vectors by a hash of vec_id, so a cell that holds a third of all vectors is many shards. Each shard's tree is built once and staged. It splits at the median distance to a vantage point; a search enters
 the far side only if the distance to the border is less than `factor` times the distance of the worst neighbour found so
 far. The triangle inequality makes a factor of 1 exact; smaller factors prune more and may miss neighbours.
 
@@ -16,7 +16,8 @@ many as can ever be asked for), so a vector that a third of all rows hold costs
 
 Vectors that are null, zero or hold a null or non-finite component take no part; so do rows without vec_id, and vectors
 of another length than the most frequent one. Rows of one vec_id and equal vectors count once, others of one vec_id
-each. Ties go to the smaller vec_id. Vectors of any length of the table's own are read whole. Empty tables give empty results; extra columns are not read.
+each. Ties go to the smaller vec_id. Vectors of any length of the table's own are read whole. Empty tables give empty
+results; extra columns are not read.
 """
 
 from __future__ import annotations
