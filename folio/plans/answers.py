@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.functions import text
-from folio.functions.core import strings
 from folio.operators import answer, enrich, search
 from folio.plans.records import _CHUNKS, document_chunks
 from folio.plans.register import query
@@ -89,12 +88,11 @@ def prompt_context(spark, d):
     return answer.context(pages, chunks, tables)
 
 
-@query("SELECT doc_id AS id, CASE WHEN lower(text) LIKE '%trash%' THEN 'words' WHEN doc_id % 5 = 0 THEN 'year' ELSE 'none' END AS found_by FROM documents")
+@query(sql("dc", then="SELECT id, CASE WHEN lower(full_text) LIKE '%trash%' THEN 'words' WHEN contains(document_url, '2024') OR contains(document_url, '2025') THEN 'year' ELSE 'none' END AS found_by FROM dc"))
 def url_year_match(spark, d):
     """Documents found by a word, else by a year of the question in their URL."""
-    url = F.when(F.col("doc_id") % 5 == 0, F.lit("http://x/2024/a")).otherwise(F.lit("http://x/2023/a"))
-    by_year = F.exists(strings(["%2024%", "%2025%"]), lambda p: F.ilike(url, p))
-    return t.raw(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.lower("text").contains("trash"), "words").when(by_year, "year").otherwise("none").alias("found_by"))
+    by_year = text.names_year(F.col("document_url"), F.lit("Trash de 2024 e 2025?"))
+    return t.documents(spark, d).select("id", F.when(F.lower("full_text").contains("trash"), "words").when(by_year, "year").otherwise("none").alias("found_by"))
 
 
 @query(sql("ct", then="SELECT id, caption || ' ' || array_to_string(headers, ' ') || ' ' || array_to_string(flatten(rows[1:5]), ' ') AS content FROM ct"))

@@ -24,9 +24,9 @@ def documents_page(df, page: int, size: int, **wanted):
     return df.orderBy("id").offset((page - 1) * size).limit(size)
 
 
-@query(sql("dc", "pg", then="SELECT dc.id, document_url, coalesce(pg.title, document_url) AS title, substr(coalesce(nullif(full_text, ''), document_title), 1, 300) AS preview FROM dc LEFT JOIN pg ON pg.id = dc.page_id WHERE document_url LIKE '%/7' OR document_url = 'src3/3'"))
+@query(sql("dc", "pg", then="SELECT dc.id, document_url, coalesce(pg.title, document_url) AS title, substr(coalesce(nullif(full_text, ''), document_title), 1, 300) AS preview FROM dc LEFT JOIN pg ON pg.id = dc.page_id WHERE document_url LIKE '%/7' OR document_url = 'src3/2022/3'"))
 def document_lookup(spark, d):
-    docs = t.documents(spark, d).filter(F.col("document_url").endswith("/7") | (F.col("document_url") == "src3/3"))
+    docs = t.documents(spark, d).filter(F.col("document_url").endswith("/7") | (F.col("document_url") == "src3/2022/3"))
     pages = t.pages(spark, d, content=False, title=True).select(F.col("id").alias("page_id"), "title")
     preview = F.left(F.coalesce(F.nullif("full_text", F.lit("")), F.col("document_title")), F.lit(300))
     return docs.join(pages, "page_id", "left").select("id", "document_url", F.coalesce("title", "document_url").alias("title"), preview.alias("preview"))

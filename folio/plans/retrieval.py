@@ -115,6 +115,7 @@ def duplicate_flags(spark, d):
 QUESTION = "Quais são the shores of that?"
 TERMS = ["the", "of"]
 SEARCHED = "Quais the of?"
+YEAR_ASKED = "Quais the of de 2024?"
 _FOLD = f"translate(lower(coalesce({{x}}, '')), '{text.ACCENTED}', '{text.PLAIN}')"
 _LEX = r"regexp_extract_all(" + _FOLD + r", '[\p{{L}}\p{{N}}_]+')"
 
@@ -152,15 +153,16 @@ def chunk_hits(spark, d):
     """Chunks by question, chunks of documents whose URL holds the question's year, and page chunks with negated ids; rows that differ in rank stay apart."""
     chunks = document_chunks(spark, d).withColumn("cid", F.col("id") * 1000 + F.col("chunk_index"))
     by_words = search.matching(chunks, SEARCHED, {"chunk_text": search.UNWEIGHTED}).select(F.col("cid").alias("id"), "rank")
-    by_year = chunks.filter("id % 100 = 24").select(F.col("cid").alias("id"), F.lit(0.05).alias("rank"))
+    dated = t.documents(spark, d).filter(text.names_year(F.col("document_url"), F.lit(YEAR_ASKED))).select("id")
+    by_year = chunks.join(dated, "id", "left_semi").select(F.col("cid").alias("id"), F.lit(0.05).alias("rank"))
     own_pages = search.matching(t.pages(spark, d), SEARCHED, _PAGE_FIELDS).select((-F.col("id")).alias("id"), "rank")
     return by_words.union(by_year).union(own_pages).distinct()
 
 
-_UNION_HITS = "SELECT id, rank FROM chh UNION SELECT id * 1000 + chunk_index, 0.05::DOUBLE FROM ch WHERE id % 100 = 24 UNION SELECT -id, rank FROM ph"
+_UNION_HITS = "SELECT id, rank FROM chh UNION SELECT id * 1000 + chunk_index, 0.05::DOUBLE FROM ch WHERE id IN (SELECT id FROM dc WHERE contains(document_url, '2024')) UNION SELECT -id, rank FROM ph"
 
 
-@query(sql("pg", then=f", {_CHUNKS}, {_PAGE_HITS}, {_CHUNK_HITS} SELECT id, round(rank, 6) AS rank FROM ({_UNION_HITS}) u ORDER BY u.rank DESC, id LIMIT 30"))
+@query(sql("pg", "dc", then=f", {_CHUNKS}, {_PAGE_HITS}, {_CHUNK_HITS} SELECT id, round(rank, 6) AS rank FROM ({_UNION_HITS}) u ORDER BY u.rank DESC, id LIMIT 30"))
 def search_chunks_union(spark, d):
     return search.top(chunk_hits(spark, d), "rank", 30).select("id", F.round("rank", 6).alias("rank"))
 
@@ -288,6 +290,7 @@ def hybrid_rrf_pages(spark, d):
 @query(
     sql(
         "pg",
+        "dc",
         "em",
         then=f", {_CHUNKS}, {_PAGE_HITS}, {_CHUNK_HITS}, wl AS (SELECT id, row_number() OVER (ORDER BY rank DESC, id) - 1 AS pos, 0 AS list FROM (SELECT * FROM ({_UNION_HITS}) ORDER BY rank DESC, id LIMIT 30)) "
         + _FUSED.format(lists=f"SELECT * FROM wl UNION ALL {_semantic_sql(['chunk', 'page_chunk'], 1000)}"),

@@ -47,7 +47,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return d.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         (F.col("doc_id") % 97).alias("page_id"),
-        F.concat("source", F.lit("/"), "doc_id").alias("document_url"),
+        F.concat("source", F.lit("/"), (2019 + F.col("doc_id") % 7).cast("string"), F.lit("/"), "doc_id").alias("document_url"),
         F.concat(F.lit("doc "), "doc_id").alias("document_title"),
         kind.alias("document_type"),
         F.col("text").alias("full_text"),
@@ -117,7 +117,7 @@ TABLES_SQL = {
     "pg": rf"""pg AS (SELECT page_id AS id, url, regexp_extract(url, '{PATH_PART}', 1) AS category, 's' || (page_id % 5) AS subcategory,
       CASE WHEN page_id % 10 = 0 THEN 'pdf' WHEN page_id % 10 = 1 THEN 'csv' ELSE 'page' END AS content_type, page_id % 4 AS depth,
       regexp_extract(html, '{TITLE}', 1) AS title, d.text AS main_content FROM pages LEFT JOIN documents d ON d.doc_id = page_id)""",
-    "dc": """dc AS (SELECT d.doc_id AS id, d.doc_id % 97 AS page_id, source || '/' || d.doc_id AS document_url, 'doc ' || d.doc_id AS document_title,
+    "dc": """dc AS (SELECT d.doc_id AS id, d.doc_id % 97 AS page_id, source || '/' || (2019 + d.doc_id % 7) || '/' || d.doc_id AS document_url, 'doc ' || d.doc_id AS document_title,
       CASE WHEN d.doc_id % 3 = 0 THEN 'pdf' WHEN d.doc_id % 3 = 1 THEN 'csv' ELSE 'xlsx' END AS document_type, text AS full_text, lang AS category,
       CASE WHEN quality = 1 THEN 'done' WHEN quality = 0 THEN 'error' WHEN d.doc_id % 4 = 0 THEN 'processing' ELSE 'pending' END AS processing_status,
       TIMESTAMP '2024-01-01' + to_minutes((d.doc_id % 1000)::INTEGER) AS processed_at
