@@ -8,7 +8,7 @@ from folio.functions import text
 from folio.operators import answer, enrich, search
 from folio.plans.records import _CHUNKS, document_chunks
 from folio.plans.register import query
-from folio.plans.retrieval import _SIM, page_hits, similar
+from folio.plans.retrieval import _PAGE_HITS, _SIM, page_hits, similar
 from folio.sources import store
 from folio.sources import tables as t
 from folio.sources.tables import with_tables as sql
@@ -77,7 +77,17 @@ def suggestions(spark, d):
     return answer.suggestions(t.pages(spark, d, content=False, title=True))
 
 
-@query()
+@query(
+    sql(
+        "pg",
+        "em",
+        "ct",
+        then=f""", {_CHUNKS}, {_PAGE_HITS}, p AS (SELECT 0 AS turn, row_number() OVER (ORDER BY rank DESC, ph.id) - 1 AS pos, ph.id, '[Paginas] ' || title AS line FROM (SELECT * FROM ph ORDER BY rank DESC, id LIMIT 5) ph JOIN pg ON pg.id = ph.id),
+    c AS (SELECT 1, pos, n.id, '[Trechos] ' || left(chunk_text, 300) FROM (SELECT source_id AS id, row_number() OVER (ORDER BY {_SIM} DESC, source_id) - 1 AS pos FROM em WHERE source_type = 'chunk' ORDER BY pos LIMIT 3) n JOIN ch ON ch.id = n.id AND chunk_index = 0 WHERE n.id <> 0),
+    m AS (SELECT 2, 0, id, '[Tabelas] ' || '| ' || array_to_string(headers, ' | ') || ' |' || chr(10) || '|' || repeat('---|', len(headers)) || chr(10) || array_to_string(list_transform(rows[1:30], lambda r: '| ' || array_to_string(r, ' | ') || ' |'), chr(10)) FROM ct ORDER BY id LIMIT 1)
+    SELECT string_agg(line, chr(10) ORDER BY turn, pos, id) AS context FROM (SELECT * FROM p UNION ALL SELECT * FROM c UNION ALL SELECT * FROM m)""",
+    )
+)
 def prompt_context(spark, d):
     """The context of one question: five pages by words, three chunks by meaning, and a table."""
     pages = search.ranked(page_hits(spark, d, 5), "rank", "id").select("id", "pos", F.col("title").alias("text"))
