@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.shared import staged
+from folio.llm.shared import discard, staged
 
 K = 20
 EVERY = 20
@@ -135,13 +135,14 @@ class Shard:
 
     def to_bytes(self) -> bytes:
         out = BytesIO()
-        np.savez(out, vectors=self.vectors, ids=self.ids, begin=self.begin, length=self.length, order=self.tree.order, nodes=self.tree.table)
+        short = self.vectors.astype(np.float32)
+        np.savez(out, vectors=short if (short == self.vectors).all() else self.vectors, ids=self.ids, begin=self.begin, length=self.length, order=self.tree.order, nodes=self.tree.table)
         return out.getvalue()
 
     @classmethod
     def of_bytes(cls, data: bytes) -> Shard:
         got, self = np.load(BytesIO(data)), cls.__new__(cls)
-        self.vectors, self.ids, self.begin, self.length = got["vectors"], got["ids"], got["begin"], float(got["length"])
+        self.vectors, self.ids, self.begin, self.length = got["vectors"].astype(np.float64), got["ids"], got["begin"], float(got["length"])
         self.tree = VantageTree.__new__(VantageTree)
         self.tree._keep(lifted(self.vectors, self.length), got["order"], got["nodes"])
         return self
@@ -256,15 +257,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = F
         doubles = F.transform("embedding", lambda x: x.cast("double"))
         whole = F.forall(doubles, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
         squared = F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + x * x)
-        return df.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(whole & (squared > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("d"), doubles.alias("vector"), squared.alias("square"))
+        return df.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(whole & (squared > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("d"), F.col("embedding").alias("vector"), squared.alias("square"))
 
+    # vectors stay in their own type where they are stored or sent, and are doubles where they are computed with
     stored = staged(usable(vectors).dropDuplicates(["vec_id", "vector"]), "ann-vectors")
+    kind = stored.schema["vector"].dataType.simpleString()
     lengths = stored.groupBy("d").agg(F.count("*").alias("n"), F.max("square").alias("longest")).orderBy(F.desc("n"), "d").first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if lengths is None:
         return empty
     alike = F.col("d") == lengths["d"]
     asked = staged(usable(queries).filter(alike).dropDuplicates(["vec_id", "vector"]).select("vec_id", "vector"), "ann-queries")
+    asked_kind = asked.schema["vector"].dataType.simpleString()
     n_asked = asked.count()
     if not n_asked:
         return empty
@@ -272,11 +276,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = F
     # the index: pivots (a bounded sample), every vector's cell, and a tree a shard
     some = stored.filter(alike).orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id").select("vector").limit(min(MOST_PIVOTS, -(-lengths["n"] // shard))).collect()
     pivots = lifted(np.unique(np.array([r["vector"] for r in some], np.float64), axis=0), length)
-    celled = staged(stored.filter(alike).select("vec_id", "vector").mapInPandas(_celled(pivots, length), "vec_id long, vector array<double>, cell int, far double"), "ann-cells")
+    celled = staged(stored.filter(alike).select("vec_id", "vector").mapInPandas(_celled(pivots, length), f"vec_id long, vector {kind}, cell int, far double"), "ann-cells")
     rings = {r["cell"]: (r["least"], r["most"], -(-r["n"] // shard)) for r in celled.groupBy("cell").agg(F.min("far").alias("least"), F.max("far").alias("most"), F.count("*").alias("n")).collect()}  # at most MOST_PIVOTS rows
     deal = F.get(F.lit([rings[c][2] if c in rings else 1 for c in range(len(pivots))]), F.col("cell"))
     dealt = celled.select("vec_id", "vector", "cell", F.pmod(F.xxhash64(F.lit("shard"), "vec_id"), deal).cast("int").alias("sub"))
     trees = staged(dealt.groupBy("cell", "sub").applyInPandas(_built(length, k), "cell int, sub int, tree binary"), "ann-trees")
+    for table in (stored, celled):
+        discard(table)
 
     groups = -(-n_asked // per_task)
     by = ["cell", "sub", "part"]
@@ -287,13 +293,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = F
         return copies.groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(_searched(k, factor), "query_id long, vec_id long, score double")
 
     # one shard of the own cell, whose k-th neighbour bounds the rest
-    home = asked.mapInPandas(_homes(pivots, sorted(rings)), "vec_id long, vector array<double>, cell int").withColumn("alike", F.count("*").over(Window.partitionBy("vec_id")))
+    home = asked.mapInPandas(_homes(pivots, sorted(rings)), f"vec_id long, vector {asked_kind}, cell int").withColumn("alike", F.count("*").over(Window.partitionBy("vec_id")))
     first = staged(met(home.drop("alike").withColumns({"sub": F.lit(0), "bound": F.lit(float("inf"))})), "ann-first")
     kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    square = F.aggregate("vector", F.lit(length * length), lambda acc, x: acc + x * x)
+    square = F.aggregate("vector", F.lit(length * length), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     bound = F.when((F.col("n") >= k) & (F.col("alike") == 1), F.sqrt(F.greatest(square - 2 * F.col("least"), F.lit(0.0))) * (1 + 1e-9)).otherwise(F.lit(float("inf")))
     bounded = home.join(kth.withColumnRenamed("query_id", "_id"), F.col("vec_id") == F.col("_id"), "left").select("vec_id", "vector", "cell", F.coalesce(bound, F.lit(float("inf"))).alias("bound"))
-    routed = bounded.mapInPandas(_routed(pivots, rings, length, factor), "vec_id long, vector array<double>, bound double, cell int, sub int")
+    routed = bounded.mapInPandas(_routed(pivots, rings, length, factor), f"vec_id long, vector {asked_kind}, bound double, cell int, sub int")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = first.union(met(routed)).dropDuplicates(["query_id", "vec_id", "score"])
     return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
