@@ -1,7 +1,7 @@
 """The corpus operators as named queries, with SQL for those that SQL can express."""
 
 import corpus_pipeline
-from folio.llm import jaccard, langid, mixing, neighbours, packing, pii, quality, secrets, sharding, toxicity
+from folio.llm import clusters, jaccard, langid, mixing, neighbours, packing, phrases, pieces, pii, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -14,6 +14,9 @@ QUERIES = {
     "op8_surrogates": pii.op8_surrogates,
     "op9_mixing": mixing.op9_mixing,
     "op10_approximate_nearest_neighbours": neighbours.op10_approximate_nearest_neighbours,
+    "op11_sentencepiece": pieces.op11_sentencepiece,
+    "op12_phrase_collocations": phrases.op12_phrase_collocations,
+    "op13_centroid_clustering": clusters.op13_centroid_clustering,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
@@ -21,4 +24,6 @@ ORACLE_SQL = {
     "op5_secret_scans": secrets.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op12_phrase_collocations": phrases.ORACLE,
+    "op13_centroid_clustering": clusters.ORACLE,
 }
