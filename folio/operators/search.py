@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions.core import bind, no_strings
 from folio.functions.text import LEXEME, fold, lexemes, plain_lexemes
 from folio.functions.vectors import cosine
 
@@ -69,6 +70,30 @@ def highlight(text: Column, question: str, width: int = 20) -> Column:
     return F.array_join(F.transform(shown, lambda w: F.when(hit(w), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w)), " ")
 
 
+def headline(text: Column, wanted: Column, lexer=lexemes, most: int = 20, least: int = 5) -> Column:
+    """The shortest stretch of words that holds all wanted lexemes (an array), its own in <b> marks; ties go to the first.
+
+    A stretch of fewer than `least` words goes on behind, then before it, as far as the text goes; of one of more than
+    `most` words the first ones are shown. A text that lacks a lexeme is shown from its start, `least` words long.
+    """
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+
+    def shown(parts: Column) -> Column:
+        own = parts["own"]
+        places = F.transform(F.array_distinct(parts["wanted"]), lambda q: F.filter(F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1))), lambda i: F.array_contains(F.coalesce(F.get(own, i - 1), F.array(F.lit(""))), q)))
+        starts = F.array_distinct(F.flatten(places))
+        end = lambda i: F.array_max(F.transform(places, lambda p: F.coalesce(F.array_min(F.filter(p, lambda j: j >= i)), F.lit(1 << 30))))
+        covers = F.filter(F.transform(starts, lambda i: F.struct((end(i) - i + 1).alias("n"), i.alias("i"))), lambda c: c["n"] < (1 << 29))
+        best = F.array_min(covers)
+        size = F.size(own)
+        n = F.least(F.greatest(F.coalesce(best["n"], F.lit(0)), F.lit(least)), F.lit(most), size)
+        first = F.greatest(F.least(F.coalesce(best["i"], F.lit(1)), size - n + 1), F.lit(1))
+        marked = F.zip_with(parts["words"], own, lambda w, x: F.when(F.arrays_overlap(x, parts["wanted"]), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
+        return F.array_join(F.slice(marked, first, n), " ")
+
+    return bind(bind(words, lambda w: F.struct(w.alias("words"), F.transform(w, lexer).alias("own"), F.coalesce(wanted, no_strings()).alias("wanted"))), shown)
+
+
 def bm25(df: DataFrame, key: str, text: str, question: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k rows of best BM25 score that hold any word of at least two letters of question."""
     wanted = [w for w in plain_lexemes(question) if len(w) >= 2]

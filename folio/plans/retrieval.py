@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folio.functions import cells, text
-from folio.operators import answer, blocks, enrich, pages, quality, search
+from folio.operators import answer, blocks, enrich, pages, postings, quality, search
+from folio.plans import indexed
 from folio.plans.analytics import DAMAGED, VERDICT_SQL, damaged_tables
 from folio.plans.records import _CHUNKS, document_chunks, page_chunks
 from folio.plans.register import query
@@ -140,23 +141,33 @@ _PAGE_HITS = f"ph AS (SELECT id, {_rank({f'l_{c}': w for c, w in _PAGE_FIELDS.it
 _CHUNK_HITS = f"chh AS (SELECT id * 1000 + chunk_index AS id, {_rank({'l': search.UNWEIGHTED})} AS rank FROM (SELECT id, chunk_index, {_LEX.format(x='chunk_text')} AS l FROM ch) WHERE {_holds(['l'])})"
 
 
+def page_ranks(spark, d, k: int = 20):
+    """The best pages, by the index."""
+    return search.top(postings.find(spark, indexed.pages_index(spark, d), text.plain_lexemes(SEARCHED)), "rank", k)
+
+
 def page_hits(spark, d, k: int = 20):
-    return search.top(search.matching(t.pages(spark, d), SEARCHED, _PAGE_FIELDS).select("id", "rank", "title"), "rank", k)
+    """The best pages with their titles."""
+    hits = page_ranks(spark, d, k)
+    return t.pages(spark, d, content=False, title=True).select("id", "title").join(F.broadcast(hits), "id").select("id", "rank", "title")  # k rows
 
 
 @query(sql("pg", then=f", {_PAGE_HITS} SELECT id, round(rank, 6) AS rank FROM ph ORDER BY ph.rank DESC, id LIMIT 20"))
 def search_pages_fts(spark, d):
-    return page_hits(spark, d).select("id", F.round("rank", 6).alias("rank"))
+    return page_ranks(spark, d).select("id", F.round("rank", 6).alias("rank"))
+
 
+def chunk_hits(spark, d, k: int = 30):
+    """The k best of chunks by question, chunks of documents whose URL holds the question's year, and pages with negated ids.
 
-def chunk_hits(spark, d):
-    """Chunks by question, chunks of documents whose URL holds the question's year, and page chunks with negated ids; rows that differ in rank stay apart."""
-    chunks = document_chunks(spark, d).withColumn("cid", F.col("id") * 1000 + F.col("chunk_index"))
-    by_words = search.matching(chunks, SEARCHED, {"chunk_text": search.UNWEIGHTED}).select(F.col("cid").alias("id"), "rank")
+    Rows that differ in rank stay apart. Each part is cut to its k best before they are put together.
+    """
+    wanted = text.plain_lexemes(SEARCHED)
+    by_words = search.top(postings.find(spark, indexed.chunks_index(spark, d), wanted), "rank", k)
     dated = t.documents(spark, d).filter(text.names_year(F.col("document_url"), F.lit(YEAR_ASKED))).select("id")
-    by_year = chunks.join(dated, "id", "left_semi").select(F.col("cid").alias("id"), F.lit(0.05).alias("rank"))
-    own_pages = search.matching(t.pages(spark, d), SEARCHED, _PAGE_FIELDS).select((-F.col("id")).alias("id"), "rank")
-    return by_words.union(by_year).union(own_pages).distinct()
+    by_year = document_chunks(spark, d).join(dated, "id", "left_semi").select((F.col("id") * 1000 + F.col("chunk_index")).alias("id"), F.lit(0.05).alias("rank"))
+    own_pages = postings.find(spark, indexed.pages_index(spark, d), wanted).select((-F.col("id")).alias("id"), "rank")
+    return search.top(by_words.union(search.top(by_year, "rank", k)).union(search.top(own_pages, "rank", k)).distinct(), "rank", k)
 
 
 _UNION_HITS = "SELECT id, rank FROM chh UNION SELECT id * 1000 + chunk_index, 0.05::DOUBLE FROM ch WHERE id IN (SELECT id FROM dc WHERE contains(document_url, '2024')) UNION SELECT -id, rank FROM ph"
@@ -164,7 +175,7 @@ _UNION_HITS = "SELECT id, rank FROM chh UNION SELECT id * 1000 + chunk_index, 0.
 
 @query(sql("pg", "dc", then=f", {_CHUNKS}, {_PAGE_HITS}, {_CHUNK_HITS} SELECT id, round(rank, 6) AS rank FROM ({_UNION_HITS}) u ORDER BY u.rank DESC, id LIMIT 30"))
 def search_chunks_union(spark, d):
-    return search.top(chunk_hits(spark, d), "rank", 30).select("id", F.round("rank", 6).alias("rank"))
+    return chunk_hits(spark, d).select("id", F.round("rank", 6).alias("rank"))
 
 
 _TABLE_TEXTS = ("caption", "array_to_string(headers, ' ')", "array_to_string(flatten(rows), ' ')", "caption || ' ' || array_to_string(headers, ' ') || ' ' || array_to_string(flatten(rows[1:5]), ' ')", "'https://example.org/tabelas/' || id || '.csv'")
@@ -187,8 +198,7 @@ def search_tables_ilike(spark, d):
       FROM c, s WHERE a > 0 OR b > 0) x ORDER BY x.score DESC, id LIMIT 20"""
 )
 def search_or_bm25(spark, d):
-    docs = t.raw(spark, d, "documents").withColumnRenamed("doc_id", "id")
-    return search.bm25(docs, "id", "text", "trash shores", 20).select("id", F.round("score", 6).alias("score"))
+    return postings.bm25(spark, indexed.documents_index(spark, d), text.plain_lexemes("trash shores"), 20).select("id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT doc_id AS id FROM documents WHERE lower(text) LIKE '%trash%'")
@@ -275,7 +285,7 @@ _FUSED = "SELECT id, round(sum(1.0 / (61 + pos)), 9) AS score FROM ({lists}) GRO
 
 def hybrid(spark, d):
     """Pages by words and by meaning, fused by reciprocal rank."""
-    words = search.ranked(page_hits(spark, d), "rank", "id").select("id", "pos", F.lit(0).alias("list"))
+    words = search.ranked(page_ranks(spark, d), "rank", "id").select("id", "pos", F.lit(0).alias("list"))
     return search.fuse(words.unionByName(_semantic_lists(spark, d, ["page", "question", "section"], 1)))
 
 
@@ -297,7 +307,7 @@ def hybrid_rrf_pages(spark, d):
     )
 )
 def hybrid_rrf_chunks(spark, d):
-    words = search.ranked(search.top(chunk_hits(spark, d), "rank", 30), "rank", "id").select("id", "pos", F.lit(0).alias("list"))
+    words = search.ranked(chunk_hits(spark, d), "rank", "id").select("id", "pos", F.lit(0).alias("list"))
     fused = search.fuse(words.unionByName(_semantic_lists(spark, d, ["chunk", "page_chunk"], 1000)))
     return fused.orderBy(F.desc("score"), "first_seen", "id").limit(20).select("id", F.round("score", 9).alias("score"))
 
@@ -314,7 +324,7 @@ def hybrid_expanded(spark, d):
     """Widened search: the first result and a new word search form one list, a new vector search the other."""
     first = hybrid(spark, d).orderBy(F.desc("score"), "first_seen", "id").limit(20)
     current = first.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "first_seen", "id")) - 1).select("id", "pos", F.lit(0).alias("list"))
-    again = search.ranked(page_hits(spark, d), "rank", "id").select("id", (F.col("pos") + 20).alias("pos"), F.lit(0).alias("list"))
+    again = search.ranked(page_ranks(spark, d), "rank", "id").select("id", (F.col("pos") + 20).alias("pos"), F.lit(0).alias("list"))
     fused = search.fuse(current.union(again).unionByName(_semantic_lists(spark, d, ["page_chunk"], 1)))
     return fused.orderBy(F.desc("score"), "first_seen", "id").limit(20).select("id", F.round("score", 9).alias("score"))
 
