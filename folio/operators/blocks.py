@@ -28,8 +28,9 @@ _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÁÉÍÓÚÂÊÎÔÛÀÃÕÇ"
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 CHUNK = "chunk_index int, section_title string, chunk_text string, token_count int, has_table boolean"
 
+# Elements that are left out, and those whose children are read; "" is a page without body.
 HIDDEN = {"script", "style", "nav", "head", "footer"}
-OPENED = {"div", "section", "article", "main", "body", "span", "td", "li"}
+OPENED = {"div", "section", "article", "main", "body", "span", "td", "li", "html", ""}
 
 
 class Block(NamedTuple):
@@ -92,10 +93,10 @@ def _table_text(table: Element) -> str:
 
 
 def html_blocks(html: str | None, breadcrumb: str | None = None) -> Iterator[Block]:
-    """Blocks of the body of a page; a page without body has none."""
-    body = next((e for e in parsed(html).below(HIDDEN) if e.tag == "body"), None)
+    """Blocks of the body of a page, of the whole page if it has none."""
+    root = parsed(html)
     headings: list[str] = []
-    waiting = [body] if body else []
+    waiting = [next((e for e in root.below(HIDDEN) if e.tag == "body"), root)]
     while waiting:
         node = waiting.pop()
         tag, section = node.tag, _labelled(breadcrumb, headings[-1]) if headings else breadcrumb

@@ -185,7 +185,9 @@ def test_html_chunks():
     assert got[1] == ("• item 0\n• item 1\n• item 2", "Portal > Fundo", False)
     assert got[2].table and got[2].section == "Portal > Dois" and got[2].text.split("\n")[::50] == ["0 | v x", blocks.TABLE_CUT]
     assert [b.text for b in got[3:]] == [f"• item número {k} da lista" for k in range(60)]
-    assert list(blocks.html_blocks("<p>sem corpo, mas um texto longo</p>")) == list(blocks.html_blocks(None)) == []
+    assert list(blocks.html_blocks(None)) == []
+    for bare in ("<p>sem corpo, mas um texto longo</p>", "<div><p>sem corpo, mas um texto longo</p></div>", "<html><head><title>x</title></head><div><p>sem corpo, mas um texto longo</p>"):
+        assert [b.text for b in blocks.html_blocks(bare)] == ["sem corpo, mas um texto longo"]
     assert list(blocks.html_blocks("<body>" + "<div>" * 5000 + "<p>um texto fundo na árvore</p>"))[0].text == "um texto fundo na árvore"
 
 
