@@ -24,6 +24,7 @@ may hold any other character, zeros too. Extra columns are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from folio.llm.shared import discard, staged
 
 LEAST, LONGEST, BEST = 100, 5, 2000
-#: Words of a block, about.
-BLOCK = 1_000_000
+#: Words that a task holds before it closes its open blocks, of whatever languages.
+BLOCK = 400_000
 #: Bits of a sieve, at most, as a power of two, and bits a hash that sets one.
 SIEVE_BITS, BITS_A_HASH = 28, 64
 
@@ -50,34 +51,34 @@ BLOCKS = "lang string, n long, words binary, positions binary, codes binary, phr
 def blocks(documents: DataFrame, text: str = "text", lang: str = "lang", most: int = BLOCK) -> DataFrame:
     """The documents' words as blocks, without lists."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_blocks: dict[str, tuple[dict, list, list]] = {}
-
-        def closed(name: str) -> dict:
-            known, codes, bounds = open_blocks.pop(name)
-            sizes = np.diff(np.array([0, *bounds]))
-            gaps = np.repeat(np.arange(len(sizes)), sizes)  # a free position behind each piece
-            positions = (np.arange(len(codes)) + gaps).astype("<i4").tobytes()
-            return {"lang": name, "n": len(codes), "words": b"\n".join(known), "positions": positions, "codes": np.array(codes, "<i4").tobytes(), "phrases": [], "sizes": [], "lists": b""}
+    def closed(name: str, known: dict, codes: array, bounds: array) -> dict:
+        sizes = np.diff(np.array([0, *bounds]))
+        gaps = np.repeat(np.arange(len(sizes)), sizes)  # a free position behind each piece
+        positions = (np.arange(len(codes)) + gaps).astype("<i4").tobytes()
+        return {"lang": name, "n": len(codes), "words": b"\n".join(known), "positions": positions, "codes": np.array(codes, "<i4").tobytes(), "phrases": [], "sizes": [], "lists": b""}
 
-        def put(batch: pd.DataFrame) -> Iterator[dict]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in BLOCKS.split(", ")]
+        held: dict[str, tuple[dict, array, array]] = {}
+        n = 0
+        for batch in batches:
             for name, body in zip(batch["lang"], batch["text"]):
                 for piece in _ENDS.split(body.encode().lower()):  # bytes: A-Z alone change
                     words = piece.split()  # at blanks and tabs, as no other white space is left
                     if not words:
                         continue
-                    known, codes, bounds = open_blocks.setdefault(name, ({}, [], []))
-                    codes += [known.setdefault(w, len(known)) for w in words]
+                    known, codes, bounds = held.setdefault(name, ({}, array("i"), array("i")))
+                    codes.extend([known.setdefault(w, len(known)) for w in words])
                     bounds.append(len(codes))
-                    if len(codes) >= most:
-                        yield closed(name)
-
-        columns = [c.split()[0] for c in BLOCKS.split(", ")]
-        for batch in batches:
-            for full in put(batch):
-                yield pd.DataFrame([full], columns=columns)
-        for name in list(open_blocks):
-            yield pd.DataFrame([closed(name)], columns=columns)
+                    n += len(words)
+                    if n >= most:
+                        while held:
+                            name_, parts = held.popitem()
+                            yield pd.DataFrame([closed(name_, *parts)], columns=columns)
+                        n = 0
+        while held:
+            name_, parts = held.popitem()
+            yield pd.DataFrame([closed(name_, *parts)], columns=columns)
 
     rows = documents.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInPandas(run, BLOCKS)
