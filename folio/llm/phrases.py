@@ -9,7 +9,7 @@ one position on.
 Phrases that may be frequent are told from others in two steps a level. Blocks send a 64-bit hash and a length of each
 extended list, and hashes that reach the threshold set bits in a sieve of bounded size, which is broadcast: the wider the
 table, the more lists pass it, but none that is frequent is stopped. Lists that pass are stored with their phrases, and
-frequencies are then counted by language and phrase in full. Postings that no live list covers are dropped, so later
+frequencies are then counted by language and phrase in full, in packs of a block's phrases. Postings that no live list covers are dropped, so later
 levels read little. A block holds so many words that its lists fit a worker, whatever its documents' lengths, and a phrase
 of all documents is one row a block in the shuffle.
 
@@ -24,7 +24,9 @@ may hold any other character, zeros too. Extra columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -205,6 +207,40 @@ def counted_words(state: DataFrame) -> DataFrame:
     return state.select("lang", "words", "codes").mapInPandas(run, "lang string, phrase string, n long")
 
 
+#: Packs that a block's lists are dealt to for counting, at least, and frequent hashes a pack otherwise.
+PACKS, PACK = 64, 2000
+
+
+def counted_lists(state: DataFrame, n: int, least: int) -> DataFrame:
+    """lang, phrase and n of the lists of all blocks that are frequent together; n hashes are.
+
+    A block sends its phrases and lengths in packs by a hash of the phrase, so the rows follow the blocks; a task adds the
+    packs that meet in it, and holds the different phrases of these alone.
+    """
+    packs = max(PACKS, n // PACK)
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lang, phrases, sizes in zip(batch["lang"], batch["phrases"], batch["sizes"]):
+                pack = np.fromiter((zlib.crc32(p.encode()) % packs for p in phrases), np.int64, len(phrases))
+                order = np.argsort(pack, kind="stable")
+                numbers, first = np.unique(pack[order], return_index=True)
+                cut = lambda x: np.split(np.asarray(x, object)[order], first[1:])
+                yield pd.DataFrame({"pack": numbers, "lang": lang, "phrases": cut(phrases), "sizes": [c.astype(np.int32) for c in cut(sizes)]})
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+        for batch in batches:
+            for lang, phrases, sizes in zip(batch["lang"], batch["phrases"], batch["sizes"]):
+                for phrase, size in zip(phrases.tolist(), sizes.tolist()):
+                    total[lang, phrase] += size
+        kept = [(lang, phrase, n) for (lang, phrase), n in total.items() if n >= least]
+        yield pd.DataFrame(kept, columns=["lang", "phrase", "n"])
+
+    rows = state.select("lang", "phrases", "sizes").mapInPandas(packed, "pack long, lang string, phrases array<string>, sizes array<int>")
+    return rows.repartition("pack").mapInPandas(added, "lang string, phrase string, n long")
+
+
 def _frequent(lists: DataFrame, keys: list[str], least: int) -> DataFrame:
     return lists.groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
@@ -242,8 +278,7 @@ def frequencies(documents: DataFrame, least: int = LEAST, longest: int = LONGEST
         discard(hashes)
         discard(state)
         state, words_sieve = longer, None
-        lists = state.select("lang", F.explode(F.arrays_zip("phrases", "sizes")).alias("x")).select("lang", F.col("x.phrases").alias("phrase"), F.col("x.sizes").cast("long").alias("n"))
-        levels.append(staged(_frequent(lists, ["lang", "phrase"], least), f"phrases-{k}"))
+        levels.append(staged(counted_lists(state, n, least), f"phrases-{k}"))
     discard(state)
     out = None
     for k, level in enumerate(levels, 1):
