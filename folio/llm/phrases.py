@@ -6,10 +6,10 @@ frequency in the block, and the sum over blocks the exact frequency. Lists of k
 merge-join of their positions, k further, with the postings of adjacent words; only where the phrase's tail is itself live
 one position on.
 
-Phrases that may be frequent are told from others in two steps a level. Blocks send a 64-bit hash and a length of each
+Phrases that may be frequent are told from others in two steps a level. Blocks send a hash and a length of each
 extended list, and hashes that reach the threshold set bits in a sieve of bounded size, which is broadcast: the wider the
 table, the more lists pass it, but none that is frequent is stopped. Lists that pass are stored with their phrases, and
-frequencies are then counted by language and phrase in full, in packs of a block's phrases. Postings that no live list covers are dropped, so later
+frequencies are then counted by language and phrase in full, in packs. Postings that no live list covers are dropped, so later
 levels read little. A block holds so many words that its lists fit a worker, whatever its documents' lengths, and a phrase
 of all documents is one row a block in the shuffle.
 
@@ -41,13 +41,16 @@ LEAST, LONGEST, BEST = 100, 5, 2000
 BLOCK = 400_000
 #: Bits of a sieve, at most, as a power of two, and bits a hash that sets one.
 SIEVE_BITS, BITS_A_HASH = 28, 64
+#: Bits of a hash: fewer of them make the shuffle smaller, and let some lists pass that aren't frequent.
+HASH_BITS = 48
 
 _ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
-#: words: the words of codes, joined by line ends, which no word holds; positions and codes: the postings, by position;
+#: words: the words of codes, joined by line ends, which no word holds; steps and codes: the postings, by position, as
+#: distances, which compress well;
 #: lists: the live lists' positions, one list after another, and sizes: the lists' lengths; phrases: their phrases.
-BLOCKS = "lang string, n long, words binary, positions binary, codes binary, phrases array<string>, sizes array<int>, lists binary"
+BLOCKS = "lang string, n long, words binary, steps binary, codes binary, phrases array<string>, sizes array<int>, lists binary"
 
 
 def blocks(documents: DataFrame, text: str = "text", lang: str = "lang", most: int = BLOCK) -> DataFrame:
@@ -56,8 +59,7 @@ def blocks(documents: DataFrame, text: str = "text", lang: str = "lang", most: i
     def closed(name: str, known: dict, codes: array, bounds: array) -> dict:
         sizes = np.diff(np.array([0, *bounds]))
         gaps = np.repeat(np.arange(len(sizes)), sizes)  # a free position behind each piece
-        positions = (np.arange(len(codes)) + gaps).astype("<i4").tobytes()
-        return {"lang": name, "n": len(codes), "words": b"\n".join(known), "positions": positions, "codes": np.array(codes, "<i4").tobytes(), "phrases": [], "sizes": [], "lists": b""}
+        return {"lang": name, "n": len(codes), "words": b"\n".join(known), "steps": _steps(np.arange(len(codes)) + gaps), "codes": np.array(codes, "<i4").tobytes(), "phrases": [], "sizes": [], "lists": b""}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in BLOCKS.split(", ")]
@@ -86,14 +88,18 @@ def blocks(documents: DataFrame, text: str = "text", lang: str = "lang", most: i
     return rows.mapInPandas(run, BLOCKS)
 
 
+def _steps(positions: np.ndarray) -> bytes:
+    return np.diff(positions, prepend=0).astype("<i4").tobytes()
+
+
 def _hashes(parts: list[np.ndarray], lang: str) -> np.ndarray:
-    """A hash of each row of words, given their own hashes."""
+    """A hash of HASH_BITS bits of each row of words, given their own hashes."""
     with np.errstate(over="ignore"):
         out = np.full(len(parts[0]), _word_hash([lang.encode()])[0], np.uint64)
         for p in parts:
             out = (out ^ p) * _MIX
             out ^= out >> np.uint64(29)
-    return out
+    return out >> np.uint64(64 - HASH_BITS)
 
 
 def _word_hash(words: list[bytes]) -> np.ndarray:
@@ -110,14 +116,14 @@ class Sieve:
         self.map[cells] = values.view(np.uint64)
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        place = hashes >> np.uint64(64 - self.bits)
+        place = hashes >> np.uint64(HASH_BITS - self.bits)
         return (self.map[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
 def sieve(hashes: DataFrame, n: int) -> Sieve:
     """hashes (a long column h, n rows) as a sieve, which has at most 2 ** SIEVE_BITS bits however many there are."""
     bits = min(SIEVE_BITS, max(12, (n * BITS_A_HASH).bit_length()))
-    places = hashes.select(F.expr(f"shiftrightunsigned(h, {64 - bits})").alias("place"))
+    places = hashes.select(F.expr(f"shiftrightunsigned(h, {HASH_BITS - bits})").alias("place"))
     cells = places.groupBy(F.expr("CAST(shiftright(place, 6) AS INT)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, CAST(place & 63 AS INT)))").alias("value"))
     got = cells.toPandas()  # bounded: a row a cell
     return Sieve(bits, got["cell"].to_numpy(np.int64), got["value"].to_numpy(np.int64))
@@ -138,7 +144,7 @@ def extended(row, k: int, words_sieve: Sieve | None):
     of each list). Words that the sieve stops count as gaps.
     """
     words = bytes(row["words"]).split(b"\n")
-    positions, codes = np.frombuffer(row["positions"], "<i4"), np.frombuffer(row["codes"], "<i4")
+    positions, codes = np.cumsum(np.frombuffer(row["steps"], "<i4"), dtype=np.int32), np.frombuffer(row["codes"], "<i4")
     own = _word_hash(words)
     if words_sieve is not None:
         live = words_sieve.holds(_hashes([own], row["lang"]))[codes]
@@ -168,7 +174,7 @@ def list_hashes(state: DataFrame, k: int, words_sieve) -> DataFrame:
                 *_, number, hashes = extended(row, k, held)
                 yield pd.DataFrame({"h": hashes.view(np.int64), "n": np.bincount(number, minlength=len(hashes))})
 
-    return state.select("lang", "words", "positions", "codes", "lists").mapInPandas(run, "h long, n long")
+    return state.select("lang", "words", "steps", "codes", "lists").mapInPandas(run, "h long, n long")
 
 
 def extend(state: DataFrame, k: int, words_sieve, lists_sieve) -> DataFrame:
@@ -190,7 +196,7 @@ def extend(state: DataFrame, k: int, words_sieve, lists_sieve) -> DataFrame:
                     covered[heads + i] = True
                 phrases = [b" ".join(words[c] for c in codes[h : h + k].tolist()).decode() for h in heads[first].tolist()]
                 used, fresh = np.unique(codes[covered], return_inverse=True)
-                yield pd.DataFrame([{"lang": row["lang"], "n": row["n"], "words": b"\n".join(words[c] for c in used.tolist()), "positions": positions[covered].tobytes(), "codes": fresh.astype("<i4").tobytes(), "phrases": phrases, "sizes": sizes.tolist(), "lists": starts.astype("<i4").tobytes()}])
+                yield pd.DataFrame([{"lang": row["lang"], "n": row["n"], "words": b"\n".join(words[c] for c in used.tolist()), "steps": _steps(positions[covered]), "codes": fresh.astype("<i4").tobytes(), "phrases": phrases, "sizes": sizes.tolist(), "lists": starts.astype("<i4").tobytes()}])
 
     return state.mapInPandas(run, BLOCKS).filter(F.size("phrases") > 0)
 
@@ -207,26 +213,37 @@ def counted_words(state: DataFrame) -> DataFrame:
     return state.select("lang", "words", "codes").mapInPandas(run, "lang string, phrase string, n long")
 
 
-#: Packs that a block's lists are dealt to for counting, at least, and frequent hashes a pack otherwise.
-PACKS, PACK = 64, 2000
+#: Packs that lists are dealt to for counting, at least, and frequent hashes a pack otherwise; phrases that a task adds up
+#: before it sends them.
+PACKS, PACK, HELD = 64, 2000, 200_000
 
 
 def counted_lists(state: DataFrame, n: int, least: int) -> DataFrame:
     """lang, phrase and n of the lists of all blocks that are frequent together; n hashes are.
 
-    A block sends its phrases and lengths in packs by a hash of the phrase, so the rows follow the blocks; a task adds the
+    A task adds up what its blocks hold and sends phrases and lengths in packs by a hash of the phrase; a task adds the
     packs that meet in it, and holds the different phrases of these alone.
     """
     packs = max(PACKS, n // PACK)
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
         for batch in batches:
             for lang, phrases, sizes in zip(batch["lang"], batch["phrases"], batch["sizes"]):
-                pack = np.fromiter((zlib.crc32(p.encode()) % packs for p in phrases), np.int64, len(phrases))
-                order = np.argsort(pack, kind="stable")
-                numbers, first = np.unique(pack[order], return_index=True)
-                cut = lambda x: np.split(np.asarray(x, object)[order], first[1:])
-                yield pd.DataFrame({"pack": numbers, "lang": lang, "phrases": cut(phrases), "sizes": [c.astype(np.int32) for c in cut(sizes)]})
+                for phrase, size in zip(phrases.tolist(), sizes.tolist()):
+                    held[lang, phrase] += size
+                if len(held) > HELD:
+                    yield sent(held)
+                    held.clear()
+        yield sent(held)
+
+    def sent(held: Counter) -> pd.DataFrame:
+        by_pack: dict[tuple, tuple[list, list]] = {}
+        for (lang, phrase), size in held.items():
+            phrases, sizes = by_pack.setdefault((zlib.crc32(phrase.encode()) % packs, lang), ([], []))
+            phrases.append(phrase)
+            sizes.append(size)
+        return pd.DataFrame([(pack, lang, *x) for (pack, lang), x in by_pack.items()], columns=["pack", "lang", "phrases", "sizes"])
 
     def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
@@ -237,7 +254,7 @@ def counted_lists(state: DataFrame, n: int, least: int) -> DataFrame:
         kept = [(lang, phrase, n) for (lang, phrase), n in total.items() if n >= least]
         yield pd.DataFrame(kept, columns=["lang", "phrase", "n"])
 
-    rows = state.select("lang", "phrases", "sizes").mapInPandas(packed, "pack long, lang string, phrases array<string>, sizes array<int>")
+    rows = state.select("lang", "phrases", "sizes").mapInPandas(packed, "pack long, lang string, phrases array<string>, sizes array<long>")
     return rows.repartition("pack").mapInPandas(added, "lang string, phrase string, n long")
 
 
