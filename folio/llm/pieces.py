@@ -35,10 +35,12 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words that lie in one array.
 AT_ONCE = 20_000
+#: Letters of texts that are cut into words at once, if no text is longer.
+LETTERS = 1_000_000
 #: Longer words aren't remembered from batch to batch.
 SHORT = 64
 #: Words that a worker remembers, at most; all are forgotten when there are more.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 _WIDE = 1 << 21  # more than all pieces and code points together
 _NONE = np.iinfo(np.int32).max
@@ -235,6 +237,17 @@ class Pieces:
         return out
 
     def encode(self, texts: list[str | None], end: bool = True) -> list[np.ndarray]:
+        """The ids of each text; so many texts at once that their words take little memory."""
+        out, some, letters = [], [], 0
+        for t in texts:
+            some.append(t)
+            letters += len(t or "")
+            if letters >= LETTERS:
+                out += self._encoded(some, end)
+                some, letters = [], 0
+        return out + self._encoded(some, end)
+
+    def _encoded(self, texts: list[str | None], end: bool) -> list[np.ndarray]:
         cut = [self.cuts.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.words) > REMEMBERED:
             self.words = {}
