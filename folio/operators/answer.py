@@ -149,6 +149,17 @@ def call_tool(tables: DataFrame, name: str, args: dict) -> DataFrame:
     return tables.select("id", bind(missing, lambda m: F.struct(F.when(m.isNull(), TOOLS[name](headers, rows, args)).alias("result"), m.alias("error"))).alias("x")).select("id", "x.result", "x.error")
 
 
+def call_indexed(calls: DataFrame, tables: DataFrame, name: str, args: dict) -> DataFrame:
+    """id, result and error of a tool on the table that each call (id, owner, table_index) names among its owner's tables.
+
+    tables has owner, table_index (from 0), headers and rows; an index beyond the owner's tables, below 0 or null is an error.
+    """
+    own = calls.join(tables.select("owner", "table_index", "headers", "rows"), ["owner", "table_index"], "left")
+    done = call_tool(own.filter("headers IS NOT NULL"), name, args)
+    missing = own.filter("headers IS NULL").select("id", F.lit(None).cast("string").alias("result"), F.concat(F.lit("no table: "), F.coalesce(F.col("table_index").cast("string"), F.lit("null"))).alias("error"))
+    return done.unionByName(missing)
+
+
 def suggestions(pages: DataFrame, k: int = 4) -> DataFrame:
     """Up to k page titles to go on with, of each category."""
     n = F.row_number().over(Window.partitionBy("category").orderBy("depth", "id"))

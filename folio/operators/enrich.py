@@ -85,6 +85,13 @@ def relation_counts(entity_rows: DataFrame, key: str = "id") -> DataFrame:
     return pairs.groupBy("relation_type").agg(F.sum("pairs").alias("n"))
 
 
+def counts_by_strategy(entity_rows: DataFrame, link_rows: DataFrame, key: str = "id") -> DataFrame:
+    """strategy, relation_type and n: relations that entities make, counted by entity, and those of links (relation_type)."""
+    by_entity = relation_counts(entity_rows, key).select(F.lit("entity").alias("strategy"), "relation_type", F.col("n").cast("long").alias("n"))
+    by_link = link_rows.groupBy("relation_type").agg(F.count("*").alias("n")).select(F.lit("link").alias("strategy"), "relation_type", "n")
+    return by_entity.unionByName(by_link)
+
+
 def relations_of(entity_rows: DataFrame, page: int, key: str = "id") -> DataFrame:
     """The edges of one page, in both directions: the page's few entities first, then the pages that hold them."""
     own = entity_rows.filter(F.col(key) == page).select("entity_type", "entity_value").distinct()

@@ -89,6 +89,14 @@ def duplicates(df: DataFrame, key: list[str], text: str) -> DataFrame:
     return slim.select("*", F.row_number().over(order).alias("_n"), *first).filter("_n > 1").drop("_n")
 
 
+def sound_duplicates(df: DataFrame, key: list[str], text: str) -> DataFrame:
+    """duplicates among the rows that aren't quarantined; only texts that stand twice are scored."""
+    slim = df.select(*key, normal_hash(F.col(text)).alias("text_hash"))
+    twice = slim.groupBy("text_hash").agg(F.count("*").alias("_n")).filter("_n > 1").select("text_hash")
+    copies = df.join(slim.join(twice, "text_hash").select(*key), key, "left_semi")
+    return duplicates(scored(copies, text).filter("NOT quarantined"), key, text)
+
+
 def flagged(flags: Column, flag: str) -> Column:
     """flags with flag, each once."""
     return F.array_sort(F.array_distinct(F.concat(flags, F.array(F.lit(flag)))))

@@ -101,7 +101,7 @@ _HASHED = rf"SELECT id, chunk_index, sha256(array_to_string({_W.format(x='lower(
 @query(f"WITH {_SCORED} SELECT id, chunk_index::INTEGER AS chunk_index, first_id FROM (SELECT *, first_value(id) OVER o AS first_id, row_number() OVER o AS n FROM ({_HASHED}) JOIN (SELECT id, chunk_index FROM sc WHERE score >= 0.5) USING (id, chunk_index) WINDOW o AS (PARTITION BY h ORDER BY id, chunk_index)) WHERE n > 1")
 def exact_duplicates(spark, d):
     """Later copies among the chunks that aren't quarantined."""
-    return quality.duplicates(_scored(spark, d).filter("NOT quarantined"), ["id", "chunk_index"], "chunk_text").select("id", "chunk_index", "first_id")
+    return quality.sound_duplicates(document_chunks(spark, d), ["id", "chunk_index"], "chunk_text").select("id", "chunk_index", "first_id")
 
 
 @query(f"WITH {_SCORED} SELECT id, chunk_index::INTEGER AS chunk_index, array_to_string(list_sort(list_distinct(list_append(flags, 'duplicate'))), ',') AS flags FROM sc JOIN (SELECT id, chunk_index, row_number() OVER (PARTITION BY h ORDER BY id, chunk_index) AS n FROM ({_HASHED})) USING (id, chunk_index) WHERE n > 1")
