@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text
 from folio.operators import answer, enrich, search
-from folio.plans.records import _CHUNKS, document_chunks
+from folio.plans.records import _CHUNKS, _VECTOR_CHUNKS, document_chunks, vector_chunks
 from folio.plans.register import query
 from folio.plans.retrieval import _PAGE_HITS, _SIM, page_hits, similar
 from folio.sources import store
@@ -50,19 +50,18 @@ def model_tags(spark, d):
         "em",
         "dc",
         "pg",
-        then=f", {_CHUNKS} SELECT em.source_id AS id, document_url, coalesce(pg.title, document_title) AS title, quality, round({_SIM}, 6) AS similarity FROM em JOIN ch ON ch.id = em.source_id AND chunk_index = 0 JOIN dc ON dc.id = ch.id LEFT JOIN labels l ON l.doc_id = dc.id LEFT JOIN pg ON pg.id = dc.page_id WHERE source_type = 'chunk' ORDER BY {_SIM} DESC, em.source_id LIMIT 10",
+        then=f", {_CHUNKS}, {_VECTOR_CHUNKS} SELECT em.source_id AS id, chunk_index::INTEGER AS chunk_index, document_url, coalesce(pg.title, document_title) AS title, quality, round({_SIM}, 6) AS similarity FROM em JOIN vc ON vc.id = em.source_id JOIN dc ON dc.id = vc.id LEFT JOIN labels l ON l.doc_id = dc.id LEFT JOIN pg ON pg.id = dc.page_id WHERE source_type = 'chunk' ORDER BY {_SIM} DESC, em.source_id LIMIT 10",
     )
 )
 def semantic_chunks_joined(spark, d):
     """The nearest chunks with their document, its label and page: the vectors are cut to k before anything is joined."""
-    chunks = document_chunks(spark, d).filter("chunk_index = 0").select("id")
-    owned = similar(spark, d, "chunk").join(chunks, "id", "left_semi")
-    best = search.top(owned, "similarity", 10).select("id", "similarity")
+    owned = similar(spark, d, "chunk").join(vector_chunks(document_chunks(spark, d)), "id")
+    best = search.top(owned, "similarity", 10).select("id", "chunk_index", "similarity")
     docs = t.documents(spark, d).select("id", "page_id", "document_url", "document_title")
     labels = t.raw(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
     pages = t.pages(spark, d, content=False, title=True).select(F.col("id").alias("page_id"), "title")
     joined = best.join(docs, "id").join(labels, "id", "left").join(pages, "page_id", "left")
-    return joined.select("id", "document_url", F.coalesce("title", "document_title").alias("title"), "quality", F.round("similarity", 6).alias("similarity"))
+    return joined.select("id", "chunk_index", "document_url", F.coalesce("title", "document_title").alias("title"), "quality", F.round("similarity", 6).alias("similarity"))
 
 
 @query(sql("ct", then="SELECT id, CASE WHEN id % 2 = 0 THEN (len(rows) - 1)::VARCHAR END AS result, CASE WHEN id % 2 = 1 THEN 'no column: Cor' END AS error FROM ct"))
@@ -82,8 +81,8 @@ def suggestions(spark, d):
         "pg",
         "em",
         "ct",
-        then=f""", {_CHUNKS}, {_PAGE_HITS}, p AS (SELECT 0 AS turn, row_number() OVER (ORDER BY rank DESC, ph.id) - 1 AS pos, ph.id, '[Paginas] ' || title AS line FROM (SELECT * FROM ph ORDER BY rank DESC, id LIMIT 5) ph JOIN pg ON pg.id = ph.id),
-    c AS (SELECT 1, pos, n.id, '[Trechos] ' || left(chunk_text, 300) FROM (SELECT source_id AS id, row_number() OVER (ORDER BY {_SIM} DESC, source_id) - 1 AS pos FROM em WHERE source_type = 'chunk' ORDER BY pos LIMIT 3) n JOIN ch ON ch.id = n.id AND chunk_index = 0 WHERE n.id <> 0),
+        then=f""", {_CHUNKS}, {_VECTOR_CHUNKS}, {_PAGE_HITS}, p AS (SELECT 0 AS turn, row_number() OVER (ORDER BY rank DESC, ph.id) - 1 AS pos, ph.id, '[Paginas] ' || title AS line FROM (SELECT * FROM ph ORDER BY rank DESC, id LIMIT 5) ph JOIN pg ON pg.id = ph.id),
+    c AS (SELECT 1, pos, n.id, '[Trechos] ' || left(chunk_text, 300) FROM (SELECT source_id AS id, row_number() OVER (ORDER BY {_SIM} DESC, source_id) - 1 AS pos FROM em WHERE source_type = 'chunk' ORDER BY pos LIMIT 3) n JOIN vc ON vc.id = n.id JOIN ch ON ch.id = vc.id AND ch.chunk_index = vc.chunk_index WHERE n.id <> 0),
     m AS (SELECT 2, 0, id, '[Tabelas] ' || '| ' || array_to_string(headers, ' | ') || ' |' || chr(10) || '|' || repeat('---|', len(headers)) || chr(10) || array_to_string(list_transform(rows[1:30], lambda r: '| ' || array_to_string(r, ' | ') || ' |'), chr(10)) FROM ct ORDER BY id LIMIT 1)
     SELECT string_agg(line, chr(10) ORDER BY turn, pos, id) AS context FROM (SELECT * FROM p UNION ALL SELECT * FROM c UNION ALL SELECT * FROM m)""",
     )
@@ -92,8 +91,8 @@ def prompt_context(spark, d):
     """The context of one question: five pages by words, three chunks by meaning, and a table."""
     pages = search.ranked(page_hits(spark, d, 5), "rank", "id").select("id", "pos", F.col("title").alias("text"))
     near = search.ranked(search.top(similar(spark, d, "chunk"), "similarity", 3), "similarity", "id").select("id", "pos")
-    texts = document_chunks(spark, d).filter("chunk_index = 0").select("id", F.left("chunk_text", F.lit(300)).alias("text"))
-    chunks = near.join(texts, "id").withColumn("document", F.concat(F.lit("d"), "id"))
+    texts = document_chunks(spark, d).select("id", "chunk_index", F.left("chunk_text", F.lit(300)).alias("text"))
+    chunks = near.join(vector_chunks(texts), "id").join(texts, ["id", "chunk_index"]).drop("chunk_index").withColumn("document", F.concat(F.lit("d"), "id"))
     tables = t.customer_tables(spark, d).orderBy("id").limit(1).select("id", F.lit(0).alias("pos"), answer.markdown(F.col("headers"), F.col("rows")).alias("text"), F.lit("d0").alias("document"))
     return answer.context(pages, chunks, tables)
 

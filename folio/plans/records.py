@@ -71,6 +71,16 @@ def document_chunks(spark, d):
     return chunking.chunked(t.raw(spark, d, "documents").withColumnRenamed("doc_id", "id"), "id", "text")
 
 
+def vector_chunks(chunks):
+    """id and chunk_index of the chunk that the vector of a document or page stands for: number id % n of its n chunks."""
+    n = F.count("*").over(Window.partitionBy("id"))
+    return chunks.select("id", "chunk_index", n.alias("n")).filter("chunk_index = pmod(id, n)").drop("n")
+
+
+#: The same in SQL, after _CHUNKS.
+_VECTOR_CHUNKS = "vc AS (SELECT id, chunk_index FROM (SELECT id, chunk_index, count(*) OVER (PARTITION BY id) AS n FROM ch) WHERE chunk_index = id % n)"
+
+
 def page_chunks(spark, d):
     """Chunks of the pages' content, by page."""
     texts = t.pages(spark, d).filter("main_content IS NOT NULL").select("id", "main_content")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text
 from folio.operators import answer, blocks, chunking, pages, quality, records, search
-from folio.plans.records import _CHUNKS, document_chunks, page_chunks
+from folio.plans.records import _CHUNKS, _VECTOR_CHUNKS, document_chunks, page_chunks, vector_chunks
 from folio.plans.register import query
 from folio.plans.retrieval import _LIST, _SCORED, _SIM, _query_vector, citations, metric_items
 from folio.sources import tables as t
@@ -83,12 +83,12 @@ def semantic_dispatch(spark, d):
 _NEAR = "(SELECT source_type, source_id, {sim} AS sim FROM em WHERE source_type = '{kind}' AND {known} ORDER BY sim DESC, source_id LIMIT 10)"
 
 
-@query(sql("em", "pg", then=f", {_CHUNKS} SELECT source_type, source_id AS id, title, NULL::INTEGER AS chunk_index, round(sim, 6) AS similarity FROM ({' UNION ALL '.join(_NEAR.format(sim=_SIM, kind=k, known='source_id IN (SELECT id FROM pg)') for k in ('page', 'page_summary'))}) n JOIN pg ON pg.id = source_id UNION ALL SELECT source_type, source_id, title, chunk_index::INTEGER, round(sim, 6) FROM {_NEAR.format(sim=_SIM, kind='page_chunk', known='source_id IN (SELECT ch.id FROM ch JOIN pg ON pg.id = ch.id)')} n JOIN ch ON ch.id = source_id AND chunk_index = 0 JOIN pg ON pg.id = source_id"))
+@query(sql("em", "pg", then=f", {_CHUNKS}, {_VECTOR_CHUNKS} SELECT source_type, source_id AS id, title, NULL::INTEGER AS chunk_index, round(sim, 6) AS similarity FROM ({' UNION ALL '.join(_NEAR.format(sim=_SIM, kind=k, known='source_id IN (SELECT id FROM pg)') for k in ('page', 'page_summary'))}) n JOIN pg ON pg.id = source_id UNION ALL SELECT source_type, source_id, title, chunk_index::INTEGER, round(sim, 6) FROM {_NEAR.format(sim=_SIM, kind='page_chunk', known='source_id IN (SELECT ch.id FROM ch JOIN pg ON pg.id = ch.id)')} n JOIN vc ON vc.id = source_id JOIN pg ON pg.id = source_id"))
 def semantic_pages_joined(spark, d):
     """Nearest pages and summaries with their page, nearest page chunks with chunk and page: vectors are cut to k first."""
     vector, vectors = _query_vector(spark, d), t.embeddings(spark, d)
     own = t.pages(spark, d, content=False, title=True).select("id", "title")
-    first = page_chunks(spark, d).filter("chunk_index = 0").select("id", "chunk_index")
+    first = vector_chunks(page_chunks(spark, d))
     out = None
     for kind in ("page", "page_summary", "page_chunk"):
         known = (first if kind == "page_chunk" else own).select(F.col("id").alias("source_id"))
