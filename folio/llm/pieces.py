@@ -22,7 +22,8 @@ Null ids decode to an empty text.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -37,16 +38,51 @@ MARK = "▁"
 AT_ONCE = 20_000
 #: Letters of texts that are cut into words at once, if no text is longer.
 LETTERS = 1_000_000
+#: Ids that are looked up in one array.
+GATHERED = 1_000_000
 #: Longer words aren't remembered from batch to batch.
 SHORT = 64
 #: Words that a worker remembers, at most; all are forgotten when there are more.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 
 _WIDE = 1 << 21  # more than all pieces and code points together
 _NONE = np.iinfo(np.int32).max
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+class _Places:
+    """Where numbers stand in a list, by open addressing; find works on arrays."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.bits = max(4, (4 * len(numbers)).bit_length())
+        self.keys, self.at = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        rest = np.arange(len(numbers))
+        slot = self._slot(numbers)
+        while len(rest):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]], self.at[slot[free]] = numbers[rest[free]], rest[free]  # the last of equal slots stays
+            lost = self.keys[slot] != numbers[rest]
+            rest, slot = rest[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, numbers: np.ndarray) -> np.ndarray:
+        return ((numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, numbers: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 for those that aren't there."""
+        slot = self._slot(numbers)
+        held = self.keys[slot]
+        out = np.where(held == numbers, self.at[slot], -1)
+        open_ = np.flatnonzero((held != numbers) & (held >= 0))
+        while len(open_):
+            slot_ = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            slot[open_] = slot_
+            held = self.keys[slot_]
+            same = held == numbers[open_]
+            out[open_[same]] = self.at[slot_[same]]
+            open_ = open_[~same & (held >= 0)]
+        return out
+
+
 class Pieces:
     """The tables of a BPE vocabulary with byte fallback, whose normalizer changes blanks alone."""
 
@@ -68,6 +104,11 @@ class Pieces:
         self.byte_of = {int(i): b for b, i in enumerate(self.bytes)}
         for i, b in self.byte_of.items():
             self.letters[i] = bytes([b])
+        self.spelling = _Strings(self.letters)
+        self.decimals = _Strings([b" %d" % i for i in range(self.size)])
+        self.marked = np.array([x[:1] == b" " and i != self.unknown for i, x in enumerate(self.letters)])
+        for i in self.byte_of:
+            self.marked[i] = False
         scores = np.array([sp.get_score(i) for i in range(self.size)])
         self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int32)
 
@@ -82,18 +123,22 @@ class Pieces:
                 if left is not None and right is not None:
                     made[left * _WIDE + right] = i
                 beside.add(ord(piece[k - 1]) * _WIDE + ord(piece[k]))
-        self.pairs = np.array(sorted(made), np.int64)
-        self.makes = np.array([made[k] for k in self.pairs.tolist()], np.int32)
+        pairs = np.fromiter(made, np.int64, len(made))
+        self.pairs, self.makes = _Places(pairs), np.fromiter(made.values(), np.int32, len(made))
         self.made = made
-        self.beside = np.array(sorted(beside), np.int64)
+        self.beside = _Places(np.fromiter(beside, np.int64, len(beside)))
         #: Pieces that can make a pair of no larger rank than their own.
         self.hasty = np.zeros(self.size, bool)
-        left, right = self.pairs // _WIDE, self.pairs % _WIDE
+        left, right = pairs // _WIDE, pairs % _WIDE
         for part in (left, right):
             known = part < self.size
             early = self.rank[self.makes[known]] <= self.rank[part[known]]
             self.hasty[part[known][early]] = True
-        self.words: dict[str, bytes] = {}
+        #: Words behind a blank mark, without it, and others; both remember their ids as bytes.
+        self.behind: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+        self.lines = not any("\n" in p for p in self.ids)
+        self.newline = self._spelt(self.symbol[[10]]).astype("<i4").tobytes()
         self.cuts = _WORDS if not any(MARK in p.lstrip(MARK) for p in self.ids) else re.compile("(?s).+")
 
     def _part(self, part: str) -> int | None:
@@ -103,8 +148,8 @@ class Pieces:
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each pair of symbols makes, -1 for none."""
         keys = left.astype(np.int64) * _WIDE + right
-        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == keys, self.makes[at], -1)
+        at = self.pairs.find(keys)
+        return np.where(at >= 0, self.makes[at], -1)
 
     def ranks(self, pieces: np.ndarray) -> np.ndarray:
         return np.where(pieces < 0, _NONE, self.rank[pieces])
@@ -137,8 +182,7 @@ class Pieces:
         points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
         word = np.repeat(np.arange(len(words)), sizes)
         keys = points[:-1] * _WIDE + points[1:]
-        at = np.minimum(np.searchsorted(self.beside, keys), len(self.beside) - 1)
-        joined = (self.beside[at] == keys) & (word[:-1] == word[1:])
+        joined = (self.beside.find(keys) >= 0) & (word[:-1] == word[1:])
         part = np.concatenate(([0], np.cumsum(~joined))) if len(points) else word  # parts of words that no merge joins
         symbols = self.symbol[points]
         makes = np.full(len(symbols), -1, np.int32)
@@ -223,74 +267,112 @@ class Pieces:
             out += [s] if s < self.size else self.bytes[list(chr(s - self.size).encode())].tolist()
         return np.array(out, np.int32)
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of words, as little-endian 32-bit numbers."""
-        listed, out = list(words), {}
-        for at in range(0, len(listed), AT_ONCE):
-            some = listed[at : at + AT_ONCE]
-            symbols, word = self.merged(some)
-            bounds = np.searchsorted(word, np.arange(len(some) + 1)).tolist()
-            raw = symbols.astype("<i4").tobytes()
-            out |= {w: raw[4 * a : 4 * b] for w, a, b in zip(some, bounds[:-1], bounds[1:])}
-            for k in np.unique(word[symbols >= self.size]).tolist():
-                out[some[k]] = self._spelt(symbols[bounds[k] : bounds[k + 1]]).astype("<i4").tobytes()
-        return out
-
     def encode(self, texts: list[str | None], end: bool = True) -> list[np.ndarray]:
+        return list(self.encoded(texts, end))
+
+    def encoded(self, texts: Iterable[str | None], end: bool = True) -> Iterator[np.ndarray]:
         """The ids of each text; so many texts at once that their words take little memory."""
-        out, some, letters = [], [], 0
+        some, letters = [], 0
         for t in texts:
             some.append(t)
             letters += len(t or "")
             if letters >= LETTERS:
-                out += self._encoded(some, end)
+                yield from self._encoded(some, end)
                 some, letters = [], 0
-        return out + self._encoded(some, end)
+        yield from self._encoded(some, end)
+
+    def _cut(self, text: str) -> list[list[str]] | None:
+        """A text's lines as words between single blanks; None if it must be cut by the marks."""
+        if not self.lines or MARK in text or "  " in text or text[0] == " " or text[-1] == " " or " \n" in text or "\n " in text:
+            return None
+        return [line.split(" ") for line in text.split("\n")]
 
     def _encoded(self, texts: list[str | None], end: bool) -> list[np.ndarray]:
-        cut = [self.cuts.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        known = self.words
-        new = set().union(*cut).difference(known)
-        long = {}
-        if new:
-            fresh = self.learn(new)
-            known |= {w: ids for w, ids in fresh.items() if len(w) <= SHORT}
-            long = {w: ids for w, ids in fresh.items() if len(w) > SHORT}
-        find = (lambda w: known.get(w) or long[w]) if long else known.__getitem__
+        plain = [self._cut(t) if t else None for t in texts]
+        marked = [self.cuts.findall(MARK + t.replace(" ", MARK)) if t and p is None else [] for t, p in zip(texts, plain)]
+        if len(self.behind) + len(self.others) > REMEMBERED:
+            self.behind, self.others = {}, {}
+        # a line's first word has no mark before it, but for the text's first
+        behind = set().union(*(w[1:] for p in plain if p for w in p), (p[0][0] for p in plain if p)).difference(self.behind)
+        others = set().union((w[0] for p in plain if p for w in p[1:]), *marked).difference(self.others)
+        long = self._learn(behind, self.behind, MARK) | self._learn(others, self.others, "")
         tail = np.array([self.end], "<i4").tobytes() if end else b""
-        return [np.frombuffer(b"".join(map(find, words)) + tail, "<i4") for words in cut]
+        find, find_other = self.behind.__getitem__, self.others.__getitem__
+        if long:
+            find = lambda w: self.behind.get(w) or long[MARK + w]
+            find_other = lambda w: self.others[w] if w in self.others else long[w]
+        out = []
+        for p, m in zip(plain, marked):
+            if p:
+                first, *rest = (b"".join(map(find, w[1:])) for w in p)
+                parts = [find(p[0][0]), first]
+                for w, line in zip(p[1:], rest):
+                    parts += [self.newline, find_other(w[0]), line]
+                out.append(np.frombuffer(b"".join(parts) + tail, "<i4"))
+            else:
+                out.append(np.frombuffer(b"".join(map(find_other, m)) + tail, "<i4"))
+        return out
+
+    def _learn(self, words: set[str], known: dict[str, bytes], before: str) -> dict[str, bytes]:
+        """Adds the ids of words, with what stands before them, to known; those of long ones are returned."""
+        listed, long = list(words), {}
+        for at in range(0, len(listed), AT_ONCE):
+            some = listed[at : at + AT_ONCE]
+            symbols, word = self.merged([before + w for w in some] if before else some)
+            bounds = np.searchsorted(word, np.arange(len(some) + 1)).tolist()
+            raw = symbols.astype("<i4").tobytes()
+            known.update(zip(some, [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:])]))
+            for k in np.unique(word[symbols >= self.size]).tolist():
+                known[some[k]] = self._spelt(symbols[bounds[k] : bounds[k + 1]]).astype("<i4").tobytes()
+            for w in some:
+                if len(w) > SHORT:
+                    long[before + w] = known.pop(w)
+        return long
 
     # --- decoding ----------------------------------------------------------------------------------------------------
 
     def decode(self, ids: np.ndarray | list[int] | None) -> str:
-        listed = [] if ids is None else np.asarray(ids, np.int64).tolist()
-        letters = self.letters
-        for at, i in enumerate(listed):  # the mark before the text goes, once letters or a mark have been met no more
-            if i in self.byte_of:
-                break
-            if letters[i]:
-                if letters[i][:1] == b" " and i != self.unknown:
-                    head = letters[i][1:]
-                    return self._read([head, *map(letters.__getitem__, listed[at + 1 :])], listed[at:])
-                break
-        return self._read(list(map(letters.__getitem__, listed)), listed)
-
-    def _read(self, parts: list[bytes], ids: list[int]) -> str:
+        ids = np.asarray([] if ids is None else ids, np.int64)
+        heard = np.flatnonzero(self.spelling.sizes[ids])[:1]  # the first that is no control
+        bare = len(heard) and self.marked[ids[heard[0]]]  # the mark that was put before the text goes
+        raw = self.spelling.joined(ids)
         try:
-            return b"".join(parts).decode()
+            return (raw[1:] if bare else raw).decode()
         except UnicodeDecodeError:
             pass
         out, run = [], bytearray()
-        for part, i in zip([*parts, b""], [*ids, -1]):
+        for i in [*ids.tolist(), -1]:
             if i in self.byte_of:
-                run += part
+                run.append(self.byte_of[i])
                 continue
             out.append(_whole_characters(bytes(run)))
             run.clear()
-            out.append(part.decode())
-        return "".join(out)
+            out.append(self.letters[i].decode() if i >= 0 else "")
+        text = "".join(out)
+        return text[1:] if bare else text
+
+    def listed(self, ids: np.ndarray) -> bytes:
+        """Ids as decimal numbers with a blank before each."""
+        return self.decimals.joined(np.asarray(ids, np.int64))
+
+
+class _Strings:
+    """Byte strings by number; joined gathers many at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+        self.sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def joined(self, numbers: np.ndarray) -> bytes:
+        return b"".join(self._joined(numbers[k : k + GATHERED]) for k in range(0, len(numbers), GATHERED))
+
+    def _joined(self, numbers: np.ndarray) -> bytes:
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[numbers] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.flat[at].tobytes()
 
 
 def _whole_characters(run: bytes) -> str:
@@ -344,8 +426,22 @@ def decode(ids: Column, path: str | None = None) -> Column:
     return texts(ids)
 
 
+def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, the number of ids, and digests of the ids and of the text that they decode to."""
+    where = path or public_tokenizers.path(MODEL)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = model(where)
+        for batch in batches:
+            rows = []
+            for doc_id, ids in zip(batch["doc_id"], own.encoded(batch["text"])):
+                rows.append((doc_id, len(ids), sha256(own.listed(ids)[1:]).hexdigest(), sha256(own.decode(ids).encode()).hexdigest()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    keyed = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # as pandas makes doubles of integers beside nulls
+    found = keyed.mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return found.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
+
+
 def op11_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    encoded = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", encode(F.col("text")).alias("ids"))
-    decoded = encoded.select("doc_id", "ids", decode(F.col("ids")).alias("decoded"))
-    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
