@@ -14,8 +14,9 @@ out, and the work is queries times shards. Each (shard, QUERIES queries) is one
 together, and results are merged over shards. Equal vectors share one point of a tree, which keeps its smallest ids (as
 many as can ever be asked for), so a vector that a third of all rows hold costs no more than one.
 
-Vectors that are null, zero or hold a null or non-finite component take no part; so do rows without vec_id, and vectors
-of another length than the most frequent one. Rows of one vec_id and equal vectors count once, others of one vec_id
+Vectors that are null, zero or hold a null or non-finite component take no part, nor do rows without vec_id. Vectors of each
+length are searched by themselves, as a query has no product with others: those of a length that has more than SHARD
+vectors by an index of their own, the others by one exact tree a length. Rows of one vec_id and equal vectors count once, others of one vec_id
 each. Ties go to the smaller vec_id. Vectors of any length of the table's own are read whole. Empty tables give empty
 results; extra columns are not read.
 """
@@ -23,6 +24,7 @@ results; extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from io import BytesIO
 from math import sqrt
 
@@ -261,48 +263,64 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = F
 
     # vectors stay in their own type where they are stored or sent, and are doubles where they are computed with
     stored = staged(usable(vectors).dropDuplicates(["vec_id", "vector"]), "ann-vectors")
-    kind = stored.schema["vector"].dataType.simpleString()
-    lengths = stored.groupBy("d").agg(F.count("*").alias("n"), F.max("square").alias("longest")).orderBy(F.desc("n"), "d").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if lengths is None:
-        return empty
-    alike = F.col("d") == lengths["d"]
-    asked = staged(usable(queries).filter(alike).dropDuplicates(["vec_id", "vector"]).select("vec_id", "vector"), "ann-queries")
-    asked_kind = asked.schema["vector"].dataType.simpleString()
-    n_asked = asked.count()
-    if not n_asked:
-        return empty
-    length = sqrt(lengths["longest"])
+    asked = staged(usable(queries).dropDuplicates(["vec_id", "vector"]).select("vec_id", "vector", "d"), "ann-queries")
+    lengths = stored.groupBy("d").agg(F.count("*").alias("n"), F.max("square").alias("longest")).join(asked.groupBy("d").agg(F.count("*").alias("n_asked")), "d")
+    large = lengths.filter(F.col("n") > shard).orderBy("d").collect()  # a row for `shard` vectors at most
+    few = lengths.filter(F.col("n") <= shard)
+    parts = []
+    for r in large:
+        alike = F.col("d") == r["d"]
+        parts.append(_of_length(stored.filter(alike), asked.filter(alike).select("vec_id", "vector"), r["n"], sqrt(r["longest"]), r["n_asked"], k, factor, shard, per_task))
+    of_few = few.agg(F.max("longest").alias("longest"), F.max("n_asked").alias("n_asked")).first()
+    if of_few["longest"] is not None:
+        rare = ~F.col("d").isin([r["d"] for r in large])
+        parts.append(_of_few(stored.filter(rare), asked.filter(rare), sqrt(of_few["longest"]), of_few["n_asked"], k, per_task))
+    discard(stored)
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = reduce(DataFrame.unionByName, parts).dropDuplicates(["query_id", "vec_id", "score"])
+    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _met(trees: DataFrame, rows: DataFrame, groups: int, k: int, factor: float) -> DataFrame:
+    """query_id, vec_id and score of what rows (vec_id, vector, bound, cell, sub) find in the trees of their shards, in groups of queries."""
+    by = ["cell", "sub", "part"]
+    copies = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "vec_id"), F.lit(groups)).cast("int"))
+    return copies.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(_searched(k, factor), "query_id long, vec_id long, score double")
+
+
+def _of_few(stored: DataFrame, asked: DataFrame, length: float, n_asked: int, k: int, per_task: int) -> DataFrame:
+    """What is found among vectors of lengths of which a shard holds all: a tree a length, searched exactly."""
+    trees = staged(stored.select("vec_id", "vector", F.col("d").alias("cell"), F.lit(0).alias("sub")).groupBy("cell", "sub").applyInPandas(_built(length, k), "cell int, sub int, tree binary"), "ann-trees")
+    rows = asked.select("vec_id", "vector", F.col("d").alias("cell"), F.lit(0).alias("sub"), F.lit(float("inf")).alias("bound"))
+    return _met(trees, rows, -(-n_asked // per_task), k, 1.0)
+
+
+def _of_length(stored: DataFrame, asked: DataFrame, n: int, length: float, n_asked: int, k: int, factor: float, shard: int, per_task: int) -> DataFrame:
+    """What is found among vectors of one length, n of them."""
+    kind, asked_kind = (df.schema["vector"].dataType.simpleString() for df in (stored, asked))
     # the index: pivots (a bounded sample), every vector's cell, and a tree a shard
-    some = stored.filter(alike).orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id").select("vector").limit(min(MOST_PIVOTS, -(-lengths["n"] // shard))).collect()
+    some = stored.orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id").select("vector").limit(min(MOST_PIVOTS, -(-n // shard))).collect()
     pivots = lifted(np.unique(np.array([r["vector"] for r in some], np.float64), axis=0), length)
-    celled = staged(stored.filter(alike).select("vec_id", "vector").mapInPandas(_celled(pivots, length), f"vec_id long, vector {kind}, cell int, far double"), "ann-cells")
+    celled = staged(stored.select("vec_id", "vector").mapInPandas(_celled(pivots, length), f"vec_id long, vector {kind}, cell int, far double"), "ann-cells")
     rings = {r["cell"]: (r["least"], r["most"], -(-r["n"] // shard)) for r in celled.groupBy("cell").agg(F.min("far").alias("least"), F.max("far").alias("most"), F.count("*").alias("n")).collect()}  # at most MOST_PIVOTS rows
     deal = F.get(F.lit([rings[c][2] if c in rings else 1 for c in range(len(pivots))]), F.col("cell"))
     dealt = celled.select("vec_id", "vector", "cell", F.pmod(F.xxhash64(F.lit("shard"), "vec_id"), deal).cast("int").alias("sub"))
     trees = staged(dealt.groupBy("cell", "sub").applyInPandas(_built(length, k), "cell int, sub int, tree binary"), "ann-trees")
-    for table in (stored, celled):
-        discard(table)
-
+    discard(celled)
     groups = -(-n_asked // per_task)
-    by = ["cell", "sub", "part"]
-    copies = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-
-    def met(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "vec_id"), F.lit(groups)).cast("int"))
-        return copies.groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(_searched(k, factor), "query_id long, vec_id long, score double")
 
     # one shard of the own cell, whose k-th neighbour bounds the rest
     home = asked.mapInPandas(_homes(pivots, sorted(rings)), f"vec_id long, vector {asked_kind}, cell int").withColumn("alike", F.count("*").over(Window.partitionBy("vec_id")))
-    first = staged(met(home.drop("alike").withColumns({"sub": F.lit(0), "bound": F.lit(float("inf"))})), "ann-first")
+    first = staged(_met(trees, home.drop("alike").withColumns({"sub": F.lit(0), "bound": F.lit(float("inf"))}), groups, k, factor), "ann-first")
     kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     square = F.aggregate("vector", F.lit(length * length), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     bound = F.when((F.col("n") >= k) & (F.col("alike") == 1), F.sqrt(F.greatest(square - 2 * F.col("least"), F.lit(0.0))) * (1 + 1e-9)).otherwise(F.lit(float("inf")))
     bounded = home.join(kth.withColumnRenamed("query_id", "_id"), F.col("vec_id") == F.col("_id"), "left").select("vec_id", "vector", "cell", F.coalesce(bound, F.lit(float("inf"))).alias("bound"))
     routed = bounded.mapInPandas(_routed(pivots, rings, length, factor), f"vec_id long, vector {asked_kind}, bound double, cell int, sub int")
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = first.union(met(routed)).dropDuplicates(["query_id", "vec_id", "score"])
-    return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return first.union(_met(trees, routed, groups, k, factor))
 
 
 def op10_approximate_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

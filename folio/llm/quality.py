@@ -9,7 +9,8 @@ matter. Texts that are mainly of other scripts (OTHER_SCRIPT of their characters
 Latin, Cyrillic or Greek language that isn't listed may fail it: give rules of your own then.
 
 Nulls and empty texts have no words: all counts are 0, base_failed is true and kept is false. Very long texts take time
-in proportion to n log n, only where windows do repeat. Extra columns, also with the names of ours, pass `judge` by.
+in proportion to n log n, only where windows do repeat. Extra columns, also with the names of ours, pass `judge` by;
+one with the name of the column that it adds is refused.
 """
 
 from __future__ import annotations
@@ -143,7 +144,9 @@ def base_failed(m: Column) -> Column:
 
 
 def judge(df: DataFrame, text: str = "text", out: str = "quality", rules=RULES) -> DataFrame:
-    """Adds the struct column out with all metrics, base_failed and kept."""
+    """Adds the struct column out with all metrics, base_failed and kept. A column of that name is an error, as nothing is overwritten."""
+    if out.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {out} already; name another one to add")
 
     def judged(m: Column) -> Column:
         return F.struct(m.alias("metrics"), base_failed(m).alias("base_failed"), (~base_failed(m) & verdict(m, rules)).alias("kept"))

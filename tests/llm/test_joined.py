@@ -343,6 +343,22 @@ def test_neighbours_exact_and_recall(spark):
     assert len(few) == 4
 
 
+@pytest.mark.parametrize("shard", [100, 1000])
+def test_neighbours_of_each_length(spark, shard):
+    """Lengths that fill several shards, and ones of which a tree holds all."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in rng.standard_normal((8, 3, 8, 1)[i % 4]).astype(np.float32)], 0) for i in range(600)]
+    df = vectors_of(spark, rows)
+    got = defaultdict(list)
+    for r in neighbours.search(df, df.filter("vec_id % 5 = 0"), k=7, factor=1.0, shard=shard).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for n in (8, 3, 1):
+        own = [(i, v) for i, v, _ in rows if len(v) == n]
+        for q, best in exact(own, [(i, v) for i, v in own if i % 5 == 0], 7).items():
+            assert got.pop(q) == [i for _, i in best]
+    assert not got
+
+
 def test_neighbours_empty(spark):
     df = vectors_of(spark, [])
     assert neighbours.search(df, df).count() == 0
