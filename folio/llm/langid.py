@@ -7,8 +7,9 @@ against the rest. As a kernel value is an inner product of presence vectors, the
 fold into one matrix (n-gram bucket x language), and a batch of texts is scored by one product of its presence matrix.
 
 All languages are learned. The training sample is bounded: at most PER_LANGUAGE texts of a language, those of smallest
-hash, LANDMARKS of which are landmarks; with many languages fewer of each, so that there are ALL_TEXTS and ALL_LANDMARKS
-or one a language. Texts of over MOST_BYTES aren't drawn. The driver sees that sample alone, and one task ranks the
+hash, LANDMARKS of which are landmarks; with many languages fewer of each, so that there are ALL_TEXTS or one a language,
+and never more than ALL_LANDMARKS landmarks. Texts of over MOST_BYTES aren't drawn, and a language's texts end where its share of
+SAMPLE_BYTES is full; their kernel rows are made in batches. The driver sees that sample alone, and one task ranks the
 sample's rows of a language. Scoring is a map over all documents without shuffle.
 
 Null texts and texts without a letter get `und` and score 0. Ties go to the language first by code point. A training set
@@ -31,9 +32,9 @@ from folio.llm.shared import WORD
 GRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 PER_LANGUAGE, ALL_TEXTS = 150, 30_000
-LANDMARKS, ALL_LANDMARKS = 40, 4_000
-#: Longer texts aren't drawn into training samples.
-MOST_BYTES = 1 << 20
+LANDMARKS, ALL_LANDMARKS = 40, 2_000
+#: Longer texts aren't drawn into training samples; and what the texts of a sample have together, but for one text a label.
+MOST_BYTES, SAMPLE_BYTES = 1 << 20, 1 << 26
 RIDGE = 1e-2
 BATCH = 64
 UNKNOWN = "und"
@@ -69,17 +70,19 @@ class Classifier:
 
     def __init__(self, texts: list[str], languages: list[str]):
         self.languages = sorted(set(languages))
-        rows = presence_matrix(texts)
-        # the same number of landmarks from each language, in the sample's order
+        # the same number of landmarks from each language, in the sample's order; of very many languages, every so manieth
         most, own = max(1, min(LANDMARKS, ALL_LANDMARKS // len(self.languages))), defaultdict(list)
         for k, name in enumerate(languages):
             own[name].append(k)
         chosen = [k for name in self.languages for k in own[name][:most]]
-        marks = rows[chosen]
+        if len(chosen) > ALL_LANDMARKS:
+            chosen = [chosen[k] for k in np.linspace(0, len(chosen) - 1, ALL_LANDMARKS).astype(int)]
+        marks = presence_matrix([texts[k] for k in chosen])
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         keep = values > 1e-6 * values[-1]
         half = (vectors[:, keep] / np.sqrt(values[keep])) @ vectors[:, keep].T
-        features = (rows @ marks.T).astype(np.float64) @ half
+        met = [presence_matrix(texts[at : at + 512]) @ marks.T for at in range(0, len(texts), 512)]
+        features = np.concatenate(met).astype(np.float64) @ half
         wanted = np.where(np.array(languages)[:, None] == np.array(self.languages)[None, :], 1.0, -1.0)
         share = np.array([1 / len(own[x]) for x in languages])  # each language weighs the same
         gram = features.T @ (features * share[:, None]) + RIDGE / len(self.languages) * np.eye(features.shape[1])
@@ -105,6 +108,13 @@ def bounded_sample(df: DataFrame, label: str, key: list[str], most: dict, keep=(
     return near.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= F.col("_most")).select(label, *key, *keep)
 
 
+def within_bytes(rows: DataFrame, label: str, key: list[str], text: str, most: int) -> DataFrame:
+    """Of a bounded sample the rows of each label, in the order of their hash, until they have `most` bytes of text together."""
+    first = Window.partitionBy(label).orderBy(F.xxhash64(F.lit("sample"), *key), *key)
+    before = F.sum(F.octet_length(text)).over(first.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.octet_length(text)
+    return rows.withColumn("_before", before).filter(F.col("_before") < most).drop("_before")
+
+
 def training_rows(documents: DataFrame, held_out: Column, most: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """Texts and languages of the bounded sample, in a fixed order."""
     allowed = documents.filter(~held_out & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
@@ -113,7 +123,8 @@ def training_rows(documents: DataFrame, held_out: Column, most: int = PER_LANGUA
         return [], []
     per_language = max(1, min(most, ALL_TEXTS // len(languages)))
     usable = allowed.filter(F.col("text").rlike(WORD) & (F.octet_length("text") <= MOST_BYTES))
-    rows = bounded_sample(usable, "lang", ["doc_id", "text"], {x: per_language for x in languages}).collect()
+    drawn = bounded_sample(usable, "lang", ["doc_id", "text"], {x: per_language for x in languages})
+    rows = within_bytes(drawn, "lang", ["doc_id", "text"], "text", max(1, SAMPLE_BYTES // len(languages))).collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 

@@ -5,9 +5,9 @@ every STRIDE words, overlap and cover the whole text; each is read forwards and
 pooled by attention and scored by a logistic unit. A document's score is that of its most toxic window.
 
 The network is trained in numpy on the driver, on a bounded sample of labelled documents: at most PER_LABEL of
-each label, those of smallest hash, and at most ROWS_PER_ID rows of a doc_id; texts of over MOST_BYTES aren't drawn. One
-task ranks the sample's ids of a label, some thousands whatever the table. As only documents are labelled, all windows of a toxic document count as toxic at first,
-and then only those that the network finds most toxic. Scoring is a map over all documents without shuffle, with the
+each label, those of smallest hash, and at most ROWS_PER_ID rows of a doc_id; texts of over MOST_BYTES aren't drawn, and
+a label's texts end where half of SAMPLE_BYTES is full. One task ranks the sample's ids of a label, some thousands
+whatever the table. As only documents are labelled, all windows of a toxic document count as toxic at first, and then only those that the network finds most toxic. Scoring is a map over all documents without shuffle, with the
 network (some hundred KB, whatever the corpus) as a broadcast.
 
 Null, empty and blank texts score 0. Rows of `labels` without doc_id or label aren't used; without labels of both kinds
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.langid import MOST_BYTES, bounded_sample, third
+from folio.llm.langid import MOST_BYTES, SAMPLE_BYTES, bounded_sample, third, within_bytes
 from folio.llm.shared import WORD
 
 WINDOW, STRIDE = 32, 24
@@ -289,7 +289,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, most: dict[int, int]
     chosen = bounded_sample(usable, "toxic", ["doc_id"], most)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.col("text").rlike(WORD) & (F.octet_length("text") <= MOST_BYTES))
     few = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    rows = rows.withColumn("_n", few).filter(F.col("_n") <= ROWS_PER_ID).drop("_n").collect()  # ROWS_PER_ID * sum(most) at most
+    rows = rows.withColumn("_n", few).filter(F.col("_n") <= ROWS_PER_ID).drop("_n")  # ROWS_PER_ID * sum(most) at most
+    rows = within_bytes(rows, "toxic", ["doc_id", "text"], "text", SAMPLE_BYTES // 2).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 

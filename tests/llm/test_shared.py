@@ -178,3 +178,18 @@ def test_encoder_over_code_points():
     texts = [f"a{c} {c}b {c} x{c}y" for c in map(chr, points)]
     want = plain.encode_batch(texts, add_special_tokens=False)
     assert [t for t, w in zip(texts, want) if encode(t).tolist() != w.ids] == []
+
+
+def test_samples_are_bounded_in_bytes_and_landmarks(spark, monkeypatch):
+    rows = [(i, "ab" * (1 + i % 50), "x" if i % 3 else "y") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    cut = langid.within_bytes(df, "lang", ["doc_id", "text"], "text", 500).collect()
+    for lang in "xy":
+        own = [len(r["text"]) for r in cut if r["lang"] == lang]
+        assert 500 <= sum(own) < 600  # the last text may pass the limit
+    assert len(langid.within_bytes(df, "lang", ["doc_id", "text"], "text", 1 << 26).collect()) == 300
+    texts, names = [t for _, t, _ in rows], [f"l{i % 30}" for i in range(300)]
+    whole = langid.Classifier(texts, names)
+    monkeypatch.setattr(langid, "ALL_LANDMARKS", 12)
+    few = langid.Classifier(texts, names)
+    assert few.weights.shape == whole.weights.shape and len(few.languages) == 30
