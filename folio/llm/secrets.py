@@ -19,7 +19,9 @@ Rules for the added kind `markov`, all of them:
 
 Nulls and empty texts have no spans; repeated rows get equal results; an empty table gives an empty result; positions
 are code points, ends exclusive; spans with one start (ties) stand in the order of KINDS. Other columns pass `scan` and
-`mask` by, whatever their names. Very long texts, runs and matches cost time in proportion to their length.
+`mask` by, whatever their names; one with the name of the column that `scan` adds is an error, as nothing is overwritten.
+Texts cost time in proportion to their length, also with very many matches; one run costs its length times the stretches
+reported of it. The strings that the models learn from are cut to SAMPLE_CHARS characters; what is scanned is not.
 """
 
 from __future__ import annotations
@@ -149,17 +151,37 @@ def train(labelled: DataFrame) -> list[int]:
     return out
 
 
+#: Numbers of an array that are added one after another, and characters of a piece of a text.
+STRIDE, PIECE = 256, 4096
+
+
+def _running(values: Column, combine) -> Column:
+    """The running sums, or maxima, of an array of ints, by combine(so far, value), which is associative with 0 as its start.
+
+    An array that grows by a value is copied each time, so values are taken in strides, and then the strides' totals.
+    """
+    empty = F.from_json(F.lit("[]"), "array<int>")
+    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
+    grown = lambda acc, x: F.concat(acc, F.array(combine(last(acc), x)))
+
+    def strides(own: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / STRIDE).cast("int")), lambda k: F.slice(own, k * STRIDE + 1, F.lit(STRIDE)))
+        return let(F.transform(cut, lambda c: F.aggregate(c, empty, grown)), joined)
+
+    def joined(parts: Column) -> Column:
+        before = F.aggregate(F.transform(parts, last), F.array(F.lit(0)), grown)  # one more than there are strides
+        return F.flatten(F.zip_with(parts, F.slice(before, F.lit(1), F.size(parts)), lambda p, so_far: F.transform(p, lambda v: combine(so_far, v))))
+
+    return let(values, lambda own: F.when(F.size(own) > 0, strides(own)).otherwise(empty))
+
+
 def _runs(text: Column, pattern: str, value_group: int = 0) -> Column:
     """Leftmost non-overlapping matches as structs start, end, value (of a group), by code points."""
 
     def positioned(found: Column) -> Column:
-        # found: gap (length of the text before the match and after the last one), len, value
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + x["gap"]
-            return F.struct((start + x["len"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["len"]).alias("end"), x["value"].alias("value")))).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<struct<start:int,end:int,value:string>>").alias("out"))
-        return F.aggregate(found, zero, step, lambda acc: acc["out"])
+        # found: len and value of each match, with gap, the length of the text between it and the match before
+        ends = _running(F.transform(found, lambda x: x["gap"] + x["len"]), lambda a, b: a + b)
+        return F.zip_with(found, ends, lambda x, end: F.struct((end - x["len"]).alias("start"), end.alias("end"), x["value"].alias("value")))
 
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = whole if value_group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
@@ -187,16 +209,29 @@ def _base(body: Column) -> Column:
 
 
 def _over(body: Column, found: Column, mark) -> Column:
-    """body with every one of found (by start) replaced by mark(length); those that overlap count as one."""
+    """body with every one of found (by start) replaced by mark(length); those that overlap count as one.
+
+    Text is taken from pieces of PIECE characters, as a place far into a text is found by walking there.
+    """
+    def part(pieces: Column, start: Column, end: Column) -> Column:
+        """The text from start to end."""
+        within = lambda k: F.get(pieces, k).substr(F.greatest(start - k * PIECE, F.lit(0)) + 1, F.least(end, (k + 1) * PIECE) - F.greatest(start, k * PIECE))
+        held = F.sequence(F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int"))
+        return F.when(end > start, F.array_join(F.transform(held, within), "")).otherwise(F.lit(""))
+
+    def marked(x: Column) -> Column:
+        pieces, last = x["pieces"], x["seen"]
+
+        def one(span: Column, k: Column) -> Column:
+            at = F.coalesce(F.get(last, k - 1), F.lit(0))  # the end of what is replaced before
+            return F.when(span["start"] >= at, F.concat(part(pieces, at, span["start"]), mark(span["end"] - span["start"]))).otherwise(mark(F.greatest(F.lit(0), span["end"] - at), False))
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(body.substr(acc["at"] + 1, x["start"] - acc["at"]), mark(x["end"] - x["start"]))).otherwise(mark(F.greatest(F.lit(0), x["end"] - acc["at"]), False))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+        rest = part(pieces, F.coalesce(F.try_element_at(last, F.lit(-1)), F.lit(0)), F.length(body))
+        return F.concat(F.array_join(F.transform(found, one), ""), rest)
 
-    start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<string>").alias("out"))
-    whole = F.aggregate(found, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), body.substr(acc["at"] + 1, F.length(body))))
-    return F.when(F.size(found) > 0, whole).otherwise(body)
+    pieces = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    seen = _running(F.transform(found, lambda x: x["end"]), F.greatest)
+    return F.when(F.size(found) > 0, let(F.struct(pieces.alias("pieces"), seen.alias("seen")), marked)).otherwise(body)
 
 
 def _without(body: Column, found: Column) -> Column:
@@ -259,6 +294,8 @@ def spans(text: Column, model: list[int]) -> Column:
 
 def scan(df: DataFrame, text: str = "text", out: str = "secrets", model: list[int] | None = None, doc_id: str = "doc_id") -> DataFrame:
     """Adds out: the array of spans. The model is trained on df if none is given."""
+    if out.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {out} already; name another one to add")
     return df.withColumn(out, spans(F.col(f"`{text}`"), model or train(samples(df, doc_id, text))))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -151,6 +152,45 @@ def test_long_runs_and_texts(spark):
     assert got == {0: "[SECRET]", 1: "[SECRET]", 2: texts[2]}
 
 
+@pytest.mark.parametrize("stride,piece", [(256, 4096), (3, 5)])
+def test_many_matches_in_a_text(spark, monkeypatch, stride, piece):
+    """Also with strides and pieces so short that every match crosses some, and letters beyond 16 bits."""
+    monkeypatch.setattr(secrets, "STRIDE", stride)
+    monkeypatch.setattr(secrets, "PIECE", piece)
+    model = secrets.train(secrets.labelled_samples(spark, 500))
+    parts = ["token=abcdefgh", "\U0001f600é", "AKIA" + "A1" * 8, "0f" * 18, "secret: token=zyxwvuts12", random_string(secrets.ALPHABET[:62], 24), "ordinary", "\n", "password=AKIA" + "Z" * 16]
+    for n in (0, 1, 2, 3, 4, 40, 700):
+        text = " ".join(RNG.choice(parts) for _ in range(n)) + "\U0001f600" * (n % 3)
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        found = secrets.scan(df, model=model).first()["secrets"]
+        names = [(x["start"], secrets.KINDS[x["rank"]], x["end"]) for x in found]
+        assert [f"{k}:{s}:{e}" for s, k, e in names if k != "markov"] == base_spans(text) and all(text[s:e].strip() == text[s:e] != "" for s, _, e in names)
+        masked, at, out = secrets.mask(df, model=model).first()["text"], 0, []
+        for s, _, e in names:
+            if s >= at:
+                out += [text[at:s], "[SECRET]"]
+            at = max(at, e)
+        assert masked == "".join(out) + text[at:]
+
+
+def test_time_grows_with_the_matches(spark):
+    """A text of 200,000 runs, of which each was once copied for every later one."""
+    model = secrets.train(secrets.labelled_samples(spark, 500))
+    text = " ".join("".join(RNG.choice("abcdefghijklmnop") for _ in range(13)) for _ in range(1000))
+    df = spark.createDataFrame([(1, 200)], "doc_id long, n int").select("doc_id", F.repeat(F.lit(text + " token=abcdefgh1 "), F.col("n")).alias("text"))
+    began = time.perf_counter()
+    assert secrets.mask(df, model=model).select(F.regexp_count("text", F.lit(r"\[SECRET\]"))).first()[0] >= 200
+    assert time.perf_counter() - began < 120
+
+
+def test_added_columns_overwrite_nothing(spark):
+    df = spark.createDataFrame([(1, "x", "own", "own")], "doc_id long, text string, Secrets string, quality string")
+    for add in (secrets.scan, quality.judge):
+        with pytest.raises(ValueError, match="already"):
+            add(df)
+    assert secrets.scan(df, out="found").columns == [*df.columns, "found"] and quality.judge(df, out="found").first()["quality"] == "own"
+
+
 def test_scans_keep_clashing_columns(spark):
     df = spark.createDataFrame([(1, "password=abcdefgh1234", 7, "x", "y", "z")], "doc_id long, text string, at int, body string, base string, draw string")
     assert secrets.mask(df).collect() == [(1, "[SECRET]", 7, "x", "y", "z")]
