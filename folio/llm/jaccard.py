@@ -54,6 +54,10 @@ WORDS = 5
 SKETCH = 1 << 22
 SKETCH_PART = 0.3
 CHUNK = 1 << 18
+#: Parts of a chunk of the sketch that one task adds, about; of more, sums of parts are added first.
+ADDED = 256
+#: Classes and groups that a task remembers having met; all are forgotten when there are more, and some rows come twice.
+MET = 500_000
 #: Stands for a null doc_id inside pandas batches.
 NO_ID = -(2**63)
 #: A counter of this much or more, and of twice the usual one, puts its shingles behind all others.
@@ -181,6 +185,8 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         low = []
         for shingles, key in zip(sets, map(tuple, prints.tolist())):
             if key not in seen:
+                if len(seen) >= MET:
+                    seen.clear()
                 seen.add(key)
                 low.append(shingles[: np.searchsorted(shingles, _LIMIT)])
         if low:
@@ -207,11 +213,27 @@ def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(rows, columns=["chunk", "levels"])
 
 
+def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A task's parts of chunks as one part a chunk."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, counts in zip(batch["chunk"], batch["counts"]):
+            part = np.frombuffer(zlib.decompress(counts), np.uint32)
+            sums[k] = np.minimum(sums[k].astype(np.uint64) + part, 2**32 - 1).astype(np.uint32) if k in sums else part
+    yield pd.DataFrame([(k, zlib.compress(x.tobytes(), 1)) for k, x in sums.items()], columns=["chunk", "counts"])
+
+
 def _levels(counted: DataFrame) -> np.ndarray:
-    """SKETCH bytes, however many documents there are."""
+    """SKETCH bytes, however many documents there are; parts are added as a tree, so no task reads those of all tasks."""
     out = np.zeros(SKETCH, np.uint8)
     chunks = SKETCH // CHUNK
-    parts = counted.filter("chunk >= 0").select("chunk", "counts").repartition(chunks, "chunk").mapInPandas(_summed, "chunk int, levels binary")
+    parts = counted.filter("chunk >= 0").select("chunk", "counts")
+    n = parts.count() // chunks
+    while n > ADDED:
+        n = -(-n // ADDED)
+        dealt = parts.withColumn("_deal", F.pmod(F.xxhash64("counts"), F.lit(n)))
+        parts = staged(dealt.repartition(chunks * n, "chunk", "_deal").drop("_deal").mapInPandas(_added, "chunk int, counts binary"), "join-sketch")
+    parts = parts.repartition(chunks, "chunk").mapInPandas(_summed, "chunk int, levels binary")
     for row in parts.collect():
         out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["levels"], np.uint8)
     return out
@@ -244,6 +266,9 @@ def _postings(levels):
                 n = len(shingles)
                 if n <= ALONE or (fp_a, fp_b) in classes:
                     continue
+                if len(classes) >= MET:
+                    classes.clear()
+                    groups.clear()
                 classes.add((fp_a, fp_b))
                 prefix = ordered(shingles, table)[: prefix_length(n)]
                 grp = int(_signed(_mix(np.bitwise_xor.reduce(_mix(prefix ^ np.uint64(7)), keepdims=True) ^ np.uint64(n)))[0])

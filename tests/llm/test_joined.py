@@ -123,6 +123,16 @@ def test_join_links_classes_of_one_group_past_its_head(spark):
     assert sorted(map(tuple, jaccard.join(df).collect())) == want
 
 
+def test_sketch_parts_are_added_as_a_tree(spark, monkeypatch):
+    text = prose(300)
+    df = spark.createDataFrame([(i, text + " " + prose(200)) for i in range(60)], "doc_id long, text string").repartition(12)
+    counted = df.select("doc_id", "text").mapInPandas(jaccard._counted, f"doc_id long, n long, fp_a long, fp_b long, {', '.join(f'{c} long' for c in jaccard._BIT_COLUMNS)}, chunk int, counts binary").cache()
+    want = jaccard._levels(counted)
+    for added in (2, 5):
+        monkeypatch.setattr(jaccard, "ADDED", added)
+        assert (jaccard._levels(counted) == want).all() and want.any()
+
+
 def test_rows_of_one_doc_id_are_one_node(spark):
     t = [prose(60) for _ in range(6)]
     rows = [(1, t[0]), (1, t[1]), (2, edited(t[1], 1)), (3, t[2]), (4, t[2]), (4, t[3]), (5, t[3]), (6, t[4]), (5, ""), (7, ""), (8, t[5]), (8, None)]
