@@ -116,6 +116,19 @@ def context(pages: DataFrame, chunks: DataFrame, tables: DataFrame, k: int = 5)
     return rows.agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("context"))
 
 
+def dialogue(messages: DataFrame, results: DataFrame, most: int = 10) -> DataFrame:
+    """session and context: its last `most` messages (turn, role, text), oldest first, then what tools gave (name, result).
+
+    A session holds `most` messages and its tools' results at most; nulls are empty texts.
+    """
+    last = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))
+    line = F.concat_ws(": ", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    said = messages.withColumn("_n", last).filter(F.col("_n") <= most).select("session", F.lit(0).alias("part"), (-F.col("_n")).alias("pos"), line.alias("line"))
+    given = results.select("session", F.lit(1).alias("part"), F.row_number().over(Window.partitionBy("session").orderBy("name", "result")).alias("pos"), F.concat_ws(": ", F.lit("[Resultado] "), "name", F.coalesce("result", F.lit(""))).alias("line"))
+    ordered = F.array_sort(F.collect_list(F.struct("part", "pos", "line")))
+    return said.unionByName(given).groupBy("session").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("context"))
+
+
 def markdown(headers: Column, rows: Column, most: int = 30) -> Column:
     """A table as Markdown; its form takes at most 30 rows."""
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))

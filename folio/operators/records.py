@@ -108,3 +108,12 @@ def saved_messages(sessions: DataFrame, messages: DataFrame) -> DataFrame:
         F.greatest("last_active", "sent").alias("last_active"),
         F.coalesce("title", "first").alias("title"),
     )
+
+
+def cascade(parts: dict[str, DataFrame], bad: DataFrame, key: str = "id") -> dict[str, DataFrame]:
+    """Each part (chunks, tables, contents, by name) without the rows whose key is bad; bad is taken once, before anything goes.
+
+    Rows with a null key stay, as they belong to nothing that is bad.
+    """
+    gone = bad.select(key).distinct()
+    return {name: df.join(gone, key, "left_anti") for name, df in parts.items()}

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.operators import answer, enrich, generate
-from folio.plans.analytics import ingestion_status
+from folio.functions import text
+from folio.operators import answer, enrich, generate, records, search
+from folio.plans.analytics import damaged_tables, ingestion_status
+from folio.plans.indexed import _LEX
 from folio.plans.records import _CHUNKS, document_chunks
 from folio.plans.register import query
 from folio.plans.retrieval import _HREF, _RELATED, _TARGETS, _page_entities, link_relations
@@ -107,3 +111,76 @@ def model_sections(spark, d):
     documents = t.raw(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     found = generate.sections(generate.replies(_uncovered(documents, spark, d, "section"), generate.thirds))
     return found.withColumn("place", (F.col("page_range").cast("int") - 1))
+
+
+# --- what belongs together -------------------------------------------------------------------------------------------
+
+
+@query(
+    sql(
+        "ct",
+        then=f""", {_CHUNKS}, bad AS (SELECT id FROM ct WHERE id % 7 IN (1, 2))
+    SELECT 'tables' AS part, id, count(*) AS n FROM ct WHERE id NOT IN (SELECT id FROM bad) GROUP BY id UNION ALL SELECT 'chunks', id, count(*) FROM ch WHERE id NOT IN (SELECT id FROM bad) GROUP BY id
+    UNION ALL SELECT 'contents', doc_id, count(*) FROM documents WHERE doc_id NOT IN (SELECT id FROM bad) GROUP BY doc_id""",
+    )
+)
+def corrupt_cascade(spark, d):
+    """What stays of tables, chunks and contents once damaged tables go with all that belongs to their document."""
+    joined = F.array_join("headers", " ")
+    bad = damaged_tables(spark, d).filter((F.size("headers") <= 1) | joined.contains(";") | joined.contains("|||")).select("id")
+    parts = {"tables": t.customer_tables(spark, d).select("id"), "chunks": document_chunks(spark, d).select("id"), "contents": t.raw(spark, d, "documents").select(F.col("doc_id").alias("id"))}
+    kept = [df.groupBy("id").agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "id", "n") for name, df in records.cascade(parts, bad).items()]
+    return reduce(DataFrame.unionByName, kept)
+
+
+@query(f"WITH {_CHUNKS} SELECT id, count(*) AS n_chunks, sha256(string_agg(chunk_text, chr(10) || chr(10) ORDER BY chunk_index)) AS content_hash FROM ch GROUP BY id")
+def chunk_contents(spark, d):
+    """Documents put together from their chunks, a blank line between them."""
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text")))
+    joined = F.array_join(F.transform(ordered, lambda x: x["chunk_text"]), "\n\n")
+    return document_chunks(spark, d).groupBy("id").agg(F.count("*").alias("n_chunks"), F.sha2(joined, 256).alias("content_hash"))
+
+
+@query(
+    sql(
+        "ct",
+        then="""SELECT session, string_agg(line, chr(10) ORDER BY part, pos) AS context FROM (
+      SELECT conv_id AS session, 0 AS part, -row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS pos, coalesce(role, '') || ': ' || coalesce(text, '') AS line FROM conversations QUALIFY pos >= -10
+      UNION ALL SELECT id, 1, 1, '[Resultado] : count_rows: ' || (len(rows) - 1) FROM ct WHERE id IN (SELECT conv_id FROM conversations)) GROUP BY session""",
+    )
+)
+def dialogue_contexts(spark, d):
+    """The context of every conversation: its last messages and what a tool gave on the table of its number."""
+    messages = t.raw(spark, d, "conversations").withColumnRenamed("conv_id", "session")
+    tables = t.customer_tables(spark, d).join(messages.select(F.col("session").alias("id")).distinct(), "id", "left_semi")
+    results = answer.call_tool(tables, "count_rows", {}).select(F.col("id").alias("session"), F.lit("count_rows").alias("name"), "result")
+    return answer.dialogue(messages, results)
+
+
+_WIDE = {"trash": "trash the", "the of": "the of and"}
+
+
+@query(
+    sql(
+        "pg",
+        then=" UNION ALL ".join(
+            f"""(WITH w AS (SELECT id, {_LEX.format(x='title')} AS l FROM pg), h AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM w WHERE {' AND '.join(f"list_contains(l, '{q}')" for q in asked.split())} ORDER BY id LIMIT 10),
+      v AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM w WHERE {' OR '.join(f"list_contains(l, '{q}')" for q in wide.split())} ORDER BY id LIMIT 10),
+      b AS (SELECT id, pos FROM h UNION ALL SELECT id, pos + (SELECT count(*) FROM h) FROM v),
+      f AS (SELECT id, row_number() OVER (ORDER BY sum(1.0 / (61 + pos)) DESC, min(pos), id) - 1 AS pos FROM b GROUP BY id)
+      SELECT '{asked}' AS asked, id, pos::INTEGER AS pos FROM h WHERE (SELECT count(*) FROM h) >= 3 UNION ALL SELECT '{asked}', id, pos::INTEGER FROM f WHERE (SELECT count(*) FROM h) < 3 AND pos < 10)"""
+            for asked, wide in _WIDE.items()
+        ),
+    )
+)
+def widened_searches(spark, d):
+    """Titles by a question that finds enough, and by one that finds too little and is asked again more widely."""
+    titles = t.pages(spark, d, content=False, title=True).select("id", text.lexemes(F.col("title")).alias("l"))
+
+    def found(words, every):
+        held = [F.array_contains("l", w) for w in words.split()]
+        rows = titles.filter(reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), held)).select("id")
+        return rows.orderBy("id").limit(10).withColumn("pos", F.row_number().over(Window.orderBy("id")) - 1)  # ten rows
+
+    out = [search.widened(found(asked, True), lambda wide=wide: (found(wide, False), None), 10).select(F.lit(asked).alias("asked"), "id", F.col("pos").cast("int").alias("pos")) for asked, wide in _WIDE.items()]
+    return reduce(DataFrame.unionByName, out)
