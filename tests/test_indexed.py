@@ -37,6 +37,8 @@ def test_segments_keep_the_newest_rows_of_a_key(spark, tmp_path):
     fs, make = segments._files(spark, path)
     fs.delete(make(f"{path}/segment=3/_DONE"), False)
     assert segments.numbers(spark, path) == [0, 1, 2]
+    segments.drop(spark, path)
+    assert segments.numbers(spark, path) == []
 
 
 def test_index_gives_what_scans_give_and_changes_write_their_own(spark, tmp_path):
