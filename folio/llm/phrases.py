@@ -138,10 +138,11 @@ def _at(positions: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def extended(row, k: int, words_sieve: Sieve | None):
-    """The lists of k words that extend a block's lists (for k = 2, its postings): hashes, list number by position, positions.
+    """The lists of k words that extend a block's lists; for k = 2 they extend its postings.
 
-    Returns also the block's words and postings: (words, positions, codes, starts, number of the list of each start, hash
-    of each list). Words that the sieve stops count as gaps.
+    Gives the block's words, its postings (positions and codes), and of the new lists the positions at which they start,
+    these positions' places among the postings, the list of each, and the hash of each list. Words that the sieve stops
+    count as gaps.
     """
     words = bytes(row["words"]).split(b"\n")
     positions, codes = np.cumsum(np.frombuffer(row["steps"], "<i4"), dtype=np.int32), np.frombuffer(row["codes"], "<i4")

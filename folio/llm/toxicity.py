@@ -7,8 +7,9 @@ pooled by attention and scored by a logistic unit. A document's score is that of
 The network is trained in numpy on the driver, on a bounded sample of labelled documents: at most PER_LABEL of
 each label, those of smallest hash, and at most ROWS_PER_ID rows of a doc_id; texts of over MOST_BYTES aren't drawn, and
 a label's texts end where half of SAMPLE_BYTES is full. One task ranks the sample's ids of a label, some thousands
-whatever the table. As only documents are labelled, all windows of a toxic document count as toxic at first, and then only those that the network finds most toxic. Scoring is a map over all documents without shuffle, with the
-network (some hundred KB, whatever the corpus) as a broadcast.
+whatever the table. As only documents are labelled, all windows of a toxic document count as toxic at first, and then only
+those that the network finds most toxic. Scoring is a map over all documents without shuffle, with the network (some hundred
+KB, whatever the corpus) as a broadcast.
 
 Null, empty and blank texts score 0. Rows of `labels` without doc_id or label aren't used; without labels of both kinds
 every score is 0. Equal scores (ties) stay equal. Several labels of a doc_id count as toxic if one is. Repeated rows get equal scores; very long texts
