@@ -330,20 +330,43 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component: the smallest node that each node of an edge (a, b) reaches. Labels spread and jump until none changes."""
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "components-edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "components-labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        spread = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        up = labels.select(F.col("node").alias("component"), F.col("component").alias("upper"))
-        fresh = staged(spread.join(up, "component", "left").select("node", F.least("component", "upper").alias("component"), "was"), "components-labels")
-        discard(labels)
-        done = fresh.filter(F.col("component") != F.col("was")).isEmpty()
-        labels = fresh
-        if done:
-            discard(both)
-            return labels.select("node", "component")
+    """node, component: the smallest node that each node of an edge (a, b) reaches.
+
+    A round moves each node to the neighbour that a hash puts first, and from there once more, and keeps the edges between
+    different ends, each once. So edges inside a set that is found already go, rather than being joined in every round; the
+    hashes let chains, too, shrink by a share a round. The moves are put together from the last one back, as each is
+    smaller than the one before.
+    """
+    ends = lambda df, a, b: df.filter(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    left, moves = staged(ends(edges, F.col("a"), F.col("b")), "components-edges"), []
+    while not moves or not left.isEmpty():
+        drawn = lambda c: F.struct(F.xxhash64(c).alias("draw"), F.col(c).alias("to"))
+        both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        once = both.groupBy(F.col("a").alias("node")).agg(F.min(drawn("b")).alias("near")).select("node", F.least("near", drawn("node"))["to"].alias("to"))
+        once = staged(once, "components-moves")
+        onward = once.select(F.col("node").alias("to"), F.col("to").alias("onward"))
+        moves.append(staged(once.join(onward, "to").select("node", F.col("onward").alias("to")), "components-moves"))
+        discard(once)
+        moved = lambda end: moves[-1].select(F.col("node").alias(end), F.col("to").alias(f"{end}_to"))
+        fresh = staged(ends(left.join(moved("a"), "a").join(moved("b"), "b"), F.col("a_to"), F.col("b_to")), "components-edges")
+        discard(left)
+        left = fresh
+    found = moves[-1]
+    for move in reversed(moves[:-1]):
+        later = found.select(F.col("node").alias("to"), F.col("to").alias("last"))
+        found = move.join(later, "to", "left").select("node", F.coalesce("last", "to").alias("to"))
+    found = staged(found, "components-labels")
+    for table in (left, *moves):
+        discard(table)
+    return found.join(found.groupBy("to").agg(F.min("node").alias("component")), "to").select("node", "component")
+
+
+def _joined(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """found (node, component) with more edges (a, b): components are put together, and what lies inside one isn't met again."""
+    nodes = staged(found.union(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component"))), "components-nodes")
+    of = lambda end: nodes.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
+    wider = components(edges.join(of("a"), "a").join(of("b"), "b").select(F.col("a_of").alias("a"), F.col("b_of").alias("b")))
+    return nodes.join(wider.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
 
 
 def _one_node(known: DataFrame, several: DataFrame, classes: DataFrame) -> DataFrame:
@@ -451,7 +474,7 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     second = _links(staged(_across(shared, _placed(members, found)), "jaccard-pairs"), docs)
     for table in (shared, members):
         discard(table)
-    final = found if second.isEmpty() else components(links.union(second))
+    final = found if second.isEmpty() else _joined(found, second)
     labelled = staged(classes.join(final, F.col("rep") == F.col("node"), "left").filter("copies > 1 OR node IS NOT NULL").select("fp_a", "fp_b", "copies", F.coalesce("component", "rep").alias("component")), "jaccard-labelled")
     known = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     own = F.coalesce(F.when(F.col("n") > 0, F.col("component")), "doc_id")

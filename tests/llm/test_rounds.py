@@ -189,3 +189,25 @@ def test_clusters_of_few_or_no_vectors(spark, tmp_path):
         assert [(r["cluster"], r["distance"], r["inertia"]) for r in got] == [(0, 0, 0)] * (len(rows) if len(rows) > 1 else 0)
     with pytest.raises(Exception, match="too large"):
         clusters.lloyd(spark.createDataFrame([(1, [1e30] * 64)], "vec_id long, embedding array<float>"))
+
+
+def test_components_meet_an_edge_inside_a_set_once(spark, monkeypatch):
+    from folio.llm import jaccard, shared
+
+    rows = []
+
+    def counted(df, label):
+        out = shared.staged(df, label)
+        if label == "components-edges":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counted)
+    clique = [(a, b) for a in range(60) for b in range(a)]
+    chain = [(1000 + k, 1001 + k) for k in range(300)]
+    got = jaccard.components(spark.createDataFrame(clique + chain, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [(k, 0) for k in range(60)] + [(k, 1000) for k in range(1000, 1301)]
+    assert rows[0] == len(clique) + len(chain) and rows[1] < len(chain) / 2 and rows[-1] == 0 and len(rows) < 12
+    found = spark.createDataFrame([(1, 1), (2, 1), (5, 4), (4, 4)], "node long, component long")
+    more = spark.createDataFrame([(5, 2), (9, 8), (1, 2)], "a long, b long")
+    assert sorted(map(tuple, jaccard._joined(found, more).collect())) == [(1, 1), (2, 1), (4, 1), (5, 1), (8, 8), (9, 8)]
