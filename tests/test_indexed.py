@@ -159,3 +159,47 @@ def test_nearest_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "id long, embedding array<float>")
     nearest.write(df, f"{tmp_path}/v")
     assert nearest.search(spark, f"{tmp_path}/v", spark.createDataFrame([(1, [1.0])], df.schema), 3).count() == 0
+
+
+def test_any_word_batches_by_blocks_give_what_one_block_gives(spark, tmp_path, monkeypatch):
+    path, words = f"{tmp_path}/i", [f"w{k}" for k in range(40)]
+    docs = [(i, RNG.choice(words), " ".join(RNG.choice(words) for _ in range(RNG.randrange(6)))) for i in range(120)] + [(200 + i, "w1", "w2 w3") for i in range(9)] + [(300, None, None)]
+    postings.write(spark.createDataFrame(docs, SCHEMA), path, FIELDS)
+    asked = [sorted(RNG.sample(words, RNG.randrange(1, 6))) for _ in range(30)] + [["w2", "w3"], ["unknown"], []]
+    df = spark.createDataFrame([(x,) for x in asked], "asked array<string>")
+    index = postings.of(spark, path).collect()
+    df_of = {w: sum(r["lexeme"] == w for r in index) for w in words}
+    for common in (1.0, 0.1):
+        want = set()
+        for x in {tuple(x) for x in asked}:
+            ranks = {}
+            for r in index:
+                if r["lexeme"] in x and df_of[r["lexeme"]] <= common * len(docs):
+                    ranks[r["id"]] = ranks.get(r["id"], 0) + math.log(1 + len(docs) / df_of[r["lexeme"]]) * r["weight"] * r["count"] / (1 + math.log(max(r["length"], 1)))
+            best = sorted(ranks, key=lambda i: (-round(ranks[i], 9), i))[:4]
+            want |= {(x, place, i, round(ranks[i], 9)) for place, i in enumerate(best)}
+        for block, group in ((postings.BLOCK, postings.ASKED), (40, 3)):
+            monkeypatch.setattr(postings, "BLOCK", block)
+            monkeypatch.setattr(postings, "ASKED", group)
+            found = postings.find_any(spark, path, df, 4, common)
+            assert {(tuple(r["asked"]), r["place"], r["id"], round(r["rank"], 9)) for r in found.collect()} == want
+            assert "MapInArrow" in found._jdf.queryExecution().toString()
+            monkeypatch.undo()
+
+
+def test_scans_tally_fields_where_they_are(spark):
+    df = spark.createDataFrame([(1, "the of", "the"), (2, "the", None), (3, None, "of casas the"), (4, None, None)], SCHEMA)
+    for asked in ("the of", "casas", "Quais?"):
+        wanted = text.plain_lexemes(asked)
+        assert rows_of(search.scanned(df, "id", FIELDS, wanted).select("id", F.round("rank", 9))) == rows_of(search.matching(df, asked, FIELDS).select("id", F.round("rank", 9)))
+    stemmed = df.select(stems.tally(F.col("body"), ["cas", "the"]).alias("t")).collect()
+    whole = df.select(stems.stemmed_lexemes(F.col("body")).alias("l")).collect()
+    assert [(r["t"]["n"], list(r["t"]["hits"])) for r in stemmed] == [(len(r["l"]), [r["l"].count("cas"), r["l"].count("the")]) for r in whole]
+
+
+def test_one_question_shuffles_no_texts(spark, tmp_path):
+    from folio.plans import catalogue
+
+    for name in ("search_pages_fts", "search_sections", "search_or_bm25", "search_pages_stemmed"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+        assert "index-" not in plan, name
