@@ -7,6 +7,8 @@ region. Everything is a built-in expression; each rule is also given as SQL (`st
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -183,7 +185,19 @@ def stemmed_lexemes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: ~w.isin(STOP_WORDS)), stem)
 
 
+def tally(text: Column, wanted: list[str]) -> Column:
+    """A struct of n, a text's words without stop words, and hits, how many of them have each wanted stem.
+
+    Every rule leaves a beginning of the word, so only words that begin with a wanted stem are stemmed.
+    """
+    words = F.filter(F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(LEXEME), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
+    begins = lambda w: reduce(lambda x, q: x | w.startswith(q), wanted, F.lit(False))
+    alike = lambda own: F.transform(F.filter(own, begins), stem)
+    counts = lambda own: bind(alike(own), lambda found: F.array(*(F.size(F.filter(found, lambda w: w == q)) for q in wanted)))
+    return bind(words, lambda own: F.struct(F.size(own).alias("n"), counts(own).alias("hits")))
+
+
 #: SQL of a text's words without accents and stop words; {x} is the text.
 WORDS_SQL = f"list_filter(regexp_extract_all(translate(lower(coalesce({{x}}, '')), '{ACCENTED}', '{PLAIN}'), '[\\p{{{{L}}}}\\p{{{{N}}}}_]+'), lambda w: w NOT IN ({', '.join(map(repr, STOP_WORDS))}))"
 
-__all__ = ["STOP_WORDS", "stem", "stem_sql", "stemmed_lexemes"]
+__all__ = ["STOP_WORDS", "stem", "stem_sql", "stemmed_lexemes", "tally"]
