@@ -77,6 +77,41 @@ def test_batch_search_equals_single_searches(spark, tmp_path):
     assert set(by_list) <= {("a",), ("a", "b"), ("c", "d", "e"), ("f", "g")}
 
 
+@pytest.mark.parametrize("block", [postings.BLOCK, 1])
+def test_batch_search_reads_texts_and_builds_no_index(spark, tmp_path, monkeypatch, block):
+    from folio.plans import catalogue
+
+    def refused(*a, **o):
+        raise AssertionError("an index for one batch")
+
+    monkeypatch.setattr(postings, "BLOCK", block)
+    monkeypatch.setattr(postings, "TALLIED", 7)
+    words = "a b c d e f g".split()
+    make = lambda n: " ".join(RNG.choice(words) for _ in range(RNG.randrange(n)))
+    docs = [(i, make(4), make(25)) for i in range(90)] + [(90, None, None), (91, "a b c d e f g", None), (None, None, "q"), (92, "q", "q"), (93, "y", None), (93, None, "x")]
+    asked = [["a"], ["b", "a"], ["c", "d", "e"], words, ["z"], ["a", "z"], [], ["q"], ["x", "y"], ["a"], None]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(5)
+    found = postings.scan_all(df, FIELDS, spark.createDataFrame([(x,) for x in asked], "asked array<string>"), 4).collect()
+    got = {(tuple(r["asked"]), r["place"], r["id"], round(r["rank"], 9)) for r in found}
+    want = {(("x", "y"), 0, 93, 1.2), (("q",), 0, 92, round(2 / (1 + math.log(2)), 9)), (("q",), 1, None, 0.2)}
+    for wanted in ({"a"}, {"a", "b"}, {"c", "d", "e"}, set(words)):
+        held = {i: ((x or "").split(), (y or "").split()) for i, x, y in docs if i is not None and i < 92}
+        rank = lambda x, y: sum((1.0 if w in x else 0.2) * (x + y).count(w) for w in wanted) / (1 + math.log(max(len(x + y), 1)))  # noqa: B023, E731
+        ranks = {i: rank(x, y) for i, (x, y) in held.items() if wanted <= set(x + y)}
+        want |= {(tuple(sorted(wanted)), place, i, round(ranks[i], 9)) for place, i in enumerate(sorted(ranks, key=lambda i: (-round(ranks[i], 9), i))[:4])}
+    assert got == want
+    monkeypatch.setattr(postings, "index_of", refused)
+    catalogue.QUERIES["batch_search"](spark, "/root/testdata/sf0.001")
+
+
+def test_numbers_of_lexemes_are_salted_until_they_differ(spark, monkeypatch):
+    true = postings._word
+    monkeypatch.setattr(postings, "_word", lambda lexeme, salt: F.length(lexeme).cast("long") if salt < 2 else true(lexeme, salt))
+    df = spark.createDataFrame([(1, None, "aa"), (2, None, "bb")], SCHEMA)
+    found = postings.scan_all(df, {"body": 1.0}, spark.createDataFrame([(["bb"],)], "asked array<string>"), 4)
+    assert [(r["id"], r["rank"]) for r in found.collect()] == [(2, 1.0)]
+
+
 def test_empty_index(spark, tmp_path):
     path = f"{tmp_path}/i"
     postings.write(spark.createDataFrame([], SCHEMA), path, FIELDS)
