@@ -238,3 +238,14 @@ def test_one_question_shuffles_no_texts(spark, tmp_path):
     for name in ("search_pages_fts", "search_sections", "search_or_bm25", "search_pages_stemmed"):
         plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert "index-" not in plan, name
+
+
+def _physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_page_tallies_are_hashed_not_sorted(spark):
+    from folio.plans import retrieval
+
+    plan = _physical(retrieval.page_ranks(spark, "/root/testdata/sf0.001"))
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
