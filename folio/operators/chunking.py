@@ -11,13 +11,27 @@ from folio.functions.text import tokens
 TOKENS_A_WORD = 1.3
 
 
+def _steps(size: int, overlap: int) -> tuple[int, int]:
+    """Words of a chunk, and from its start to the next one's."""
+    width = int(size / TOKENS_A_WORD)
+    return width, max(1, width - int(overlap / TOKENS_A_WORD))
+
+
+def _last(n_words: Column, width: int, step: int) -> Column:
+    return F.greatest(F.lit(0), F.ceil((n_words - width) / F.lit(step))).cast("int")
+
+
+def window_indexes(text: Column, size: int = 500, overlap: int = 50) -> Column:
+    """The chunk_index of each of a text's fixed_windows, without the chunks."""
+    return bind(F.size(tokens(text)), lambda n: F.when(n > 0, F.sequence(F.lit(0), _last(n, *_steps(size, overlap)))))
+
+
 def fixed_windows(text: Column, size: int = 500, overlap: int = 50) -> Column:
     """Chunks of size tokens by estimate, each starting `overlap` before the last one's end: structs chunk_index, chunk_text, token_count."""
-    width = int(size / TOKENS_A_WORD)
-    step = max(1, width - int(overlap / TOKENS_A_WORD))
+    width, step = _steps(size, overlap)
 
     def cut(words: Column) -> Column:
-        last = F.greatest(F.lit(0), F.ceil((F.size(words) - width) / F.lit(step))).cast("int")
+        last = _last(F.size(words), width, step)
 
         def chunk(k: Column) -> Column:
             own = F.slice(words, k * step + 1, F.lit(width))

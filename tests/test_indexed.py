@@ -249,3 +249,18 @@ def test_page_tallies_are_hashed_not_sorted(spark):
 
     plan = _physical(retrieval.page_ranks(spark, "/root/testdata/sf0.001"))
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_chunks_of_a_year_are_numbers(spark):
+    from folio.plans import catalogue
+
+    plan = _physical(catalogue.QUERIES["search_chunks_union"](spark, "/root/testdata/sf0.001"))
+    assert "labels" not in plan and "LeftSemi" in plan
+
+
+@pytest.mark.parametrize("text", [None, "", " ", "a", "a " * 384, "a " * 385, "a " * 731, "a " * 2000])
+def test_window_indexes_are_those_of_the_windows(spark, text):
+    from folio.operators import chunking
+
+    row = spark.createDataFrame([(text,)], "t string").select(chunking.window_indexes(F.col("t")).alias("n"), F.transform(chunking.fixed_windows(F.col("t")), lambda c: c["chunk_index"]).alias("w")).first()
+    assert row["n"] == row["w"]
