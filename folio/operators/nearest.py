@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ SAMPLE, ROUNDS = 20_000, 8
 #: The share of a sampled vector's NEAR nearest in the sample that the cells it probes must hold, on average of TRIED ones.
 RECALL, NEAR, TRIED = 0.95, 10, 500
 BLOCK, GROUP = 1024, 256
+#: Rows of vectors and cells that a task makes at once.
+PLACED = 4096
 
 
 def unit(vectors: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,12 +70,15 @@ def _probes(rows: np.ndarray, found: np.ndarray, recall: float) -> int:
 def placed(vectors: DataFrame, found: np.ndarray, probes: int = 1) -> DataFrame:
     """id, vector (at length 1, as bytes) and cell: a row for each of the `probes` cells nearest to a vector (id, embedding)."""
     near = min(probes, len(found))
+    most = max(1, PLACED // max(near, 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sound, rows = unit(batch["embedding"], found.shape[1])
-            cells = np.argsort(-(rows @ found.T), axis=1, kind="stable")[:, :near]
-            yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy()[sound], near), "vector": [r.tobytes() for r in rows for _ in range(near)], "cell": cells.ravel().astype(np.int32)})
+        for whole in batches:
+            for at in range(0, len(whole), most):
+                batch = whole.iloc[at : at + most]
+                sound, rows = unit(batch["embedding"], found.shape[1])
+                cells = np.argsort(-(rows @ found.T), axis=1, kind="stable")[:, :near]
+                yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy()[sound], near), "vector": [v for r in rows for v in [r.tobytes()] * near], "cell": cells.ravel().astype(np.int32)})
 
     return vectors.mapInPandas(run, "id long, vector binary, cell int")
 
@@ -118,17 +124,19 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
     asked = placed(_keyed(queries, key, embedding), found, probes or own_probes)
     pairs = _blocks(segments.current(spark, path, where).select("id", "vector", "cell"), BLOCK, ("ids", "vectors")).join(_blocks(asked, GROUP, ("query_ids", "queries")), "cell")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, vectors, query_ids, own in zip(batch["ids"], batch["vectors"], batch["query_ids"], batch["queries"]):
-                ids, matrix = np.asarray(ids), np.frombuffer(b"".join(vectors)).reshape(-1, size)
-                scores = np.round(np.frombuffer(b"".join(own)).reshape(-1, size) @ matrix.T, 9)
+            for at in range(batch.num_rows):  # one block and group in arrays at a time
+                ids, vectors, query_ids, own = (batch.column(c).slice(at, 1).flatten() for c in ("ids", "vectors", "query_ids", "queries"))
+                ids, matrix = ids.to_numpy(), np.frombuffer(b"".join(vectors.to_pylist())).reshape(-1, size)
+                scores = np.round(np.frombuffer(b"".join(own.to_pylist())).reshape(-1, size) @ matrix.T, 9)
                 order = np.argsort(ids, kind="stable")  # then by score: ties stay by id
                 ids, scores = ids[order], scores[:, order]
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(np.asarray(query_ids), best.shape[1]), "id": ids[best].ravel(), "similarity": np.take_along_axis(scores, best, axis=1).ravel()})
+                found_ = (np.repeat(query_ids.to_numpy(), best.shape[1]), ids[best].ravel(), np.take_along_axis(scores, best, axis=1).ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found_], ["query_id", "id", "similarity"])
 
-    hits = pairs.mapInPandas(run, "query_id long, id long, similarity double")
+    hits = pairs.mapInArrow(run, "query_id long, id long, similarity double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")) - 1
     return hits.withColumn("place", place).filter(F.col("place") < k).select("query_id", "place", "id", "similarity")
 

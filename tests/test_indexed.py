@@ -264,3 +264,17 @@ def test_window_indexes_are_those_of_the_windows(spark, text):
 
     row = spark.createDataFrame([(text,)], "t string").select(chunking.window_indexes(F.col("t")).alias("n"), F.transform(chunking.fixed_windows(F.col("t")), lambda c: c["chunk_index"]).alias("w")).first()
     assert row["n"] == row["w"]
+
+
+def test_rows_that_probe_all_cells_are_made_a_few_at_a_time(spark, monkeypatch):
+    import pandas as pd
+
+    sizes = []
+    monkeypatch.setattr(nearest, "PLACED", 8)
+
+    class Frame:
+        def mapInPandas(self, run, schema):
+            sizes.extend(len(x) for x in run(iter([pd.DataFrame({"id": range(20), "embedding": [[1.0, float(i)] for i in range(20)]})])))
+
+    nearest.placed(Frame(), np.eye(2), nearest.ALL)
+    assert sum(sizes) == 40 and max(sizes) <= 8
