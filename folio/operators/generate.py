@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,22 +25,25 @@ def pending(items: DataFrame, covered: DataFrame, key: str = "id") -> DataFrame:
 
 
 def replies(items: DataFrame, ask: Callable[[list[tuple[int, str]]], list[str]], key: str = "id", text: str = "text", at_once: int = AT_ONCE) -> DataFrame:
-    """key and reply: ask gets (key, text) pairs, `at_once` at most, and gives a reply for each; null where it fails."""
+    """key and reply: ask gets (key, text) pairs, `at_once` at most, and gives a reply for each; null where it fails.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Of the texts that a task is handed, only those of one call are made strings at a time.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows, out = list(zip(part["key"].tolist(), part["text"].fillna(""))), []
-            for at in range(0, len(rows), at_once):
-                some = rows[at : at + at_once]
+            for at in range(0, part.num_rows, at_once):
+                own = part.slice(at, at_once)
+                some = [(k, x or "") for k, x in zip(own.column("key").to_pylist(), own.column("text").to_pylist())]
                 try:
                     got = list(ask(some))
                 except Exception:  # noqa: BLE001  whatever a model's client raises: the batch stays pending
                     got = []
-                out += got if len(got) == len(some) else [None] * len(some)
-            yield pd.DataFrame({key: part["key"], "reply": out})
+                out = pa.array(got if len(got) == len(some) else [None] * len(some), pa.string())
+                yield pa.RecordBatch.from_arrays([own.column("key"), out], [key, "reply"])
 
     slim = items.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return slim.mapInPandas(run, f"`{key}` long, reply string")
+    return slim.mapInArrow(run, f"`{key}` long, reply string")
 
 
 def listed(reply: Column, form: str) -> Column:

@@ -278,3 +278,15 @@ def test_rows_that_probe_all_cells_are_made_a_few_at_a_time(spark, monkeypatch):
 
     nearest.placed(Frame(), np.eye(2), nearest.ALL)
     assert sum(sizes) == 40 and max(sizes) <= 8
+
+
+def test_models_and_neighbours_take_rows_from_arrow(spark, tmp_path):
+    from folio.operators import generate
+
+    items = spark.createDataFrame([(i, None if i % 3 == 0 else f"a{i} b") for i in range(45)], "id long, text string").coalesce(1)
+    answered = generate.replies(items, lambda rows: [f"{len(rows)} {k} {x}" for k, x in rows])
+    assert "MapInArrow" in _physical(answered) and "MapInPandas" not in _physical(answered)
+    assert {r["id"]: r["reply"] for r in answered.collect()} == {i: f"{20 if i < 40 else 5} {i} {'' if i % 3 == 0 else f'a{i} b'}" for i in range(45)}
+    vectors = spark.createDataFrame([(i, [1.0, i / 7]) for i in range(30)], "id long, embedding array<double>")
+    nearest.write(vectors, f"{tmp_path}/v", cells=3)
+    assert "MapInArrow" in _physical(nearest.search(spark, f"{tmp_path}/v", vectors, 2, nearest.ALL))
