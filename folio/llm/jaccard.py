@@ -12,6 +12,8 @@ Steps, each a Spark job over slim rows:
 3. Every shingle's groups are paired with one centre (per class of sizes), which is linear. Verified pairs give
    components. The centre is drawn by a hash of the group and of one of a few salts, so a group meets several centres of
    a large set of near copies.
+   Then groups meet centres of the largest other component that shares a shingle, once more, so what belongs to a large
+   set is mostly in it before the last step.
 4. What remains are groups that share a prefix shingle and don't lie whole in one component: all pairs of them that pass
    the filters are expanded into their classes, and the classes of different components are filtered and verified too;
    so are those of one group. So no link between components is lost, while the inside of a large set of near copies is
@@ -69,6 +71,8 @@ HOT_SHARE, HOT_COPIES = 1e-4, 4096
 
 #: Salts by which centres are drawn: about so many of them does a group in a large set of near copies meet.
 SALTS = 12
+#: Centres that a group meets at a shingle before the last step, in components of so many classes at least.
+TURNS, LARGE = 4, 32
 #: Sets larger than this are filtered by the number of prefix shingles that they share, as a parity map of theirs is full.
 WIDE = 1000
 #: Documents that are shingled at once.
@@ -396,6 +400,27 @@ def _around(shared: DataFrame, heads: DataFrame) -> DataFrame:
     lists = shared.withColumn("size_class", size_class)
     lists = lists.withColumn("c", F.min(F.struct(draw, "grp", "n", "pos")).over(Window.partitionBy("token", "size_class")))
     met = lists.filter((F.col("c.grp") != F.col("grp")) & _fits(F.col("c.n"), F.col("c.pos"), F.col("n"), F.col("pos")))
+    return _met(met, heads)
+
+
+def _nearby(shared: DataFrame, heads: DataFrame, placed: DataFrame) -> DataFrame:
+    """Heads of groups with those of centres in other components, drawn in the largest one of a shingle's list.
+
+    A group that belongs to a large component but links with none of the few centres that it met meets TURNS more at each
+    shingle, rather than every group of the component in the last step. Components of less than LARGE classes are left to it.
+    """
+    sizes = placed.groupBy("comp").agg(F.count("*").alias("size"))
+    own = heads.select("grp", "rep").join(placed.select("rep", "comp"), "rep").join(sizes, "comp").select("grp", "comp", "size")
+    lists = _apart(shared.join(own, "grp"), "comp").withColumn("largest", F.max("size").over(Window.partitionBy("token"))).filter(F.col("largest") >= LARGE)
+    place = F.struct(-F.col("size"), "comp", F.xxhash64("grp", "token", "turn"), "grp", "n", "pos")
+    lists = lists.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(TURNS))))
+    lists = lists.withColumn("c", F.min(place).over(Window.partitionBy("token", "turn")))
+    met = lists.filter((F.col("c.comp") != F.col("comp")) & _fits(F.col("c.n"), F.col("c.pos"), F.col("n"), F.col("pos")))
+    return _met(met, heads)
+
+
+def _met(met: DataFrame, heads: DataFrame) -> DataFrame:
+    """Heads of groups with those of the centres c that they meet often enough, as far as they may link."""
     # what links with a set of n meets it at n / 9 shingles or more, a salt's share of which stands here; the rest is left to the last step
     met = met.groupBy(F.col("c.grp").alias("centre"), "grp", "n").count().filter(F.col("count") * 36 * SALTS >= F.col("n")).select("centre", "grp")
     x, y = heads.alias("x"), heads.alias("y")
@@ -403,6 +428,12 @@ def _around(shared: DataFrame, heads: DataFrame) -> DataFrame:
     return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).filter("a <> b")
 
 
+def _apart(df: DataFrame, column: str) -> DataFrame:
+    """The rows of shingles that different values of column share."""
+    token = Window.partitionBy("token")
+    return df.withColumn("low", F.min(column).over(token)).withColumn("high", F.max(column).over(token)).filter("low <> high").drop("low", "high")
+
+
 def _across(shared: DataFrame, placed: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes of different components that share a prefix shingle or a group and pass all filters.
 
@@ -457,9 +488,7 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     classes = staged(known.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.first(b).alias(b) for b in _BIT_COLUMNS)), "jaccard-classes")
     raw = staged(docs.mapInPandas(_postings(levels), "token long, grp long, n int, pos int, fp_b long"), "jaccard-postings")
     members = staged(raw.filter("pos < 0").select(F.col("token").alias("fp_a"), "fp_b", "grp", "n").distinct().join(classes, ["fp_a", "fp_b"]).select("grp", "n", "rep", *_BIT_COLUMNS), "jaccard-members")
-    token = Window.partitionBy("token")
-    apart = lambda df, column: df.withColumn("low", F.min(column).over(token)).withColumn("high", F.max(column).over(token)).filter("low <> high").drop("low", "high")
-    shared = staged(apart(raw.filter("pos >= 0").select("token", "grp", "n", "pos"), "grp"), "jaccard-shared")
+    shared = staged(_apart(raw.filter("pos >= 0").select("token", "grp", "n", "pos"), "grp").distinct(), "jaccard-shared")  # several tasks may have met a group
     discard(raw)
     first = F.row_number().over(Window.partitionBy("grp").orderBy("rep"))
     heads = staged(members.withColumn("_n", first).filter("_n = 1").drop("_n"), "jaccard-heads")
@@ -470,6 +499,9 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     if repeated:
         links = links.union(_one_node(known, several, classes))
     found = components(links)
+    nearby = _links(staged(_nearby(shared, heads, _placed(members, found)).distinct(), "jaccard-pairs"), docs)
+    if not nearby.isEmpty():
+        found = staged(_joined(found, nearby), "jaccard-found")
     # the rest: groups that share a prefix shingle across components
     second = _links(staged(_across(shared, _placed(members, found)), "jaccard-pairs"), docs)
     for table in (shared, members):

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folio.llm import jaccard, langid, neighbours, packing, pii, toxicity
@@ -133,6 +134,17 @@ def test_sketch_parts_are_added_as_a_tree(spark, monkeypatch):
         assert (jaccard._levels(counted) == want).all() and want.any()
 
 
+@pytest.mark.parametrize("size", [jaccard.LARGE + 8, jaccard.LARGE - 2])
+def test_a_group_meets_several_centres_of_a_large_component(spark, size):
+    bits = [f"0L AS {b}" for b in jaccard._BIT_COLUMNS]
+    heads = spark.range(size + 1).selectExpr("id AS grp", "10 AS n", "id AS rep", *bits)
+    placed = heads.withColumn("comp", F.when(F.col("rep") < size, 0).otherwise(F.col("rep")))
+    shared = heads.crossJoin(spark.range(3).withColumnRenamed("id", "token")).selectExpr("token", "grp", "n", "0 AS pos")
+    pairs = {tuple(r) for r in jaccard._nearby(shared, heads, placed).collect()}
+    assert all(a < size and b == size for a, b in pairs)
+    assert (3 < len(pairs) <= 3 * jaccard.TURNS) if size >= jaccard.LARGE else not pairs
+
+
 def test_rows_of_one_doc_id_are_one_node(spark):
     t = [prose(60) for _ in range(6)]
     rows = [(1, t[0]), (1, t[1]), (2, edited(t[1], 1)), (3, t[2]), (4, t[2]), (4, t[3]), (5, t[3]), (6, t[4]), (5, ""), (7, ""), (8, t[5]), (8, None)]
