@@ -20,11 +20,12 @@ import unicodedata
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ END_ID = 2
 GROUP = 4096
 NO_ID = -(2**63)
 TOKENIZER = "word_bpe_49k.json"
+#: Rows whose texts a task holds as strings at a time.
+ROWS = 256
 
 #: White space to Python alone, a letter whose lower case depends on its place, and strings that the tokenizer takes out
 #: of a text before it splits it.
@@ -53,54 +56,55 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Texts to arrays of ids; remembers the ids of words and of their letters.
+    """Texts to arrays of ids; remembers the ids of words, of their letters and of their marks, each string once.
 
     A word of letters with marks around it is the marks' ids and the letters' own, which the model gives without the
-    steps before it; any other stretch between white space goes through the whole tokenizer.
+    steps before it; any other stretch between white space goes through the whole tokenizer. About `most` strings are
+    remembered: once half of them are new, those that haven't been met meanwhile are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 550_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.letters = Tokenizer.from_file(path), most, _byte_letters()
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
-        self.cores: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
+        self.earlier: dict[str, bytes] = {}
+
+    def _remembered(self, string: str, find: Callable[[str], bytes]) -> bytes:
+        ids = self.known.get(string)
+        if ids is None:
+            ids = self.earlier.get(string)
+            self.known[string] = ids = find(string) if ids is None else ids
+        return ids
 
     def _whole(self, stretch: str) -> bytes:
         return np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _core(self, core: str) -> bytes:
         spelt = core if core.isascii() else "".join(map(self.letters.__getitem__, core.encode()))
-        ids = self.cores[core] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-        return ids
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         if "\u0130" in word:  # the one letter whose lower case has a mark, at which the tokenizer parts the word
             return self._whole(word)
         if word.isalpha():
-            low = word.lower()
-            return self.cores.get(low) or self._core(low)
+            return self._remembered(word.lower(), self._core)
         core = word.strip(_MARKS)
         if not core.isalpha():
             return self._whole(word)
         head, _, tail = word.partition(core)
-        marks = self.cores
-        for part in (head, tail):
-            if part not in marks:
-                marks[part] = self._whole(part)
-        return marks[head] + self._word(core) + marks[tail]
+        return self._remembered(head, self._whole) + self._word(core) + self._remembered(tail, self._whole)
 
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
         if _APART.search(text) or not unicodedata.is_normalized("NFC", text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        if len(self.words) > self.most:
-            self.words, self.cores = {}, {}
-        words = text.split()
-        known = self.words
+        if len(self.known) > self.most // 2:
+            self.earlier, self.known = self.known, {}
+        words, known = text.split(), self.known
         for word in set(words).difference(known):
-            known[word] = self._word(word)
+            self._remembered(word, self._word)
         return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
 
 
@@ -155,11 +159,12 @@ def pieces(documents: DataFrame, groups: int, path: str | None = None, doc_id: s
     """A row for each piece, with its group, and with its ids if with_ids."""
     where = path or public_tokenizers.path(TOKENIZER)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, met, task = encoder(where), Counter(), TaskContext.get().partitionId()
-        for batch in batches:
+        kinds = {c: pa.int64() for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp")} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
+        for part in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
             rows = []
-            for key, dealt_by, body in zip(batch["doc_id"].tolist(), batch["dealt_by"].tolist(), batch["text"]):
+            for key, dealt_by, body in zip(*(part[c].to_pylist() for c in ("doc_id", "dealt_by", "text"))):
                 met[dealt_by] += 1
                 again = met[dealt_by] - 1
                 grp = (zlib.crc32(f"{dealt_by} {again} {task}".encode()) if again else dealt_by) % groups
@@ -167,11 +172,11 @@ def pieces(documents: DataFrame, groups: int, path: str | None = None, doc_id: s
                 for start in range(0, len(ids), capacity):
                     own = ids[start : start + capacity]
                     rows.append((key, start, len(own), zlib.crc32(own.tobytes()), len(ids), grp, *([own.astype(np.int32)] if with_ids else [])))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp", *(["ids"] if with_ids else [])])
+            yield pa.record_batch([pa.array(values, kind) for values, kind in zip(zip(*rows), kinds.values())], list(kinds))
 
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
     dealt = documents.select(key.alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.lit("packing"), key, F.col(text)).alias("dealt_by"))
-    return dealt.mapInPandas(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return dealt.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def pack(cut: DataFrame, capacity: int = SEQUENCE) -> DataFrame:

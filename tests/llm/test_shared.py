@@ -193,3 +193,18 @@ def test_samples_are_bounded_in_bytes_and_landmarks(spark, monkeypatch):
     monkeypatch.setattr(langid, "ALL_LANDMARKS", 12)
     few = langid.Classifier(texts, names)
     assert few.weights.shape == whole.weights.shape and len(few.languages) == 30
+
+
+def test_encoder_remembers_a_bounded_number_of_strings():
+    from tokenizers import Tokenizer
+
+    path = packing.public_tokenizers.path(packing.TOKENIZER)
+    encode, plain = packing.Encoder(path), Tokenizer.from_file(path)
+    spelt = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(5))
+    most = 0
+    for at in range(0, 330_000, 1_000):
+        text = " ".join(map(spelt, range(at, at + 1_000))) + " The (the) 'THE'"
+        ids = encode(text)
+        most = max(most, sum(len(v) for v in vars(encode).values() if isinstance(v, dict)))
+        assert at % 30_000 or ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert most < 305_000
