@@ -290,3 +290,13 @@ def test_models_and_neighbours_take_rows_from_arrow(spark, tmp_path):
     vectors = spark.createDataFrame([(i, [1.0, i / 7]) for i in range(30)], "id long, embedding array<double>")
     nearest.write(vectors, f"{tmp_path}/v", cells=3)
     assert "MapInArrow" in _physical(nearest.search(spark, f"{tmp_path}/v", vectors, 2, nearest.ALL))
+
+
+def test_partitions_of_page_tallies_grow_with_the_documents(spark, monkeypatch):
+    from folio.plans import indexed, retrieval
+
+    whole = retrieval.page_ranks(spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(indexed, "HASHED", 16)  # 200 documents
+    ranks = retrieval.page_ranks(spark, "/root/testdata/sf0.001")
+    assert _physical(ranks).count("hashpartitioning(id") == _physical(ranks).count(", 13), REPARTITION_BY_NUM") == 2
+    assert ranks.collect() == whole
