@@ -11,7 +11,8 @@ extended list, and hashes that reach the threshold set bits in a sieve of bounde
 table, the more lists pass it, but none that is frequent is stopped. Lists that pass are stored with their phrases, and
 frequencies are then counted by language and phrase in full, in packs. Postings that no live list covers are dropped, so later
 levels read little. A block holds so many words that its lists fit a worker, whatever its documents' lengths, and a phrase
-of all documents is one row a block in the shuffle.
+of all documents is one row a block in the shuffle. Blocks are packed before they leave a worker and stored a few a file, as
+Spark reads a file's rows some thousands at once; workers unpack one at a time.
 
 Scores come from joins of a phrase with its first and last parts, which are frequent too, in decimals that hold all
 products. A phrase is dropped if one of the next length that holds it has its frequency, as any longer one then has too.
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,25 +51,47 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: words: the words of codes, joined by line ends, which no word holds; steps and codes: the postings, by position, as
 #: distances, which compress well;
-#: lists: the live lists' positions, one list after another, and sizes: the lists' lengths; phrases: their phrases.
-BLOCKS = "lang string, n long, words binary, steps binary, codes binary, phrases array<string>, sizes array<int>, lists binary"
+#: lists: the live lists' positions, one list after another, and sizes: the lists' lengths; phrases: their phrases, joined
+#: likewise. All binaries are packed.
+BLOCKS = "lang string, n long, words binary, steps binary, codes binary, phrases binary, sizes binary, lists binary"
+_BLOCKS = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in BLOCKS.split(", ")])
+#: Blocks of a file, at most.
+A_FILE = 8
+
+
+def _pack(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True) if data else b""
+
+
+def _unpack(data: bytes) -> bytes:
+    return pa.decompress(pa.py_buffer(data)[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True) if data else b""
+
+
+def _block(**row) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{c: _pack(x) if isinstance(x, bytes) else x for c, x in row.items()}], _BLOCKS)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], read=_unpack) -> Iterator[dict]:
+    """Rows one at a time, with their binaries unpacked."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield {c: read(x) if isinstance(x, bytes) else x for c, x in batch.slice(at, 1).to_pylist()[0].items()}
 
 
 def blocks(documents: DataFrame, text: str = "text", lang: str = "lang", most: int = BLOCK) -> DataFrame:
     """The documents' words as blocks, without lists."""
 
-    def closed(name: str, known: dict, codes: array, bounds: array) -> dict:
+    def closed(name: str, known: dict, codes: array, bounds: array) -> pa.RecordBatch:
         sizes = np.diff(np.array([0, *bounds]))
         gaps = np.repeat(np.arange(len(sizes)), sizes)  # a free position behind each piece
-        return {"lang": name, "n": len(codes), "words": b"\n".join(known), "steps": _steps(np.arange(len(codes)) + gaps), "codes": np.array(codes, "<i4").tobytes(), "phrases": [], "sizes": [], "lists": b""}
+        return _block(lang=name, n=len(codes), words=b"\n".join(known), steps=_steps(np.arange(len(codes)) + gaps), codes=np.array(codes, "<i4").tobytes(), phrases=b"", sizes=b"", lists=b"")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in BLOCKS.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[dict, array, array]] = {}
         n = 0
         for batch in batches:
-            for name, body in zip(batch["lang"], batch["text"]):
-                for piece in _ENDS.split(body.encode().lower()):  # bytes: A-Z alone change
+            for name, body in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
+                for piece in _ENDS.split(body.as_py().lower()):  # bytes: A-Z alone change
                     words = piece.split()  # at blanks and tabs, as no other white space is left
                     if not words:
                         continue
@@ -78,14 +102,14 @@ def blocks(documents: DataFrame, text: str = "text", lang: str = "lang", most: i
                     if n >= most:
                         while held:
                             name_, parts = held.popitem()
-                            yield pd.DataFrame([closed(name_, *parts)], columns=columns)
+                            yield closed(name_, *parts)
                         n = 0
         while held:
             name_, parts = held.popitem()
-            yield pd.DataFrame([closed(name_, *parts)], columns=columns)
+            yield closed(name_, *parts)
 
     rows = documents.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, BLOCKS)
+    return rows.mapInArrow(run, BLOCKS)
 
 
 def _steps(positions: np.ndarray) -> bytes:
@@ -125,8 +149,8 @@ def sieve(hashes: DataFrame, n: int) -> Sieve:
     bits = min(SIEVE_BITS, max(12, (n * BITS_A_HASH).bit_length()))
     places = hashes.select(F.expr(f"shiftrightunsigned(h, {HASH_BITS - bits})").alias("place"))
     cells = places.groupBy(F.expr("CAST(shiftright(place, 6) AS INT)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, CAST(place & 63 AS INT)))").alias("value"))
-    got = cells.toPandas()  # bounded: a row a cell
-    return Sieve(bits, got["cell"].to_numpy(np.int64), got["value"].to_numpy(np.int64))
+    got = cells.toArrow()  # bounded: a row a cell
+    return Sieve(bits, got["cell"].to_numpy().astype(np.int64), got["value"].to_numpy())
 
 
 def _at(positions: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -144,7 +168,7 @@ def extended(row, k: int, words_sieve: Sieve | None):
     these positions' places among the postings, the list of each, and the hash of each list. Words that the sieve stops
     count as gaps.
     """
-    words = bytes(row["words"]).split(b"\n")
+    words = row["words"].split(b"\n")
     positions, codes = np.cumsum(np.frombuffer(row["steps"], "<i4"), dtype=np.int32), np.frombuffer(row["codes"], "<i4")
     own = _word_hash(words)
     if words_sieve is not None:
@@ -168,95 +192,95 @@ def extended(row, k: int, words_sieve: Sieve | None):
 def list_hashes(state: DataFrame, k: int, words_sieve) -> DataFrame:
     """h and n: the hash and length of each block's extended lists."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = words_sieve.value if words_sieve else None
-        for batch in batches:
-            for _, row in batch.iterrows():
-                *_, number, hashes = extended(row, k, held)
-                yield pd.DataFrame({"h": hashes.view(np.int64), "n": np.bincount(number, minlength=len(hashes))})
+        for row in _rows(batches):
+            *_, number, hashes = extended(row, k, held)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.bincount(number, minlength=len(hashes)))], ["h", "n"])
 
-    return state.select("lang", "words", "steps", "codes", "lists").mapInPandas(run, "h long, n long")
+    return state.select("lang", "words", "steps", "codes", "lists").mapInArrow(run, "h long, n long")
 
 
 def extend(state: DataFrame, k: int, words_sieve, lists_sieve) -> DataFrame:
     """Blocks with their lists of k words that pass the sieve, and the postings that these cover."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, passing = words_sieve.value if words_sieve else None, lists_sieve.value
-        for batch in batches:
-            for _, row in batch.iterrows():
-                words, positions, codes, starts, heads, number, hashes = extended(row, k, held)
-                passes = passing.holds(hashes)[number]
-                starts, heads, number = starts[passes], heads[passes], number[passes]
-                order = np.argsort(number, kind="stable")
-                starts, heads, number = starts[order], heads[order], number[order]
-                first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))) if len(number) else np.empty(0, np.int64)
-                sizes = np.diff(np.append(first, len(number)))
-                covered = np.zeros(len(positions), bool)
-                for i in range(k):
-                    covered[heads + i] = True
-                phrases = [b" ".join(words[c] for c in codes[h : h + k].tolist()).decode() for h in heads[first].tolist()]
-                used, fresh = np.unique(codes[covered], return_inverse=True)
-                yield pd.DataFrame([{"lang": row["lang"], "n": row["n"], "words": b"\n".join(words[c] for c in used.tolist()), "steps": _steps(positions[covered]), "codes": fresh.astype("<i4").tobytes(), "phrases": phrases, "sizes": sizes.tolist(), "lists": starts.astype("<i4").tobytes()}])
-
-    return state.mapInPandas(run, BLOCKS).filter(F.size("phrases") > 0)
+        for row in _rows(batches):
+            words, positions, codes, starts, heads, number, hashes = extended(row, k, held)
+            passes = passing.holds(hashes)[number]
+            if not passes.any():
+                continue
+            starts, heads, number = starts[passes], heads[passes], number[passes]
+            order = np.argsort(number, kind="stable")
+            starts, heads, number = starts[order], heads[order], number[order]
+            first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+            sizes = np.diff(np.append(first, len(number)))
+            covered = np.zeros(len(positions), bool)
+            for i in range(k):
+                covered[heads + i] = True
+            phrases = b"\n".join(b" ".join(words[c] for c in codes[h : h + k].tolist()) for h in heads[first].tolist())
+            used, fresh = np.unique(codes[covered], return_inverse=True)
+            yield _block(lang=row["lang"], n=row["n"], words=b"\n".join(words[c] for c in used.tolist()), steps=_steps(positions[covered]), codes=fresh.astype("<i4").tobytes(), phrases=phrases, sizes=sizes.astype("<i4").tobytes(), lists=starts.astype("<i4").tobytes())
+
+    return state.drop("phrases", "sizes").mapInArrow(run, BLOCKS)
 
 
 def counted_words(state: DataFrame) -> DataFrame:
     """lang, phrase and n: the length of each word's list in each block."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lang, words, codes in zip(batch["lang"], batch["words"], batch["codes"]):
-                listed = [w.decode() for w in bytes(words).split(b"\n")]
-                yield pd.DataFrame({"lang": lang, "phrase": listed, "n": np.bincount(np.frombuffer(codes, "<i4"), minlength=len(listed))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            listed = row["words"].decode().split("\n")
+            yield pa.RecordBatch.from_arrays([pa.repeat(row["lang"], len(listed)), pa.array(listed), pa.array(np.bincount(np.frombuffer(row["codes"], "<i4"), minlength=len(listed)))], ["lang", "phrase", "n"])
 
-    return state.select("lang", "words", "codes").mapInPandas(run, "lang string, phrase string, n long")
+    return state.select("lang", "words", "codes").mapInArrow(run, "lang string, phrase string, n long")
 
 
-#: Packs that lists are dealt to for counting, at least, and frequent hashes a pack otherwise; phrases that a task adds up
-#: before it sends them.
-PACKS, PACK, HELD = 64, 2000, 200_000
+#: Packs that lists are dealt to for counting, at least, and frequent hashes a pack otherwise; packs of a task, at most;
+#: phrases that a task adds up before it sends them.
+PACKS, PACK, PACKS_A_TASK, HELD = 64, 2000, 25, 200_000
 
 
 def counted_lists(state: DataFrame, n: int, least: int) -> DataFrame:
     """lang, phrase and n of the lists of all blocks that are frequent together; n hashes are.
 
-    A task adds up what its blocks hold and sends phrases and lengths in packs by a hash of the phrase; a task adds the
-    packs that meet in it, and holds the different phrases of these alone.
+    A task adds up what its blocks hold and sends phrases (joined by line ends) and lengths in packs by a hash of the
+    phrase; a task adds the packs that meet in it, and holds the different phrases of these alone.
     """
     packs = max(PACKS, n // PACK)
+    tasks = max(state.sparkSession.sparkContext.defaultParallelism, -(-packs // PACKS_A_TASK))
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        for batch in batches:
-            for lang, phrases, sizes in zip(batch["lang"], batch["phrases"], batch["sizes"]):
-                for phrase, size in zip(phrases.tolist(), sizes.tolist()):
-                    held[lang, phrase] += size
-                if len(held) > HELD:
-                    yield sent(held)
-                    held.clear()
-        yield sent(held)
-
-    def sent(held: Counter) -> pd.DataFrame:
+        for row in _rows(batches):
+            for phrase, size in zip(row["phrases"].split(b"\n"), np.frombuffer(row["sizes"], "<i4").tolist()):
+                held[row["lang"], phrase] += size
+            if len(held) > HELD:
+                yield from sent(held)
+                held.clear()
+        yield from sent(held)
+
+    def sent(held: Counter) -> Iterator[pa.RecordBatch]:
         by_pack: dict[tuple, tuple[list, list]] = {}
         for (lang, phrase), size in held.items():
-            phrases, sizes = by_pack.setdefault((zlib.crc32(phrase.encode()) % packs, lang), ([], []))
+            phrases, sizes = by_pack.setdefault((zlib.crc32(phrase) % packs, lang), ([], []))
             phrases.append(phrase)
             sizes.append(size)
-        return pd.DataFrame([(pack, lang, *x) for (pack, lang), x in by_pack.items()], columns=["pack", "lang", "phrases", "sizes"])
+        if by_pack:
+            rows = [{"pack": pack, "lang": lang, "phrases": b"\n".join(x), "sizes": np.array(y, "<i8").tobytes()} for (pack, lang), (x, y) in by_pack.items()]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("pack", pa.int64()), ("lang", pa.string()), ("phrases", pa.binary()), ("sizes", pa.binary())]))
 
-    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for batch in batches:
-            for lang, phrases, sizes in zip(batch["lang"], batch["phrases"], batch["sizes"]):
-                for phrase, size in zip(phrases.tolist(), sizes.tolist()):
-                    total[lang, phrase] += size
-        kept = [(lang, phrase, n) for (lang, phrase), n in total.items() if n >= least]
-        yield pd.DataFrame(kept, columns=["lang", "phrase", "n"])
+        for row in _rows(batches, bytes):
+            for phrase, size in zip(row["phrases"].split(b"\n"), np.frombuffer(row["sizes"], "<i8").tolist()):
+                total[row["lang"], phrase] += size
+        kept = [{"lang": lang, "phrase": phrase.decode(), "n": n} for (lang, phrase), n in total.items() if n >= least]
+        yield pa.RecordBatch.from_pylist(kept, pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())]))
 
-    rows = state.select("lang", "phrases", "sizes").mapInPandas(packed, "pack long, lang string, phrases array<string>, sizes array<long>")
-    return rows.repartition("pack").mapInPandas(added, "lang string, phrase string, n long")
+    rows = state.select("lang", "phrases", "sizes").mapInArrow(packed, "pack long, lang string, phrases binary, sizes binary")
+    return rows.repartition(tasks, "pack").mapInArrow(added, "lang string, phrase string, n long")
 
 
 def _frequent(lists: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -281,7 +305,7 @@ def frequencies(documents: DataFrame, least: int = LEAST, longest: int = LONGEST
     """lang, phrase, size and n of all phrases that are frequent, and lang and n of all words."""
     spark = documents.sparkSession
     share = spark.sparkContext.broadcast
-    state = staged(blocks(documents, text, lang), "phrases-blocks")
+    state = staged(blocks(documents, text, lang), "phrases-blocks", A_FILE)
     words = staged(state.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-words")
     levels = [staged(_frequent(counted_words(state), ["lang", "phrase"], least), "phrases-1")]
     words_sieve = share(sieve(_hash_column(levels[0]), levels[0].count()))
@@ -292,7 +316,10 @@ def frequencies(documents: DataFrame, least: int = LEAST, longest: int = LONGEST
             discard(hashes)
             break
         passing = share(sieve(hashes, n))
-        longer = staged(extend(state, k, words_sieve, passing), "phrases-lists")
+        longer = staged(extend(state, k, words_sieve, passing), "phrases-lists", A_FILE)
+        for used in (passing, words_sieve):
+            if used:
+                used.destroy()
         discard(hashes)
         discard(state)
         state, words_sieve = longer, None

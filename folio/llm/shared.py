@@ -29,11 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[context.applicationId]
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back, which cuts the lineage and survives lost executors."""
+def staged(df: DataFrame, label: str, a_file: int = 0) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back, which cuts the lineage and survives lost executors.
+
+    A file takes a_file rows at most, if given, for rows so large that Spark should not read thousands of them at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("maxRecordsPerFile", a_file) if a_file else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     _staged.append(path)

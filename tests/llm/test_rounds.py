@@ -122,6 +122,27 @@ def test_collocations_equal_counts(spark, monkeypatch, block, bits):
     assert got == counted(rows, 4, 5, 30) and len(got) > 40
 
 
+def test_blocks_are_stored_a_few_a_file(spark, monkeypatch):
+    """Spark reads thousands of a file's rows at once, and blocks are large: so files hold a few, which are packed."""
+    seen, written = {}, phrases.staged
+
+    def watched(df, label, *rest):
+        out = written(df, label, *rest)
+        if label in ("phrases-blocks", "phrases-lists"):
+            counts = out.groupBy(F.input_file_name()).count().agg(F.max("count"), F.sum("count")).first()
+            seen.setdefault(label, []).append((*counts, out.agg(F.max(F.length("codes"))).first()[0]))
+        return out
+
+    original = phrases.blocks
+    monkeypatch.setattr(phrases, "staged", watched)
+    monkeypatch.setattr(phrases, "blocks", lambda d, text, lang: original(d, text, lang, 1000))
+    df = spark.createDataFrame([("a b c d e " * 200, "en")] * 50, "text string, lang string").repartition(2)
+    assert len(phrases.collocations(df, least=4, best=30).collect()) > 0
+    assert len(seen["phrases-lists"]) == 4
+    for most, blocks_, size in [*seen["phrases-blocks"], *seen["phrases-lists"]]:
+        assert blocks_ == 50 and most <= 8 and size < 1000
+
+
 def test_collocations_of_little(spark, corpus):
     assert phrases.op12_phrase_collocations(spark, corpus([])).count() == 0
     assert phrases.op12_phrase_collocations(spark, corpus([(1, None, "a"), (2, "", "a"), (3, "one word", "a")])).count() == 0
