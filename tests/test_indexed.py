@@ -222,6 +222,53 @@ def test_any_word_batches_by_blocks_give_what_one_block_gives(spark, tmp_path, m
             monkeypatch.undo()
 
 
+@pytest.mark.parametrize("block,group", [(4_000_000, 1_000), (20, 3)])
+def test_any_word_batches_read_texts_and_send_documents(spark, monkeypatch, block, group):
+    """Rows of one id are one document, rows without id are counted alone; no index, and no postings are rows of a cell."""
+    from folio.plans import catalogue
+
+    def refused(*a, **o):
+        raise AssertionError("an index for one batch")
+
+    monkeypatch.setattr(postings, "BLOCK", block)
+    monkeypatch.setattr(postings, "ASKED", group)
+    words = [f"w{k}" for k in range(30)]
+    make = lambda n: " ".join(RNG.choice(words) for _ in range(RNG.randrange(n)))
+    docs = [(i, make(4), make(25)) for i in range(300)] + [(300, None, None), (301, "q q", None), (301, None, "q r"), (None, "q", "r"), (302, "q", "q"), (303, "q", "q")]
+    asked = [sorted(RNG.sample(words, RNG.randrange(1, 9))) for _ in range(30)] + [["q", "r"], ["r", "unknown"], ["unknown"], [], None]
+    held: dict = {}
+    for i, x, y in docs:
+        own = held.setdefault(i, ([], []))
+        own[0].extend((x or "").split())
+        own[1].extend((y or "").split())
+    df_of = {w: sum(w in x + y for x, y in held.values()) for w in [*words, "q", "r", "unknown"]}
+    for common in (1.0, 0.3):
+        want = set()
+        for x in {tuple(x) for x in asked if x}:
+            ranks = {}
+            for i, (title, body) in held.items():
+                part = lambda w: math.log(1 + len(docs) / df_of[w]) * (1.0 if w in title else 0.2) * (title + body).count(w) / (1 + math.log(max(len(title + body), 1)))  # noqa: B023, E731
+                parts = [part(w) for w in x if df_of[w] <= common * len(docs) and w in title + body]
+                if i is not None and parts:
+                    ranks[i] = sum(parts)
+            best = sorted(ranks, key=lambda i: (-round(ranks[i], 9), i))[:4]
+            want |= {(x, place, i, round(ranks[i], 9)) for place, i in enumerate(best)}
+        found = postings.scan_any(spark.createDataFrame(docs, SCHEMA).repartition(5), FIELDS, spark.createDataFrame([(x,) for x in asked], "asked array<string>"), 4, common=common)
+        assert {(tuple(r["asked"]), r["place"], r["id"], round(r["rank"], 9)) for r in found.collect()} == want
+    monkeypatch.setattr(postings, "index_of", refused)
+    catalogue.QUERIES["batch_search_any"](spark, "/root/testdata/sf0.001")
+
+
+def test_best_of_sums_with_ties(monkeypatch):
+    """The k best of many sums by parts are those of a sort, also where sums tie when rounded."""
+    cell = postings._Cell()
+    for n in (1, 5, 319, 320, 1000, 4001):
+        cell.ids = np.arange(n) * 3
+        for sums in (np.zeros(n), RNG.random() * np.random.default_rng(n).integers(0, 4, n), np.random.default_rng(n).random(n), 1 + np.random.default_rng(n).integers(-9, 9, n) * 1e-11):
+            want = sorted((i for i in range(n) if sums[i] > 0), key=lambda i: (-np.round(sums[i], 9), i))[:5]
+            assert cell._first(sums, 5)[0].tolist() == [i * 3 for i in want]
+
+
 def test_scans_tally_fields_where_they_are(spark):
     df = spark.createDataFrame([(1, "the of", "the"), (2, "the", None), (3, None, "of casas the"), (4, None, None)], SCHEMA)
     for asked in ("the of", "casas", "Quais?"):
